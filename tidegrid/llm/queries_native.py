@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import quality_rules, secret_scans
+from tidegrid.llm import decontamination, quality_rules, secret_scans, warc
 from tidegrid.llm.common import table
 
 
@@ -53,3 +53,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_quality_rules": op9_quality_rules, "op10_secret_scans": op10_secret_scans}
 ORACLE = {"op9_quality_rules": OP9_SQL}
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "intact"
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op1_warc": op1_warc, "op5_decontamination": op5_decontamination}
