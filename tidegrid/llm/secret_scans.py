@@ -106,7 +106,8 @@ def carriers(versions: DataFrame, addressed: DataFrame, unseen: DataFrame, path_
     """The rows of versions that hold one copy of each unseen blob. The list of those paths, or of the others, is broadcast where
     its counted size allows that, else the texts are joined to it by a shuffle."""
     # one path for each blob: its least
-    wanted = addressed.join(unseen, "blob_id", "left_semi").groupBy("blob_id").agg(F.min(path_col).alias(path_col)).select(path_col).distinct()
+    firsts = addressed.groupBy("blob_id").agg(F.min(path_col).alias(path_col))
+    wanted = firsts.join(unseen, "blob_id", "left_semi").select(path_col).distinct()
     wanted = written(wanted, "carriers")
     if small_enough(wanted, bound):
         return versions.join(F.broadcast(wanted), path_col, "left_semi")
