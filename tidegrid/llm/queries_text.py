@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import sentencepieces
+from tidegrid.llm import ngram_join, sentencepieces
 from tidegrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -15,4 +15,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), PIECES, ids=False)
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_ngram_join": op8_ngram_join, "op3_sentencepiece": op3_sentencepiece}
