@@ -112,8 +112,10 @@ def find(
     bitmap = _bitmap(items)
     hashed = docs.select(F.col(id_col).alias("doc"), words(text_of(text_col)).alias("w")).select("doc", shingles("w").alias("s"))
     inside = lambda h: F.call_function("shiftrightunsigned", F.get(bitmap, F.shiftright(F.pmod(h, F.lit(BITMAP_BITS)), 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(1) == 1
-    hits = hashed.withColumn("at", F.filter(F.transform("s", lambda h, i: F.when(inside(h), i)), lambda x: x.isNotNull())).filter(F.size("at") > 0)
-    starts = hits.select("doc", "s", F.explode("at").alias("p")).withColumn("h", F.get("s", F.col("p")))
+    hits = hashed.withColumn("at", F.filter(F.transform("s", lambda h, i: F.when(inside(h), i)), lambda x: x.isNotNull()))
+    # an outer explode: with a plain one, or a filter here, the optimizer moves a copy of all this below the split into words,
+    # where the lambdas split the text anew for each of its words
+    starts = hits.select("doc", "s", F.explode_outer("at").alias("p")).filter("p is not null").withColumn("h", F.get("s", F.col("p")))
     of_items = items.select("n", F.size("s").alias("m"), F.array_distinct("s").alias("o")).distinct().select("*", F.explode("o").alias("h"))
     shared = lambda k: F.coalesce(F.array_contains("o", F.get("s", k)), F.lit(False))
     placed = starts.join(lean(of_items), "h").filter(~shared(F.col("p") - 1) | shared(F.col("p") + F.col("m") - 1)).select(
