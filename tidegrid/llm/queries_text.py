@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import ngram_join, sentencepieces
+from tidegrid.llm import main_text, ngram_join, sentencepieces
 from tidegrid.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,4 +19,8 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_ngram_join": op8_ngram_join, "op3_sentencepiece": op3_sentencepiece}
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op2_main_text": op2_main_text, "op8_ngram_join": op8_ngram_join, "op3_sentencepiece": op3_sentencepiece}
