@@ -160,4 +160,15 @@ def redacted(text: Column, at: Column, mark: str = "[SECRET]") -> Column:
             F.greatest(acc["done"], x["e"]).alias("done"),
         )
 
-    return F.when(F.size(at) > 0, F.aggregate(at, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"] + 1, F.length(text))))).otherwise(text)
+    return F.when(at.isNotNull() & (F.size(at) > 0), F.aggregate(at, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"] + 1, F.length(text))))).otherwise(text)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BROADCAST_ROWS, **kw) -> DataFrame:
+    """docs with the secrets of its texts replaced. Only blobs with findings are joined back, by their content."""
+    found = scan_paths(docs, id_col=id_col, text_col=text_col, bound=bound, **kw)
+    some = written(found.filter(F.size("at") > 0).select("blob_id", "at").dropDuplicates(["blob_id"]), "secrets")
+    # spans take more room than ids: a tenth of the usual bound
+    lean = F.broadcast(some) if small_enough(some, bound // 10) else some
+    marked = docs.withColumn("_blob", blob_id(text_of(text_col)))
+    both = marked.join(lean.withColumnsRenamed({"blob_id": "_blob", "at": "_at"}), "_blob", "left")
+    return both.withColumn(text_col, redacted(F.col(text_col), F.col("_at"))).select(*docs.columns)
