@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,16 +67,17 @@ def counts(docs: DataFrame) -> DataFrame:
 class Models:
     """Log probabilities of both models from their counts."""
 
-    def __init__(self, summed: pd.DataFrame):
-        n = summed["target"][summed["kind"] == 0].sum(), summed["background"][summed["kind"] == 0].sum()
+    def __init__(self, summed: pa.Table):
+        col = {c: summed[c].to_numpy() for c in summed.column_names}
+        own = [col["kind"] == k for k in range(3)]
+        n = col["target"][own[0]].sum(), col["background"][own[0]].sum()
         scale = {"target": 1.0, "background": float(n[0] or n[1]) / max(1, n[1])}
         self.arrays = {}
         for name in ("target", "background"):
             parts = []
             for kind, size in enumerate((UNIGRAMS, BIGRAMS, UNIGRAMS)):
-                rows = summed[summed["kind"] == kind]
                 a = np.zeros(size, dtype=np.float32)
-                a[rows["bucket"]] = rows[name] * scale[name]
+                a[col["bucket"][own[kind]]] = col[name][own[kind]] * scale[name]
                 parts.append(a)
             total = parts[0].sum(dtype=np.float64)
             self.arrays[name] = ((parts[0] + ADDED) / (total + ADDED * UNIGRAMS)).astype(np.float32), parts[1], parts[2]
@@ -93,7 +95,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     wanted = written(target_ids.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("wanted", F.lit(True)), "targets")
     plain = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     marked = plain.join(F.broadcast(wanted) if small_enough(wanted, bound) else wanted, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(Models(written(counts(marked), "counts").toPandas()))
+    shared = docs.sparkSession.sparkContext.broadcast(Models(written(counts(marked), "counts").toArrow()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = shared.value
