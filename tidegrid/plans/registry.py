@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidegrid.plans import shapes, stencils
+
+PARTS = (stencils, shapes)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLE = {k: v for part in PARTS for k, v in part.ORACLE.items()}
