@@ -102,7 +102,7 @@ def generate(spark, first: str, months: int, step_deg: float, lat_limits: tuple[
 def stack(cells: DataFrame, channels: list[str], key: str = "uid") -> DataFrame:
     """Per key an array of channels, each the array of its values in raster order."""
     each = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("y", "x", *channels))).alias("p"))
-    return each.select(key, F.array(*[F.transform("p", lambda s, c=c: s[c]) for c in channels]).alias("channels"))
+    return each.select(key, F.array(*[F.col(f"p.{c}") for c in channels]).alias("channels"))
 
 
 def binary_target(cells: DataFrame, value: str, threshold: float, pct: float, key: str = "uid") -> DataFrame:

@@ -6,21 +6,25 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to the shared folder (spark.checkpoint.dir; a temporary one where none is set, as in tests)
-    and read from there. Unlike checkpoint(), the table keeps no constraints of its plan, which double with each round of a loop."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one is set where none is, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidegrid-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written to the shared folder and read from there. Unlike checkpoint(), the table keeps no
+    constraints of its plan, which double with each round of a loop."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _joined_up(pdf: pd.DataFrame, key: list[str]) -> pd.DataFrame:

@@ -368,17 +368,17 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
     return archive.cohesion(archive.pairs_in_windows(c, "n", good, 16)).select("wy", "wx", r("cold", 6), r("warm", 6), F.round("all", 6).alias("whole"))
 
 
-HITS = "hits as (select 0 as grid_id, y, x, count(distinct (wy, wx)) as hits from pairs p join coh using (wy, wx) where a <> b and cold >= 0.9 and warm >= 0.9 and al >= 0.92 group by 1, 2, 3)"
+HITS = "hits as (select 0 as grid_id, y, x, count(distinct (wy, wx)) as hits from pairs p join coh using (wy, wx) where a <> b and cold >= 0.8 and warm >= 0.8 and al >= 0.8 group by 1, 2, 3)"
 
 
 @query("a31_edges", fx.with_sql(E, STEP, WIN, PAIRS, HITS, then="select y, x, hits from hits"))
 def a31(spark: SparkSession, d: str) -> DataFrame:
-    return archive.edges(fx.step_counts(spark, d), "n", 16).select("y", "x", "hits")
+    return archive.edges(fx.step_counts(spark, d), "n", 16, cold=0.8, warm=0.8, whole=0.8).select("y", "x", "hits")
 
 
 @query("a32_edge_segments", rec(E, STEP, WIN, PAIRS, HITS, labelled("hits", "seg"), then="select y, x, label from seg where label in (select label from seg group by label having count(*) >= 10)"))
 def a32(spark: SparkSession, d: str) -> DataFrame:
-    return archive.segments(archive.edges(fx.step_counts(spark, d), "n", 16).select("grid_id", "y", "x"), 10).select("y", "x", "label")
+    return archive.segments(archive.edges(fx.step_counts(spark, d), "n", 16, cold=0.8, warm=0.8, whole=0.8).select("grid_id", "y", "x"), 10).select("y", "x", "label")
 
 
 @query("a33_direction_coherence", fx.with_sql(O, then="""

@@ -1,0 +1,478 @@
+"""Queries of catalogues, joins, expressions, histograms, features, archives and sets, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.functions import ocean
+from tidegrid.operators import archive, catalog, features, histograms, match
+from tidegrid.operators.ranking import numbered_rows
+from tidegrid.plans import fixtures as fx
+from tidegrid.plans.stencils import r, size
+from tidegrid.sources import tables
+
+QUERIES, ORACLE = {}, {}
+C, E, O, LC, IM = fx.CATALOG, fx.GRID_EVENTS, fx.GRID_ORDERS, fx.LABEL_CELLS, fx.IMAGES
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+# --- expressions ---------------------------------------------------------------------------------------------------------
+
+@query("p12_p15_coriolis", fx.with_sql(C, then="""
+select uid, round(2 * 7.2921e-5 * sin(radians(lat)) * 1e6, 6) as f_e6, case when lat <> 0 then round((label + 1) / (2 * 7.2921e-5 * sin(radians(lat))) / 1e4, 4) end as by_f,
+  case when abs(lat) >= 5 and abs(2 * 7.2921e-5 * sin(radians(lat))) >= 1e-5 then round((label + 1) / abs(2 * 7.2921e-5 * sin(radians(lat))) / 1e4, 4) end as rossby from catalog"""))
+def p12(spark: SparkSession, d: str) -> DataFrame:
+    lat = F.col("lat")
+    return fx.catalog(spark, d).select(
+        "uid", F.round(ocean.coriolis(lat) * 1e6, 6).alias("f_e6"), F.round(ocean.by_coriolis(F.col("label") + 1, lat) / 1e4, 4).alias("by_f"),
+        F.round(ocean.rossby(F.col("label") + 1, lat, absolute=True) / 1e4, 4).alias("rossby"),
+    )
+
+
+@query("p16_turner_angle", fx.with_sql(O, then="""
+select y, x, round(case when u > 0 then degrees(atan(1025.0 * (7.4e-4 * 7.4e-4 * (g / 1000) - 2e-4 * 2e-4 * (v * v)) / (-u / 1025.0))) end, 5) as turner from grid_orders"""))
+def p16(spark: SparkSession, d: str) -> DataFrame:
+    t = ocean.turner_angle(F.lit(1.0), F.col("g") / 1000, F.col("v") * F.col("v"), F.col("u"))
+    return fx.grid_orders(spark, d).select("y", "x", F.round(t, 5).alias("turner"))
+
+
+@query("p17_engineered", fx.with_sql(C, then="""
+select uid, round(label / greatest(abs(2 * 7.2921e-5 * sin(radians(lat))), 1e-7) / 1e4, 4) as label_over_f, round(log10(greatest(label, 1e-30)), 6) as log_label from catalog"""))
+def p17(spark: SparkSession, d: str) -> DataFrame:
+    e = features.engineered(fx.catalog(spark, d), "lat", ["label"], logs=["label"])
+    return e.select("uid", F.round(F.col("label_over_f") / 1e4, 4).alias("label_over_f"), r("log_label", 6))
+
+
+@query("p18_a12_conversion", fx.with_sql(E, "n as (select f, round_even((270 + f / 10 - 268.15) / 0.01, 0) as r from grid_events)", then="""
+select min(r) filter (r > 0 and r <= 600)::int as min, max(r) filter (r > 0 and r <= 600)::int as max, count(*) filter (r <= 0) as n_too_small, count(*) filter (r > 600) as n_too_large,
+  count(*) filter (f is null) as n_fill, count(*) filter (r > 0 and r <= 600) as n_valid from n"""))
+def p18(spark: SparkSession, d: str) -> DataFrame:
+    return archive.conversion_stats(fx.grid_events(spark, d).withColumn("k", 270 + F.col("f") / 10), "k", most=600)
+
+
+@query("p20_p23_haversine", fx.with_sql(C, then="""
+select a.uid, round(2 * 6371 * asin(sqrt(least(1, pow(sin(radians(10 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(20 - lon) / 2), 2)))), 4) as km,
+  round(((lon + 250 + 180) % 360) - 180, 6) as lon from catalog a"""))
+def p20(spark: SparkSession, d: str) -> DataFrame:
+    return fx.catalog(spark, d).select("uid", F.round(ocean.haversine_km(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0)), 4).alias("km"), F.round(ocean.wrap_longitude(F.col("lon") + 250), 6).alias("lon"))
+
+
+@query("p21_solar_zenith")
+def p21(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("ts")
+    both = fx.read(spark, d, "events").withColumns({"lat": F.col("event_id") % 180 - 90.0, "lon": F.col("event_id") % 360 - 180.0})
+    return both.select("event_id", ocean.solar_zenith(F.dayofyear(t), F.hour(t), F.minute(t), F.col("lat"), F.col("lon")).alias("zenith"))
+
+
+@query("p22_aligned_units", fx.with_sql(O, "m as (select median(g) as m from grid_orders)", then="select y, x, round(case when m > 200 then g - 273.15 else g end, 6) as g from grid_orders, m"))
+def p22(spark: SparkSession, d: str) -> DataFrame:
+    g = fx.grid_orders(spark, d)
+    return g.crossJoin(F.broadcast(g.agg(F.median("g").alias("m")))).select("y", "x", F.round(F.when(F.col("m") > 200, F.col("g") - 273.15).otherwise(F.col("g")), 6).alias("g"))
+
+
+@query("p05_p06_p10_regions", fx.with_sql(E, then="select y, x from grid_events where lat between -59.51 and -55.01 and lon between -169 and -165.05 and f is not null and f > 0"))
+def p05(spark: SparkSession, d: str) -> DataFrame:
+    return fx.grid_events(spark, d).filter(F.col("lat").between(-59.51, -55.01) & F.col("lon").between(-169, -165.05) & F.col("f").isNotNull() & (F.col("f") > 0)).select("y", "x")
+
+
+@query("p25_hover_json", fx.with_sql(LC, then="""
+select label, '{"npix":' || count(*) || ',"p1":"' || coalesce(max(p1)::int::varchar, 'NaN') || '"}' as hover from label_cells where label < 500 group by label"""))
+def p25(spark: SparkSession, d: str) -> DataFrame:
+    one = fx.label_cells(spark, d).filter("label < 500").groupBy("label").agg(F.count(F.lit(1)).alias("npix"), F.coalesce(F.max("p1").cast("int").cast("string"), F.lit("NaN")).alias("p1"))
+    return one.select("label", F.to_json(F.struct("npix", "p1")).alias("hover"))
+
+
+@query("p26_s09_names", "select event_id, strftime(ts, '%Y%m%d_%H%M%S') as stamp, strftime(ts, '%Y%m%dT%H_%M_%S') as time, 'v2' as tag from events")
+def p26(spark: SparkSession, d: str) -> DataFrame:
+    e = fx.read(spark, d, "events").withColumn("name", F.concat(F.lit("labels_"), F.date_format("ts", "yyyyMMdd'T'HH_mm_ss"), F.lit("_v2.parquet")))
+    return e.withColumn("p", tables.parsed_name(F.col("name"))).select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"), "p.time", "p.tag")
+
+
+@query("p27_flow_curvature")
+def p27(spark: SparkSession, d: str) -> DataFrame:
+    from tidegrid.operators.stencil import kinematics
+
+    k = kinematics(fx.grid_orders(spark, d)).filter("ux + uy + vx + vy is not null")
+    radius = ocean.flow_curvature(*[F.col(c) for c in ("u", "v", "ux", "uy", "vx", "vy")])
+    return k.select("y", "x", F.round(radius, 3).alias("radius"))
+
+
+# --- catalogue -----------------------------------------------------------------------------------------------------------
+
+@query("p01_p02_lookup", fx.with_sql(C, then="select uid, lat, lon from catalog where month = 3 and label = 4"))
+def p01(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.find_entries(fx.catalog(spark, d), month=3, label=4).select("uid", "lat", "lon")
+
+
+@query("p03_vetted", fx.with_sql(C, then="select 'month' as field, count(*) filter (month not in (0, 1, 2, 3)) as n_bad from catalog"))
+def p03(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.vet(fx.catalog(spark, d).select("uid", "lat", "month"), {"uid": "bigint", "lat": "double", "month": "int"}, {"month": [0, 1, 2, 3]})
+
+
+@query("j04_t06_flags", fx.with_sql(C, "m as (select uid from catalog where uid % 3 = 0)", then="select uid, uid in (select uid from m) as present from catalog where flag_a and flag_b"))
+def j04(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d)
+    return catalog.flag_present(c.filter("flag_a and flag_b"), c.filter("uid % 3 = 0"), "present").select("uid", "present")
+
+
+@query("j05_array_index", fx.with_sql(C, then="select a.uid, coalesce(b.uid * 2, -1)::bigint as gidx from catalog a left join (select uid from catalog where uid % 4 <> 1) b using (uid)"))
+def j05(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d)
+    return catalog.index_of(c.select("uid"), c.filter("uid % 4 <> 1").select("uid", (F.col("uid") * 2).alias("gidx"))).select("uid", F.col("gidx").cast("long").alias("gidx"))
+
+
+@query("j01_j10_joined_statistics", fx.with_sql(LC, "s as (select label, avg(p1) as m from label_cells group by label), t as (select label, count(*) as npix from label_cells group by label)", then="""
+select label, npix, round(m, 5) as m from t join s using (label)"""))
+def j01(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.label_cells(spark, d)
+    return c.groupBy("label").agg(F.count(F.lit(1)).alias("npix")).join(c.groupBy("label").agg(F.round(F.avg("p1"), 5).alias("m")), "label")
+
+
+@query("j03_matched", fx.with_sql(C, then="select uid, a.lat, b.label from catalog a join (select uid, label from catalog where uid % 2 = 0) b using (uid)"))
+def j03(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d)
+    return catalog.matched(c.select("uid", "lat"), c.filter("uid % 2 = 0").select("uid", "label"), required=False)
+
+
+@query("j06_p07_nearest_cell", fx.with_sql(C, E, "p as (select uid, -60 + (uid * 37 % 1000) / 100.1 as lat, -170 + (uid * 91 % 1000) / 100.1 as lon from catalog where uid < 120)", """k as (
+  select uid, y, x, row_number() over (partition by uid order by pow(p.lat - e.lat, 2) + pow(p.lon - e.lon, 2), y, x) as k from p, grid_events e)""", then="select uid, y, x from k where k = 1"))
+def j06(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.catalog(spark, d).filter("uid < 120").select("uid", (-60 + (F.col("uid") * 37 % 1000) / 100.1).alias("lat"), (-170 + (F.col("uid") * 91 % 1000) / 100.1).alias("lon"))
+    return match.nearest_cell(p, fx.grid_events(spark, d), "uid", 0.2).select("uid", "y", "x")
+
+
+KM = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+@query("j07_nearest_in_space_time", fx.with_sql(C, "s as (select uid, lat, lon, month * 30.0 as t from catalog)", "o as (select uid + 1000000 as uid, lat + 0.2 as lat, lon + 0.1 as lon, month * 30.0 + 3 as t from catalog)", f"""k as (
+  select a.uid, b.uid as uid_o, {KM} as km from s a join o b on abs(a.t - b.t) < 6 and abs(a.lat - b.lat) <= 3 and abs(a.lon - b.lon) <= 3)""", then="""
+select uid, arg_min(uid_o, km) as uid_o, round(min(km), 4) as km from k where km / 111 <= 3 group by uid"""))
+def j07(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d).select("uid", "lat", "lon", (F.col("month") * 30.0).alias("t"))
+    o = c.select((F.col("uid") + 1000000).alias("uid"), (F.col("lat") + 0.2).alias("lat"), (F.col("lon") + 0.1).alias("lon"), (F.col("t") + 3).alias("t"))
+    return match.nearest_in_space_time(c, o, 6, 3).withColumn("km", F.round("km", 4))
+
+
+IMT = "t as (select image_id, min(epoch(ts)) as t from images group by 1)"
+
+
+def image_times(spark: SparkSession, d: str) -> DataFrame:
+    return fx.images(spark, d).groupBy("image_id").agg(F.min(F.col("ts").cast("timestamp").cast("double")).alias("t"))
+
+
+@query("j08_temporal_neighbours", fx.with_sql(IM, IMT, "k as (select *, row_number() over (order by t, image_id) as k from t)", then="""
+select a.image_id, b.image_id as other_id, round(b.t - a.t, 3) as gap_s from k a join k b on abs(a.k - b.k) <= 3 and a.k <> b.k and abs(a.t - b.t) <= 60 * 3600"""))
+def j08(spark: SparkSession, d: str) -> DataFrame:
+    return match.temporal_neighbours(image_times(spark, d), 3, 60).withColumn("gap_s", F.round("gap_s", 3))
+
+
+def _contour(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.grid_orders(spark, d).filter("y % 10 = 4 and x between 10 and 60")
+    return o.select(F.lit(0).alias("image_id"), F.col("y").alias("contour_id"), (F.col("x") - 10).alias("m"), "y", "x", F.col("v").alias("gi"), F.col("u").alias("gj"))
+
+
+@query("j09_contour_merge", fx.with_sql(O, "p as (select y as contour_id, x - 10 as m, y, x, v as gi, u as gj from grid_orders where y % 10 = 4 and x between 10 and 60)", """s as (
+  select contour_id, m, a.k as sy, b.k as sx, case when gi * o.u + gj * o.v > 0 then (gi * o.u + gj * o.v) / greatest(sqrt(gi * gi + gj * gj), greatest(sqrt(o.u * o.u + o.v * o.v), 2.0)) else 0 end as score
+  from p, range(-1, 2) a(k), range(-1, 2) b(k) left join grid_orders o on o.y = p.y + a.k and o.x = p.x + b.k)""", """w as (
+  select *, sum(score) over (partition by contour_id, sy, sx order by m rows between current row and 20 following) as total from s)""", """b as (
+  select contour_id, m, row_number() over (partition by contour_id, m order by total desc, sy, sx) as k, sy, sx, total from w)""", then="""
+select distinct p.y + b.sy as y, p.x + b.sx as x from b, range(0, 21) r(k2) join p on p.contour_id = b.contour_id and p.m = b.m + r.k2 where b.k = 1 and b.total > 10""").replace(
+    "select distinct p.y + b.sy", "select distinct p.y + b.sy").replace("from b, range(0, 21) r(k2) join p on p.contour_id = b.contour_id and p.m = b.m + r.k2 where", "from b cross join range(0, 21) r(k2) join p on p.contour_id = b.contour_id and p.m = b.m + r.k2 where").replace(
+    "from p, range(-1, 2) a(k), range(-1, 2) b(k) left join", "from p cross join range(-1, 2) a(k) cross join range(-1, 2) b(k) left join"))
+def j09(spark: SparkSession, d: str) -> DataFrame:
+    field = fx.grid_orders(spark, d).select("y", "x", F.col("u").alias("hi"), F.col("v").alias("hj"))
+    return archive.contour_scores(_contour(spark, d), field, 1).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+
+
+@query("j13_nearest_time", fx.with_sql(IM, IMT, "o as (select distinct epoch(o_orderdate) as s from orders)", """k as (select distinct t, s, row_number() over (partition by t order by abs(t - s), s) as k from t, o)""", then="""
+select round(t, 3) as t, round(s, 3) as source_t, round(abs(t - s), 3) as gap from k where k = 1"""))
+def j13(spark: SparkSession, d: str) -> DataFrame:
+    src = fx.read(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").cast("double").alias("t"))
+    got = match.nearest_time(image_times(spark, d), src)
+    return got.select(r("t", 3), r("source_t", 3), r("gap", 3))
+
+
+@query("j14_nearest_value", fx.with_sql("p as (select p_partkey as draw_id, (p_partkey * 7919 % 1000) * 550.0 as v from part where p_partkey < 50)", """k as (
+  select draw_id, o_orderkey as uid, abs(v - o_totalprice) as gap, row_number() over (partition by draw_id order by abs(v - o_totalprice), o_orderkey) as k from p, orders where abs(v - o_totalprice) < 5000)""",
+    then="select draw_id, uid, round(gap, 4) as gap from k where k = 1"))
+def j14(spark: SparkSession, d: str) -> DataFrame:
+    draws = fx.read(spark, d, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("draw_id"), ((F.col("p_partkey") * 7919 % 1000) * 550.0).alias("v"))
+    got = match.nearest_value(draws, fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), "o_totalprice"), "o_totalprice", "uid", 5000.0)
+    return got.filter("gap < 5000").withColumn("gap", F.round("gap", 4))
+
+
+# --- splits and training sets --------------------------------------------------------------------------------------------
+
+H = "((uid + 1) * 48271) % 2147483647"
+
+
+@query("t04_random_split", fx.with_sql(C, f"k as (select uid, row_number() over (order by {H}, uid) as k from catalog)", then="select uid, case when k <= 200 then 'train' when k <= 250 then 'valid' else 'test' end as split from k where k <= 300"))
+def t04(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.random_split(fx.catalog(spark, d), {"train": 200, "valid": 50, "test": 50}, seed=1).select("uid", "split")
+
+
+@query("t05_balanced_sample")
+def t05(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.log10("o_totalprice").alias("m"))
+    return catalog.balanced_sample(o, "m", 10, 1000, seed=1).select("uid", "bin")
+
+
+@query("t07_catalogue")
+def t07(spark: SparkSession, d: str) -> DataFrame:
+    n = fx.read(spark, d, "nation").agg(F.min("n_nationkey")).first()[0]
+    return catalog.generate(spark, f"201{n % 10}-09-13", 6, 5.0, (-60.0, 57.0))
+
+
+@query("t08_g10_cutout_fields", fx.with_sql(C, O, "k as (select uid, (uid * 13 % 90)::int as row, (uid * 29 % 90)::int as col from catalog)", then="""
+select uid, count(*) as n, round(sum(g), 2) as g, count(*) = 64 as complete from k join grid_orders o on o.y between row and row + 7 and o.x between col and col + 7 group by uid"""))
+def t08(spark: SparkSession, d: str) -> DataFrame:
+    k = fx.catalog(spark, d).select("uid", (F.col("uid") * 13 % 90).cast("int").alias("row"), (F.col("uid") * 29 % 90).cast("int").alias("col"))
+    got = catalog.covered_fields(k, fx.grid_orders(spark, d), 8)
+    return got.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("g"), 2).alias("g"), (F.count(F.lit(1)) == 64).alias("complete"))
+
+
+@query("t10_stacks", "select vec_id as uid, 64 as n, round(cast(embedding[1] as double), 6) as first, round(2 * cast(embedding[64] as double), 6) as last from embeddings")
+def t10(spark: SparkSession, d: str) -> DataFrame:
+    st = catalog.stack(fx.cutouts(spark, d).withColumn("g", F.col("f") * 2), ["f", "g"])
+    return st.select("uid", F.size(st.channels[0]).alias("n"), F.round(st.channels[0][0], 6).alias("first"), F.round(st.channels[1][63], 6).alias("last"))
+
+
+@query("t11_binary_target", fx.with_sql(fx.CUTOUTS, "q as (select uid, quantile_cont(f, 0.8) as q from cutouts group by uid)", then="select uid, y, x, (f > 0.05 and f > q)::int as target from cutouts join q using (uid)"))
+def t11(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.binary_target(fx.cutouts(spark, d), "f", 0.05, 80).select("uid", "y", "x", "target")
+
+
+@query("t01_t03_sets", fx.with_sql(C, then="(select uid from catalog where flag_a union all select uid from catalog where flag_b) except all select uid from catalog where month = 2"))
+def t01(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d)
+    return c.filter("flag_a").select("uid").unionByName(c.filter("flag_b").select("uid")).exceptAll(c.filter("month = 2").select("uid"))
+
+
+@query("s10_s11_not_done", fx.with_sql(C, then="select distinct 2 as version, month as snapshot, label as config from catalog where not (month % 2 = 0 and label < 5)"))
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    req = fx.catalog(spark, d).select(F.lit(2).alias("version"), F.col("month").alias("snapshot"), F.col("label").alias("config")).distinct()
+    return tables.not_done(req, req.filter("snapshot % 2 = 0 and config < 5"))
+
+
+@query("s12_by_subset", "select case when p_size < 20 then 'small' when p_size < 40 then 'large' end as subset, array_to_string(list_sort(list(distinct p_brand)), ',') as properties from part where p_brand <> 'Brand#11' group by 1")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.read(spark, d, "part").select(F.col("p_brand").alias("property"), F.expr("case when p_size < 20 then 'small' when p_size < 40 then 'large' end").alias("subset"))
+    todo = p.filter("property <> 'Brand#11'")
+    return todo.groupBy("subset").agg(F.array_join(F.sort_array(F.collect_set("property")), ",").alias("properties"))
+
+
+@query("s14_merged_inventories", fx.with_sql("a as (select epoch(o_orderdate)::bigint as s, o_orderkey as k, 0 as q from orders where o_orderkey % 2 = 0 union all select epoch(o_orderdate)::bigint, o_orderkey, 1 from orders where o_orderkey % 3 = 0)", then="""
+select s as seconds_since_1970, k as num_clear from (select *, row_number() over (partition by s order by q, k) as n from a) where n = 1"""))
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.read(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").cast("long").alias("seconds_since_1970"), F.col("o_orderkey").alias("num_clear"))
+    return archive.merged_inventories([o.filter("num_clear % 2 = 0"), o.filter("num_clear % 3 = 0")])
+
+
+@query("s07_wide_fields", fx.with_sql(O, then="select y, (x + 7) % 100 as x, g, u from grid_orders where y % 2 = 0 and x % 2 = 0"))
+def s07(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.grid_orders(spark, d)
+    long = o.select("grid_id", "y", "x", F.explode(F.create_map(F.lit("g"), "g", F.lit("u"), "u", F.lit("v"), "v")).alias("field", "value"))
+    return tables.wide_fields(long, ["g", "u"], 2, 7, 100).select("y", "x", "g", "u")
+
+
+@query("s05_run_metadata", fx.with_sql(E, then="select max(y) + 1 as height, 100 as width, count(*) as n_cells, round(min(lat), 6) as lat_min, round(max(lat), 6) as lat_max from grid_events"))
+def s05(spark: SparkSession, d: str) -> DataFrame:
+    g = fx.grid_events(spark, d)
+    return tables.run_metadata(g, g.select("grid_id", F.col("y").alias("label")), ["f"], config="A").select("height", "width", "n_cells", r("lat_min", 6), r("lat_max", 6))
+
+
+# --- histograms ----------------------------------------------------------------------------------------------------------
+
+BIN = "case when {v} >= {lo} and {v} <= {hi} then least(floor(({v} - ({lo})) / ({w}))::int, {n} - 1) end"
+BU, BV = BIN.format(v="u", lo=-50, hi=450, w=25, n=20), BIN.format(v="v", lo=-50, hi=50, w=10, n=10)
+UVB = f"b as (select *, {BU} as bx, {BV} as \"by\" from grid_orders), c as (select * from b where bx is not null and \"by\" is not null)"
+JP = ("u", "v", 20, 10, (-50, 450), (-50, 50))
+
+
+@query("a09_joint_histogram", fx.with_sql(O, UVB, then="select bx, \"by\", count(*) as n, round(count(*) / ((select count(*) from c) * 250.0), 9) as pdf from c group by bx, \"by\""))
+def a09(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.joint(fx.grid_orders(spark, d), *JP).withColumn("pdf", F.round("pdf", 9))
+
+
+@query("a10_auto_range", "select round(quantile_cont(o_totalprice, 0.01), 5) as lo, round(quantile_cont(o_totalprice, 0.99), 5) as hi from orders")
+def a10(spark: SparkSession, d: str) -> DataFrame:
+    return fx.read(spark, d, "orders").agg(F.percentile("o_totalprice", F.array(F.lit(0.01), F.lit(0.99))).alias("p")).select(F.round(F.get("p", F.lit(0)), 5).alias("lo"), F.round(F.get("p", F.lit(1)), 5).alias("hi"))
+
+
+@query("a11_conditional_mean", fx.with_sql(O, UVB, then="select bx, \"by\", count(g) as n, case when count(g) >= 60 then round(sum(g) / count(g), 3) end as mean from c group by bx, \"by\""))
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    u, v, nx, ny, xr, yr = JP
+    return histograms.conditional_mean(fx.grid_orders(spark, d), u, v, "g", nx, ny, xr, yr, 60).withColumn("mean", F.round("mean", 3))
+
+
+@query("a13_accumulated", fx.with_sql(O, UVB, "s as (select y // 40 as snapshot, bx, \"by\", count(*) as n from c group by 1, 2, 3)", "p as (select *, n / (sum(n) over (partition by snapshot) * 250.0) as pdf from s)", then="""
+select bx, "by", sum(n)::bigint as n, round(sum(pdf) / (select count(distinct snapshot) from s), 9) as pdf from p group by bx, \"by\""""))
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.grid_orders(spark, d).withColumn("snapshot", F.expr("y div 40"))
+    return histograms.accumulate(histograms.joint(o, *JP, by=("snapshot",))).withColumn("pdf", F.round("pdf", 9))
+
+
+@query("a14_flow_regions", fx.with_sql(O, UVB, "h as (select bx, \"by\", count(*) as n from c group by 1, 2)", then="""
+select case when bx - 10 < -("by" + 0.5) then 'AVD' when bx - 10 > "by" + 0.5 then 'CVD' else 'SD' end as region, round(sum(n) / (select sum(n) from h), 6) as share from h group by 1"""))
+def a14(spark: SparkSession, d: str) -> DataFrame:
+    h = histograms.joint(fx.grid_orders(spark, d), *JP)
+    return histograms.flow_regions(h, F.col("bx") - 10, F.col("by") + 0.5).withColumn("share", F.round("share", 6))
+
+
+@query("a15_binned_map", fx.with_sql(C, then="""
+select least(floor((lat + 90) / 15)::int, 11) as by, least(floor((lon + 180) / 20)::int, 17) as bx, count(label) as n, round(avg(label), 6) as mean from catalog group by 1, 2 having count(label) >= 2"""))
+def a15(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.binned_map(fx.catalog(spark, d), "label", 12, 18, 2).withColumn("mean", F.round("mean", 6))
+
+
+@query("a16_log_joint")
+def a16(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.log_joint(fx.grid_orders(spark, d), "v", "g", 10, 12, (-50, 50), (1000, 600000)).select("bx", "by", "n")
+
+
+@query("a17_histogram", fx.with_sql("q as (select quantile_cont(o_totalprice, 0.01) as lo, quantile_cont(o_totalprice, 0.99) as hi from orders)", "b as (select least(floor((o_totalprice - lo) / ((hi - lo) / 40))::int, 39) as bin from orders, q where o_totalprice between lo and hi)", then="select bin, count(*) as n from b group by bin"))
+def a17(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.histogram(fx.read(spark, d, "orders"), "o_totalprice", 40).select("bin", "n")
+
+
+@query("a18_kernel_density", fx.with_sql("s as (select count(*) as n, stddev_samp(p_retailprice) as s, min(p_retailprice) as lo, max(p_retailprice) as hi from part)", then="""
+select k::int as k, round(1e6 * sum(exp(-pow((lo + (hi - lo) * k / 59 - p_retailprice) / (s * pow(n, -0.2)), 2) / 2)) / max(n * s * pow(n, -0.2) * sqrt(2 * pi())), 5) as density from part, s, range(0, 60) t(k) group by k"""))
+def a18(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.kernel_density(fx.read(spark, d, "part"), "p_retailprice", 60).select("k", F.round(F.col("density") * 1e6, 5).alias("density"))
+
+
+@query("a19_weak_and_strong", fx.with_sql(O, "q as (select quantile_cont(g, 0.8) as q from grid_orders)", then="select case when g >= q then 'strong' else 'weak' end as part, count(*) as n, round(avg(u), 6) as u from grid_orders, q group by 1"))
+def a19(spark: SparkSession, d: str) -> DataFrame:
+    return histograms.split_by_percentile(fx.grid_orders(spark, d), "g", 80).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("u"), 6).alias("u"))
+
+
+@query("a06_a07_cutout_summary", fx.with_sql(fx.CUTOUTS, then="""
+select uid, round(avg(f), 6) as mu, round(quantile_cont(f, 0.1), 6) as p10, round(quantile_cont(f, 0.9), 6) as p90, count(*) filter (f > 0.1) as n_high, round(sum(f) filter (f > 0), 6) as pos from cutouts group by uid"""))
+def a06(spark: SparkSession, d: str) -> DataFrame:
+    f = F.col("f")
+    return fx.cutouts(spark, d).groupBy("uid").agg(
+        F.round(F.avg("f"), 6).alias("mu"), F.round(F.percentile("f", F.lit(0.1)), 6).alias("p10"), F.round(F.percentile("f", F.lit(0.9)), 6).alias("p90"),
+        F.count_if(f > 0.1).alias("n_high"), F.round(F.sum(F.when(f > 0, f)), 6).alias("pos"),
+    )
+
+
+# --- features ------------------------------------------------------------------------------------------------------------
+
+COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("a20_correlations", " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from lineitem" for i, a in enumerate(COLS) for b in COLS[i:]))
+def a20(spark: SparkSession, d: str) -> DataFrame:
+    return features.correlations(fx.read(spark, d, "lineitem"), COLS).withColumn("r", F.round("r", 6))
+
+
+@query("a21_p11_scaled", "select vec_id, round((label - (select avg(label) from embeddings)) / (select stddev_pop(label) from embeddings), 6) as label from embeddings")
+def a21(spark: SparkSession, d: str) -> DataFrame:
+    return features.scaled(features.finite(fx.read(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label")), ["label"]), ["label"]).select("vec_id", r("label", 6))
+
+
+@query("a22_pca_variance")
+def a22(spark: SparkSession, d: str) -> DataFrame:
+    return features.PCA(fx.read(spark, d, "lineitem"), COLS, 3).summary(spark, 2).select("pc", r("variance_ratio", 5), r("cumulative", 5), "rank", "column", r("loading", 4))
+
+
+@query("a24_pca_reconstructed")
+def a24(spark: SparkSession, d: str) -> DataFrame:
+    df = fx.read(spark, d, "lineitem")
+    pca = features.PCA(df, COLS, 4)
+    back = pca.reconstruct(pca.project(df), [1, 2, 3, 4])
+    return back.agg(*[F.round(F.max(F.abs(F.col(c) - F.col(f"{c}_back"))), 4).alias(c) for c in COLS])
+
+
+@query("a26_healpix_like_map")
+def a26(spark: SparkSession, d: str) -> DataFrame:
+    from tidegrid.operators.maps import ring_pixel
+
+    return fx.catalog(spark, d).groupBy(ring_pixel(F.col("lat"), F.col("lon"), 4).alias("pixel")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 6).alias("mean"))
+
+
+@query("a27_w08_cluster_profile", fx.with_sql("p as (select l_returnflag, count(*) as n, median(l_quantity) as q, median(l_extendedprice) as e from lineitem group by 1)", then="""
+select l_returnflag, n, q as l_quantity, e as l_extendedprice, round(n / (select sum(n) from p), 6) as share from p"""))
+def a27(spark: SparkSession, d: str) -> DataFrame:
+    return features.cluster_profile(fx.read(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice"]).select("l_returnflag", "n", "l_quantity", "l_extendedprice", r("share", 6))
+
+
+@query("a28_density_clusters", fx.with_sql(C, "p as (select uid, lat / 10 as a, lon / 10 as b from catalog)", "near as (select x.uid as u, y.uid as v from p x, p y where pow(x.a - y.a, 2) + pow(x.b - y.b, 2) <= 1.0)", """core as (
+  select u from near group by u having count(*) >= 4)""", "r(u, v) as (select u, u from core union select r.u, near.v from r join near on near.u = r.v join core c on c.u = near.v)", "lab as (select u, min(v) as l from r group by u)", """e as (
+  select near.v as uid, min(l) as l from near join lab on lab.u = near.u group by 1)""", then="select uid, coalesce(l, -1)::bigint as cluster from p left join e using (uid)").replace("with ", "with recursive ", 1))
+def a28(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d).select("uid", (F.col("lat") / 10).alias("a"), (F.col("lon") / 10).alias("b"))
+    return features.density_clusters(c, "uid", ["a", "b"], 1.0, 4)
+
+
+@query("w01_cumulative_share", "select v as o_totalprice, round(sum(w) over (order by v) / sum(w) over (), 6) as share from (select o_totalprice as v, count(*) as w from orders group by 1)")
+def w01(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.read(spark, d, "orders").withColumn("w", F.lit(1))
+    return features.cumulative_share(o, "w", "o_totalprice").withColumn("share", F.round("share", 6))
+
+
+@query("w02_running_mean", fx.with_sql(IM, "c as (select y, x, image_id as t, case when event_id % 5 = 0 then null else f end as f from images)", then="""
+select y, x, t, count(f) over w as n, round(avg(f) over w, 8) as mean from c window w as (partition by y, x order by t rows between unbounded preceding and current row) qualify count(f) over w >= 1"""))
+def w02(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.images(spark, d).select("y", "x", F.col("image_id").alias("t"), F.expr("case when event_id % 5 = 0 then null else f end").alias("f"))
+    return archive.running_mean(c, "f").select("y", "x", "t", "n", r("mean", 8))
+
+
+@query("w04_w05_strided_first", "select o_orderkey from (select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) as k from orders) where k % 7 = 0")
+def w04(spark: SparkSession, d: str) -> DataFrame:
+    return numbered_rows(fx.read(spark, d, "orders").select("o_totalprice", "o_orderkey"), "o_totalprice", "o_orderkey").filter("k % 7 = 0").select("o_orderkey")
+
+
+@query("a34_clear_images", fx.with_sql(IM, then="select image_id, count(f) filter (f > 20) as num_clear from images group by 1 having count(f) filter (f > 20) >= 200"))
+def a34(spark: SparkSession, d: str) -> DataFrame:
+    return archive.clear_images(fx.images(spark, d).withColumn("f", F.expr("case when f > 20 then f end")), "f", 200)
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.grid_orders(spark, d)
+    seg = o.filter("y % 5 = 2 and x between 10 and 60").select(F.col("y").alias("seg"), (F.col("x") - 10).alias("m"), "y", "x")
+    return archive.profiles(seg, o, "g", size(o), 100, 8)
+
+
+SAMPLES = """p as (select y as seg, x - 10 as m, y, x from grid_orders where y % 5 = 2 and x between 10 and 60),
+s as (select p.seg, p.m, k as "offset", g as v from p cross join range(-8, 9) r(k) join grid_orders o on o.x = p.x and o.y = greatest(0, least((select max(y) from grid_orders), p.y + k)))"""
+
+
+@query("a35_profiles", fx.with_sql(O, SAMPLES, then='select seg, m, "offset"::int as "offset", v from s'))
+def a35(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(spark, d).select("seg", "m", "offset", "v")
+
+
+@query("a36_a37_across", fx.with_sql(O, SAMPLES, then="""
+select seg, m, round(avg(v) filter ("offset" < 0), 7) as before, round(avg(v) filter ("offset" > 0), 7) as after, round(avg(v) filter (abs("offset") >= 5), 7) as background,
+  max(v) filter (abs("offset") <= 3) as feature from s group by seg, m"""))
+def a36(spark: SparkSession, d: str) -> DataFrame:
+    return archive.across(_samples(spark, d)).select("seg", "m", r("before", 7), r("after", 7), r("background", 7), "feature")
+
+
+@query("a38_steepest_offset", fx.with_sql(O, SAMPLES, """t as (select seg, m, "offset" as o, avg(v) over w as a, count(v) over w as c from s window w as (partition by seg, m order by "offset" rows between 1 preceding and 1 following))""", then="""
+select seg, m, o::int as "offset" from t where c = 3 qualify row_number() over (partition by seg, m order by a desc, case when o < 0 then o + 1000 else -o end desc) = 1"""))
+def a38(spark: SparkSession, d: str) -> DataFrame:
+    return archive.steepest_offset(_samples(spark, d))
+
+
+@query("a08_j11_finite_semi", fx.with_sql(LC, then="select count(*) as n, round(avg(p2), 4) as mean, min(p2) as lo, max(p2) as hi from label_cells where label in (select o_orderkey from orders where o_orderstatus = 'F') and p2 is not null"))
+def a08(spark: SparkSession, d: str) -> DataFrame:
+    f = fx.read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("label"))
+    return features.finite(fx.label_cells(spark, d).join(f, "label", "left_semi"), ["p2"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p2"), 4).alias("mean"), F.min("p2").alias("lo"), F.max("p2").alias("hi"))
+
+
+@query("t13_seeded_subsample", fx.with_sql("k as (select o_orderkey as uid from orders)", then=f"select uid from k order by {H}, uid limit 500"))
+def t13(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("uid"))
+    return o.orderBy(catalog.hash_order("uid", 1), "uid").limit(500)
