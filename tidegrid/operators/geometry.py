@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ocean import haversine_km
@@ -63,14 +63,23 @@ def branches(skeleton: DataFrame) -> DataFrame:
     return n.join(skeleton.select("grid_id", "y", "x", "label"), ["grid_id", "y", "x"]).groupBy("grid_id", "label").agg(F.sum("b").alias("num_branches"))
 
 
-def front_ids(cells: DataFrame, time: str, legacy_id: bool = False) -> DataFrame:
-    """(grid_id, label, name): TIME_LAT_LON of the cell nearest to the mean row and column; one decimal, N/S and E/W.
+def _tenths(v: Column) -> Column:
+    """A value of at least zero with one decimal, rounded from the double's exact value as Python does: 0.35 is below its tie.
+
+    20 v - (2 k + 1), of which the sign decides, is exact when v is split into a float and what that leaves."""
+    k = F.floor(v * 10)
+    head = v.cast("float").cast("double")
+    over = (20 * head - (2 * k + 1)) + 20 * (v - head)
+    n = k + F.when(over > 0, 1).when(over < 0, 0).otherwise(k % 2)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
 
-    Coordinates go to one decimal through an exact decimal, half to even, as Python formats the double's own value."""
+
+def front_ids(cells: DataFrame, time: str, legacy_id: bool = False) -> DataFrame:
+    """(grid_id, label, name): TIME_LAT_LON of the cell nearest to the mean row and column; one decimal, N/S and E/W."""
     mid = cells.groupBy("grid_id", "label").agg(F.bround(F.avg("y"), 0).cast("int").alias("cy"), F.bround(F.avg("x"), 0).cast("int").alias("cx"))
     d2 = (F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2
     at = cells.join(mid, ["grid_id", "label"]).groupBy("grid_id", "label").agg(F.min_by(F.struct("lat", "lon"), F.struct(d2.alias("d"), "y", "x")).alias("p"))
-    text = lambda c, pos, neg: F.concat(F.bround(F.abs(c).cast("decimal(38,20)"), 1).cast("decimal(8,1)").cast("string"), F.when(c >= 0, pos).otherwise(neg))
+    text = lambda c, pos, neg: F.concat(_tenths(F.abs(c)), F.when(c >= 0, pos).otherwise(neg))
     stamp = time.replace("-", "").replace("_", "T").replace(":", "")
     if legacy_id:
         stamp = stamp.replace("T", "TT", 1)

@@ -240,9 +240,9 @@ def n30(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n31_resized", fx.with_sql(fx.CUTOUTS, """w as (select uid, ty, tx, f, (least(y + 1, (ty + 1) * 1.6) - greatest(y, ty * 1.6)) * (least(x + 1, (tx + 1) * 1.6) - greatest(x, tx * 1.6)) as w
   from cutouts, range(0, 5) as a(ty), range(0, 5) as b(tx) where ty * 1.6 < y + 1 and (ty + 1) * 1.6 > y and tx * 1.6 < x + 1 and (tx + 1) * 1.6 > x)""",
-    then="select uid, ty::int as y, tx::int as x, round(sum(w * f) / sum(w), 5) as f from w group by uid, ty, tx"))
+    then="select uid, ty::int as y, tx::int as x, round(sum(w * f) / sum(w), 5) + 0.0 as f from w group by uid, ty, tx"))
 def n31(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.resized(fx.cutouts(spark, d), "f", 8, 5).select("uid", "y", "x", r("f"))
+    return stencil.resized(fx.cutouts(spark, d), "f", 8, 5).select("uid", "y", "x", (F.round("f", 5) + 0.0).alias("f"))
 
 
 _G = [math.exp(-k * k / 2) for k in range(-3, 4)]
