@@ -128,8 +128,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         moved = not after.filter("label <> old").isEmpty()
         labels = after.select("id", "label")
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components were not done after {rounds} rounds")
 
 
 def _similar_pairs(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
