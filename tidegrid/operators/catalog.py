@@ -91,12 +91,11 @@ def balanced_sample(table: DataFrame, metric: str, nbins: int, total: int, key:
     return binned.withColumn("_r", rank).filter(F.col("_r") <= want[F.col("bin")]).drop("_r")
 
 
-def generate(spark, first: str, months: int, step_deg: float, lat_limits: tuple[float, float]) -> DataFrame:
-    """Catalogue over month ends and a regular grid of points within latitude limits."""
-    times = spark.range(months).select(F.last_day(F.add_months(F.to_date(F.lit(first)), F.col("id").cast("int"))).alias("day"), F.col("id").alias("t"))
-    ny, nx = int((lat_limits[1] - lat_limits[0]) / step_deg) + 1, int(360 / step_deg)
-    points = spark.range(ny * nx).select((lat_limits[0] + F.floor(F.col("id") / nx) * step_deg).alias("lat"), (-180 + (F.col("id") % nx) * step_deg).alias("lon"), F.col("id").alias("p"))
-    return points.crossJoin(F.broadcast(times)).select((F.col("t") * (ny * nx) + F.col("p")).alias("uid"), "lat", "lon", F.col("day").alias("datetime"))
+def generate(points: DataFrame, times: DataFrame) -> DataFrame:
+    """Catalogue of every point (lat, lon, ...) at every time (day): uid is a hash of all of these. The times are few; points are
+    not shuffled where their number lets them be broadcast, which Spark decides by size."""
+    both = points.crossJoin(times.withColumnRenamed("day", "datetime"))
+    return both.withColumn("uid", F.xxhash64("lat", "lon", "datetime"))
 
 
 def stack(cells: DataFrame, channels: list[str], key: str = "uid") -> DataFrame:

@@ -65,17 +65,17 @@ def m04(spark: SparkSession, d: str) -> DataFrame:
     return components.without_small(fx.mask_int(spark, d), 7)
 
 
-DENSE = "dense_mask as (select 0 as grid_id, y, x from grid_events where (event_id * 7919) % 100 < 62 and y < 60)"
+DENSE = "dense_mask as (select 0 as grid_id, y, x from grid_events where (event_id * 7919) % 100 < 75)"
 
 
 def dense_mask(spark: SparkSession, d: str) -> DataFrame:
-    return fx.grid_events(spark, d).filter("(event_id * 7919) % 100 < 62 and y < 60").select("grid_id", "y", "x")
+    return fx.grid_events(spark, d).filter("(event_id * 7919) % 100 < 75").select("grid_id", "y", "x")
 
 
-@query("m05_holes_filled", rec(E, DENSE, """free as (select 0 as grid_id, y, x from grid_events where y < 60 and not (event_id * 7919) % 100 < 62)""", labelled("free", "bg", SIDES), then="""
+@query("m05_holes_filled", rec(E, DENSE, """free as (select 0 as grid_id, y, x from grid_events where not (event_id * 7919) % 100 < 75)""", labelled("free", "bg", SIDES), then="""
 select 0::int as grid_id, y, x from dense_mask union all select 0::int, y, x from bg where label in (select label from bg group by label having count(*) < 8)"""))
 def m05(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.grid_events(spark, d).filter("y < 60")
+    g = fx.grid_events(spark, d)
     return components.holes_filled(dense_mask(spark, d), size(g), 100, 8)
 
 

@@ -86,9 +86,9 @@ def p05(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("p25_hover_json", fx.with_sql(LC, then="""
-select label, '{"npix":' || count(*) || ',"p1":"' || coalesce(max(p1)::int::varchar, 'NaN') || '"}' as hover from label_cells where label < 500 group by label"""))
+select label, '{"npix":' || count(*) || ',"p1":"' || coalesce(max(p1)::int::varchar, 'NaN') || '"}' as hover from label_cells group by label"""))
 def p25(spark: SparkSession, d: str) -> DataFrame:
-    one = fx.label_cells(spark, d).filter("label < 500").groupBy("label").agg(F.count(F.lit(1)).alias("npix"), F.coalesce(F.max("p1").cast("int").cast("string"), F.lit("NaN")).alias("p1"))
+    one = fx.label_cells(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("npix"), F.coalesce(F.max("p1").cast("int").cast("string"), F.lit("NaN")).alias("p1"))
     return one.select("label", F.to_json(F.struct("npix", "p1")).alias("hover"))
 
 
@@ -144,10 +144,10 @@ def j03(spark: SparkSession, d: str) -> DataFrame:
     return catalog.matched(c.select("uid", "lat"), c.filter("uid % 2 = 0").select("uid", "label"), required=False)
 
 
-@query("j06_p07_nearest_cell", fx.with_sql(C, E, "p as (select uid, -60 + (uid * 37 % 1000) / 100.1 as lat, -170 + (uid * 91 % 1000) / 100.1 as lon from catalog where uid < 120)", """k as (
+@query("j06_p07_nearest_cell", fx.with_sql(C, E, "p as (select uid, -60 + (uid * 37 % 1000) / 100.1 as lat, -170 + (uid * 91 % 1000) / 100.1 as lon from catalog)", """k as (
   select uid, y, x, row_number() over (partition by uid order by pow(p.lat - e.lat, 2) + pow(p.lon - e.lon, 2), y, x) as k from p, grid_events e)""", then="select uid, y, x from k where k = 1"))
 def j06(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.catalog(spark, d).filter("uid < 120").select("uid", (-60 + (F.col("uid") * 37 % 1000) / 100.1).alias("lat"), (-170 + (F.col("uid") * 91 % 1000) / 100.1).alias("lon"))
+    p = fx.catalog(spark, d).select("uid", (-60 + (F.col("uid") * 37 % 1000) / 100.1).alias("lat"), (-170 + (F.col("uid") * 91 % 1000) / 100.1).alias("lon"))
     return match.nearest_cell(p, fx.grid_events(spark, d), "uid", 0.2).select("uid", "y", "x")
 
 
@@ -177,11 +177,11 @@ def j08(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contour(spark: SparkSession, d: str) -> DataFrame:
-    o = fx.grid_orders(spark, d).filter("y % 10 = 4 and x between 10 and 60")
-    return o.select(F.lit(0).alias("image_id"), F.col("y").alias("contour_id"), (F.col("x") - 10).alias("m"), "y", "x", F.col("v").alias("gi"), F.col("u").alias("gj"))
+    o = fx.grid_orders(spark, d)
+    return o.select(F.lit(0).alias("image_id"), F.col("y").alias("contour_id"), F.col("x").alias("m"), "y", "x", F.col("v").alias("gi"), F.col("u").alias("gj"))
 
 
-@query("j09_contour_merge", fx.with_sql(O, "p as (select y as contour_id, x - 10 as m, y, x, v as gi, u as gj from grid_orders where y % 10 = 4 and x between 10 and 60)", """s as (
+@query("j09_contour_merge", fx.with_sql(O, "p as (select y as contour_id, x as m, y, x, v as gi, u as gj from grid_orders)", """s as (
   select contour_id, m, a.k as sy, b.k as sx, case when gi * o.u + gj * o.v > 0 then (gi * o.u + gj * o.v) / greatest(sqrt(gi * gi + gj * gj), greatest(sqrt(o.u * o.u + o.v * o.v), 2.0)) else 0 end as score
   from p, range(-1, 2) a(k), range(-1, 2) b(k) left join grid_orders o on o.y = p.y + a.k and o.x = p.x + b.k)""", """w as (
   select *, sum(score) over (partition by contour_id, sy, sx order by m rows between current row and 20 following) as total from s)""", """b as (
@@ -202,11 +202,11 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return got.select(r("t", 3), r("source_t", 3), r("gap", 3))
 
 
-@query("j14_nearest_value", fx.with_sql("p as (select p_partkey as draw_id, (p_partkey * 7919 % 1000) * 550.0 as v from part where p_partkey < 50)", """k as (
+@query("j14_nearest_value", fx.with_sql("p as (select p_partkey as draw_id, (p_partkey * 7919 % 1000) * 550.0 as v from part)", """k as (
   select draw_id, o_orderkey as uid, abs(v - o_totalprice) as gap, row_number() over (partition by draw_id order by abs(v - o_totalprice), o_orderkey) as k from p, orders where abs(v - o_totalprice) < 5000)""",
     then="select draw_id, uid, round(gap, 4) as gap from k where k = 1"))
 def j14(spark: SparkSession, d: str) -> DataFrame:
-    draws = fx.read(spark, d, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("draw_id"), ((F.col("p_partkey") * 7919 % 1000) * 550.0).alias("v"))
+    draws = fx.read(spark, d, "part").select(F.col("p_partkey").alias("draw_id"), ((F.col("p_partkey") * 7919 % 1000) * 550.0).alias("v"))
     got = match.nearest_value(draws, fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), "o_totalprice"), "o_totalprice", "uid", 5000.0)
     return got.filter("gap < 5000").withColumn("gap", F.round("gap", 4))
 
@@ -227,10 +227,13 @@ def t05(spark: SparkSession, d: str) -> DataFrame:
     return catalog.balanced_sample(o, "m", 10, 1000, seed=1).select("uid", "bin")
 
 
-@query("t07_catalogue")
+@query("t07_catalogue", fx.with_sql(E, "t as (select distinct last_day(o_orderdate)::date as day from orders)", then="""
+select y, x, strftime(day, '%Y-%m-%d') as datetime from grid_events, t where y % 10 = 0 and x % 10 = 0"""))
 def t07(spark: SparkSession, d: str) -> DataFrame:
-    n = fx.read(spark, d, "nation").agg(F.min("n_nationkey")).first()[0]
-    return catalog.generate(spark, f"201{n % 10}-09-13", 6, 5.0, (-60.0, 57.0))
+    """Month ends of the orders times every tenth point of the event grid."""
+    times = fx.read(spark, d, "orders").select(F.last_day("o_orderdate").alias("day")).distinct()
+    points = fx.grid_events(spark, d).filter("y % 10 = 0 and x % 10 = 0").select("y", "x", "lat", "lon")
+    return catalog.generate(points, times).select("y", "x", F.col("datetime").cast("string").alias("datetime"))
 
 
 @query("t08_g10_cutout_fields", fx.with_sql(C, O, "k as (select uid, (uid * 13 % 90)::int as row, (uid * 29 % 90)::int as col from catalog)", then="""
@@ -440,11 +443,11 @@ def a34(spark: SparkSession, d: str) -> DataFrame:
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     o = fx.grid_orders(spark, d)
-    seg = o.filter("y % 5 = 2 and x between 10 and 60").select(F.col("y").alias("seg"), (F.col("x") - 10).alias("m"), "y", "x")
+    seg = o.select(F.col("y").alias("seg"), F.col("x").alias("m"), "y", "x")
     return archive.profiles(seg, o, "g", size(o), 100, 8)
 
 
-SAMPLES = """p as (select y as seg, x - 10 as m, y, x from grid_orders where y % 5 = 2 and x between 10 and 60),
+SAMPLES = """p as (select y as seg, x as m, y, x from grid_orders),
 s as (select p.seg, p.m, k as "offset", g as v from p cross join range(-8, 9) r(k) join grid_orders o on o.x = p.x and o.y = greatest(0, least((select max(y) from grid_orders), p.y + k)))"""
 
 
