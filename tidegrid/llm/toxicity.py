@@ -34,7 +34,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
 #: Words in a window; bytes of ordinary text in both dictionaries; most segments of the toxic one.
 WORDS, BASE_BYTES, SEGMENTS = 12, 12_000, 300
 #: A segment: its least length, the least ratio of its shares in toxic and ordinary texts, and the least evidence (texts times log ratio).
-SHORTEST, RATIO, EVIDENCE = 4, 8.0, 20.0
+SHORTEST, RATIO, EVIDENCE = 4, 8.0, 30.0
 PREDICTED = 0.7
 #: Per cent of the sample that the dictionaries are made of.
 DICTIONARY_SHARE = 60
