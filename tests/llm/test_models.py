@@ -117,3 +117,35 @@ def test_scores_tell_good_documents(spark, labels):
     rows["good"] = rows["doc_id"].map(lambda i: labels[i].quality if i in labels else None)
     mean = rows.groupby("good")["score"].mean()
     assert mean[1] > mean[0] and isinstance(rows, pd.DataFrame)
+
+
+def exact(texts, wanted):
+    """Losses from counts of the words and pairs themselves."""
+    toks = [[(a, b) for a, b in zip([None, *t.split()], t.split(), strict=False)] for t in texts]
+    own = {"target": wanted, "background": set(range(len(texts)))}
+    one, two, ctx = ({name: Counter(f(x) for k in own[name] for x in toks[k]) for name in own} for f in (lambda x: x[1], lambda x: x, lambda x: x[0]))
+    n = {name: sum(one[name].values()) for name in own}
+    v = max(1 << 18, len(one["background"]))
+
+    def loss(name, a, b):
+        s = n["target"] / n[name]
+        p1 = (one[name][b] * s + lm_scoring.ADDED) / (n[name] * s + lm_scoring.ADDED * v)
+        return -math.log((two[name][a, b] * s + lm_scoring.PRIOR * p1) / (ctx[name][a] * s + lm_scoring.PRIOR))
+
+    return [{name: sum(loss(name, *x) for x in t) / len(t) for name in own} for t in toks]
+
+
+@pytest.mark.parametrize(("hot", "words"), [({}, 300_000), ({"hot_words": 40, "hot_pairs": 30, "part_tokens": 3000}, 2000), ({"hot_words": 0, "hot_pairs": 0, "part_tokens": 500}, 2000)])
+def test_every_word_and_pair_has_its_own_count(spark, hot, words):
+    rng = random.Random(5)
+    often = [f"w{k}" for k in range(60)]
+    # more distinct words than 2^18 in the first case, and words that repeat and follow each other
+    texts = [" ".join(x for j in range(k, words, 40) for x in (f"r{j // 2 * 2}q{j}", rng.choice(often), rng.choice(often))) for k in range(40)]
+    texts += [texts[0], texts[7], "w1", "only once", "w1 w2 w1 w2 only"]
+    wanted = {0, 3, 40, 42, 44}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.score(df, spark.createDataFrame([(k,) for k in wanted], "doc_id long"), **hot).collect()}
+    assert len(got) == len(texts)
+    for k, w in enumerate(exact(texts, wanted)):
+        assert got[k].n_tokens == len(texts[k].split())
+        assert abs(got[k].loss_target - w["target"]) < 1e-9 and abs(got[k].loss_background - w["background"]) < 1e-9

@@ -1,12 +1,18 @@
 """Cross-entropy difference of two n-gram language models.
 
 A target model is counted over the documents that are wanted more of, a background model over all documents. They are matched:
-one vocabulary of hashed words and word pairs, the same smoothing, and background counts scaled to the target's number of tokens.
-A document's score is the mean over its tokens of the background's loss less the target's: above zero it is nearer to the target.
+one vocabulary, words and word pairs named by 64-bit keys, the same smoothing, and background counts scaled to the target's number
+of tokens. A document's score is the mean over its tokens of the background's loss less the target's: above zero it is nearer to
+the target. The smoothing assumes a vocabulary of UNIGRAMS words, or of all distinct ones if there are more.
 
-Counting is one pass: a task adds up its rows in arrays and gives out what is not zero, Spark sums by bucket. What is gathered so
-grows with the input, and all documents count. The models are arrays of fixed size, UNIGRAMS and BIGRAMS counts for each of the
-two, so they go to every task by broadcast; buckets that two words share only blur them.
+Every word and pair has its own count, however many there are. The frequent ones, at most HOT_WORDS and HOT_PAIRS by count, are
+counted first and go to every task by broadcast: their tokens are scored where they are read. All others are shuffled, once, as
+n-grams distinct in their document: by the word if it is rare, by the pair if only that is. So whatever gets the same key meets in
+one partition, which counts it and scores it at once, and returns sums by document. Those n-grams and sums go packed in arrays, a
+batch of documents and a partition each; partitions grow in number with the input. What is gathered grows with the input.
+
+Which n-grams are broadcast (pairs: those frequent in a sample) moves work, not results. Documents are named by a 64-bit hash of the text; equal
+texts score equally.
 
 Defined cases: a text without words has n_tokens 0 and null losses. Without target documents the target's counts are all zero, and
 its losses those of a uniform distribution. Null ids are never target. Repeated rows count and are scored each. Extra columns are ignored.
@@ -14,103 +20,303 @@ its losses those of a uniform distribution. Null ids are never target. Repeated
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import BROADCAST_ROWS, small_enough, text_of, written
 from tidegrid.llm.sentencepieces import small_batches
 from tidegrid.llm.shingling import mixed, word_hashes
 
-UNIGRAMS, BIGRAMS = 1 << 18, 1 << 20
+#: The least size of vocabulary that smoothing assumes.
+UNIGRAMS = 1 << 18
+#: Most words and pairs that are broadcast, tokens in the sample that the pairs are picked from, and tokens a partition.
+HOT_WORDS, HOT_PAIRS, SAMPLE, PART_TOKENS = 1 << 17, 1 << 18, 4_000_000, 1_500_000
 #: Added counts of a word, and the weight in tokens of the word model under the pair model.
 ADDED, PRIOR = 0.5, 4.0
 _START = np.uint64(0x1F3D5B79)
+_NAMES = ("target", "background")
 
 
 def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before, pair) buckets of all tokens, and the texts' bounds; the word before a first word is the start."""
+    """(word, word before, pair) keys of all tokens, and the texts' bounds; the word before a first word is the start."""
     words, bounds = word_hashes(texts)
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[bounds[:-1][np.diff(bounds) > 0]] = _START
-    pair = mixed(before * np.uint64(3) + words) % np.uint64(BIGRAMS)
-    return (words % np.uint64(UNIGRAMS)).astype(np.int64), (before % np.uint64(UNIGRAMS)).astype(np.int64), pair.astype(np.int64), bounds
+    return words, before, mixed(before * np.uint64(3) + words), bounds
+
+
+def _last(bounds: np.ndarray) -> np.ndarray:
+    """Which tokens end their text."""
+    out = np.zeros(bounds[-1], dtype=bool)
+    out[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    return out
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(t, wanted) to (kind, bucket, background, target): kind 0 words, 1 pairs, 2 words as what comes before."""
+def _rows(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, as signed ones, and the sums of each."""
+    keys, at = np.unique(key, return_inverse=True)
+    return keys.view(np.int64), *(np.bincount(at, s, len(keys)).astype(np.int64) for s in sums)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(t, wanted) to (key, background, target, before, before_target) of each distinct word: occurrences, and those as the word before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros((2, n), dtype=np.int64) for n in (UNIGRAMS, BIGRAMS, UNIGRAMS)]
         for whole in batches:
-            for pdf in small_batches(whole, "t", 2_000_000):
-                word, before, pair, bounds = buckets(pdf["t"].tolist())
-                wanted = np.repeat(pdf["wanted"].to_numpy(dtype=bool), np.diff(bounds))
-                for s, x in zip(sums, (word, pair, before), strict=True):
-                    s[0] += np.bincount(x, minlength=s.shape[1])
-                    s[1] += np.bincount(x[wanted], minlength=s.shape[1])
-        for kind, s in enumerate(sums):
-            at = np.flatnonzero(s[0])
-            for k in range(0, len(at), 200_000):
-                part = at[k : k + 200_000]
-                yield pd.DataFrame({"kind": np.full(len(part), kind, dtype=np.int32), "bucket": part.astype(np.int32), "background": s[0][part], "target": s[1][part]})
+            for pdf in small_batches(whole, "t"):
+                word, _, _, bounds = buckets(pdf["t"].tolist())
+                n = np.diff(bounds)
+                own = pdf["wanted"].to_numpy(dtype=bool)
+                wanted, follows = np.repeat(own, n), ~_last(bounds)
+                got = _rows(word, np.ones(len(word)), wanted, follows, follows & wanted)
+                start = np.array([int(_START), 0, 0, (n > 0).sum(), (own & (n > 0)).sum()])
+                yield pd.DataFrame({c: np.append(x, s) for c, x, s in zip(("key", "background", "target", "before", "before_target"), got, start, strict=True)})
+
+    each = docs.select("t", "wanted").mapInPandas(run, "key long, background long, target long, before long, before_target long")
+    return each.groupBy("key").agg(*(F.sum(c).alias(c) for c in each.columns[1:]))
+
+
+def _frequent(table: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Rows of the largest weights, at most so many: those above a cut found by counting rows by order of size."""
+    size = F.floor(F.log2(weight.cast("double")) * 4).cast("int")
+    cut, total = math.inf, 0
+    for s, n in sorted(table.filter(weight > 0).groupBy(size.alias("s")).agg(F.count(F.lit(1))).collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        cut = s
+    return table.filter((weight > 0) & (size >= cut)) if cut < math.inf else table.limit(0)
+
+
+def _arrays(table: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a small table, in the order of its unsigned keys."""
+    got = table.toArrow()
+    col = {c: got[c].to_numpy() for c in got.column_names}
+    col["key"] = col["key"].astype(np.int64).view(np.uint64)
+    order = np.argsort(col["key"])
+    return {c: x[order] for c, x in col.items()}
 
-    each = docs.select("t", "wanted").mapInPandas(run, "kind int, bucket int, background long, target long")
-    return each.groupBy("kind", "bucket").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted keys, whether it is there) of each x."""
+    if not len(keys):
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
 
+
+@dataclass
 class Models:
-    """Log probabilities of both models from their counts."""
-
-    def __init__(self, summed: pa.Table):
-        col = {c: summed[c].to_numpy() for c in summed.column_names}
-        own = [col["kind"] == k for k in range(3)]
-        n = col["target"][own[0]].sum(), col["background"][own[0]].sum()
-        scale = {"target": 1.0, "background": float(n[0] or n[1]) / max(1, n[1])}
-        self.arrays = {}
-        for name in ("target", "background"):
-            parts = []
-            for kind, size in enumerate((UNIGRAMS, BIGRAMS, UNIGRAMS)):
-                a = np.zeros(size, dtype=np.float32)
-                a[col["bucket"][own[kind]]] = col[name][own[kind]] * scale[name]
-                parts.append(a)
-            total = parts[0].sum(dtype=np.float64)
-            self.arrays[name] = ((parts[0] + ADDED) / (total + ADDED * UNIGRAMS)).astype(np.float32), parts[1], parts[2]
-
-    def losses(self, name: str, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        one, two, context = self.arrays[name]
-        # a pair's bucket may hold more than its context's: then the latter is what counts
-        c = context[before]
-        return -np.log((np.minimum(two[pair], c) + PRIOR * one[word]) / (c + PRIOR))
-
-
-def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """What every task knows of both models: totals, and the counts of frequent words and pairs."""
+
+    words: dict[str, np.ndarray]
+    pairs: dict[str, np.ndarray]
+    tokens: dict[str, int]
+    vocabulary: int
+
+    def scale(self, name: str) -> float:
+        n = self.tokens
+        return 1.0 if name == "target" else (n["target"] or n["background"]) / max(1, n["background"])
+
+    def one(self, name: str, count: np.ndarray) -> np.ndarray:
+        """A word's probability from its count."""
+        s = self.scale(name)
+        return (count * s + ADDED) / (self.tokens[name] * s + ADDED * self.vocabulary)
+
+    def pair_loss(self, name: str, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """What the counts of a pair and its word add to the loss."""
+        return -np.log(pair * self.scale(name) + PRIOR * self.one(name, word))
+
+    def before_loss(self, name: str, count: np.ndarray) -> np.ndarray:
+        """What the count of the word before adds."""
+        return np.log(count * self.scale(name) + PRIOR)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: those of small numbers are runs of zeros."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
+    """Arrays of the same length out of their packed forms, one after the other."""
+    sizes = [np.dtype(t).itemsize for t in types]
+    n = len(blob) // sum(sizes)
+    out, at = [], 0
+    for t, s in zip(types, sizes, strict=True):
+        planes = np.frombuffer(blob, dtype=np.uint8, count=n * s, offset=at).reshape(s, n)
+        out.append(np.ascontiguousarray(planes.T).view(t).ravel())
+        at += n * s
+    return out
+
+
+_ENTRY = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8)
+_DOC = (np.uint64, np.uint32, np.float64, np.float64)
+_SUM = (np.uint32, np.float64, np.float64)
+_BLOBS = "part int, batch long, kind int, blob binary"
+
+
+def _read(pdf: pd.DataFrame, models: Models, parts: int, batch: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows of kind 0, documents with what frequent n-grams add to their losses, and of kind 1, the other n-grams by partition."""
+    word, before, pair, bounds = buckets(pdf["t"].tolist())
+    n = np.diff(bounds)
+    doc = np.repeat(np.arange(len(n)), n)
+    wanted = np.repeat(pdf["wanted"].to_numpy(dtype=bool), n)
+    w, known = _find(models.words["key"], word)
+    b, known_before = _find(models.words["key"], before)
+    p, known_pair = _find(models.pairs["key"], pair)
+    done = known & known_pair
+    sums = []
+    for name, c in zip(_NAMES, ("before_target", "before"), strict=True):
+        sums.append(
+            np.bincount(doc[known_before], models.before_loss(name, models.words[c][b[known_before]]), len(n))
+            + np.bincount(doc[done], models.pair_loss(name, models.pairs[name][p[done]], models.words[name][w[done]]), len(n))
+        )
+    digests = pdf["digest"].to_numpy().astype(np.int64).view(np.uint64)
+    yield batch % parts, batch, 0, b"".join(map(_pack, (digests, n.astype(np.uint32), *sums)))
+
+    left = np.flatnonzero(~done)
+    left = left[np.lexsort((pair[left], doc[left]))]
+    if not len(left):
+        return
+    new = np.ones(len(left), dtype=bool)
+    new[1:] = (pair[left][1:] != pair[left][:-1]) | (doc[left][1:] != doc[left][:-1])
+    start = np.flatnonzero(new)
+    times = np.diff(np.append(start, len(left)))
+    follows = np.add.reduceat((~_last(bounds))[left].astype(np.int64), start)
+    at = left[start]
+    rare = ~known[at]
+    key = np.where(rare, word[at], pair[at])
+    order = np.argsort(key)
+    entry = [
+        key, np.where(rare, before[at], word[at]), doc[at].astype(np.uint32), times.astype(np.uint32), follows.astype(np.uint32),
+        rare.astype(np.uint8) + np.uint8(2) * wanted[at].astype(np.uint8),
+    ]
+    entry = [x[order] for x in entry]
+    part = ((entry[0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for lo, hi in zip(first, np.append(first[1:], len(part)), strict=True):
+        yield int(part[lo]), batch, 1, b"".join(_pack(x[lo:hi]) for x in entry)
+
+
+def _counted(pdf: pd.DataFrame, models: Models) -> Iterator[tuple[int, int, int, bytes]]:
+    """All n-grams of a partition, counted and scored: rows of kind 2, what they add to the losses of a batch's documents."""
+    blobs = [_unpack(x, *_ENTRY) for x in pdf["blob"]]
+    if not blobs:
+        return
+    key, aux, doc, times, follows, flags = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    blob = np.repeat(np.arange(len(blobs)), [len(x[0]) for x in blobs])
+    order = np.lexsort((aux, key))
+    key, aux, doc, times, follows, flags, blob = (x[order] for x in (key, aux, doc, times, follows, flags, blob))
+    rare, wanted = (flags & 1) > 0, (flags & 2) > 0
+    new_key = np.append(True, key[1:] != key[:-1])
+    of_key = np.cumsum(new_key) - 1
+    of_pair = np.cumsum(new_key | np.append(True, aux[1:] != aux[:-1])) - 1
+    place = _find(models.words["key"], aux[~rare])[0]
+    losses = []
+    for name, mine in zip(_NAMES, (wanted, True), strict=True):
+        n, f = times * mine, follows * mine
+        word = np.bincount(of_key, n)[of_key]
+        word[~rare] = models.words[name][place]
+        loss = times * models.pair_loss(name, np.bincount(of_pair, n)[of_pair], word)
+        loss[rare] += (follows * models.before_loss(name, np.bincount(of_key, f)[of_key]))[rare]
+        losses.append(loss)
+    where, to = np.unique(blob * np.int64(1 << 32) + doc, return_inverse=True)
+    target, background = (np.bincount(to, x) for x in losses)
+    cuts = np.searchsorted(where >> 32, np.arange(len(blobs) + 1))
+    some = (where & 0xFFFFFFFF).astype(np.uint32)
+    for batch, lo, hi in zip(pdf["batch"], cuts, cuts[1:], strict=False):
+        yield 0, batch, 2, b"".join(_pack(x[lo:hi]) for x in (some, target, background))
+
+
+def _frame(rows: Iterator[tuple[int, int, int, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=["part", "batch", "kind", "blob"])
+
+
+def models_of(docs: DataFrame, hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> Models:
+    """Totals and frequent n-grams of (id, t, wanted)."""
+    spark = docs.sparkSession
+    counted = written(word_counts(docs), "words")
+    start = F.col("key") == int(_START)
+    total = counted.agg(F.sum("background"), F.sum("target"), F.count(F.when(~start, 1))).first()
+    words = _arrays(_frequent(counted.filter(~start), F.col("background"), hot_words).union(counted.filter(start)))
+    tokens = {"background": total[0] or 0, "target": total[1] or 0}
+    keys = spark.sparkContext.broadcast(words["key"])
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for pdf in small_batches(whole, "t"):
+                word, _, pair, _ = buckets(pdf["t"].tolist())
+                pair = pair[_find(keys.value, word)[1]]
+                yield pd.DataFrame(dict(zip(("key", "n"), _rows(pair, np.ones(len(pair))), strict=True)))
+
+    some = docs.filter(F.pmod(F.xxhash64("id", "t"), F.lit(max(1, tokens["background"] // SAMPLE))) == 0)
+    sampled = written(some.select("t").mapInPandas(candidates, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "sampled-pairs")
+    picked = spark.sparkContext.broadcast(_arrays(_frequent(sampled, F.col("n"), hot_pairs))["key"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = picked.value
+        sums = np.zeros((2, len(own)), dtype=np.int64)
+        for whole in batches:
+            for pdf in small_batches(whole, "t"):
+                _, _, pair, bounds = buckets(pdf["t"].tolist())
+                at, there = _find(own, pair)
+                wanted = np.repeat(pdf["wanted"].to_numpy(dtype=bool), np.diff(bounds))
+                sums[0] += np.bincount(at[there], minlength=len(own))
+                sums[1] += np.bincount(at[there & wanted], minlength=len(own))
+        some = np.flatnonzero(sums[0])
+        yield pd.DataFrame({"key": own[some].view(np.int64), "background": sums[0][some], "target": sums[1][some]})
+
+    each = docs.select("t", "wanted").mapInPandas(count, "key long, background long, target long")
+    pairs = _arrays(written(each.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "pairs"))
+    return Models(words, pairs, tokens, max(UNIGRAMS, total[2]))
+
+
+def score(
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BROADCAST_ROWS,
+    hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS, part_tokens: int = PART_TOKENS,
+) -> DataFrame:
     """For each row: its id, n_tokens, loss_target and loss_background (nats a token) and score, their difference."""
-    id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     wanted = written(target_ids.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("wanted", F.lit(True)), "targets")
-    plain = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    marked = plain.join(F.broadcast(wanted) if small_enough(wanted, bound) else wanted, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    shared = docs.sparkSession.sparkContext.broadcast(Models(written(counts(marked), "counts").toArrow()))
+    plain = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("digest", F.xxhash64("t"))
+    small = small_enough(wanted, bound)
+    marked = plain.join(F.broadcast(wanted) if small else wanted, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    if not small:
+        # batches are named by their place: a shuffled table has to keep its order
+        marked = written(marked, "marked")
+    models = models_of(marked, hot_words, hot_pairs)
+    parts = max(1, math.ceil(models.tokens["background"] / part_tokens))
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared.value
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for pdf in small_batches(whole, "t", 2_000_000):
-                word, before, pair, bounds = buckets(pdf["t"].tolist())
-                n = np.diff(bounds)
-                full = np.flatnonzero(n)
-                out = {"id": pdf["id"].to_numpy(), "n_tokens": n}
-                for name in ("target", "background"):
-                    mean = np.full(len(n), None, dtype=object)
-                    if len(full):
-                        mean[full] = np.add.reduceat(models.losses(name, word, before, pair).astype(np.float64), bounds[:-1][full]) / n[full]
-                    out["loss_" + name] = mean
-                yield pd.DataFrame(out)
-
-    scored = plain.mapInPandas(run, f"id {id_type}, n_tokens long, loss_target double, loss_background double")
-    return scored.withColumn("score", F.col("loss_background") - F.col("loss_target")).withColumnRenamed("id", id_col)
+            for pdf in small_batches(whole, "t"):
+                yield _frame(_read(pdf, shared.value, parts, batch))
+                batch += 1
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        ngrams = pdf["kind"] == 1
+        return pd.concat([pdf[~ngrams], _frame(_counted(pdf[ngrams], shared.value))])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        digest, n, target, background = _unpack(pdf["blob"][pdf["kind"] == 0].iloc[0], *_DOC)
+        for x in pdf["blob"][pdf["kind"] == 2]:
+            doc, t, b = _unpack(x, *_SUM)
+            target[doc] += t
+            background[doc] += b
+        return pd.DataFrame({"digest": digest.view(np.int64), "n": n.astype(np.int64), "target": target, "background": background})
+
+    sums = marked.select("t", "wanted", "digest").mapInPandas(read, _BLOBS).groupBy("part").applyInPandas(counted, _BLOBS)
+    each = sums.groupBy("batch").applyInPandas(summed, "digest long, n long, target double, background double")
+    mean = lambda c: F.when(F.sum("n") > 0, F.sum(c) / F.sum("n"))
+    by_text = each.groupBy("digest").agg(F.max("n").alias("n_tokens"), *(mean(c).alias(f"loss_{c}") for c in _NAMES))
+    scored = plain.select("id", "digest").join(written(by_text, "losses"), "digest", "left")
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "loss_target", "loss_background", (F.col("loss_background") - F.col("loss_target")).alias("score"))
