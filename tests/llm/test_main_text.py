@@ -44,3 +44,25 @@ def test_given_pages_equal_a_direct_cut(spark):
         inner = re.search(r"<article>(.*)</article>", p.html, re.S)[1]
         plain = re.sub(r"<[^>]*>", lambda t: " " if re.match(r"</?(p|h1|br)", t[0]) else "", inner)
         assert rows[p.page_id].text == " ".join(html.unescape(plain).split()) and rows[p.page_id].n_chars == len(rows[p.page_id].text)
+
+
+def _p(n, word):
+    return "<p>" + " ".join(f"{word}{k}" for k in range(n)) + "</p>"
+
+
+@pytest.mark.parametrize("shape", [
+    "<div class=w><div class=part>{0}</div><div class=part>{1}</div></div>",
+    "<div class='w x1'><div class='part p1'>{0}</div><div class=ad>no</div><div class='part p2'>{1}</div></div>",
+    "<article><div><section><div>{0}</div></section><section><div>{1}</div></section></div></article>",
+    "<main><div><div><section><div class=a>{0}</div></section><section><div class=b>{1}</div></section></div></div></main>",
+    "<article><div><div class=lead><div><div>{0}</div></div></div><section><div><div>{1}</div></div></section></div></article>",
+])
+def test_split_and_nested_articles_are_whole(spark, shape):
+    page = "<nav>no</nav><div class=other><p>short</p></div>" + shape
+    want = lambda a, b: " ".join([*(f"a{k}" for k in range(a)), *(f"b{k}" for k in range(b))])
+    parts = [(70, 30), (30, 70), (40, 60), (95, 5)]
+    for a, b in parts:
+        assert m.Page(page.format(_p(a, "a"), _p(b, "b"))).main([])[0] == want(a, b)
+    rows = [(k, "http://h/", page.format(_p(a, "a"), _p(b, "b"))) for k, (a, b) in enumerate(parts)]
+    got = {r.page_id: r.text for r in m.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want(a, b) for k, (a, b) in enumerate(parts)}

@@ -1,10 +1,11 @@
 """Main text of web pages by consensus of a host's pages.
 
-1. Each page's containers are scored by the paragraph text that they hold. The best ones vote, with their generalised paths of
-   tags and classes (digits become one sign), for what a page of this host looks like.
+1. Each page's containers are scored by the paragraph text that they hold: all of what is in an article or main, however deep,
+   and of what is up to two containers down in others. The best ones vote, with their generalised paths of tags and classes
+   (digits become one sign), for what a page of this host looks like.
 2. Votes are summed by host and path; up to WINNERS paths of a host win, if enough of its pages voted for them.
-3. Each page is read again: the text is that of the container at the best of the winning paths that the page has, or, on a page
-   that has none of them, of its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+3. Each page is read again: the text is that of all containers at the best of the winning paths that the page has, in page
+   order, or, on a page that has none of them, at the path of its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
    mark-up and reader comments are left out.
 
 Defined cases: null and empty html give the empty text; a null url has the empty host, and its pages vote together. Unclosed and
@@ -64,6 +65,8 @@ _WORDS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
 _CREDIT = (1.0, 0.5, 0.25)
+#: What an article or main gets of the text in containers within it, however deep.
+_WITHIN = 0.5
 
 
 class Page:
@@ -74,7 +77,7 @@ class Page:
         self.pieces: list[tuple[int, str]] = []
         # open elements: tag, container that text goes to, whether it is left out, whether in a paragraph, whether in a link
         stack: list[tuple[str, int, bool, bool, bool]] = [("body", 0, False, False, False)]
-        factor = [0.5]
+        factor, self.own = [0.5], [0.0]
         pieces, unescape = self.pieces, entities.unescape
         at, size = 0, len(source)
         for m in iter(lambda: _TOKEN.search(source, at), None):
@@ -115,6 +118,7 @@ class Page:
                     above = self.path[box] if len(self.path[box]) < LONGEST else f"{zlib.crc32(self.path[box].encode()):08x}"
                     self.path.append(f"{above}>{name}{tail}")
                     self.score.append(0.0)
+                    self.own.append(0.0)
                     self.parent.append(box)
                     factor.append(2.5 if name == "article" else 2.1 if name == "main" else 1.0)
                     box, para = len(self.path) - 1, False
@@ -123,12 +127,18 @@ class Page:
                 break
         if at < size and not stack[-1][2]:
             self._text(source[at:], stack[-1][1], stack[-1][3], stack[-1][4], factor, unescape)
+        held = list(self.own)
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+            if factor[k] > 1:
+                self.score[k] = factor[k] * (self.own[k] + _WITHIN * (held[k] - self.own[k]))
 
     def _text(self, raw: str, box: int, para: bool, link: bool, factor: list[float], unescape) -> None:
         text = unescape(raw) if "&" in raw else raw
         self.pieces.append((box, text))
         n = 0 if link or text.isspace() else len(text) * (1.0 if para or box else 0.5)
         if n:
+            self.own[box] += n
             for share in _CREDIT:
                 self.score[box] += share * n * factor[box]
                 box = self.parent[box]
@@ -165,22 +175,21 @@ class Page:
         """Containers by falling score, the first of equal ones first; those without any are left out."""
         return [k for k in sorted(range(len(self.score)), key=lambda k: -self.score[k]) if self.score[k] > 0]
 
-    def text(self, box: int) -> str:
-        inside = [k == box for k in range(len(self.path))]
-        for k in range(box + 1, len(self.path)):
-            inside[k] = inside[self.parent[k]]
+    def text(self, path: str) -> str:
+        """The text of all containers at the path, in page order."""
+        inside = [p == path for p in self.path]
+        for k in range(1, len(self.path)):
+            inside[k] = inside[k] or inside[self.parent[k]]
         return " ".join("".join([t for k, t in self.pieces if inside[k]]).split())
 
     def main(self, winners: list[str]) -> tuple[str, str]:
-        """Text and path of the main container."""
+        """Text and path of the main containers."""
         order = self.best()
         if not order:
             return "", ""
-        for path in winners:
-            for k in order:
-                if self.path[k] == path:
-                    return self.text(k), path
-        return self.text(order[0]), self.path[order[0]]
+        scored = {self.path[k] for k in order}
+        path = next((p for p in winners if p in scored), self.path[order[0]])
+        return self.text(path), path
 
 
 def host(url: Column) -> Column:
@@ -212,7 +221,7 @@ def winners(cast: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bound: int = BROADCAST_ROWS // 4) -> DataFrame:
-    """For each row: id, url, text, n_chars (code points) and path, the container's."""
+    """For each row: id, url, text, n_chars (code points) and path, the containers'."""
     id_type = pages.select(F.col(id_col)).schema[0].dataType.simpleString()
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("h")).withColumn("host", host(F.col("url")))
     won = written(winners(votes(plain)), "winners")
