@@ -93,3 +93,17 @@ def test_hashes_do_not_depend_on_what_else_is_in_the_batch():
         assert np.array_equal(one, both[bounds[k] : bounds[k + 1]])
         g, gb = ngram_hashes(one, b, 5)
         assert gb[-1] == (1 if 0 < len(one) < 5 else max(0, len(one) - 4))
+
+
+@pytest.mark.parametrize("chars", [700, 2500, 6000])
+def test_few_long_near_copies_in_blocks_of_which_some_are_empty(spark, chars):
+    rng = random.Random(9)
+    rows = []
+    for g in range(16):
+        base = [f"g{g}w{k}" for k in range(400)]
+        for _ in range(2 + g % 2):
+            w = list(base)
+            w[rng.randrange(400)] = "other"
+            rows.append((len(rows), " ".join(w)))
+    got = j.join(spark.createDataFrame(rows, "doc_id long, text string"), block_chars=chars).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)

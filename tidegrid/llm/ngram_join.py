@@ -132,11 +132,14 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components were not done after {rounds} rounds")
 
 
-def _similar_pairs(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x < y) of one group, across sides if there are two, at the threshold.
+def _similar_pairs(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x < y) of one group at the threshold, only those across sides if sides are given.
 
     An inverted index over the n-grams: those of few texts give their pairs one by one, those of many texts are multiplied as a matrix."""
     n = len(sets)
+    if side is not None and (side.all() or not side.any()):
+        # the other block is empty
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     text = np.repeat(np.arange(n), size)
@@ -165,7 +168,7 @@ def _similar_pairs(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray,
     x, y = np.nonzero(np.triu(shared, 1))
     j = shared[x, y]
     ok = (j >= threshold * (size[x] + size[y] - j) - 1e-6) & (groups[x] == groups[y])
-    if side.any() and not side.all():
+    if side is not None:
         ok &= side[x] != side[y]
     return x[ok], y[ok]
 
@@ -197,7 +200,8 @@ def links(texts: DataFrame, n: int, threshold: float) -> DataFrame:
         pdf = pdf[own].drop_duplicates("rep").sort_values("rep")
         sets, bounds = n_gram_sets(pdf["t"], n)
         rep, weight = pdf["rep"].to_numpy(), pdf["weight"].to_numpy()
-        side = (pdf["block"] != pdf["i"]).to_numpy()
+        # pairs within a block are those of the batch (i, i)
+        side = (pdf["block"] != pdf["i"]).to_numpy() if (pdf["i"] != pdf["j"]).any() else None
         x, y = _similar_pairs([sets[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pdf["comp"].to_numpy(), side, threshold)
         count = np.bincount(x, weight[y], len(rep)) + np.bincount(y, weight[x], len(rep))
         some = np.flatnonzero(count)
