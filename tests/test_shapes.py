@@ -153,3 +153,18 @@ def test_ring_pixels_have_equal_areas(spark):
     assert sorted(r.p for r in got) == list(range(12 * n * n))
     c = np.array([r["count"] for r in got])
     assert abs(c - 60000 / len(c)).max() < 6 * np.sqrt(60000 / len(c))
+
+
+def test_filled_reaches_across_gaps_of_any_width(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    # a strip wider than 200 cells, a square with few cells, and a grid without any
+    for g, h, w, at in ((0, 3, 460, {(1, 0), (2, 459)}), (1, 60, 60, {(0, 0), (59, 59), (20, 41), (41, 20), (30, 59)}), (2, 4, 4, set())):
+        value = {p: float(v) for p, v in zip(sorted(at), rng.permutation(len(at)), strict=True)}
+        for y in range(h):
+            for x in range(w):
+                rows.append((g, y, x, value.get((y, x))))
+                want[g, y, x] = value[min(at, key=lambda p: ((p[0] - y) ** 2 + (p[1] - x) ** 2, p))] if at else None
+    df = spark.createDataFrame(rows, "grid_id int, y int, x int, f double").repartition(3)
+    got = stencil.filled(df, "f").collect()
+    assert len(got) == len(rows) and {(r.grid_id, r.y, r.x): r.f for r in got} == want

@@ -229,20 +229,69 @@ def detrended(cells: DataFrame, value: str, tile: int) -> DataFrame:
     return t.join(s, keys).withColumn(value, F.col(value) - fit).select(*cells.columns)
 
 
-def filled(cells: DataFrame, value: str, start: int = 2, rounds: int = 12) -> DataFrame:
-    """Missing values become the nearest present one's (the first in raster order at ties). Only missing cells ask around, within
-    a radius that doubles for those that found nothing."""
+def _far(cells: DataFrame, have: DataFrame, todo: DataFrame) -> DataFrame:
+    """The nearest present cell of each missing one, at any distance: the nearest ones of each column, as seen from a row with
+    missing cells, and then the nearest of those along the row. A row of the grid is one task's work."""
+    rows = todo.select("grid_id", "y").distinct()
+    asked = rows.join(have.select("grid_id", "x").distinct(), "grid_id").select("grid_id", "y", "x", F.lit(None).cast(have.schema["_v"].dataType).alias("_v"), F.lit(True).alias("_ask"))
+    both = have.withColumn("_ask", F.lit(False)).unionByName(asked)
+    column, at = Window.partitionBy("grid_id", "x").orderBy("y"), F.when(~F.col("_ask"), F.struct(F.col("y").alias("y"), F.col("_v").alias("v")))
+    up = F.last(at, ignorenulls=True).over(column.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    down = F.first(at, ignorenulls=True).over(column.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = both.withColumns({"_up": up, "_down": down}).filter("_ask")
+    above = F.col("_down").isNull() | (F.col("y") - F.col("_up.y") <= F.col("_down.y") - F.col("y"))
+    best = F.when(F.col("_up").isNotNull() & above, F.col("_up")).otherwise(F.col("_down"))
+    sides = seen.select("grid_id", "y", "x", best.alias("b")).select("grid_id", "y", "x", F.col("b.y").alias("sy"), F.lit(False).alias("want")).unionByName(
+        todo.select("grid_id", "y", "x", F.lit(None).cast("int").alias("sy"), F.lit(True).alias("want")))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        want, got = pdf[pdf["want"]], pdf[~pdf["want"]]
+        y, x, to = int(pdf["y"].iloc[0]), got["x"].to_numpy(dtype=np.int64), want["x"].to_numpy(dtype=np.int64)
+        order = np.argsort(x)
+        x, sy = x[order], got["sy"].to_numpy(dtype=np.int64)[order]
+        if not len(x):
+            return pd.DataFrame({"grid_id": [], "y": [], "x": [], "sy": [], "sx": []})
+        big = np.iinfo(np.int64).max
+        d, by, bx = np.full(len(to), big), np.full(len(to), big), np.full(len(to), big)
+        # columns to the left and right, step by step, while they may be as near as the best so far
+        for first, step in ((np.searchsorted(x, to, side="right") - 1, -1), (np.searchsorted(x, to, side="right"), 1)):
+            k, on = first, np.arange(len(to))
+            while len(on):
+                inside = (k >= 0) & (k < len(x))
+                k, on = k[inside], on[inside]
+                near = (x[k] - to[on]) ** 2
+                go = near <= d[on]
+                k, on, near = k[go], on[go], near[go]
+                d2 = near + (sy[k] - y) ** 2
+                less = (d2 < d[on]) | ((d2 == d[on]) & ((sy[k] < by[on]) | ((sy[k] == by[on]) & (x[k] < bx[on]))))
+                d[on[less]], by[on[less]], bx[on[less]] = d2[less], sy[k][less], x[k][less]
+                k = k + step
+        return pd.DataFrame({"grid_id": want["grid_id"].to_numpy(), "y": want["y"].to_numpy(), "x": to, "sy": by, "sx": bx})
+
+    kind = {c: cells.schema[c].dataType.simpleString() for c in ("grid_id", "y", "x")}
+    found = sides.groupBy("grid_id", "y").applyInPandas(nearest, f"grid_id {kind['grid_id']}, y {kind['y']}, x {kind['x']}, sy long, sx long")
+    source = have.select("grid_id", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("_v").alias("_n"))
+    return found.join(source, ["grid_id", "sy", "sx"]).select("grid_id", "y", "x", "_n")
+
+
+def filled(cells: DataFrame, value: str, start: int = 2, widest: int = 8) -> DataFrame:
+    """Missing values become the nearest present one's (the first in raster order at ties), however far it is; a grid without any
+    stays as it is. Only missing cells ask around, within a radius that doubles up to `widest` for those that found nothing, and
+    those still left by columns and rows."""
     have = cells.filter(F.col(value).isNotNull()).select("grid_id", "y", "x", F.col(value).alias("_v"))
     todo = cells.filter(F.col(value).isNull()).select("grid_id", "y", "x")
     found, inner, r = None, 0, start
-    for _ in range(rounds):
+    while True:
         ring = [(a, b) for a, b in disk(r) if a * a + b * b > inner * inner]
         ask = spread(todo.select("grid_id", F.col("y").alias("ty"), F.col("x").alias("tx"), "y", "x"), ring)
         got = ask.join(have, ["grid_id", "y", "x"]).groupBy("grid_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.min_by("_v", F.struct("d2", "y", "x")).alias("_n"))
         found = got if found is None else found.unionByName(got)
         todo = todo.join(got.select("grid_id", "y", "x"), ["grid_id", "y", "x"], "left_anti")
         inner, r = r, r * 2
-        if todo.isEmpty() or r > 64:
+        if todo.isEmpty():
+            break
+        if r > widest:
+            found = found.unionByName(_far(cells, have, todo))
             break
     return cells.join(found, ["grid_id", "y", "x"], "left").withColumn(value, F.coalesce(value, "_n")).drop("_n")
 
