@@ -13,14 +13,15 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("most", [400_000, 3])
+@pytest.mark.parametrize("most", [s.TABLE_BYTES, 500])
 def test_rows_are_the_librarys(most):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     table = s.Table(MODEL, most)
     for _ in range(2):
-        for t, (n, ids, back) in zip(TEXTS, table.rows([t or "" for t in TEXTS]), strict=True):
+        for t, (ids, back) in zip(TEXTS, table.rows([t or "" for t in TEXTS]), strict=True):
             want = sp.encode(t or "")
-            assert (n, ids, back) == (len(want), ",".join(map(str, want)), sp.decode(want)), repr(t)
+            assert (ids, back) == (",".join(map(str, want)), sp.decode(want)), repr(t)
+    assert table.bytes >= 0 and all(len(c) <= s.MAX_KEPT for c in table.ids)
 
 
 def test_operator_and_decode(spark):
@@ -37,3 +38,10 @@ def test_operator_and_decode(spark):
     for r in s.decode(enc, MODEL).collect():
         assert r.text == sp.decode(sp.encode((TEXTS * 2)[r.doc_id] or ""))
     assert s.encode(df.limit(0), MODEL).count() == 0
+
+
+def test_slices_cover_all_rows():
+    sizes = s.np.array([3, 0, 9, 1, 1, 0, 7])
+    got = list(s.slices(sizes, 5))
+    assert [k for a, b in got for k in range(a, b)] == list(range(7))
+    assert all(b - a == 1 or sizes[a:b].sum() <= 5 for a, b in got) and list(s.slices(sizes[:0], 5)) == []
