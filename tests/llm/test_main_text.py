@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -14,6 +16,17 @@ CASES = [
     ("<body class='home'><div class='post-12 entry'><p>first part</p><script>var a='</p><p>';</script><style>p{}</style><p>second &lt;b&gt;</p></div>", "first part second <b>"),
     ("<div><header>no</header><p>yes</p><div class='cookie-notice'>no</div><div role=navigation>no</div><p hidden>no</p></div>", "yes"),
     ("<article><p>kept</p></article><article class='comment'><p>a very long comment of a reader, longer than the text</p></article>", "kept"),
+    ("<article>the text<section class='comments'><article>of a reader, much longer than the text</article></section></article>", "the text"),
+    ("<main><p>body</p><aside><article>related teaser, longer</article></aside></main>", "body"), ("<nav><article>links</article></nav><p>body</p>", "body"),
+    ("<article>main</article><div id='comments'><article>a longer comment</article></div>", "main"), ("<footer><main>f</main></footer><div><p>d</p></div>", "d"),
+    ("<div class='layout no-sidebar'><div class='post'><p>the story</p></div></div>", "the story"), ("<div class='post comments-open'><p>the story</p></div>", "the story"),
+    ("<article><p>It rose. <span class='share-price'>At 5 euros.</span> It fell.</p></article>", "It rose. At 5 euros. It fell."),
+    ("<article><header><h1>Title</h1><nav>no</nav></header><p>text</p><footer>no</footer></article>", "Title text"), ("<header><h1>Site</h1></header><p>text</p>", "text"),
+    ("<main><article><p>one</p></article><article><p>two and more</p></article></main>", "one two and more"),
+    ("<article><p>the text</p><div class='social-media-share'><a>one</a> <a>two</a></div><div class='social-cost'><p>of it all</p></div></article>", "the text of it all"),
+    ("<div class='sidebar'><p>all that the page has</p></div>", "all that the page has"), ("<div class='siteHeader'>no</div><div id=AdSlot2>no</div><p>yes</p>", "yes"),
+    ("<div><div class='p'><p>left</p></div></div><div><div class='p'><p>also</p></div></div>", "left also"), ("<article></article>", ""), ("<article class=promo>no</article><p>yes</p>", "yes"),
+    ("<i><div>" + "<b>" * 50 + "</i>" * 50 + "kept</div>tail", "kept"), ("<p>" + "x" * 2_000_000 + "</p>", "x" * 2_000_000),
     ("<article><p>cut off <a href='x", "cut off"), ("<article><p title=\"a>b\">q</p><!-- c --><p>r</p>", "q r"), ("<article>x<!-- open", "x"),
     ("<article><p>a<div>b<span>c</div>d</article>", "a bc d"), ("<p>" * 3000 + "deep", "deep"), ("<div>" * 3000 + "deep", "deep"), ("<article>1 < 2 & 3</article>", "1 < 2 & 3"),
 ]
@@ -21,7 +34,7 @@ CASES = [
 
 @pytest.mark.parametrize(("source", "want"), CASES)
 def test_pages(source, want):
-    assert m.Page(source or "").main([])[0] == want
+    assert m.parsed(source or "").main([])[0] == want
 
 
 def test_the_hosts_consensus_decides(spark):
@@ -62,7 +75,56 @@ def test_split_and_nested_articles_are_whole(spark, shape):
     want = lambda a, b: " ".join([*(f"a{k}" for k in range(a)), *(f"b{k}" for k in range(b))])
     parts = [(70, 30), (30, 70), (40, 60), (95, 5)]
     for a, b in parts:
-        assert m.Page(page.format(_p(a, "a"), _p(b, "b"))).main([])[0] == want(a, b)
+        assert m.parsed(page.format(_p(a, "a"), _p(b, "b"))).main([])[0] == want(a, b)
     rows = [(k, "http://h/", page.format(_p(a, "a"), _p(b, "b"))) for k, (a, b) in enumerate(parts)]
     got = {r.page_id: r.text for r in m.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: want(a, b) for k, (a, b) in enumerate(parts)}
+
+
+@pytest.mark.parametrize("source", ["<b>" * 200_000 + "</i>" * 200_000 + "end", "<i><div>" + "<b>" * 200_000 + "</i>" * 200_000 + "end", "<div>" * 100_000 + "</p>" * 100_000 + "end"])
+def test_badly_nested_pages_take_linear_time(source):
+    began = time.time()
+    assert m.parsed(source).main([])[0] == "end" and time.time() - began < 20
+
+
+OUT_TAGS, KEPT_TAGS = ("nav", "aside", "footer", "form"), ("div", "section", "p", "b", "article", "table")
+
+
+def _tree(rng, depth):
+    """A random well-formed element as (tag, attributes, children); a child is an element or a word."""
+    tag = rng.choice(OUT_TAGS + KEPT_TAGS * 3)
+    names = rng.choice(["", "", "", " class='x y2'", " class='comments'", " id='ad'", " class='no-sidebar'", " hidden"])
+    kids = [f"w{rng.randrange(10**6)}" if depth == 0 or rng.random() < 0.5 else _tree(rng, depth - 1) for _ in range(rng.randrange(1, 4))]
+    if tag == "p":
+        kids = [k for k in kids if isinstance(k, str)]
+    return tag, names, kids
+
+
+def _written(node):
+    return node if isinstance(node, str) else f"<{node[0]}{node[1]}>" + "".join(map(_written, node[2])) + f"</{node[0]}>"
+
+
+def _walked(node):
+    """The text of a tree, its blocks apart, without what is left out."""
+    if isinstance(node, str):
+        return node
+    tag, names, kids = node
+    if tag in OUT_TAGS or "comments" in names or "'ad'" in names or "hidden" in names:
+        return "" if tag == "b" else "\n"
+    inner = "".join(map(_walked, kids))
+    return inner if tag == "b" else f"\n{inner}\n"
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_random_trees_equal_a_walk(seed):
+    rng = random.Random(seed)
+    kids = [_tree(rng, 4) for _ in range(3)] + ["tail"]
+    page = m.parsed("<main>" + "".join(map(_written, kids)) + "</main>")
+    assert page.text("body>main") == " ".join("".join(map(_walked, kids)).split())
+
+
+def test_ties_repeats_and_null_ids(spark):
+    two = "<div class=b><p>same size</p></div><div class=a><p>size same</p></div>"
+    df = spark.createDataFrame([(None, None, two), (None, None, two), (3, "http://h/", None)], "page_id long, url string, html string")
+    got = [(r.page_id, r.text, r.n_chars) for r in m.extract(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, "size same", 9), (None, "size same", 9), (3, "", 0)], key=str)

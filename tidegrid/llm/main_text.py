@@ -5,10 +5,11 @@
    (digits become one sign), for what a page of this host looks like.
 2. Votes are summed by host and path; up to WINNERS paths of a host win, if enough of its pages voted for them.
 3. Each page is read again: the text is that of all containers at the best of the winning paths that the page has, in page
-   order, or, on a page that has none of them, at the path of its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-   mark-up and reader comments are left out.
+   order, or, on a page that has none of them, at the path of its own best container. Menus, headers, footers, sidebars, notices,
+   adverts, forms, scripts, styles, mark-up and reader comments are left out, with all that they hold; the header within an article,
+   which has its title, stays.
 
-Defined cases: null and empty html give the empty text; a null url has the empty host, and its pages vote together. Unclosed and
+Defined cases: equal votes go to the path that sorts first, equal scores of a page to its first container. Null ids are ids. null and empty html give the empty text; a null url has the empty host, and its pages vote together. Unclosed and
 badly nested elements end where their parent ends; truncated tags at the end of a page are dropped. Repeated rows each vote and
 each give a row. Extra columns are ignored; an empty table gives no rows.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,123 +55,183 @@ SCOPE = frozenset("article main section div td th table ul ol dl aside nav foote
 NAMES_OUT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu sidebar rail header masthead "
     "footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "recommendations breadcrumb breadcrumbs widget widgets pagination pager toolbar copyright disclaimer alert comment comments commentlist disqus respond reply replies "
-    "outbrain taboola search form skip".split()
+    "recommendations breadcrumb breadcrumbs widget widgets pagination pager toolbar copyright disclaimer alert outbrain taboola search form skip".split()
+)
+#: Words that may stand beside one of those in a class without changing what it names: site-header, but not no-sidebar or share-price.
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons container content desktop first global inner item items large last left links list main mobile module my "
+    "outer page panel popular post posts primary region right secondary section side site slot small stories sub sticky the top unit us wrap wrapper articles icons".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Words by which a class says something about comments without holding any.
+STATES = frozenset("no not has with without open opened closed enabled disabled allow allowed".split())
 
 # a quote opens a value only after an equals sign; a tag that the page breaks off in is dropped
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>|<[/a-zA-Z!?][^>]*\Z", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
 _CREDIT = (1.0, 0.5, 0.25)
 #: What an article or main gets of the text in containers within it, however deep.
 _WITHIN = 0.5
 
 
+class _Open:
+    """The open elements. How many of a name are open is known by scope, so that an end tag without a start costs nothing."""
+
+    def __init__(self):
+        # name, container that text goes to, and whether text is left out, in a paragraph, in a link, in an article; link-dense block
+        self.stack: list[tuple[str, int, bool, bool, bool, bool, int]] = [("body", 0, False, False, False, False, 0)]
+        self.scopes: list[Counter] = [Counter()]
+        self.named: Counter = Counter()
+
+    def push(self, name: str, *rest) -> None:
+        self.stack.append((name, *rest))
+        if name in SCOPE:
+            self.named[name] += 1
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][name] += 1
+
+    def close(self, name: str) -> None:
+        """Ends the innermost element of the name and all in it; one that is no scope itself only within its scope."""
+        if not (self.named[name] if name in SCOPE else self.scopes[-1][name]):
+            return
+        while True:
+            gone = self.stack.pop()[0]
+            if gone in SCOPE:
+                self.named[gone] -= 1
+                self.scopes.pop()
+            else:
+                self.scopes[-1][gone] -= 1
+            if gone == name:
+                return
+
+
 class Page:
-    """The containers of a page: tag, generalised path and score; and its text in order, with the container of each piece."""
+    """The containers of a page: tag, generalised path and score; and its text in order, with the container of each piece.
+
+    What is left out goes with all that it holds, articles too. By its tag, or a class, id or role that names it, an element is
+    left out at once; one with such a word in a longer name only if most of its text is links. Without `names` only tags, roles and
+    comments count: for pages whose whole text stands in an element of such a name."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, names: bool = True):
         self.path, self.score, self.parent = ["body"], [0.0], [-1]
-        self.pieces: list[tuple[int, str]] = []
-        # open elements: tag, container that text goes to, whether it is left out, whether in a paragraph, whether in a link
-        stack: list[tuple[str, int, bool, bool, bool]] = [("body", 0, False, False, False)]
-        factor, self.own = [0.5], [0.0]
-        pieces, unescape = self.pieces, entities.unescape
+        self.pieces: list[tuple[int, str, int]] = []
+        self.own, self.factor = [0.0], [0.5]
+        # blocks that are left out if they are mostly links: parent, characters, characters in links; the first stands for none
+        self.dense: list[list[int]] = [[-1, 0, 0]]
+        opened = _Open()
         at, size = 0, len(source)
         for m in iter(lambda: _TOKEN.search(source, at), None):
             begin, end = m.span()
-            tag, box, out, para, link = stack[-1]
+            _, box, out, para, link, art, dense = opened.stack[-1]
             if begin > at and not out:
-                self._text(source[at:begin], box, para, link, factor, unescape)
+                self._text(source[at:begin], box, para, link, dense)
             at = end
             name = m[2]
             if name is None:
                 continue
             name = name.lower()
-            inline = name in INLINE
-            if not inline and not out:
-                pieces.append((box, "\n"))
+            if name not in INLINE and not out:
+                self.pieces.append((box, "\n", dense))
             if m[1]:
-                self._close(stack, name)
+                opened.close(name)
             elif name not in VOID:
                 for gone in CLOSES.get(name, ()):
-                    self._close(stack, gone)
+                    opened.close(gone)
                 if name in ENDS_P:
-                    self._close(stack, "p")
+                    opened.close("p")
                 if name == "body" or name == "html":
                     continue
-                tag, box, out, para, link = stack[-1]
+                _, box, out, para, link, art, dense = opened.stack[-1]
                 if name in RAW:
                     at = _END[name].search(source, end).end()
                     continue
                 if m[3].endswith("/") and name in ("svg", "path", "use"):
                     continue
-                words, tail = self._named(m[3]) if m[3] else ((), "")
-                mine = name in ("article", "main")
-                if "\0" in words or name in LEFT_OUT or (not COMMENTS.isdisjoint(words)) or not (mine or NAMES_OUT.isdisjoint(words)):
+                verdict, tail = self._named(m[3], names and name != "main") if m[3] else ("", "")
+                if verdict == "out" or (name in LEFT_OUT and not (name == "header" and art)):
                     out = True
-                elif mine:
-                    out = False
+                elif verdict == "dense" and name not in INLINE:
+                    self.dense.append([dense, 0, 0])
+                    dense = len(self.dense) - 1
+                art = art or name in ("article", "main")
                 if name in CONTAINERS and not out:
                     above = self.path[box] if len(self.path[box]) < LONGEST else f"{zlib.crc32(self.path[box].encode()):08x}"
                     self.path.append(f"{above}>{name}{tail}")
                     self.score.append(0.0)
                     self.own.append(0.0)
                     self.parent.append(box)
-                    factor.append(2.5 if name == "article" else 2.1 if name == "main" else 1.0)
+                    self.factor.append(2.5 if name == "article" else 2.1 if name == "main" else 1.0)
                     box, para = len(self.path) - 1, False
-                stack.append((name, box, out, para or name in ("p", "pre", "blockquote"), link or name == "a"))
+                opened.push(name, box, out, para or name in ("p", "pre", "blockquote"), link or name == "a", art, dense)
             if at >= size:
                 break
-        if at < size and not stack[-1][2]:
-            self._text(source[at:], stack[-1][1], stack[-1][3], stack[-1][4], factor, unescape)
-        held = list(self.own)
-        for k in range(len(held) - 1, 0, -1):
-            held[self.parent[k]] += held[k]
-            if factor[k] > 1:
-                self.score[k] = factor[k] * (self.own[k] + _WITHIN * (held[k] - self.own[k]))
+        _, box, out, para, link, _, dense = opened.stack[-1]
+        if at < size and not out:
+            self._text(source[at:], box, para, link, dense)
+        self._settle()
 
-    def _text(self, raw: str, box: int, para: bool, link: bool, factor: list[float], unescape) -> None:
-        text = unescape(raw) if "&" in raw else raw
-        self.pieces.append((box, text))
-        n = 0 if link or text.isspace() else len(text) * (1.0 if para or box else 0.5)
+    def _text(self, raw: str, box: int, para: bool, link: bool, dense: int) -> None:
+        text = entities.unescape(raw) if "&" in raw else raw
+        self.pieces.append((box, text, dense))
+        if text.isspace():
+            return
+        if dense:
+            self.dense[dense][1] += len(text)
+            self.dense[dense][2] += len(text) if link else 0
+        n = 0 if link else len(text) * (1.0 if para or box else 0.5)
         if n:
             self.own[box] += n
             for share in _CREDIT:
-                self.score[box] += share * n * factor[box]
+                self.score[box] += share * n * self.factor[box]
                 box = self.parent[box]
                 if box < 0:
                     break
 
-    @staticmethod
-    def _close(stack: list, name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPE and name not in SCOPE:
-                return
+    def _settle(self) -> None:
+        """Credit of articles for all that they hold, and blocks of links taken out."""
+        held = list(self.own)
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+            if self.factor[k] > 1:
+                self.score[k] = self.factor[k] * (self.own[k] + _WITHIN * (held[k] - self.own[k]))
+        for k in range(len(self.dense) - 1, 0, -1):
+            up = self.dense[self.dense[k][0]]
+            up[1] += self.dense[k][1]
+            up[2] += self.dense[k][2]
+        gone = [False] * len(self.dense)
+        for k in range(1, len(gone)):
+            parent, n, links = self.dense[k]
+            gone[k] = 2 * links > n or gone[parent]
+        if any(gone):
+            self.pieces = [(box, "\n" if gone[d] else t, d) for box, t, d in self.pieces]
 
     @staticmethod
-    def _named(attrs: str) -> tuple[frozenset[str], str]:
-        """Words of class, id and role, with NUL if the element is not shown; and the generalised classes."""
-        words, tail = set(), ""
+    def _named(attrs: str, names: bool) -> tuple[str, str]:
+        """What class, id and role say: "out", "dense" (out if mostly links) or nothing; and the generalised classes."""
+        verdict, tail = "", ""
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                words.add("\0")
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+                verdict = "out"
             elif key == "role":
-                if value in ROLES:
-                    words.add("\0")
+                if value.lower() in ROLES:
+                    verdict = "out"
             elif key in ("class", "id"):
-                words.update(_WORDS.split(value))
                 if key == "class":
-                    tail = "".join("." + x for x in sorted(_DIGITS.sub("#", value).split()))
-        return words, tail
+                    tail = "".join("." + x for x in sorted(_DIGITS.sub("#", value.lower()).split()))
+                for name in value.split():
+                    words = set(_WORDS.split(_CAMEL.sub("-", name).lower())) - {""}
+                    told = words & NAMES_OUT if names else set()
+                    if (words & COMMENTS and not words & STATES) or (told and words <= told | BESIDE):
+                        verdict = "out"
+                    elif told and not verdict:
+                        verdict = "dense"
+        return verdict, tail
 
     def best(self) -> list[int]:
         """Containers by falling score, the first of equal ones first; those without any are left out."""
@@ -180,7 +242,7 @@ class Page:
         inside = [p == path for p in self.path]
         for k in range(1, len(self.path)):
             inside[k] = inside[k] or inside[self.parent[k]]
-        return " ".join("".join([t for k, t in self.pieces if inside[k]]).split())
+        return " ".join("".join([t for k, t, _ in self.pieces if inside[k]]).split())
 
     def main(self, winners: list[str]) -> tuple[str, str]:
         """Text and path of the main containers."""
@@ -192,6 +254,12 @@ class Page:
         return self.text(path), path
 
 
+def parsed(source: str) -> Page:
+    """The page; without its names where these leave no container with text."""
+    page = Page(source)
+    return page if any(page.score) else Page(source, names=False)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
@@ -203,7 +271,7 @@ def votes(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             total: dict[tuple[str, str], float] = {}
             for where, source in zip(pdf["host"], pdf["h"], strict=True):
-                page = Page(source)
+                page = parsed(source)
                 order = page.best()[:VOTERS]
                 for path, weight in {page.path[k]: page.score[k] / page.score[order[0]] for k in reversed(order)}.items():
                     total[where, path] = total.get((where, path), 0) + round(weight, 3)
@@ -230,7 +298,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for pdf in small_batches(whole, "h"):
-                out = [Page(h).main([] if p is None else list(p)) for h, p in zip(pdf["h"], pdf["paths"], strict=True)]
+                out = [parsed(h).main([] if p is None else list(p)) for h, p in zip(pdf["h"], pdf["paths"], strict=True)]
                 yield pd.DataFrame({"id": pdf["id"].to_numpy(), "url": pdf["url"].to_numpy(), "text": [t for t, _ in out], "n_chars": [len(t) for t, _ in out], "path": [p for _, p in out]})
 
     got = both.mapInPandas(run, f"id {id_type}, url string, text string, n_chars long, path string")
