@@ -61,7 +61,7 @@ def test_added_rules_and_redaction(spark):
     d = docs(spark, TEXTS)
     rows = {r.doc_id: r for r in s.scan_paths(d).collect()}
     assert rows[10].spans.startswith("pem:0:") and "prefixed:0:44" in rows[11].spans
-    out = d.join(s.scan_paths(d).select("doc_id", "at"), "doc_id").select("doc_id", s.redacted(F.col("text"), F.col("at")).alias("x")).collect()
+    out = d.join(s.scan_paths(d).select("doc_id", "cover"), "doc_id").select("doc_id", s.redacted(F.col("text"), F.col("cover")).alias("x")).collect()
     for r in out:
         t = TEXTS[r.doc_id]
         marks = sorted((a, b) for a, b in ((int(x.split(":")[1]), int(x.split(":")[2])) for x in filter(None, rows[r.doc_id].spans.split(","))))
@@ -82,3 +82,44 @@ def test_empty_table_and_null_ids(spark):
 def test_blob_id_is_the_content(spark):
     r = docs(spark, ["é"]).select(s.blob_id(F.col("text")).alias("b")).first()
     assert bytes(r.b) == hashlib.sha256("é".encode()).digest()
+
+
+def _reached(monkeypatch):
+    """The rows that reach scan(), run by run."""
+    seen, real = [], s.scan
+
+    def scan(blobs, *args):
+        seen.append(sorted(bytes(r.blob_id) for r in blobs.collect()))
+        return real(blobs, *args)
+
+    monkeypatch.setattr(s, "scan", scan)
+    return seen
+
+
+def test_only_unseen_blobs_reach_the_scan(spark, monkeypatch):
+    seen = _reached(monkeypatch)
+    name = lambda t: hashlib.sha256((t or "").encode()).digest()
+    old = [(k % 7, f"version {k} token=abcdefghijkl{k}") for k in range(21)] + [(None, "null path"), (None, "null path 2"), (3, None)]
+    new = old + [(1, "version 99 token=zyxwvutsrqponm"), (None, "null path 3"), (5, old[0][1])]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (500, 1, 0):
+        path, k = scratch(spark, "test-reached"), len(seen)
+        assert s.scan_paths(frame(old), path, bound=bound).count() == len(old)
+        assert s.scan_paths(frame(new), path, bound=bound).count() == len(new)
+        assert s.scan_paths(frame(new), path, bound=bound).count() == len(new)
+        assert seen[k] == sorted(name(t) for _, t in old)
+        assert seen[k + 1] == sorted(map(name, ["version 99 token=zyxwvutsrqponm", "null path 3"])) and seen[k + 2] == []
+
+
+def test_a_doubled_ledger_doubles_no_rows(spark):
+    path = scratch(spark, "test-doubled")
+    want = sorted((r.doc_id, r.spans) for r in s.scan_paths(docs(spark, TEXTS), path).collect())
+    again = spark.read.schema(s.FINDINGS).parquet(path)
+    s.written(again, "copy").write.mode("append").partitionBy("rule_version").parquet(path)
+    assert sorted((r.doc_id, r.spans) for r in s.scan_paths(docs(spark, TEXTS), path).collect()) == want
+
+
+def test_long_texts_with_many_secrets_are_redacted_whole(spark):
+    text = "é ".join(f"token=abcdefghijklm{k} and AKIAABCDEFGHIJKLMN{k}" for k in range(30_000))
+    r = s.redact(docs(spark, [text])).first()
+    assert r.text == "é ".join(["[SECRET] and [SECRET]"] * 30_000)

@@ -51,8 +51,29 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def _secrets_sql() -> str:
+    """Each rule's gaps and matches in turn, their lengths summed up."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " union all ".join(
+        f"select doc_id, {k} as k, {quoted(r.kind)} as kind, {r.least} as least, regexp_split_to_array(t, {p}) as gaps, regexp_extract_all(t, {p}) as hits, "
+        f"regexp_extract_all(t, {p}, {r.group}) as shown from d" for k, r in enumerate(secret_scans.RULES) for p in (quoted(r.pattern),)
+    )
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), x as ({each}),
+l as (select doc_id, k, kind, least, unnest(range(1, len(hits) + 1)) as i, unnest(gaps[1:len(hits)]) as gap, unnest(hits) as hit, unnest(shown) as shown from x),
+e as (select *, sum(length(gap) + length(hit)) over (partition by doc_id, k order by i) as e from l),
+s as (select doc_id, k, kind, e - length(hit) as s, e from e where length(shown) >= least),
+g as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex,
+        string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (where k < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans
+      from s group by doc_id)
+select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (doc_id)
+"""
+
+
 QUERIES = {"op9_quality_rules": op9_quality_rules, "op10_secret_scans": op10_secret_scans}
-ORACLE = {"op9_quality_rules": OP9_SQL}
+ORACLE = {"op9_quality_rules": OP9_SQL, "op10_secret_scans": _secrets_sql()}
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 Every historical version of every path is addressed by its content (SHA-256). The ledger holds one row for each blob and rule
 version that has been scanned, with its findings; only pairs that it lacks are scanned, each once, however many paths share the
-blob. Findings are joined back to all paths.
+blob. Findings are joined back to all paths. The ledger is kept by rule version. Findings follow from the pair alone, so a run that
+is repeated, or that overlaps another, adds equal rows at most; readers take one of each.
 
-Defined cases: a null text is the empty blob. Repeated paths, and paths with several versions, each get their blob's findings.
-Clashing or extra columns of the input are ignored. An empty table gives no rows and writes an empty ledger part.
+Defined cases: a null text is the empty blob, a null path a path like any other. Repeated paths, and paths with several versions,
+each get their blob's findings. Clashing or extra columns of the input are ignored. An empty table gives no rows. Very long texts
+are scanned whole, and redacted in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ ADDED_RULES = [
 RULES = BASE_RULES + ADDED_RULES
 RULE_VERSION = "secrets-1"
 
-FINDINGS = "blob_id binary, rule_version string, n_assign long, n_access long, n_hex long, base string, spans string, at array<struct<s:int,e:int>>"
+#: cover: the bytes (start, end) of the stretches that the spans cover, overlaps joined.
+FINDINGS = "blob_id binary, n_assign long, n_access long, n_hex long, base string, spans string, cover array<struct<s:int,e:int>>, rule_version string"
 
 
 def blob_id(text: Column) -> Column:
@@ -79,66 +82,72 @@ def scan(blobs: DataFrame, rules: list[Rule] = RULES, rule_version: str = RULE_V
     laid = each.select("blob_id", "k", "least", F.posexplode(F.arrays_zip("gaps", "hits", "shown")).alias("i", "x")).select(
         "blob_id", "k", "i",
         F.length("x.gaps").alias("gap"), F.coalesce(F.length("x.hits"), F.lit(0)).alias("n"),
+        F.octet_length("x.gaps").alias("gap_b"), F.coalesce(F.octet_length("x.hits"), F.lit(0)).alias("n_b"),
         (F.length("x.shown") >= F.col("least")).alias("ok"),
     )
-    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("blob_id", "k").orderBy("i")).cast("int")
-    spans = laid.withColumn("e", end).filter("ok").select("blob_id", "k", (F.col("e") - F.col("n")).alias("s"), "e")
+    one = Window.partitionBy("blob_id", "k").orderBy("i")
+    ends = {"e": F.sum(F.col("gap") + F.col("n")).over(one).cast("int"), "e_b": F.sum(F.col("gap_b") + F.col("n_b")).over(one).cast("int")}
+    spans = laid.withColumns(ends).filter("ok").select("blob_id", "k", (F.col("e") - F.col("n")).alias("s"), "e", (F.col("e_b") - F.col("n_b")).alias("s_b"), "e_b")
+    # a span that begins inside the stretch before it only lengthens that
+    in_order = Window.partitionBy("blob_id").orderBy("s", "k", "e")
+    before = F.max("e_b").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    laid_out = spans.withColumn("new", F.coalesce(F.col("s_b") >= before, F.lit(True))).withColumn("stretch", F.sum(F.col("new").cast("int")).over(in_order))
+    covered = laid_out.withColumn("far", F.max("e_b").over(Window.partitionBy("blob_id", "stretch")))
     names = F.array(*[F.lit(r.kind) for r in rules])
     base = len(BASE_RULES)
     told = lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))
     joined = lambda xs: F.array_join(F.transform(xs, told), ",")
     count = lambda k: F.count_if(F.col("k") == k).cast("long")
     return (
-        spans.groupBy("blob_id")
+        covered.groupBy("blob_id")
         .agg(
             count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
             F.sort_array(F.collect_list(F.struct("s", "k", "e"))).alias("all"),
+            F.sort_array(F.collect_list(F.when(F.col("new"), F.struct(F.col("s_b").alias("s"), F.col("far").alias("e"))))).alias("cover"),
         )
         .select(
-            "blob_id", F.lit(rule_version).alias("rule_version"), "n_assign", "n_access", "n_hex",
-            joined(F.filter("all", lambda x: x["k"] < base)).alias("base"), joined(F.col("all")).alias("spans"),
-            F.transform("all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("at"),
+            "blob_id", "n_assign", "n_access", "n_hex",
+            joined(F.filter("all", lambda x: x["k"] < base)).alias("base"), joined(F.col("all")).alias("spans"), "cover", F.lit(rule_version).alias("rule_version"),
         )
     )
 
 
-def carriers(versions: DataFrame, addressed: DataFrame, unseen: DataFrame, path_col: str, bound: int) -> DataFrame:
-    """The rows of versions that hold one copy of each unseen blob. The list of those paths, or of the others, is broadcast where
-    its counted size allows that, else the texts are joined to it by a shuffle."""
-    # one path for each blob: its least
-    firsts = addressed.groupBy("blob_id").agg(F.min(path_col).alias(path_col))
-    wanted = firsts.join(unseen, "blob_id", "left_semi").select(path_col).distinct()
-    wanted = written(wanted, "carriers")
+def carriers(versions: DataFrame, addressed: DataFrame, unseen: DataFrame, bound: int) -> DataFrame:
+    """Of versions (path, t, blob_id) those that carry the unseen blobs, one path for each blob, its least. The list of those, or of
+    the others, is broadcast where its counted size allows that, else the texts are joined to it by a shuffle."""
+    firsts = addressed.groupBy("blob_id").agg(F.min("path").alias("path"))
+    wanted = written(firsts.join(unseen, "blob_id", "left_semi"), "carriers")
+    same = lambda other: versions["path"].eqNullSafe(other["path"]) & (versions["blob_id"] == other["blob_id"])
     if small_enough(wanted, bound):
-        return versions.join(F.broadcast(wanted), path_col, "left_semi")
-    others = written(addressed.select(path_col).distinct().join(wanted, path_col, "left_anti"), "copies")
+        return versions.join(F.broadcast(wanted), same(wanted), "left_semi")
+    pairs = addressed.distinct()
+    others = written(pairs.join(wanted, pairs["path"].eqNullSafe(wanted["path"]) & (pairs["blob_id"] == wanted["blob_id"]), "left_anti"), "copies")
     if small_enough(others, bound):
-        return versions.join(F.broadcast(others), path_col, "left_anti")
-    return versions.join(wanted, path_col, "left_semi")
+        return versions.join(F.broadcast(others), same(others), "left_anti")
+    return versions.join(wanted, same(wanted), "left_semi")
 
 
 def scan_paths(
     docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     rules: list[Rule] = RULES, rule_version: str = RULE_VERSION, bound: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """For each row of docs: its id, blob_id and that blob's findings. ledger_path: where the ledger is kept and grows; a new one in
-    the shared folder if none is given. A row of the ledger with null findings records a blob that was scanned and holds nothing."""
+    """For each row of docs, a version of a path: its id, blob_id and that blob's findings. ledger_path: where the ledger is kept and
+    grows; a new one in the shared folder if none is given. A row of the ledger with null findings records a blob that was scanned
+    and holds nothing."""
     spark = docs.sparkSession
-    versions = docs.select(F.col(id_col).alias("path"), text_of(text_col).alias("t"))
-    addressed = written(versions.select("path", blob_id(F.col("t")).alias("blob_id")), "addresses")
-    blobs = addressed.select("blob_id").distinct()
+    versions = docs.select(F.col(id_col).alias("path"), text_of(text_col).alias("t")).withColumn("blob_id", blob_id(F.col("t")))
+    addressed = written(versions.select("path", "blob_id"), "addresses")
     ledger_path = ledger_path or scratch(spark, "ledger")
     seen = read_ledger(spark, ledger_path).filter(F.col("rule_version") == rule_version)
-    unseen = written(blobs.join(seen.select("blob_id"), "blob_id", "left_anti"), "unseen")
-    todo = carriers(versions, addressed, unseen, "path", bound).unionByName(versions.filter("path is null")).select("t").withColumn("blob_id", blob_id(F.col("t")))
-    findings = scan(todo, rules, rule_version)
-    fresh = unseen.join(findings, "blob_id", "left").withColumn("rule_version", F.lit(rule_version))
-    fresh.select(*[c.split()[0] for c in FINDINGS.split(", ")]).write.mode("append").parquet(ledger_path)
-    known = read_ledger(spark, ledger_path).filter((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).drop("rule_version")
+    unseen = written(addressed.select("blob_id").distinct().join(seen.select("blob_id"), "blob_id", "left_anti"), "unseen")
+    findings = scan(carriers(versions, addressed, unseen, bound).select("blob_id", "t"), rules, rule_version)
+    fresh = unseen.join(findings.drop("rule_version"), "blob_id", "left").withColumn("rule_version", F.lit(rule_version))
+    fresh.select(*[c.split()[0] for c in FINDINGS.split(", ")]).write.mode("append").partitionBy("rule_version").parquet(ledger_path)
+    known = read_ledger(spark, ledger_path).filter((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).drop("rule_version").dropDuplicates(["blob_id"])
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return addressed.join(known, "blob_id", "left").select(
         F.col("path").alias(id_col), "blob_id", zero("n_assign"), zero("n_access"), zero("n_hex"),
-        F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"), "at",
+        F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"), "cover",
     )
 
 
@@ -148,27 +157,23 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FINDINGS).parquet(path) if there else spark.createDataFrame([], FINDINGS)
 
 
-def redacted(text: Column, at: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch that the spans cover, overlaps joined, replaced by the mark; unchanged where there are none."""
-    # spans come sorted by start; a span that begins inside the stretch before it only lengthens that
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(
-            F.when(x["s"] >= acc["done"], F.concat(acc["out"], F.substring(text, acc["done"] + 1, x["s"] - acc["done"]), F.lit(mark)))
-            .otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["done"], x["e"]).alias("done"),
-        )
-
-    return F.when(at.isNotNull() & (F.size(at) > 0), F.aggregate(at, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"] + 1, F.length(text))))).otherwise(text)
+def redacted(text: Column, cover: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every covered stretch replaced by the mark; unchanged where there is none. Bytes are cut out where they stand,
+    which characters would have to be counted for from the start."""
+    raw = text.cast("binary")
+    done = lambda i: F.coalesce(F.get(cover, i - 1)["e"], F.lit(0))
+    cut = F.transform(cover, lambda x, i: F.substring(raw, done(i) + 1, x["s"] - done(i)).cast("string"))
+    last = F.element_at(cover, -1)["e"]
+    pieces = F.concat(cut, F.array(F.substring(raw, last + 1, F.octet_length(text)).cast("string")))
+    return F.when(F.size(cover) > 0, F.array_join(pieces, mark)).otherwise(text)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BROADCAST_ROWS, **kw) -> DataFrame:
     """docs with the secrets of its texts replaced. Only blobs with findings are joined back, by their content."""
     found = scan_paths(docs, id_col=id_col, text_col=text_col, bound=bound, **kw)
-    some = written(found.filter(F.size("at") > 0).select("blob_id", "at").dropDuplicates(["blob_id"]), "secrets")
+    some = written(found.filter(F.size("cover") > 0).select("blob_id", "cover").dropDuplicates(["blob_id"]), "secrets")
     # spans take more room than ids: a tenth of the usual bound
     lean = F.broadcast(some) if small_enough(some, bound // 10) else some
     marked = docs.withColumn("_blob", blob_id(text_of(text_col)))
-    both = marked.join(lean.withColumnsRenamed({"blob_id": "_blob", "at": "_at"}), "_blob", "left")
-    return both.withColumn(text_col, redacted(F.col(text_col), F.col("_at"))).select(*docs.columns)
+    both = marked.join(lean.withColumnsRenamed({"blob_id": "_blob", "cover": "_cover"}), "_blob", "left")
+    return both.withColumn(text_col, redacted(F.col(text_col), F.col("_cover"))).select(*docs.columns)
