@@ -100,3 +100,26 @@ def test_removal_and_empty_tables(spark, planted):
     assert sorted(r.doc_id for r in d.without_copies(df, it).collect()) == sorted(i for i, _ in docs if i not in bad)
     assert d.find(df.limit(0), it).count() == 0 and d.find(df, it.limit(0)).count() == 0
     assert d.without_copies(df, it.filter(F.lit(False))).count() == len(docs)
+
+
+def test_null_ids_and_long_texts(spark, planted):
+    _, items = planted
+    long = "filler word number %d of a very long text " * 1
+    text = " ".join(long % k for k in range(60_000)) + " " + items[0][1]
+    df = spark.createDataFrame([(None, items[1][1]), (7, text)], "doc_id long, text string")
+    it = spark.createDataFrame([(None, items[1][1]), (0, items[0][1])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in d.find(df, it).collect()}
+    assert got == {(None, None): 1.0, (7, 0): 1.0}
+
+
+def test_windows_meet_only_the_items_they_begin_with(spark, planted):
+    docs, items = planted
+    it = d.fingerprints(spark.createDataFrame(items, "item_id long, text string"))
+    text = dict(items)
+    own = {r.no: sh(words(text[r.item])) for r in it.collect()}
+    whole = {i: words(t) for i, t in docs if i != 104}
+    rows = [r for r in d.candidates(spark.createDataFrame(docs, "doc_id long, text string"), it).collect() if r.doc in whole]
+    assert rows
+    for r in rows:
+        w = whole[r.doc][r.at : r.at + r.n]
+        assert set(sh(w)) & set(own[r.no]) and len(r.x) == max(0, len(w) - 4)

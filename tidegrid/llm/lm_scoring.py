@@ -3,7 +3,8 @@
 A target model is counted over the documents that are wanted more of, a background model over all documents. They are matched:
 one vocabulary, words and word pairs named by 64-bit keys, the same smoothing, and background counts scaled to the target's number
 of tokens. A document's score is the mean over its tokens of the background's loss less the target's: above zero it is nearer to
-the target. The smoothing assumes a vocabulary of UNIGRAMS words, or of all distinct ones if there are more.
+the target. A document's own occurrences are taken off every count that it is scored by, so that no model knows it by heart; the
+models' totals stay. The smoothing assumes a vocabulary of UNIGRAMS words, or of all distinct ones if there are more.
 
 Every word and pair has its own count, however many there are. The frequent ones, at most HOT_WORDS and HOT_PAIRS by count, are
 counted first and go to every task by broadcast: their tokens are scored where they are read. All others are shuffled, once, as
@@ -11,8 +12,8 @@ n-grams distinct in their document: by the word if it is rare, by the pair if on
 one partition, which counts it and scores it at once, and returns sums by document. Those n-grams and sums go packed in arrays, a
 batch of documents and a partition each; partitions grow in number with the input. What is gathered grows with the input.
 
-Which n-grams are broadcast (pairs: those frequent in a sample) moves work, not results. Documents are named by a 64-bit hash of the text; equal
-texts score equally.
+Which n-grams are broadcast (pairs: those frequent in a sample) moves work, not results. Documents are named by a 64-bit hash of the
+text and of whether they are wanted: equal ones score equally.
 
 Defined cases: a text without words has n_tokens 0 and null losses. Without target documents the target's counts are all zero, and
 its losses those of a uniform distribution. Null ids are never target. Repeated rows count and are scored each. Extra columns are ignored.
@@ -60,6 +61,17 @@ def _last(bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _occurrences(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How often each (doc, x) occurs, at every place where it does."""
+    order = np.lexsort((x, doc))
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    group = np.cumsum(new) - 1
+    out = np.empty(len(x), dtype=np.int64)
+    out[order] = np.bincount(group)[group] if len(x) else 0
+    return out
+
+
 def _rows(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, as signed ones, and the sums of each."""
     keys, at = np.unique(key, return_inverse=True)
@@ -157,6 +169,7 @@ def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
+#: key, the other word, document, occurrences of the pair and of the word in it; 1 if the word is rare, 2 if the document is wanted, 4 if the pair ends it
 _ENTRY = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8)
 _DOC = (np.uint64, np.uint32, np.float64, np.float64)
 _SUM = (np.uint32, np.float64, np.float64)
@@ -173,11 +186,15 @@ def _read(pdf: pd.DataFrame, models: Models, parts: int, batch: int) -> Iterator
     b, known_before = _find(models.words["key"], before)
     p, known_pair = _find(models.pairs["key"], pair)
     done = known & known_pair
+    # what a document wrote itself does not count for it
+    own_word, own_pair = _occurrences(doc, word), _occurrences(doc, pair)
+    own_before = _occurrences(doc, before)
     sums = []
-    for name, c in zip(_NAMES, ("before_target", "before"), strict=True):
+    for name, c, mine in zip(_NAMES, ("before_target", "before"), (wanted, np.ones(len(doc), dtype=bool)), strict=True):
+        k = known_before
         sums.append(
-            np.bincount(doc[known_before], models.before_loss(name, models.words[c][b[known_before]]), len(n))
-            + np.bincount(doc[done], models.pair_loss(name, models.pairs[name][p[done]], models.words[name][w[done]]), len(n))
+            np.bincount(doc[k], models.before_loss(name, models.words[c][b[k]] - own_before[k] * mine[k]), len(n))
+            + np.bincount(doc[done], models.pair_loss(name, models.pairs[name][p[done]] - own_pair[done] * mine[done], models.words[name][w[done]] - own_word[done] * mine[done]), len(n))
         )
     digests = pdf["digest"].to_numpy().astype(np.int64).view(np.uint64)
     yield batch % parts, batch, 0, b"".join(map(_pack, (digests, n.astype(np.uint32), *sums)))
@@ -190,14 +207,14 @@ def _read(pdf: pd.DataFrame, models: Models, parts: int, batch: int) -> Iterator
     new[1:] = (pair[left][1:] != pair[left][:-1]) | (doc[left][1:] != doc[left][:-1])
     start = np.flatnonzero(new)
     times = np.diff(np.append(start, len(left)))
-    follows = np.add.reduceat((~_last(bounds))[left].astype(np.int64), start)
+    ends = np.add.reduceat(_last(bounds)[left].astype(np.int64), start)
     at = left[start]
     rare = ~known[at]
     key = np.where(rare, word[at], pair[at])
     order = np.argsort(key)
     entry = [
-        key, np.where(rare, before[at], word[at]), doc[at].astype(np.uint32), times.astype(np.uint32), follows.astype(np.uint32),
-        rare.astype(np.uint8) + np.uint8(2) * wanted[at].astype(np.uint8),
+        key, np.where(rare, before[at], word[at]), doc[at].astype(np.uint32), times.astype(np.uint32), own_word[at].astype(np.uint32),
+        rare.astype(np.uint8) + np.uint8(2) * wanted[at].astype(np.uint8) + np.uint8(4) * ends.astype(np.uint8),
     ]
     entry = [x[order] for x in entry]
     part = ((entry[0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -211,24 +228,29 @@ def _counted(pdf: pd.DataFrame, models: Models) -> Iterator[tuple[int, int, int,
     blobs = [_unpack(x, *_ENTRY) for x in pdf["blob"]]
     if not blobs:
         return
-    key, aux, doc, times, follows, flags = (np.concatenate(x) for x in zip(*blobs, strict=True))
-    blob = np.repeat(np.arange(len(blobs)), [len(x[0]) for x in blobs])
-    order = np.lexsort((aux, key))
-    key, aux, doc, times, follows, flags, blob = (x[order] for x in (key, aux, doc, times, follows, flags, blob))
+    key, aux, doc, times, own, flags = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    where = np.repeat(np.arange(len(blobs)), [len(x[0]) for x in blobs]) * np.int64(1 << 32) + doc
+    order = np.lexsort((where, key))
+    key, aux, times, own, flags, where = (x[order] for x in (key, aux, times.astype(np.int64), own.astype(np.int64), flags, where))
     rare, wanted = (flags & 1) > 0, (flags & 2) > 0
+    follows = times - ((flags & 4) > 0)
     new_key = np.append(True, key[1:] != key[:-1])
     of_key = np.cumsum(new_key) - 1
-    of_pair = np.cumsum(new_key | np.append(True, aux[1:] != aux[:-1])) - 1
+    of_doc = np.cumsum(new_key | np.append(True, where[1:] != where[:-1])) - 1
+    own_before = np.bincount(of_doc, follows)[of_doc]
+    pairs = np.lexsort((aux, key))
+    of_pair = np.empty(len(key), dtype=np.int64)
+    of_pair[pairs] = np.cumsum(np.append(True, (key[pairs][1:] != key[pairs][:-1]) | (aux[pairs][1:] != aux[pairs][:-1]))) - 1
     place = _find(models.words["key"], aux[~rare])[0]
     losses = []
-    for name, mine in zip(_NAMES, (wanted, True), strict=True):
+    for name, mine in zip(_NAMES, (wanted, np.ones(len(key), dtype=bool)), strict=True):
         n, f = times * mine, follows * mine
         word = np.bincount(of_key, n)[of_key]
         word[~rare] = models.words[name][place]
-        loss = times * models.pair_loss(name, np.bincount(of_pair, n)[of_pair], word)
-        loss[rare] += (follows * models.before_loss(name, np.bincount(of_key, f)[of_key]))[rare]
+        loss = times * models.pair_loss(name, np.bincount(of_pair, n)[of_pair] - n, word - own * mine)
+        loss[rare] += (follows * models.before_loss(name, np.bincount(of_key, f)[of_key] - own_before * mine))[rare]
         losses.append(loss)
-    where, to = np.unique(blob * np.int64(1 << 32) + doc, return_inverse=True)
+    where, to = np.unique(where, return_inverse=True)
     target, background = (np.bincount(to, x) for x in losses)
     cuts = np.searchsorted(where >> 32, np.arange(len(blobs) + 1))
     some = (where & 0xFFFFFFFF).astype(np.uint32)
@@ -285,9 +307,9 @@ def score(
 ) -> DataFrame:
     """For each row: its id, n_tokens, loss_target and loss_background (nats a token) and score, their difference."""
     wanted = written(target_ids.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("wanted", F.lit(True)), "targets")
-    plain = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("digest", F.xxhash64("t"))
+    plain = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     small = small_enough(wanted, bound)
-    marked = plain.join(F.broadcast(wanted) if small else wanted, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    marked = plain.join(F.broadcast(wanted) if small else wanted, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False))).withColumn("digest", F.xxhash64("t", "wanted"))
     if not small:
         # batches are named by their place: a shuffled table has to keep its order
         marked = written(marked, "marked")
@@ -318,5 +340,5 @@ def score(
     each = sums.groupBy("batch").applyInPandas(summed, "digest long, n long, target double, background double")
     mean = lambda c: F.when(F.sum("n") > 0, F.sum(c) / F.sum("n"))
     by_text = each.groupBy("digest").agg(F.max("n").alias("n_tokens"), *(mean(c).alias(f"loss_{c}") for c in _NAMES))
-    scored = plain.select("id", "digest").join(written(by_text, "losses"), "digest", "left")
+    scored = marked.select("id", "digest").join(written(by_text, "losses"), "digest", "left")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "loss_target", "loss_background", (F.col("loss_background") - F.col("loss_target")).alias("score"))

@@ -1,10 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts. Both begin with the same ordinary text; the toxic one ends with the
-segments that toxic texts have and ordinary ones hardly do, the ordinary one with as many neutral bytes. A text is cut into windows
-of words; a window that the toxic dictionary makes shorter than the ordinary one is nearer to toxic text. The distances of all of a
-text's windows are summed up in a few measures, and thresholds on these are calibrated by a logistic regression on labelled texts
-that took no part in the dictionaries.
+Two zstandard dictionaries are made of labelled texts. Both begin with the same ordinary text; the toxic one ends with the segments
+that toxic texts have and ordinary ones hardly do, the ordinary one with as many neutral bytes. A text is cut into windows of words;
+a window that the toxic dictionary makes shorter than the ordinary one is nearer to toxic text. The distances of all of a text's
+windows are summed up in a few measures, and thresholds on these are calibrated by a logistic regression on labelled texts that
+took no part in the dictionaries.
+
+Dictionaries that zstandard itself trains on the whole texts of each class tell them apart less well, as most of a toxic text is
+ordinary: the README has the figures of both, taken on rows that may be learned from. The parameters below were chosen on those too.
 
 Training takes a bounded sample: at most SAMPLE_ROWS rows of a label, chosen by a hash of their id, of texts up to SAMPLE_CHARS
 characters. Near copies among them count once. Scoring reads whole texts of any length.
