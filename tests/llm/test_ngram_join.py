@@ -107,3 +107,11 @@ def test_few_long_near_copies_in_blocks_of_which_some_are_empty(spark, chars):
             rows.append((len(rows), " ".join(w)))
     got = j.join(spark.createDataFrame(rows, "doc_id long, text string"), block_chars=chars).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
+
+
+def test_documents_without_an_id(spark):
+    a = " ".join(f"a{i}" for i in range(50))
+    df = spark.createDataFrame([(None, a), (None, a), (1, a), (2, a + " x"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in j.join(df).collect()), key=str)
+    assert got == sorted([(None, None, 0)] * 3 + [(1, 1, 1), (2, 1, 1)], key=str)
+    assert sorted((r.doc_id for r in j.one_of_each(df).collect()), key=str) == sorted([None, None, None, 1], key=str)

@@ -14,8 +14,11 @@ So every pair of one candidate group at the threshold counts, even if its own ba
 different texts grows with the square of k, in numpy, as does any exact count of its links; rows and bytes moved grow with k
 times its number of blocks.
 
-Defined cases: null and empty texts have no n-grams and no links; each is a class of its own. Repeated ids are one document per
-row for links, and give one result row each. Extra columns are ignored. Empty tables give no rows.
+n-grams are compared by 64-bit hashes of their words, sets and classes are named by 128 bits.
+
+Defined cases: null and empty texts have no n-grams and no links; each is a class of its own. So is a document without an id, whose
+class has no name either. Repeated ids are one document per row for links, and give one result row each. Extra columns are ignored.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -202,16 +205,16 @@ def links(texts: DataFrame, n: int, threshold: float) -> DataFrame:
         rep, weight = pdf["rep"].to_numpy(), pdf["weight"].to_numpy()
         # pairs within a block are those of the batch (i, i)
         side = (pdf["block"] != pdf["i"]).to_numpy() if (pdf["i"] != pdf["j"]).any() else None
-        x, y = _similar_pairs([sets[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pdf["comp"].to_numpy(), side, threshold)
+        x, y = _similar_pairs([sets[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pd.factorize(pdf["comp"])[0], side, threshold)
         count = np.bincount(x, weight[y], len(rep)) + np.bincount(y, weight[x], len(rep))
         some = np.flatnonzero(count)
         joined = list(_forest(x, y, len(rep)))
         return pd.DataFrame({
-            "rep": [*rep[some], *(rep[a] for a, _ in joined)], "b": pd.array([*[None] * len(some), *(rep[b] for _, b in joined)], dtype="Int64"),
+            "rep": [*rep[some], *(rep[a] for a, _ in joined)], "b": pd.Series([*[None] * len(some), *(rep[b] for _, b in joined)], dtype=object),
             "n": [*count[some].astype(np.int64), *[0] * len(joined)],
         })
 
-    return texts.groupBy("large", "key", "i", "j").applyInPandas(run, "rep long, b long, n long")
+    return texts.groupBy("large", "key", "i", "j").applyInPandas(run, "rep binary, b binary, n long")
 
 
 def join(
@@ -223,9 +226,9 @@ def join(
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
     signed = written(signatures(plain, n, choose(threshold, recall)), "signatures")
     classes = written(
-        signed.filter("digest is not null").groupBy("digest").agg(
+        signed.filter("digest is not null and id is not null").groupBy("digest").agg(
             F.min("id").alias("set_id"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"), F.max("chars").alias("chars")
-        ).withColumn("rep", F.xxhash64("digest")), "classes",
+        ).withColumn("rep", F.col("digest")), "classes",
     )
     rows = classes.select("rep", F.posexplode("bands").alias("k", "h"))
     buckets = rows.groupBy("k", "h").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "h", "a")
@@ -240,7 +243,7 @@ def join(
     placed = written(
         members.join(sizes, "label").withColumn("blocks", F.greatest(F.lit(1), cut)).select(
             "rep", "digest", "set_id", "weight", F.col("label").alias("comp"), "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
-            (F.col("blocks") > 1).alias("large"), F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(batches))).alias("key"),
+            (F.col("blocks") > 1).alias("large"), F.when(F.col("blocks") > 1, F.xxhash64("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(batches))).alias("key"),
         ), "placed",
     )
     texts = plain.join(F.broadcast(placed) if small_enough(placed, bound) else placed, plain.id == F.col("set_id")).drop("id", "set_id")
@@ -253,7 +256,7 @@ def join(
     found = written(named.join(written(least, "class-ids"), "label").join(linked, "rep", "left").select(
         "digest", "set_id", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links")
     ), "found")
-    return signed.select("id", "digest").join(found, "digest", "left").select(
+    return signed.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("set_id", "id").alias("set_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
