@@ -38,7 +38,9 @@ from tidegrid.llm.shingling import mixed, word_hashes
 #: The least size of vocabulary that smoothing assumes.
 UNIGRAMS = 1 << 18
 #: Most words and pairs that are broadcast, tokens in the sample that the pairs are picked from, and tokens a partition.
-HOT_WORDS, HOT_PAIRS, SAMPLE, PART_TOKENS = 1 << 17, 1 << 18, 4_000_000, 1_500_000
+HOT_WORDS, HOT_PAIRS, SAMPLE, PART_TOKENS = 1 << 17, 1 << 18, 4_000_000, 600_000
+#: Characters of texts that are read at a time.
+BATCH_CHARS = 2_000_000
 #: Added counts of a word, and the weight in tokens of the word model under the pair model.
 ADDED, PRIOR = 0.5, 4.0
 _START = np.uint64(0x1F3D5B79)
@@ -169,7 +171,7 @@ def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
-#: key, the other word, document, occurrences of the pair and of the word in it; 1 if the word is rare, 2 if the document is wanted, 4 if the pair ends it
+#: key (as the step from the one before), the other word (by its place if it is frequent, else its key), document, occurrences of the pair and of the word in it; 1 if the word is rare, 2 if the document is wanted, 4 if the pair ends it
 _ENTRY = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint8)
 _DOC = (np.uint64, np.uint32, np.float64, np.float64)
 _SUM = (np.uint32, np.float64, np.float64)
@@ -213,14 +215,14 @@ def _read(pdf: pd.DataFrame, models: Models, parts: int, batch: int) -> Iterator
     key = np.where(rare, word[at], pair[at])
     order = np.argsort(key)
     entry = [
-        key, np.where(rare, before[at], word[at]), doc[at].astype(np.uint32), times.astype(np.uint32), own_word[at].astype(np.uint32),
+        key, np.where(rare, np.where(known_before[at], b[at].astype(np.uint64), before[at]), w[at].astype(np.uint64)), doc[at].astype(np.uint32), times.astype(np.uint32), own_word[at].astype(np.uint32),
         rare.astype(np.uint8) + np.uint8(2) * wanted[at].astype(np.uint8) + np.uint8(4) * ends.astype(np.uint8),
     ]
     entry = [x[order] for x in entry]
     part = ((entry[0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for lo, hi in zip(first, np.append(first[1:], len(part)), strict=True):
-        yield int(part[lo]), batch, 1, b"".join(_pack(x[lo:hi]) for x in entry)
+        yield int(part[lo]), batch, 1, b"".join(map(_pack, (np.diff(entry[0][lo:hi], prepend=np.uint64(0)), *(x[lo:hi] for x in entry[1:]))))
 
 
 def _counted(pdf: pd.DataFrame, models: Models) -> Iterator[tuple[int, int, int, bytes]]:
@@ -228,8 +230,12 @@ def _counted(pdf: pd.DataFrame, models: Models) -> Iterator[tuple[int, int, int,
     blobs = [_unpack(x, *_ENTRY) for x in pdf["blob"]]
     if not blobs:
         return
+    for x in blobs:
+        x[0] = np.cumsum(x[0], dtype=np.uint64)
     key, aux, doc, times, own, flags = (np.concatenate(x) for x in zip(*blobs, strict=True))
     where = np.repeat(np.arange(len(blobs)), [len(x[0]) for x in blobs]) * np.int64(1 << 32) + doc
+    n_blobs = len(blobs)
+    del blobs, doc
     order = np.lexsort((where, key))
     key, aux, times, own, flags, where = (x[order] for x in (key, aux, times.astype(np.int64), own.astype(np.int64), flags, where))
     rare, wanted = (flags & 1) > 0, (flags & 2) > 0
@@ -241,7 +247,8 @@ def _counted(pdf: pd.DataFrame, models: Models) -> Iterator[tuple[int, int, int,
     pairs = np.lexsort((aux, key))
     of_pair = np.empty(len(key), dtype=np.int64)
     of_pair[pairs] = np.cumsum(np.append(True, (key[pairs][1:] != key[pairs][:-1]) | (aux[pairs][1:] != aux[pairs][:-1]))) - 1
-    place = _find(models.words["key"], aux[~rare])[0]
+    place = aux[~rare].astype(np.int64)
+    del order, pairs, aux
     losses = []
     for name, mine in zip(_NAMES, (wanted, np.ones(len(key), dtype=bool)), strict=True):
         n, f = times * mine, follows * mine
@@ -252,7 +259,7 @@ def _counted(pdf: pd.DataFrame, models: Models) -> Iterator[tuple[int, int, int,
         losses.append(loss)
     where, to = np.unique(where, return_inverse=True)
     target, background = (np.bincount(to, x) for x in losses)
-    cuts = np.searchsorted(where >> 32, np.arange(len(blobs) + 1))
+    cuts = np.searchsorted(where >> 32, np.arange(n_blobs + 1))
     some = (where & 0xFFFFFFFF).astype(np.uint32)
     for batch, lo, hi in zip(pdf["batch"], cuts, cuts[1:], strict=False):
         yield 0, batch, 2, b"".join(_pack(x[lo:hi]) for x in (some, target, background))
@@ -320,7 +327,7 @@ def score(
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for pdf in small_batches(whole, "t"):
+            for pdf in small_batches(whole, "t", BATCH_CHARS):
                 yield _frame(_read(pdf, shared.value, parts, batch))
                 batch += 1
 
