@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values that hash_order takes.
+HASHES = 2147483647
+
+
 def hash_order(uid: str = "uid", seed: int = 0) -> Column:
     """An order by an arithmetic hash that any engine can compute."""
-    return ((F.col(uid) + seed) * 48271) % 2147483647
+    return ((F.col(uid) + seed) * 48271) % HASHES
 
 
 def find_entries(table: DataFrame, **equal) -> DataFrame:
@@ -86,15 +92,24 @@ def balanced_sample(table: DataFrame, metric: str, nbins: int, total: int, key:
     for k, (n, b) in enumerate(counts):
         quota[b] = min(n, left // (len(counts) - k))
         left -= quota[b]
-    want = F.create_map(*[F.lit(v) for kv in quota.items() for v in kv]) if quota else F.create_map(F.lit(-1), F.lit(0))
+    # rows beyond a hash that leaves a bin enough are dropped before any are ranked
+    size = dict((b, n) for n, b in counts)
+    cut = {b: HASHES if q == size[b] else math.ceil(HASHES * min(1.0, (q + 6 * math.sqrt(q) + 20) / size[b])) for b, q in quota.items()}
+    of = lambda m: F.create_map(*[F.lit(v) for kv in m.items() for v in kv])[F.col("bin")]
+    if not quota:
+        return binned
+    got = {r.bin: r.n for r in binned.filter(hash_order(key, seed) < of(cut)).groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut = {b: c if got.get(b, 0) >= quota[b] else HASHES for b, c in cut.items()}
+    some = binned.filter(hash_order(key, seed) < of(cut))
     rank = F.row_number().over(Window.partitionBy("bin").orderBy(hash_order(key, seed), key))
-    return binned.withColumn("_r", rank).filter(F.col("_r") <= want[F.col("bin")]).drop("_r")
+    return some.withColumn("_r", rank).filter(F.col("_r") <= of(quota)).drop("_r")
 
 
 def generate(points: DataFrame, times: DataFrame) -> DataFrame:
-    """Catalogue of every point (lat, lon, ...) at every time (day): uid is a hash of all of these. The times are few; points are
-    not shuffled where their number lets them be broadcast, which Spark decides by size."""
-    both = points.crossJoin(times.withColumnRenamed("day", "datetime"))
+    """Catalogue of every point (lat, lon, ...) at every time (day): uid is a hash of all of these. Times are broadcast if their number,
+    counted, is small, as it is by nature; points stay where they are."""
+    days = times.withColumnRenamed("day", "datetime")
+    both = points.crossJoin(F.broadcast(days) if days.limit(100_001).count() <= 100_000 else days)
     return both.withColumn("uid", F.xxhash64("lat", "lon", "datetime"))
 
 
@@ -120,3 +135,46 @@ def covered_fields(catalog: DataFrame, cells: DataFrame, size: int) -> DataFrame
     of = cells.withColumns({"_by": F.floor(F.col("y") / size), "_bx": F.floor(F.col("x") / size)})
     inside = (F.col("y") >= F.col("row")) & (F.col("y") < F.col("row") + size) & (F.col("x") >= F.col("col")) & (F.col("x") < F.col("col") + size)
     return blocks.join(of, ["_by", "_bx"]).filter(inside).drop("_by", "_bx", "_dy", "_dx")
+
+
+def gathered(cutouts: DataFrame, fields: list[str], uid: int | None = None, missing: str = "skip", key: str = "uid") -> DataFrame:
+    """(uid, field, y, x, value) to one column a field, of one cut-out or of all. A cut-out without a field has nulls there; with
+    missing="raise" that is an error."""
+    some = cutouts.filter(F.col("field").isin(fields))
+    if uid is not None:
+        some = some.filter(F.col(key) == uid)
+    if missing == "raise":
+        lacking = some.groupBy(key).agg(F.count_distinct("field").alias("n")).filter(F.col("n") < len(fields)).select(key).take(5)
+        if lacking or (uid is not None and some.isEmpty()):
+            raise KeyError(f"fields are missing of cut-outs {[r[0] for r in lacking] or uid}")
+    return some.groupBy(key, "y", "x").pivot("field", fields).agg(F.first("value"))
+
+
+#: Codes of the parts of a split.
+SPLITS = {"valid": 0, "train": 1, "test": 2}
+
+
+def split_rows(meta: DataFrame, part: str, arrays: DataFrame, times: DataFrame, code: str = "split", time: str = "t") -> DataFrame:
+    """Rows of a part of the split, as many as its stacked array has (else an error), at the given times."""
+    rows = meta.filter(F.col(code) == SPLITS[part])
+    if (n := rows.count()) != (m := arrays.count()):
+        raise ValueError(f"{n} rows of {part}, but {m} in its array")
+    return rows.join(times.select(time).distinct(), time, "left_semi")
+
+
+def training_set(table: DataFrame, cells: DataFrame, channels: list[str], sizes: dict[str, int], allowed: dict[str, list] | None = None, path: str | None = None, seed: int = 0, key: str = "uid") -> DataFrame:
+    """(uid, split, pp_type, channels): the parts of a split with their stacked fields, checked, and written by part if a path is
+    given. pp_type is 0 for validation, 1 for training, 2 for tests. A row without cells is an error."""
+    parts = random_split(table, sizes, key, seed).select(key, "split")
+    code = F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv])[F.col("split")]
+    both = parts.join(stack(cells, channels, key), key, "left").withColumn("pp_type", code).select(key, "split", "pp_type", "channels")
+    bad = both.agg(F.count_if(F.col("channels").isNull()).alias("n"), F.count_if(F.col("pp_type").isNull()).alias("m")).first()
+    if bad.n or bad.m:
+        raise ValueError(f"{bad.n} rows have no cells, {bad.m} no known part")
+    wrong = vet(both.select("split"), {"split": "string"}, allowed or {"split": list(SPLITS)}).filter("n_bad > 0")
+    if not wrong.isEmpty():
+        raise ValueError("a part has a name that is not allowed")
+    if path is None:
+        return both
+    both.write.partitionBy("split").parquet(path)
+    return table.sparkSession.read.parquet(path)

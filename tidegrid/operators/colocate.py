@@ -66,7 +66,19 @@ def dilate_nearest(labels: DataFrame, radius: int, height: int | None = None, wi
     return inside(spread(sized, disk(radius)), height, width).groupBy("grid_id", "y", "x").agg(F.min_by("label", F.struct("d2", "label")).alias("label"))
 
 
-def colocate(labels: DataFrame, fields_grid: DataFrame, fields: list[str], radius: int = 0, height: int | None = None, width: int | None = None, **kw) -> DataFrame:
-    """Fields of a grid by label: dilation, one equi-join on the cell, one aggregation."""
-    grown = dilate_nearest(labels, radius, height, width) if radius else labels
-    return label_statistics(grown.join(fields_grid, ["grid_id", "y", "x"]), fields, keys=("grid_id", "label"), **kw)
+def colocate(
+    labels: DataFrame, fields_grid: DataFrame, fields: list[str], radius: int = 0, height: int | None = None, width: int | None = None, min_size: int = 1,
+    stats: tuple[str, ...] = ("mean", "std", "median"), **kw,
+) -> DataFrame:
+    """Fields of a grid by label: dilation, one equi-join on the cell, one aggregation.
+
+    npix, the least size and the statistic "count" are those of the labels as given, before any dilation; only labels of that size
+    spread. A label without cells of the grid stays, with null statistics."""
+    sized = labels.groupBy("grid_id", "label").agg(F.count(F.lit(1)).alias("npix")).filter(F.col("npix") >= min_size)
+    kept = labels.select("grid_id", "label", "y", "x")
+    if min_size > 1:
+        kept = kept.join(sized.select("grid_id", "label"), ["grid_id", "label"], "left_semi")
+    grown = dilate_nearest(kept, radius, height, width) if radius else kept
+    found = label_statistics(grown.join(fields_grid, ["grid_id", "y", "x"]), fields, tuple(x for x in stats if x != "count"), keys=("grid_id", "label"), **kw).drop("npix")
+    out = sized.join(found, ["grid_id", "label"], "left")
+    return out.withColumns({f"{f}_count": F.col("npix") for f in fields}) if "count" in stats else out

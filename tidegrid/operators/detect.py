@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators import components, morphology, stencil
+from tidegrid.operators import components, morphology, ranking, stencil
 from tidegrid.operators.components import checkpointed
 
 
@@ -13,7 +13,8 @@ def features(
     field: DataFrame, value: str, height: int, width: int, window: int = 64, threshold: float = 90, mode: str = "local", rm_weak: float | None = None,
     sharpen: bool = False, thin: bool = True, min_size: int = 7, connectivity: int = 2, dilate: bool = False, despur: bool = False, longest_spur: int = 10,
 ) -> DataFrame:
-    """Threshold, weak cells out, sharpening, thinning, cropping, dilation and thinning again, spurs off: each step by its flag."""
+    """Threshold, weak cells out, sharpening, thinning, cropping (if there is a least size), dilation, a last thinning if there was
+    thinning or sharpening, spurs off: each step by its flag."""
     found = stencil.local_threshold(field, value, window, threshold) if mode == "local" else stencil.global_threshold(field, value, threshold)
     if rm_weak is not None:
         found = found.filter(F.col(value) > rm_weak)
@@ -22,9 +23,12 @@ def features(
         now = checkpointed(morphology.sharpened(components.label(now), field, value).select("grid_id", "y", "x"))
     if thin:
         now = checkpointed(morphology.thinned(now))
-    now = morphology.cropped(now, height, width, min_size, connectivity)
+    if min_size > 0:
+        now = checkpointed(morphology.cropped(now, height, width, min_size, connectivity))
     if dilate:
-        now = morphology.thinned(checkpointed(morphology.dilated(now, height=height, width=width)))
+        now = morphology.dilated(now, height=height, width=width)
+    if thin or sharpen:
+        now = morphology.thinned(checkpointed(now))
     if despur:
         now = morphology.despurred(checkpointed(now), longest_spur)
     return now
@@ -43,7 +47,8 @@ def sweep(field: DataFrame, value: str, percentiles: dict[str, float]) -> DataFr
     """Global thresholds of several configurations at once: (config, grid_id, y, x)."""
     spark = field.sparkSession
     configs = spark.createDataFrame(list(percentiles.items()), "config string, pct double")
-    cuts = field.groupBy("grid_id").agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in percentiles.values()])).alias("c"))
+    found = ranking.percentiles(field, value, list(percentiles.values()), "grid_id")
+    cuts = found.select("grid_id", F.array(*[f"p{k}" for k in range(len(percentiles))]).alias("c"))
     names = F.array(*[F.lit(k) for k in percentiles])
     each = cuts.select("grid_id", F.explode(F.arrays_zip(names.alias("config"), F.col("c").alias("cut"))).alias("z")).select("grid_id", "z.config", "z.cut")
     return field.join(each.join(F.broadcast(configs.select("config")), "config"), "grid_id").filter(F.col(value) > F.col("cut")).select("config", "grid_id", "y", "x")

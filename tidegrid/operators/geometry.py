@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ocean import haversine_km
+from tidegrid.operators import components, morphology
+from tidegrid.operators.components import checkpointed
 from tidegrid.operators.morphology import neighbour_codes
+from tidegrid.sources import tables
 
 #: Order in which a sampled cell's neighbours are tried for the spacing.
 FIRST = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
@@ -30,11 +35,13 @@ def orientation(cells: DataFrame) -> DataFrame:
     return cells.groupBy("grid_id", "label").agg(F.when((yx == 0) & (yy == xx), 45.0).otherwise(angle).alias("orientation"))
 
 
-def length_km(skeleton: DataFrame, samples: int = 20) -> DataFrame:
-    """Skeleton cells times the mean spacing of about `samples` evenly strided ones to their first neighbour; 0 for a single cell."""
+def length_km(skeleton: DataFrame, samples: int = 20, grid: DataFrame | None = None) -> DataFrame:
+    """Skeleton cells times the mean spacing of about `samples` evenly strided ones to their first neighbour; 0 for a single cell.
+
+    Where no sampled cell has a neighbour, the spacing is that of the grid's cells right of and below the mean cell, or one."""
     w = Window.partitionBy("grid_id", "label")
     ranked = skeleton.withColumns({"k": F.row_number().over(w.orderBy("y", "x")) - 1, "n": F.count(F.lit(1)).over(w)})
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / samples).cast("int"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / F.least(F.lit(samples), F.col("n"))).cast("int"))
     some = ranked.filter((F.col("k") % step == 0) & (F.col("k") / step < samples))
     off = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("dy"), F.lit(b).alias("dx")) for i, (a, b) in enumerate(FIRST)])).alias("o")
     ask = some.select("grid_id", "label", F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), off)
@@ -42,25 +49,46 @@ def length_km(skeleton: DataFrame, samples: int = 20) -> DataFrame:
     near = want.join(skeleton, ["grid_id", "label", "y", "x"])
     one = near.groupBy("grid_id", "label", "ty", "tx").agg(F.min_by(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")), "i").alias("d"))
     spacing = one.groupBy("grid_id", "label").agg(F.avg("d").alias("d"))
-    n = skeleton.groupBy("grid_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(spacing, ["grid_id", "label"], "left").select("grid_id", "label", F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce(F.col("n") * F.col("d"), F.lit(0.0))).alias("length_km"))
+    n = skeleton.groupBy("grid_id", "label").agg(F.count(F.lit(1)).alias("n"), F.floor(F.avg("y")).cast("int").alias("y"), F.floor(F.avg("x")).cast("int").alias("x"))
+    both = n.join(spacing, ["grid_id", "label"], "left")
+    if grid is None:
+        both = both.withColumn("fall", F.lit(1.0))
+    else:
+        at = lambda dy, dx, s: grid.select("grid_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("lat").alias(f"lat{s}"), F.col("lon").alias(f"lon{s}"))
+        lost = both.filter("d is null and n >= 2").select("grid_id", "label", "y", "x")
+        for dy, dx, s in ((0, 0, "0"), (0, 1, "1"), (1, 0, "2")):
+            lost = lost.join(at(dy, dx, s), ["grid_id", "y", "x"], "left")
+        to = lambda s: haversine_km(F.col("lat0"), F.col("lon0"), F.col(f"lat{s}"), F.col(f"lon{s}"))
+        both = both.join(lost.select("grid_id", "label", F.coalesce((to("1") + to("2")) / 2, F.lit(1.0)).alias("fall")), ["grid_id", "label"], "left")
+    return both.select("grid_id", "label", F.when(F.col("n") < 2, 0.0).otherwise(F.col("n") * F.coalesce("d", "fall")).alias("length_km"))
 
 
 def curvature(skeleton: DataFrame, reach: int = 5) -> DataFrame:
-    """Mean of |turn| / arc and mean signed turn / arc over cells in raster order, from the cells `reach` before and after."""
+    """Mean of |turn| / arc and of signed turn / arc, per km, over cells in raster order that have `reach` cells before and after;
+    null for labels without such cells. Legs to those are measured along the parallel and the meridian; the arc is the distance
+    between the cell before and the cell after."""
     w = Window.partitionBy("grid_id", "label").orderBy("y", "x")
-    p = skeleton.withColumns({f"{c}{s}": F.lag(c, reach).over(w) if s == "a" else F.lead(c, reach).over(w) for c in ("y", "x") for s in "ab"})
-    one, two = F.atan2(F.col("y") - F.col("ya"), F.col("x") - F.col("xa")), F.atan2(F.col("yb") - F.col("y"), F.col("xb") - F.col("x"))
-    turn = F.atan2(F.sin(two - one), F.cos(two - one))
-    arc = F.hypot(F.col("y") - F.col("ya"), F.col("x") - F.col("xa")) + F.hypot(F.col("yb") - F.col("y"), F.col("xb") - F.col("x"))
-    k = F.when(arc > 0, turn / arc)
-    return p.withColumn("k", k).groupBy("grid_id", "label").agg(F.avg(F.abs("k")).alias("mean_curvature"), F.avg("k").alias("curvature_direction"))
+    p = skeleton.withColumns({f"{c}{s}": F.lag(c, reach).over(w) if s == "a" else F.lead(c, reach).over(w) for c in ("lat", "lon") for s in "ab"})
+    lat, lon = F.col("lat"), F.col("lon")
+
+    def leg(s: str) -> tuple[Column, Column]:
+        east, north = haversine_km(lat, lon, lat, F.col("lon" + s)), haversine_km(lat, lon, F.col("lat" + s), lon)
+        back = 1 if s == "b" else -1
+        return F.when((F.col("lon" + s) - lon) * back < 0, -east).otherwise(east), F.when((F.col("lat" + s) - lat) * back < 0, -north).otherwise(north)
+
+    (x1, y1), (x2, y2) = leg("a"), leg("b")
+    change = F.atan2(y2, x2) - F.atan2(y1, x1)
+    turn = F.when(change > math.pi, change - 2 * math.pi).when(change < -math.pi, change + 2 * math.pi).otherwise(change)
+    arc = haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb"))
+    whole = F.col("lata").isNotNull() & F.col("latb").isNotNull() & (arc > 0)
+    return p.withColumn("k", F.when(whole, turn / arc)).groupBy("grid_id", "label").agg(F.avg(F.abs("k")).alias("mean_curvature"), F.avg("k").alias("curvature_direction"))
 
 
 def branches(skeleton: DataFrame) -> DataFrame:
-    """Cells with three neighbours or more."""
-    n = neighbour_codes(skeleton).withColumn("b", (F.bit_count("code") >= 3).cast("int"))
-    return n.join(skeleton.select("grid_id", "y", "x", "label"), ["grid_id", "y", "x"]).groupBy("grid_id", "label").agg(F.sum("b").alias("num_branches"))
+    """Cells with three neighbours of their own label or more."""
+    own = skeleton.select(F.struct("grid_id", "label").alias("grid_id"), "y", "x")
+    n = neighbour_codes(own).withColumn("b", (F.bit_count("code") >= 3).cast("int"))
+    return n.groupBy("grid_id").agg(F.sum("b").alias("num_branches")).select("grid_id.grid_id", "grid_id.label", "num_branches")
 
 
 def _tenths(v: Column) -> Column:
@@ -74,23 +102,54 @@ def _tenths(v: Column) -> Column:
     return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
 
 
-def front_ids(cells: DataFrame, time: str, legacy_id: bool = False) -> DataFrame:
-    """(grid_id, label, name): TIME_LAT_LON of the cell nearest to the mean row and column; one decimal, N/S and E/W."""
-    mid = cells.groupBy("grid_id", "label").agg(F.bround(F.avg("y"), 0).cast("int").alias("cy"), F.bround(F.avg("x"), 0).cast("int").alias("cx"))
-    d2 = (F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2
-    at = cells.join(mid, ["grid_id", "label"]).groupBy("grid_id", "label").agg(F.min_by(F.struct("lat", "lon"), F.struct(d2.alias("d"), "y", "x")).alias("p"))
+def front_ids(cells: DataFrame, time: str, legacy_id: bool = False, grid: DataFrame | None = None) -> DataFrame:
+    """(grid_id, label, name): TIME_LAT_LON of the grid's cell at the rounded mean row and column, whether the label has it or not;
+    one decimal, N/S and E/W. The grid (grid_id, y, x, lat, lon) is that of the cells if none is given; off it the name is null."""
+    mid = cells.groupBy("grid_id", "label").agg(F.bround(F.avg("y"), 0).cast("int").alias("y"), F.bround(F.avg("x"), 0).cast("int").alias("x"))
+    at = mid.join((cells if grid is None else grid).select("grid_id", "y", "x", "lat", "lon").dropDuplicates(["grid_id", "y", "x"]), ["grid_id", "y", "x"], "left")
     text = lambda c, pos, neg: F.concat(_tenths(F.abs(c)), F.when(c >= 0, pos).otherwise(neg))
     stamp = time.replace("-", "").replace("_", "T").replace(":", "")
     if legacy_id:
         stamp = stamp.replace("T", "TT", 1)
-    return at.select("grid_id", "label", F.concat_ws("_", F.lit(stamp), text(F.col("p.lat"), "N", "S"), text(F.col("p.lon"), "E", "W")).alias("name"))
+    name = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.concat_ws("_", F.lit(stamp), text(F.col("lat"), "N", "S"), text(F.col("lon"), "E", "W")))
+    return at.select("grid_id", "label", name.alias("name"))
 
 
-def geometry(cells: DataFrame, skeleton: DataFrame, time: str, skip_curvature: bool = False) -> DataFrame:
-    """All of the above per label: cells has (grid_id, label, y, x, lat, lon), skeleton its thinned part."""
+def geometry(cells: DataFrame, skeleton: DataFrame, time: str, skip_curvature: bool = False, grid: DataFrame | None = None) -> DataFrame:
+    """All of the above per label: cells has (grid_id, label, y, x, lat, lon), skeleton its thinned part; grid: all cells' positions."""
     box = cells.groupBy("grid_id", "label").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
     skeleton = skeleton.select("grid_id", "label", "y", "x").join(cells.select("grid_id", "y", "x", "lat", "lon"), ["grid_id", "y", "x"])
-    out = front_ids(cells, time)
-    for part in [extent(cells), box, length_km(skeleton), orientation(cells), branches(skeleton)] + ([] if skip_curvature else [curvature(skeleton)]):
+    out = front_ids(cells, time, grid=grid)
+    for part in [extent(cells), box, length_km(skeleton, grid=grid), orientation(cells), branches(skeleton)] + ([] if skip_curvature else [curvature(skeleton)]):
         out = out.join(part, ["grid_id", "label"])
     return out.withColumn("time", F.lit(time))
+
+
+def meshed(lats: DataFrame, lons: DataFrame) -> DataFrame:
+    """(y, x, lat, lon) of a grid given by its axes, (y, lat) and (x, lon)."""
+    return lats.select("y", "lat").crossJoin(lons.select("x", "lon")).select("y", "x", "lat", "lon")
+
+
+def approximate_positions(cells: DataFrame, lat0: float, lon0: float, km: float = 2.25) -> DataFrame:
+    """Adds lat and lon to cells by their places from an origin, `km` apart: degrees of latitude of 111 km, of longitude by its cosine."""
+    lat = F.lit(lat0) + F.col("y") * (km / 111.0)
+    return cells.withColumns({"lat": lat, "lon": F.lit(lon0) + F.col("x") * km / (111.0 * F.cos(F.radians(lat)))})
+
+
+def longitude_shift(cells: DataFrame) -> DataFrame:
+    """(grid_id, shift): columns to roll a grid by so that the least longitude of its middle row comes first."""
+    middle = cells.groupBy("grid_id").agg(F.floor((F.max("y") + 1) / 2).cast("int").alias("y"))
+    return cells.join(middle, ["grid_id", "y"]).groupBy("grid_id").agg((-F.min_by("x", F.struct("lon", "x"))).alias("shift"))
+
+
+def grouped(mask: DataFrame, grid: DataFrame, time: str, fields: list[str] | None = None, connectivity: int = 2, skip_curvature: bool = False, **meta) -> dict[str, DataFrame]:
+    """From a mask to its labels, index, geometry and run metadata, as four tables: labels (grid_id, y, x, label), index (label and
+    name), geometry, and one row of metadata."""
+    labels = checkpointed(components.label(mask, connectivity))
+    placed = checkpointed(labels.join(grid.select("grid_id", "y", "x", "lat", "lon"), ["grid_id", "y", "x"]))
+    skeleton = checkpointed(morphology.skeletons(labels))
+    shapes = checkpointed(geometry(placed, skeleton, time, skip_curvature, grid))
+    return {
+        "labels": labels, "index": shapes.select("grid_id", "label", "name", "npix"), "geometry": shapes,
+        "metadata": tables.run_metadata(grid, labels, fields or [], time=time, connectivity=connectivity, **meta),
+    }

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators import ranking
+
 
 def bin_of(value: Column, lo: float | Column, hi: float | Column, n: int) -> Column:
     """Bin 0 to n - 1, the last one closed; null outside."""
@@ -15,10 +17,12 @@ def bin_of(value: Column, lo: float | Column, hi: float | Column, n: int) -> Col
     return F.when((value >= lo) & (value <= hi), F.least(k, F.lit(n - 1)))
 
 
-def percentile_range(df: DataFrame, value: str, clip: float = 1.0, symmetric: bool = False) -> tuple[float, float]:
-    """Edges from the clip and 100 - clip percentiles; symmetric: around zero."""
-    lo, hi = df.agg(F.percentile(value, F.array(F.lit(clip / 100), F.lit(1 - clip / 100)))).first()[0]
-    return (-max(abs(lo), abs(hi)), max(abs(lo), abs(hi))) if symmetric else (lo, hi)
+def percentile_range(df: DataFrame, value: str, clip: float = 1.0, symmetric: bool = False, floor: bool = True) -> tuple[float, float]:
+    """Edges from the clip and 100 - clip percentiles; symmetric: around zero, else with floor from zero at the least."""
+    lo, hi = ranking.percentiles(df, value, [clip, 100 - clip]).first()
+    if symmetric:
+        return -max(abs(lo), abs(hi)), max(abs(lo), abs(hi))
+    return (max(0.0, lo) if floor else lo), hi
 
 
 def joint(df: DataFrame, x: str, y: str, nx: int, ny: int, xr: tuple[float, float], yr: tuple[float, float], by: tuple[str, ...] = ()) -> DataFrame:
@@ -71,7 +75,7 @@ def log_joint(df: DataFrame, x: str, y: str, nx: int, ny: int, xr: tuple[float,
 
 def histogram(df: DataFrame, value: str, n: int, clip: float = 1.0) -> DataFrame:
     """(bin, lo, n, density) between the clip percentiles."""
-    lo, hi = percentile_range(df, value, clip)
+    lo, hi = percentile_range(df, value, clip, floor=False)
     got = df.select(bin_of(F.col(value), lo, hi, n).alias("bin")).filter("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     step = (hi - lo) / n
     return got.crossJoin(F.broadcast(got.agg(F.sum("n").alias("all")))).select("bin", (F.lit(lo) + F.col("bin") * step).alias("lo"), "n", (F.col("n") / (F.col("all") * step)).alias("density"))
@@ -91,5 +95,5 @@ def kernel_density(df: DataFrame, value: str, points: int, by: str | None = None
 
 def split_by_percentile(df: DataFrame, value: str, pct: float) -> DataFrame:
     """Adds part: weak or strong, by a percentile of another column over all rows."""
-    cut = df.agg(F.percentile(value, F.lit(pct / 100)).alias("_c"))
+    cut = ranking.percentiles(df, value, [pct]).withColumnRenamed("p0", "_c")
     return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(value) >= F.col("_c"), "strong").when(F.col(value).isNotNull(), "weak")).drop("_c")

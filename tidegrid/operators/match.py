@@ -30,23 +30,56 @@ def within_degrees(points: DataFrame, others: DataFrame, degrees: float, suffix:
     return near.join(far, ["_by", "_bx"]).filter(ok).drop("_by", "_bx")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, key: str, start_degrees: float = 1.0, rounds: int = 9) -> DataFrame:
-    """Per point the cell of least squared distance in degrees, the first in raster order at ties.
+def _best_cell(pairs: DataFrame, key: str) -> DataFrame:
+    best = pairs.groupBy(key).agg(F.min_by(F.struct("grid_id_o", "y_o", "x_o", "d2"), F.struct("d2", "grid_id_o", "y_o", "x_o")).alias("b"))
+    return best.select(key, F.col("b.grid_id_o").alias("grid_id"), F.col("b.y_o").alias("y"), F.col("b.x_o").alias("x"), F.col("b.d2").alias("d2"))
 
-    A cell found within r degrees is the nearest if it is within r; points without one go on with twice the radius."""
+
+def _far_cell(points: DataFrame, cells: DataFrame, key: str, degrees: float = 2.0) -> DataFrame:
+    """The nearest cell at any distance: of the boxes around the cells of each square (at most 16,200 of the globe) only those are
+    looked into that may hold a nearer cell than the farthest corner of the box where that is nearest."""
+    cut = {"_by": F.floor(F.col("lat") / degrees).cast("long"), "_bx": F.floor(F.col("lon") / degrees).cast("long")}
+    placed = cells.withColumns(cut)
+    boxes = placed.groupBy("_by", "_bx").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    lat, lon = F.col("lat"), F.col("lon")
+    least = F.pow(F.greatest(F.col("s") - lat, lat - F.col("n"), F.lit(0.0)), 2) + F.pow(F.greatest(F.col("w") - lon, lon - F.col("e"), F.lit(0.0)), 2)
+    most = F.pow(F.greatest(F.abs(lat - F.col("s")), F.abs(lat - F.col("n"))), 2) + F.pow(F.greatest(F.abs(lon - F.col("w")), F.abs(lon - F.col("e"))), 2)
+    both = points.crossJoin(F.broadcast(boxes)).withColumns({"_least": least, "_most": most})
+    bound = both.groupBy(key).agg(F.min("_most").alias("_bound"))
+    asked = both.select(key, "lat", "lon", "_by", "_bx", "_least").join(bound, key).filter(F.col("_least") <= F.col("_bound"))
+    names = {c: c + "_o" for c in ("grid_id", "y", "x", "lat", "lon")}
+    pairs = asked.join(placed.withColumnsRenamed(names), ["_by", "_bx"])
+    return _best_cell(pairs.withColumn("d2", F.pow(lat - F.col("lat_o"), 2) + F.pow(lon - F.col("lon_o"), 2)), key)
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, key: str, start_degrees: float = 1.0, rounds: int = 3) -> DataFrame:
+    """Per point the cell of least squared distance in degrees, the first in raster order at ties, however far it is.
+
+    A cell found within r degrees is the nearest if it is within r; points without one go on with twice the radius, and those left
+    after `rounds` of that look for it box by box."""
+    cells = cells.select("grid_id", "y", "x", "lat", "lon")
     todo, out = points, None
     r = start_degrees
     for _ in range(rounds):
-        pairs = within_degrees(todo, cells.select("grid_id", "y", "x", "lat", "lon"), r)
+        pairs = within_degrees(todo, cells, r)
         d2 = F.pow(F.col("lat") - F.col("lat_o"), 2) + F.pow(F.col("lon") - F.col("lon_o"), 2)
-        best = pairs.withColumn("d2", d2).filter(F.col("d2") <= r * r).groupBy(key).agg(F.min_by(F.struct("grid_id_o", "y_o", "x_o", "d2"), F.struct("d2", "grid_id_o", "y_o", "x_o")).alias("b"))
-        got = best.select(key, F.col("b.grid_id_o").alias("grid_id"), F.col("b.y_o").alias("y"), F.col("b.x_o").alias("x"), F.col("b.d2").alias("d2"))
+        got = checkpointed(_best_cell(pairs.withColumn("d2", d2).filter(F.col("d2") <= r * r), key))
         out = got if out is None else out.unionByName(got)
-        todo = todo.join(got.select(key), key, "left_anti")
+        todo = checkpointed(todo.join(got.select(key), key, "left_anti"))
         if todo.isEmpty():
-            break
+            return out
         r *= 2
-    return out
+    return out.unionByName(_far_cell(todo, cells, key))
+
+
+def cropped_around(points: DataFrame, cells: DataFrame, key: str, height: int, width: int, **kw) -> DataFrame:
+    """The height x width cells around each point's nearest cell, which stands at (height // 2, width // 2) of them: (key, grid_id, y,
+    x, row, col), less what lies outside the grid."""
+    at = nearest_cell(points, cells, key, **kw)
+    rows, cols = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for n, c in ((height, "row"), (width, "col")))
+    want = at.select(key, "grid_id", F.col("y").alias("cy"), F.col("x").alias("cx"), rows).select("*", cols)
+    placed = want.select(key, "grid_id", (F.col("cy") + F.col("row") - height // 2).alias("y"), (F.col("cx") + F.col("col") - width // 2).alias("x"), "row", "col")
+    return placed.join(cells, ["grid_id", "y", "x"])
 
 
 def nearest_in_space_time(left: DataFrame, right: DataFrame, days: float, degrees: float, time: str = "t", key: str = "uid") -> DataFrame:
@@ -58,26 +91,39 @@ def nearest_in_space_time(left: DataFrame, right: DataFrame, days: float, degree
     return best.select(key, F.col(f"b.{key}_o").alias(f"{key}_o"), F.col("b.km").alias("km"))
 
 
-def nearest_time(targets: DataFrame, sources: DataFrame, time: str = "t", most: float | None = None) -> DataFrame:
-    """Per distinct target time the source time with the smallest gap, the earlier at ties. Distinct source times are numbered; a
-    target's place among them comes from the union of both in time order, and its two neighbours from equi-joins on the number."""
-    src = checkpointed(numbered_rows(sources.select(F.col(time).cast("double").alias("s")).filter("s is not null").distinct(), "s"))
-    both = targets.select(F.col(time).cast("double").alias("s"), F.lit(1).alias("o")).filter("s is not null").distinct().unionByName(src.select("s", F.lit(0).alias("o")))
-    # sources sort before targets of the same time, so a target's number less the targets up to it counts sources not after it
+def _beside(targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """(t, s): each distinct target value with the source values next below (or equal) and next above it.
+
+    Distinct source values are numbered; a target's place among them comes from the union of both in order, and its two neighbours
+    from equi-joins on the number."""
+    src = checkpointed(numbered_rows(sources.select(F.col("s").cast("double").alias("s")).filter("s is not null").distinct(), "s"))
+    both = targets.select(F.col("t").cast("double").alias("s"), F.lit(1).alias("o")).filter("s is not null").distinct().unionByName(src.select("s", F.lit(0).alias("o")))
+    # sources sort before targets of the same value, so a target's number less the targets up to it counts sources not after it
     placed = numbered_rows(both, "s", "o", name="n")
     t = numbered_rows(placed.filter("o = 1").select("s", "n"), "s", name="m").select(F.col("s").alias("t"), (F.col("n") - F.col("m")).alias("k"))
-    near = t.select("t", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k")).join(src, "k")
+    return t.select("t", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k")).join(src, "k").select("t", "s")
+
+
+def nearest_time(targets: DataFrame, sources: DataFrame, time: str = "t", most: float | None = None, best: int | None = None) -> DataFrame:
+    """Per distinct target time the source time with the smallest gap, the earlier at ties; with `most`, only gaps up to that, or all
+    if there is none; with `best`, only so many of the smallest gaps."""
+    near = _beside(targets.select(F.col(time).alias("t")), sources.select(F.col(time).alias("s")))
     gap = F.abs(F.col("t") - F.col("s"))
     out = near.groupBy("t").agg(F.min_by("s", F.struct(gap.alias("g"), "s")).alias("source_t"), F.min(gap).alias("gap"))
-    return out if most is None else out.filter(F.col("gap") <= most)
+    if most is not None:
+        out = checkpointed(out)
+        close = out.filter(F.col("gap") <= most)
+        out = out if close.isEmpty() else close
+    return out if best is None else out.orderBy("gap", "t").limit(best)
 
 
-def nearest_value(draws: DataFrame, table: DataFrame, value: str, key: str, bucket: float) -> DataFrame:
-    """Per draw (draw_id, v) the row whose value is closest, the smaller key at ties, among rows at most one bucket away."""
-    mine = draws.withColumn("_b", F.floor(F.col("v") / bucket)).select("*", F.explode(F.array(*[F.col("_b") + k for k in (-1, 0, 1)])).alias("_k"))
-    pairs = mine.join(table.select(key, F.col(value).alias("_v"), F.floor(F.col(value) / bucket).alias("_k")), "_k")
-    gap = F.abs(F.col("v") - F.col("_v"))
-    return pairs.groupBy("draw_id").agg(F.min_by(key, F.struct(gap.alias("g"), key)).alias(key), F.min(gap).alias("gap"))
+def nearest_value(draws: DataFrame, table: DataFrame, value: str, key: str) -> DataFrame:
+    """Per draw (draw_id, v) the row whose value is closest, however far, the smaller key at ties."""
+    near = _beside(draws.select(F.col("v").alias("t")), table.select(F.col(value).alias("s")))
+    named = near.join(table.groupBy(F.col(value).cast("double").alias("s")).agg(F.min(key).alias(key)), "s")
+    gap = F.abs(F.col("t") - F.col("s"))
+    best = named.groupBy("t").agg(F.min_by(key, F.struct(gap.alias("g"), key)).alias(key), F.min(gap).alias("gap"))
+    return draws.withColumn("t", F.col("v").cast("double")).join(best, "t").select("draw_id", key, "gap")
 
 
 def temporal_neighbours(images: DataFrame, window: int, hours: float, key: str = "image_id", time: str = "t") -> DataFrame:

@@ -1,13 +1,14 @@
 """Shapes of masks: thinning, spurs, dilation, ridge sharpening.
 
 Whole-mask steps (neighbour counts, spur removal, dilation, gradient thinning) are joins and windows. Steps that look at a cell's
-3 x 3 in an order of their own run by component as grouped maps: no decision reaches past a component, so the result is that of
-the whole grid. A component is one task; its kernel works on its sorted cell list, not on its bounding box.
+3 x 3 in an order of their own run on packs of whole components as grouped maps: no decision reaches past a component, so the result
+is that of the whole grid. Packs are of bounded size, but for a component beyond that; kernels work on sorted cell lists.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -21,6 +22,8 @@ from tidegrid.operators.components import checkpointed
 
 #: Neighbours clockwise from above: bit k of a neighbour code is the k-th of these.
 RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+#: Cells of whole components that a task works on together.
+PACK_CELLS = 400_000
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
 
@@ -105,16 +108,18 @@ def cropped(mask: DataFrame, height: int, width: int, min_size: int = 7, connect
 
 
 class Cells:
-    """The cells of one component, with their neighbours as indices; the last index stands for none."""
+    """The cells of some components, with their neighbours of the same one as indices; the last index stands for none."""
 
-    def __init__(self, y: np.ndarray, x: np.ndarray):
-        y, x = y.astype(np.int64), x.astype(np.int64)
-        self.key = y * (1 << 32) + x
+    def __init__(self, y: np.ndarray, x: np.ndarray, component: np.ndarray | int = 0):
+        # room around each component, so that no step leads into the next row or component
+        y, x = y.astype(np.int64) - y.min() + 1, x.astype(np.int64) - x.min() + 1
+        width, height = x.max() + 2, y.max() + 2
+        self.key = (component * height + y) * width + x
         self.order = np.argsort(self.key)
         ranked = self.key[self.order]
         self.near = np.full((len(y), 8), len(y))
         for k, (dy, dx) in enumerate(RING):
-            want = (y + dy) * (1 << 32) + (x + dx)
+            want = self.key + dy * width + dx
             at = np.searchsorted(ranked, want).clip(max=len(y) - 1)
             hit = ranked[at] == want
             self.near[hit, k] = self.order[at[hit]]
@@ -174,15 +179,19 @@ def sharpen_kernel(cells: Cells, value: np.ndarray, y: np.ndarray, x: np.ndarray
     return flags[:-1]
 
 
-def _by_component(cells: DataFrame, kernel: Callable[[pd.DataFrame, Cells], np.ndarray], key: str = "label") -> DataFrame:
+def _by_component(cells: DataFrame, kernel: Callable[[pd.DataFrame, Cells], np.ndarray], key: str = "label", pack: int = PACK_CELLS) -> DataFrame:
+    """What the kernel keeps of the cells, many components at a time."""
     types = dict(cells.dtypes)
+    cells = checkpointed(cells)
+    packs = max(1, -(-cells.count() // pack))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        keep = kernel(pdf, Cells(pdf["y"].to_numpy(), pdf["x"].to_numpy()))
+        pdf = pdf.sort_values(["grid_id", key, "y", "x"], ignore_index=True)
+        keep = kernel(pdf, Cells(pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf.groupby(["grid_id", key], sort=False).ngroup().to_numpy()))
         return pdf.loc[keep, ["grid_id", key, "y", "x"]]
 
-    return cells.groupBy("grid_id", key).applyInPandas(run, f"grid_id {types['grid_id']}, {key} {types[key]}, y {types['y']}, x {types['x']}")
+    packed = cells.withColumn("_pack", F.pmod(F.xxhash64("grid_id", key), F.lit(packs)))
+    return packed.groupBy("_pack").applyInPandas(run, f"grid_id {types['grid_id']}, {key} {types[key]}, y {types['y']}, x {types['x']}")
 
 
 def thinned(mask: DataFrame, labels: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
@@ -207,46 +216,49 @@ def sharpened(labels: DataFrame, field: DataFrame, value: str, min_size: int = 1
     return got
 
 
-def _prune(cells: Cells, longest: int) -> np.ndarray:
-    """Branches from an end to a junction, of at most `longest` cells, taken off; a path without a junction stays."""
+def _prune(cells: Cells, longest: float) -> np.ndarray:
+    """Branches from an end to a junction of a length up to `longest` taken off, junctions left; a path without a junction stays.
+    A step to a side is one long, a diagonal one the root of two."""
     on = np.ones(len(cells.key), dtype=bool)
     while True:
         flags = np.append(on, False)
         count = flags[cells.near].sum(axis=1) * on
         gone = []
         for end in np.flatnonzero(count == 1):
-            path, now, last = [end], end, -1
-            while len(path) <= longest:
-                ahead = [j for j in cells.near[now] if flags[j] and j != last and j not in path]
+            path, length = [end], 0.0
+            while True:
+                ahead = [(j, k) for k, j in enumerate(cells.near[path[-1]]) if flags[j] and j not in path]
                 if len(ahead) != 1:
                     break
-                last, now = now, ahead[0]
-                if count[now] >= 3:
-                    gone.append(path)
+                j, k = ahead[0]
+                length += math.sqrt(2) if k % 2 else 1.0
+                if length > longest:
                     break
-                path.append(now)
-        gone = [p for p in gone if len(p) <= longest]
+                if count[j] >= 3:
+                    gone += path
+                    break
+                path.append(j)
         if not gone:
             return on
-        for p in gone:
-            on[p] = False
+        on[gone] = False
 
 
-def despurred(mask: DataFrame, longest: int) -> DataFrame:
-    """Skeletons without side branches of at most `longest` cells."""
+def despurred(mask: DataFrame, longest: float) -> DataFrame:
+    """Skeletons without side branches of a length up to `longest`."""
     return _by_component(skeletons(components.label(mask)), lambda _, c: _prune(c, longest)).select("grid_id", "y", "x")
 
 
 def gradient_thinned(mask: DataFrame, field: DataFrame, value: str, min_gap: int = 2, valid_from: float | None = None, min_gradient: float = 0.0) -> DataFrame:
     """Of each stretch of mask cells along a row, and along a column, the cell with the steepest central difference across it, the
-    first at ties; both passes together. Cells at most min_gap + 1 apart are one stretch."""
-    v = F.col(value) if valid_from is None else F.when(F.col(value) >= valid_from, F.col(value))
+    first at ties; both passes together. Cells at most min_gap + 1 apart are one stretch. The two cells across must be valid, above
+    valid_from if that is given; the cell itself need not be."""
+    v = F.when(~F.isnan(value) if valid_from is None else (F.col(value) > valid_from) & ~F.isnan(value), F.col(value))
     clean = field.select("grid_id", "y", "x", v.alias("v"))
 
     def one(line: str, along: str) -> DataFrame:
         w = Window.partitionBy("grid_id", line).orderBy(along)
         g = clean.withColumn("g", F.abs(F.max("v").over(w.rangeBetween(1, 1)) - F.max("v").over(w.rangeBetween(-1, -1))))
-        ok = mask.select("grid_id", "y", "x").join(g.filter(F.col("v").isNotNull() & (F.col("g") > min_gradient)), ["grid_id", "y", "x"])
+        ok = mask.select("grid_id", "y", "x").join(g.filter(F.col("g") > min_gradient), ["grid_id", "y", "x"])
         all_ = mask.select("grid_id", "y", "x").withColumn("new", F.coalesce(F.col(along) - F.lag(along).over(w) > min_gap + 1, F.lit(True)).cast("int"))
         stretch = all_.withColumn("s", F.sum("new").over(w)).drop("new")
         best = stretch.join(ok, ["grid_id", "y", "x"]).groupBy("grid_id", line, "s").agg(F.max_by(along, F.struct("g", -F.col(along))).alias(along))

@@ -6,6 +6,7 @@ Separable operators run as windows along rows, then along columns. Others send e
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.colocate import disk, spread
+from tidegrid.operators.ranking import percentiles
+
 
 def along(axis: str):
     """The window along x (a row's cells) or y (a column's)."""
@@ -27,15 +30,16 @@ def shift(value: Column, k: int, axis: str) -> Column:
 
 def global_threshold(cells: DataFrame, value: str, pct: float) -> DataFrame:
     """Cells above their grid's percentile; a grid without values gives none."""
-    cut = cells.groupBy("grid_id").agg(F.percentile(value, F.lit(pct / 100)).alias("_c"))
+    cut = percentiles(cells, value, [pct], "grid_id").withColumnRenamed("p0", "_c")
     return cells.join(cut, "grid_id").filter(F.col(value) > F.col("_c")).drop("_c")
 
 
 def separable(cells: DataFrame, value: str, size: int, **aggs) -> DataFrame:
-    """Aggregates over centred size x size windows: each of aggs is (function over a row's values, function over those)."""
-    h = size // 2
-    rows = cells.withColumns({f"_{n}": a(F.col(value)).over(along("x").rangeBetween(-h, h)) for n, (a, _) in aggs.items()})
-    return rows.withColumns({n: b(F.col(f"_{n}")).over(along("y").rangeBetween(-h, h)) for n, (_, b) in aggs.items()}).drop(*[f"_{n}" for n in aggs])
+    """Aggregates over centred size x size windows: each of aggs is (function over a row's values, function over those). An even
+    window reaches one cell further back than ahead."""
+    reach = (-(size // 2), size - 1 - size // 2)
+    rows = cells.withColumns({f"_{n}": a(F.col(value)).over(along("x").rangeBetween(*reach)) for n, (a, _) in aggs.items()})
+    return rows.withColumns({n: b(F.col(f"_{n}")).over(along("y").rangeBetween(*reach)) for n, (_, b) in aggs.items()}).drop(*[f"_{n}" for n in aggs])
 
 
 def peaks(cells: DataFrame, value: str, size: int, name: str) -> DataFrame:
@@ -58,20 +62,21 @@ def contextual_median(cells: DataFrame, value: str = "f") -> DataFrame:
     return flagged.join(mid, ["grid_id", "y", "x"], "left").withColumn(value, F.when(F.col("_flag"), F.col("_m")).otherwise(F.col(value))).drop("_flag", "_m")
 
 
-def iterated_median(cells: DataFrame, value: str = "f", target: float = 1e-3, rounds: int = 20) -> DataFrame:
-    """contextual_median until the root mean square of the changes of changed cells is at most the target."""
+def iterated_median(cells: DataFrame, value: str = "f", target: float = 0.01, rounds: int | None = None) -> DataFrame:
+    """contextual_median until the root mean square of the changes of changed cells is at most the target; what is returned is the
+    last round's. With rounds, a field that has not settled by then raises."""
     from tidegrid.operators.components import checkpointed
 
-    now = checkpointed(cells.select("grid_id", "y", "x", value))
-    for _ in range(rounds):
+    now, k = checkpointed(cells.select("grid_id", "y", "x", value)), 0
+    while rounds is None or k < rounds:
         new = checkpointed(contextual_median(now, value))
         d = F.col(value) - F.col("_old")
         both = new.join(now.select("grid_id", "y", "x", F.col(value).alias("_old")), ["grid_id", "y", "x"])
         rmse = both.filter(d != 0).agg(F.sqrt(F.avg(d * d))).first()[0]
-        now = new
+        now, k = new, k + 1
         if rmse is None or math.isnan(rmse) or rmse <= target:
-            break
-    return now
+            return now
+    raise RuntimeError(f"the field has not settled after {rounds} rounds")
 
 
 def median_filter(cells: DataFrame, value: str, size: int, height: int, width: int) -> DataFrame:
@@ -121,15 +126,16 @@ def buffered(cells: DataFrame, value: str, radius: int = 4) -> DataFrame:
     return cells.filter(F.col(value).isNotNull()).join(near, ["grid_id", "y", "x"], "left_anti")
 
 
-def within_band(cells: DataFrame, value: str, size: int, z: float) -> DataFrame:
-    """Values inside mean +- z standard deviations of their window; others are null."""
+def outside_band(cells: DataFrame, value: str, size: int = 64, confidence: float = 0.75) -> DataFrame:
+    """Values outside the normal confidence interval of their window (its mean and population deviation); others are null."""
+    z = NormalDist().inv_cdf((1 + confidence) / 2)
     sq = cells.withColumn("_q", F.col(value) * F.col(value))
     got = separable(sq, value, size, _s=(F.sum, F.sum), _n=(F.count, F.sum))
     got = separable(got, "_q", size, _ss=(F.sum, F.sum))
     mean = F.col("_s") / F.col("_n")
     std = F.sqrt(F.greatest(F.col("_ss") / F.col("_n") - mean * mean, F.lit(0.0)))
-    ok = (F.col(value) >= mean - z * std) & (F.col(value) <= mean + z * std)
-    return got.withColumn(value, F.when(ok, F.col(value))).drop("_q", "_s", "_n", "_ss")
+    out = (F.col(value) < mean - z * std) | (F.col(value) > mean + z * std)
+    return got.withColumn(value, F.when(out, F.col(value))).drop("_q", "_s", "_n", "_ss")
 
 
 def central_gradient(cells: DataFrame, value: str, name: str = "grad") -> DataFrame:
@@ -154,14 +160,16 @@ def gradient(cells: DataFrame, value: str) -> DataFrame:
 
 
 def masked_laplacian(cells: DataFrame, value: str, mask: str) -> DataFrame:
-    """d2/dx2 + mask * d2/dy2 with one-sided borders; adds rhs."""
+    """d2/dx2 + mask * d2/dy2 of a dense grid; on its edges the bare difference to the next cell inwards, in corners along the row.
+    Adds rhs."""
     v = F.col(value)
-
-    def second(axis: str) -> Column:
-        a, b = shift(v, -1, axis), shift(v, 1, axis)
-        return F.when(a.isNull(), b - v).when(b.isNull(), a - v).otherwise(a - 2 * v + b)
-
-    return cells.withColumn("rhs", second("x") + F.col(mask) * second("y"))
+    side = {(k, axis): shift(v, k, axis) for k in (-1, 1) for axis in "xy"}
+    edge = {(k, axis): F.lead(F.lit(1), k).over(along(axis)).isNull() if k > 0 else F.lag(F.lit(1)).over(along(axis)).isNull() for k, axis in side}
+    out = None
+    for at, inwards in (((-1, "x"), (1, "x")), ((1, "x"), (-1, "x")), ((-1, "y"), (1, "y")), ((1, "y"), (-1, "y"))):
+        out = (F if out is None else out).when(edge[at], side[inwards] - v)
+    inner = side[-1, "x"] + side[1, "x"] - 2 * v + F.col(mask) * (side[-1, "y"] + side[1, "y"] - 2 * v)
+    return cells.withColumn("rhs", out.otherwise(inner))
 
 
 def pixel_geometry(cells: DataFrame) -> DataFrame:
@@ -406,10 +414,9 @@ def local_threshold(cells: DataFrame, value: str, window: int = 64, pct: float =
     return cells.join(cut, ["grid_id", "y", "x"]).filter(F.col(value) > F.col("p0")).drop("p0")
 
 
-def within_percentiles(cells: DataFrame, value: str, window: int, lo: float, hi: float, tile: int = 128) -> DataFrame:
-    """Values inside the band of two percentiles of their window; others are null."""
-    cut = local_percentiles(cells, value, window, [lo, hi], tile)
-    ok = (F.col(value) >= F.col("p0")) & (F.col(value) <= F.col("p1"))
-    return cells.join(cut, ["grid_id", "y", "x"]).withColumn(value, F.when(ok, F.col(value))).drop("p0", "p1")
-
-
+def outside_percentiles(cells: DataFrame, value: str, window: int = 64, share: float = 75, tile: int = 128) -> DataFrame:
+    """Values outside the middle `share` per cent of their window; others are null."""
+    tail = (100 - share) / 2
+    cut = local_percentiles(cells, value, window, [tail, 100 - tail], tile)
+    out = (F.col(value) < F.col("p0")) | (F.col(value) > F.col("p1"))
+    return cells.join(cut, ["grid_id", "y", "x"]).withColumn(value, F.when(out, F.col(value))).drop("p0", "p1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators import archive, colocate, components, detect, geometry, morphology, stencil
 from tidegrid.plans import fixtures as fx
 from tidegrid.plans.stencils import r, size
+from tidegrid.sources import tables
 
 QUERIES, ORACLE = {}, {}
 E, M, O = fx.GRID_EVENTS, fx.MASK_INT, fx.GRID_ORDERS
@@ -155,7 +156,7 @@ def _pass(line: str, along: str) -> str:
     return f"""{n}a as (select m.grid_id, m.y, m.x, case when m.{along} - lag(m.{along}) over w > 3 then 1 else 0 end as nw from mask_int m window w as (partition by m.grid_id, m.{line} order by m.{along})),
 {n}b as (select *, sum(nw) over (partition by grid_id, {line} order by {along}) as s from {n}a),
 {n}g as (select a.y, a.x, abs(b.f - c.f) as g from grid_events a join grid_events b on b.{line} = a.{line} and b.{along} = a.{along} + 1 join grid_events c on c.{line} = a.{line} and c.{along} = a.{along} - 1
-  where a.f is not null and abs(b.f - c.f) > 0 and (a.y // 40 = b.y // 40) and (a.y // 40 = c.y // 40)),
+  where abs(b.f - c.f) > 0 and (a.y // 40 = b.y // 40) and (a.y // 40 = c.y // 40)),
 {n} as (select b.grid_id, b.{line}, arg_max(b.{along}, g * 1000000 - b.{along} * 0.000001) as {along} from {n}b b join {n}g g using (y, x) group by b.grid_id, b.{line}, b.s)"""
 
 
@@ -182,7 +183,7 @@ def m20(spark: SparkSession, d: str) -> DataFrame:
     return detect.automatic(g, "f", size(g), 100, window=8, threshold=75)["features"]
 
 
-@query("m21_features_of_many_cutouts")
+@query("m21_features_of_many_cutouts", rec(fx.CUTOUTS, "hot as (select uid as grid_id, y, x from cutouts join (select uid, quantile_cont(f, 0.8) as q from cutouts group by uid) using (uid) where f > q)", labelled("hot"), then="select grid_id, y, x, label from labels"))
 def m21(spark: SparkSession, d: str) -> DataFrame:
     c = fx.cutouts(spark, d).withColumnRenamed("uid", "grid_id")
     return components.label(stencil.global_threshold(c, "f", 80).select("grid_id", "y", "x"))
@@ -234,19 +235,23 @@ def g02(spark: SparkSession, d: str) -> DataFrame:
 @query("g03_orientation", rec(E, M, labelled(), then="""
 select grid_id, label, round(case when count(*) * sum(y * x) = sum(y) * sum(x) and count(*) * sum(y * y) - sum(y) * sum(y) = count(*) * sum(x * x) - sum(x) * sum(x) then 45.0
   else abs(degrees(0.5 * atan2(2 * (count(*) * sum(y * x) - sum(y) * sum(x))::double, (count(*) * sum(y * y) - sum(y) * sum(y) - count(*) * sum(x * x) + sum(x) * sum(x))::double))) end, 4) as orientation
-from labels group by grid_id, label having count(*) > 2"""))
+from labels group by grid_id, label"""))
 def g03(spark: SparkSession, d: str) -> DataFrame:
-    lab = components.label(fx.mask_int(spark, d))
-    big = lab.groupBy("grid_id", "label").count().filter("count > 2").select("grid_id", "label")
-    return geometry.orientation(lab.join(big, ["grid_id", "label"], "left_semi")).select("grid_id", "label", r("orientation", 4))
+    return geometry.orientation(components.label(fx.mask_int(spark, d))).select("grid_id", "label", r("orientation", 4))
 
 
-@query("g04_curvature", rec(E, M, labelled(), """t as (select grid_id, label, y, x, lag(y, 5) over w as ya, lag(x, 5) over w as xa, lead(y, 5) over w as yb, lead(x, 5) over w as xb from labels
-  window w as (partition by grid_id, label order by y, x))""", """k as (select grid_id, label, atan2(y - ya, x - xa) as a, atan2(yb - y, xb - x) as b,
-  sqrt(pow(y - ya, 2) + pow(x - xa, 2)) + sqrt(pow(yb - y, 2) + pow(xb - x, 2)) as arc from t)""",
-    then="""select grid_id, label, round(avg(abs(atan2(sin(b - a), cos(b - a)) / arc)), 5) as mean_curvature from k group by grid_id, label"""))
+HAV = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))))"
+
+
+@query("g04_curvature", rec(E, M, labelled(), PLACED, """t as (select grid_id, label, lat, lon, lag(lat, 5) over w as ta, lag(lon, 5) over w as na, lead(lat, 5) over w as tb, lead(lon, 5) over w as nb from placed
+  window w as (partition by grid_id, label order by y, x))""", f"""k as (select grid_id, label,
+  atan2({HAV.format('lat', 'ta', 'lon', 'lon')} * case when ta > lat then -1 else 1 end, {HAV.format('lat', 'lat', 'lon', 'na')} * case when na > lon then -1 else 1 end) as a,
+  atan2({HAV.format('lat', 'tb', 'lon', 'lon')} * case when tb < lat then -1 else 1 end, {HAV.format('lat', 'lat', 'lon', 'nb')} * case when nb < lon then -1 else 1 end) as b,
+  nullif({HAV.format('ta', 'tb', 'na', 'nb')}, 0) as arc from t)""", "j as (select *, case when b - a > pi() then b - a - 2 * pi() when b - a < -pi() then b - a + 2 * pi() else b - a end / arc as k from k)",
+    then="""select grid_id, label, round(avg(abs(k)), 5) as mean_curvature, round(avg(k), 5) + 0.0 as curvature_direction from j group by grid_id, label"""))
 def g04(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.curvature(components.label(fx.mask_int(spark, d))).select("grid_id", "label", r("mean_curvature"))
+    got = geometry.curvature(components.checkpointed(placed_labels(spark, d)))
+    return got.select("grid_id", "label", r("mean_curvature"), (F.round("curvature_direction", 5) + 0.0).alias("curvature_direction"))
 
 
 @query("g05_branches", rec(E, M, labelled(), CODES, then="""
@@ -269,10 +274,9 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("g12_longitude_shift", fx.with_sql(E, "s as (select y, x, ((lon + 1.7 * y + 400) % 9) as lon from grid_events)", then="""
-select arg_min(x, lon * 1000 + x * 0.0001)::int as shift from s where y = (select (max(y) + 1) // 2 from grid_events)"""))
+select 0::int as grid_id, -arg_min(x, lon * 1000 + x * 0.0001)::int as shift from s where y = (select (max(y) + 1) // 2 from grid_events)"""))
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.grid_events(spark, d).withColumn("lon", (F.col("lon") + 1.7 * F.col("y") + 400) % 9)
-    return g.filter(F.col("y") == size(g) // 2).agg(F.min_by("x", F.struct("lon", "x")).alias("shift"))
+    return geometry.longitude_shift(fx.grid_events(spark, d).withColumn("lon", (F.col("lon") + 1.7 * F.col("y") + 400) % 9))
 
 
 @query("g13_rolled", fx.with_sql(E, then="select y, (x + 37) % 100 as x, event_id from grid_events"))
@@ -280,9 +284,43 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
     return stencil.rolled(fx.grid_events(spark, d), 37, 100).select("y", "x", "event_id")
 
 
-@query("p24_front_ids")
+GRID_40 = "cells40 as (select (y // 40)::int as grid_id, y, x, lat, lon, f from grid_events)"
+
+
+def grid_40(spark: SparkSession, d: str) -> DataFrame:
+    """The event grid cut as the mask is."""
+    return fx.grid_events(spark, d).select(F.expr("cast(y div 40 as int)").alias("grid_id"), "y", "x", "lat", "lon", "f")
+
+
+@query("p24_front_ids", rec(E, M, labelled(), GRID_40, "mid as (select grid_id, label, round_even(avg(y), 0)::int as y, round_even(avg(x), 0)::int as x from labels group by grid_id, label)", then="""
+select grid_id, label, '20121109T120000_' || format('{:.1f}', abs(lat)) || case when lat >= 0 then 'N' else 'S' end || '_' || format('{:.1f}', abs(lon)) || case when lon >= 0 then 'E' else 'W' end as name
+from mid join cells40 using (grid_id, y, x)"""))
 def p24(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.front_ids(placed_labels(spark, d), "2012-11-09T12:00:00")
+    return geometry.front_ids(placed_labels(spark, d), "2012-11-09T12:00:00", grid=grid_40(spark, d))
+
+
+@query("g07_grouped", rec(E, M, labelled(), GRID_40, then="select grid_id, label, count(*) as npix, min(y) as y0, max(x) + 1 as x1, (select count(*) from labels) as n_label_cells from labels group by grid_id, label"))
+def g07(spark: SparkSession, d: str) -> DataFrame:
+    """All of a run's tables, the index checked against the labels."""
+    got = geometry.grouped(fx.mask_int(spark, d), grid_40(spark, d), "2012-11-09T12:00:00", ["f"], config="A")
+    both = got["index"].select("grid_id", "label", "npix").join(got["geometry"].select("grid_id", "label", "y0", "x1"), ["grid_id", "label"])
+    return both.crossJoin(F.broadcast(got["metadata"].select("n_label_cells")))
+
+
+@query("s08_loaded_run", rec(E, M, O, labelled(), GRID_40, "st as (select l.grid_id, label, avg(g) as m from labels l join grid_orders o on o.y = l.y and o.x = l.x and l.y // 40 = l.grid_id group by 1, 2), n as (select grid_id, label, count(*) as npix from labels group by 1, 2)", then="""
+select l.grid_id, l.label, l.y, (l.x + 37) % 100 as x, round(c.lat, 6) as lat, n.npix, round(st.m, 4) as g_mean from labels l join cells40 c using (grid_id, y, x) join n using (grid_id, label) left join st using (grid_id, label)"""))
+def s08(spark: SparkSession, d: str) -> DataFrame:
+    grid = grid_40(spark, d)
+    run = geometry.grouped(fx.mask_int(spark, d), grid, "2012-11-09T12:00:00", ["f"], skip_curvature=True)
+    field = fx.grid_orders(spark, d).withColumn("grid_id", F.expr("cast(y div 40 as int)")).select("grid_id", "y", "x", "g")
+    stats = colocate.colocate(run["labels"], field, ["g"], stats=("mean",))
+    meta = run["metadata"].withColumn("width", F.lit(100))
+    return tables.loaded_run(meta, run["labels"], run["geometry"].select("grid_id", "label", "npix"), stats, grid, 37).select("grid_id", "label", "y", "x", r("lat", 6), "npix", r("g_mean", 4))
+
+
+@query("g09_approximate_positions", fx.with_sql(E, then="select y, x, round(-60 + y * 2.25 / 111, 6) as lat, round(-170 + x * 2.25 / (111 * cos(radians(-60 + y * 2.25 / 111))), 6) as lon from grid_events"))
+def g09(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.approximate_positions(fx.grid_events(spark, d).drop("lat", "lon"), -60.0, -170.0).select("y", "x", r("lat", 6), r("lon", 6))
 
 
 LC = fx.LABEL_CELLS
@@ -310,14 +348,14 @@ def a02(spark: SparkSession, d: str) -> DataFrame:
     return colocate.label_statistics(c, ["q"], ("mean", "max")).withColumn("q_mean", F.round("q_mean", 5))
 
 
-@query("a05_colocated", rec(E, M, O, labelled(), DISK, """grown as (select grid_id, (y + dy)::int as y, (x + dx)::int as x, arg_min(label, d2 * 100000 + label) as label from labels, o
-  where y + dy >= 0 and x + dx >= 0 group by 1, 2, 3)""", then="""
-select g.grid_id, g.label, count(*) as npix, round(avg(g), 6) as g_mean, round(median(g), 6) as g_median, round(quantile_cont(g, 0.9), 6) as g_p90
-from grown g join grid_orders o on o.y = g.y and o.x = g.x and o.y // 40 = g.grid_id group by 1, 2"""))
+@query("a05_colocated", rec(E, M, O, labelled(), DISK, """sized as (select grid_id, label, count(*) as npix from labels group by 1, 2 having count(*) >= 3)""", """grown as (select grid_id, (y + dy)::int as y, (x + dx)::int as x,
+  arg_min(label, d2 * 100000 + label) as label from labels join sized using (grid_id, label) cross join o where y + dy >= 0 and x + dx >= 0 group by 1, 2, 3)""", """st as (
+  select g.grid_id, g.label, round(avg(g), 6) as g_mean, round(median(g), 6) as g_median, round(quantile_cont(g, 0.9), 6) as g_p90
+  from grown g join grid_orders o on o.y = g.y and o.x = g.x and o.y // 40 = g.grid_id and o.x % 3 <> 0 group by 1, 2)""", then="select grid_id, label, npix, npix as g_count, g_mean, g_median, g_p90 from sized left join st using (grid_id, label)"))
 def a05(spark: SparkSession, d: str) -> DataFrame:
-    field = fx.grid_orders(spark, d).withColumn("grid_id", F.expr("cast(y div 40 as int)")).select("grid_id", "y", "x", "g")
-    got = colocate.colocate(components.label(fx.mask_int(spark, d)), field, ["g"], 2, stats=("mean", "median"), percentiles=(90,))
-    return got.select("grid_id", "label", "npix", *[r(c, 6) for c in ("g_mean", "g_median", "g_p90")])
+    field = fx.grid_orders(spark, d).filter("x % 3 <> 0").withColumn("grid_id", F.expr("cast(y div 40 as int)")).select("grid_id", "y", "x", "g")
+    got = colocate.colocate(components.label(fx.mask_int(spark, d)), field, ["g"], 2, min_size=3, stats=("mean", "median", "count"), percentiles=(90,))
+    return got.select("grid_id", "label", "npix", "g_count", *[r(c, 6) for c in ("g_mean", "g_median", "g_p90")])
 
 
 @query("flagship_front_statistics", rec(E, O, "hot as (select 0 as grid_id, y, x, lat, lon from grid_events where f > (select quantile_cont(f, 0.9) from grid_events))", labelled("hot", "labels"), then="""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def n05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n06_iterated_median")
 def n06(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.iterated_median(fx.grid_events(spark, d), "f", target=0.5, rounds=6).select("y", "x", r("f"))
+    return stencil.iterated_median(fx.grid_events(spark, d), "f", target=0.01).select("y", "x", r("f"))
 
 
 @query("n07_sobel", fx.with_sql(E, """b as (select y, x, lat, coalesce(f, 0) as f from grid_events)""", """t as (
@@ -99,18 +100,21 @@ def n08(spark: SparkSession, d: str) -> DataFrame:
     return stencil.buffered(fx.grid_events(spark, d), "f", 2).select("y", "x")
 
 
+_Z = NormalDist().inv_cdf(0.875)
+
+
 @query("n09_confidence_band", fx.with_sql(E, """w as (
   select a.y, a.x, max(a.f) as f, avg(b.f) as m, stddev_pop(b.f) as s from grid_events a join grid_events b
-  on b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2 group by a.y, a.x)""", then="select y, x, f from w where f between m - 1.5 * s and m + 1.5 * s"))
+  on b.y between a.y - 3 and a.y + 2 and b.x between a.x - 3 and a.x + 2 group by a.y, a.x)""", then=f"select y, x, f from w where f < m - {_Z!r} * s or f > m + {_Z!r} * s"))
 def n09(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.within_band(fx.grid_events(spark, d), "f", 5, 1.5).filter("f is not null").select("y", "x", "f")
+    return stencil.outside_band(fx.grid_events(spark, d), "f", 6, 0.75).filter("f is not null").select("y", "x", "f")
 
 
 @query("n10_percentile_band", fx.with_sql(E, """w as (
-  select a.y, a.x, max(a.f) as f, quantile_cont(b.f, 0.2) as lo, quantile_cont(b.f, 0.8) as hi from grid_events a join grid_events b
-  on b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2 group by a.y, a.x)""", then="select y, x, f from w where f between lo and hi"))
+  select a.y, a.x, max(a.f) as f, quantile_cont(b.f, 0.125) as lo, quantile_cont(b.f, 0.875) as hi from grid_events a join grid_events b
+  on b.y between a.y - 3 and a.y + 2 and b.x between a.x - 3 and a.x + 2 group by a.y, a.x)""", then="select y, x, f from w where f < lo or f > hi"))
 def n10(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.within_percentiles(fx.grid_events(spark, d), "f", 5, 20, 80, tile=50).filter("f is not null").select("y", "x", "f")
+    return stencil.outside_percentiles(fx.grid_events(spark, d), "f", 6, 75, tile=50).filter("f is not null").select("y", "x", "f")
 
 
 MIRROR = "case when {c} < 0 then -1 - ({c}) when {c} >= {n} then 2 * {n} - 1 - ({c}) else {c} end"
@@ -146,12 +150,12 @@ def n15(spark: SparkSession, d: str) -> DataFrame:
     return stencil.gradient(fx.grid_orders(spark, d), "g").filter("gx >= 200000").select("y", "x")
 
 
-@query("n16_masked_laplacian", fx.with_sql(O, shifted("grid_orders", "v"), then="""
-select y, x, round(case when l is null then r - v when r is null then l - v else l - 2 * v + r end
-  + (x % 2) * case when u2 is null then d - v when d is null then u2 - v else u2 - 2 * v + d end, 5) as rhs from (select s.* exclude (u), s.u as u2 from s)""").replace("n2.v as u", "n2.v as u_up").replace("s.* exclude (u), s.u as u2", "s.*, s.u_up as u2"))
+@query("n16_masked_laplacian", fx.with_sql(O, shifted("grid_orders", "g").replace("n2.g as u", "n2.g as up"), then="""
+select y, x, round(case when x = 0 then r - g when x = 99 then l - g when y = 0 then d - g when y = (select max(y) from s) then up - g
+  else l + r - 2 * g + (x % 2) * (up + d - 2 * g) end, 4) as rhs from s"""))
 def n16(spark: SparkSession, d: str) -> DataFrame:
     g = fx.grid_orders(spark, d).withColumn("mask", (F.col("x") % 2).cast("double"))
-    return stencil.masked_laplacian(g, "v", "mask").select("y", "x", r("rhs"))
+    return stencil.masked_laplacian(g, "g", "mask").select("y", "x", r("rhs", 4))
 
 
 @query("n18_pixel_geometry", fx.with_sql(E, """c as (select grid_id, y, x, lat + 0.01 * x as lat, lon - 0.02 * y as lon from grid_events)""",
@@ -163,7 +167,8 @@ def n18(spark: SparkSession, d: str) -> DataFrame:
     return stencil.pixel_geometry(c).filter("dist_x is not null and dist_y is not null").select("y", "x", r("dist_x", 4), r("dist_y", 4))
 
 
-@query("n19_geographic_gradient")
+@query("n19_geographic_gradient", fx.with_sql(E, shifted("grid_events", "f").replace("n0.f as l", "n0.f as l, n0.lon as ll").replace("n1.f as r", "n1.f as r, n1.lon as lr").replace("n2.f as u", "n2.f as u, n2.lat as lu").replace("n3.f as d", "n3.f as d, n3.lat as ld"),
+    then="""select y, x, round((r - l) / ((lr - ll) * cos(radians(lat)) * 111), 5) as g_east, round((d - u) / ((ld - lu) * 111), 5) as g_north from s where l + r + u + d is not null"""))
 def n19(spark: SparkSession, d: str) -> DataFrame:
     return stencil.geographic_gradient(fx.grid_events(spark, d), "f").filter("g_east is not null").select("y", "x", r("g_east"), r("g_north"))
 
@@ -179,9 +184,11 @@ def n20(spark: SparkSession, d: str) -> DataFrame:
     return k.select("y", "x", r("vorticity", 7), r("divergence", 7), r("strain", 4), r("okubo_weiss", 3))
 
 
-@query("n20_frontogenesis")
+@query("n20_frontogenesis", fx.with_sql(O, UV.replace("ul, n0.v as vl", "ul, n0.v as vl, n0.g as gl").replace("ur, n1.v as vr", "ur, n1.v as vr, n1.g as gr").replace("uu, n2.v as vu", "uu, n2.v as vu, n2.g as gu").replace("ud, n3.v as vd", "ud, n3.v as vd, n3.g as gd"),
+    "k as (select y, x, (ur - ul) / 2 as ux, (ud - uu) / 2 as uy, (vr - vl) / 2 as vx, (vd - vu) / 2 as vy, (gr - gl) / 2 as bx, (gd - gu) / 2 as b_y from su)", then="""
+select y, x, round((bx * bx + b_y * b_y) / 1e6, 3) as grad2, round(-(bx * bx * ux + b_y * b_y * vy + bx * b_y * (vx + uy)) / 1e9, 3) as frontogenesis from k where ux + uy + vx + vy + bx + b_y is not null"""))
 def n20b(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.frontogenesis(stencil.kinematics(fx.grid_orders(spark, d)), "g").filter("frontogenesis is not null").select("y", "x", F.round("grad2", 0).alias("grad2"))
+    return stencil.frontogenesis(stencil.kinematics(fx.grid_orders(spark, d)), "g").filter("frontogenesis is not null").select("y", "x", F.round(F.col("grad2") / 1e6, 3).alias("grad2"), F.round(F.col("frontogenesis") / 1e9, 3).alias("frontogenesis"))
 
 
 @query("n21_seam", fx.with_sql(E, "c as (select grid_id, y, x, lat + case when y >= 50 then 20 else 0 end as lat, lon from grid_events)", then="""

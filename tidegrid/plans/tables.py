@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import ocean
-from tidegrid.operators import archive, catalog, features, histograms, match
+from tidegrid.operators import archive, catalog, features, histograms, match, ranking
 from tidegrid.operators.ranking import numbered_rows
 from tidegrid.plans import fixtures as fx
 from tidegrid.plans.stencils import r, size
@@ -77,7 +77,7 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
 @query("p22_aligned_units", fx.with_sql(O, "m as (select median(g) as m from grid_orders)", then="select y, x, round(case when m > 200 then g - 273.15 else g end, 6) as g from grid_orders, m"))
 def p22(spark: SparkSession, d: str) -> DataFrame:
     g = fx.grid_orders(spark, d)
-    return g.crossJoin(F.broadcast(g.agg(F.median("g").alias("m")))).select("y", "x", F.round(F.when(F.col("m") > 200, F.col("g") - 273.15).otherwise(F.col("g")), 6).alias("g"))
+    return g.crossJoin(F.broadcast(ranking.percentiles(g, "g", [50]).withColumnRenamed("p0", "m"))).select("y", "x", F.round(F.when(F.col("m") > 200, F.col("g") - 273.15).otherwise(F.col("g")), 6).alias("g"))
 
 
 @query("p05_p06_p10_regions", fx.with_sql(E, then="select y, x from grid_events where lat between -59.51 and -55.01 and lon between -169 and -165.05 and f is not null and f > 0"))
@@ -203,12 +203,12 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j14_nearest_value", fx.with_sql("p as (select p_partkey as draw_id, (p_partkey * 7919 % 1000) * 550.0 as v from part)", """k as (
-  select draw_id, o_orderkey as uid, abs(v - o_totalprice) as gap, row_number() over (partition by draw_id order by abs(v - o_totalprice), o_orderkey) as k from p, orders where abs(v - o_totalprice) < 5000)""",
+  select draw_id, o_orderkey as uid, abs(v - o_totalprice) as gap, row_number() over (partition by draw_id order by abs(v - o_totalprice), o_orderkey) as k from p, orders)""",
     then="select draw_id, uid, round(gap, 4) as gap from k where k = 1"))
 def j14(spark: SparkSession, d: str) -> DataFrame:
     draws = fx.read(spark, d, "part").select(F.col("p_partkey").alias("draw_id"), ((F.col("p_partkey") * 7919 % 1000) * 550.0).alias("v"))
-    got = match.nearest_value(draws, fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), "o_totalprice"), "o_totalprice", "uid", 5000.0)
-    return got.filter("gap < 5000").withColumn("gap", F.round("gap", 4))
+    got = match.nearest_value(draws, fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), "o_totalprice"), "o_totalprice", "uid")
+    return got.withColumn("gap", F.round("gap", 4))
 
 
 # --- splits and training sets --------------------------------------------------------------------------------------------
@@ -228,11 +228,11 @@ def t05(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("t07_catalogue", fx.with_sql(E, "t as (select distinct last_day(o_orderdate)::date as day from orders)", then="""
-select y, x, strftime(day, '%Y-%m-%d') as datetime from grid_events, t where y % 10 = 0 and x % 10 = 0"""))
+select y, x, strftime(day, '%Y-%m-%d') as datetime from grid_events, t"""))
 def t07(spark: SparkSession, d: str) -> DataFrame:
-    """Month ends of the orders times every tenth point of the event grid."""
+    """Month ends of the orders times every point of the event grid."""
     times = fx.read(spark, d, "orders").select(F.last_day("o_orderdate").alias("day")).distinct()
-    points = fx.grid_events(spark, d).filter("y % 10 = 0 and x % 10 = 0").select("y", "x", "lat", "lon")
+    points = fx.grid_events(spark, d).select("y", "x", "lat", "lon")
     return catalog.generate(points, times).select("y", "x", F.col("datetime").cast("string").alias("datetime"))
 
 
@@ -270,8 +270,8 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
 @query("s12_by_subset", "select case when p_size < 20 then 'small' when p_size < 40 then 'large' end as subset, array_to_string(list_sort(list(distinct p_brand)), ',') as properties from part where p_brand <> 'Brand#11' group by 1")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     p = fx.read(spark, d, "part").select(F.col("p_brand").alias("property"), F.expr("case when p_size < 20 then 'small' when p_size < 40 then 'large' end").alias("subset"))
-    todo = p.filter("property <> 'Brand#11'")
-    return todo.groupBy("subset").agg(F.array_join(F.sort_array(F.collect_set("property")), ",").alias("properties"))
+    got = tables.by_subset(p.select("property"), p.distinct(), p.filter("property = 'Brand#11'").select("property").distinct())
+    return got.select("subset", F.array_join("properties", ",").alias("properties"))
 
 
 @query("s14_merged_inventories", fx.with_sql("a as (select epoch(o_orderdate)::bigint as s, o_orderkey as k, 0 as q from orders where o_orderkey % 2 = 0 union all select epoch(o_orderdate)::bigint, o_orderkey, 1 from orders where o_orderkey % 3 = 0)", then="""
@@ -294,6 +294,40 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     return tables.run_metadata(g, g.select("grid_id", F.col("y").alias("label")), ["f"], config="A").select("height", "width", "n_cells", r("lat_min", 6), r("lat_max", 6))
 
 
+@query("p08_p09_columns", fx.with_sql(LC, then="select label, count(*) as npix, round(median(p1), 5) as p1, round(avg(p2), 5) as p2, round(median(p1), 5) as p1_median from label_cells group by label"))
+def p08(spark: SparkSession, d: str) -> DataFrame:
+    from tidegrid.operators.colocate import label_statistics
+
+    c = fx.label_cells(spark, d)
+    both = label_statistics(c, ["p1"], ("median", "mean")).join(label_statistics(c, ["p2"], ("mean",)).drop("npix"), "label")
+    some = tables.columns_like(both, ("p1",), ("_median",), ("label", "npix", "p2_mean"))
+    assert some.columns == ["label", "npix", "p1_median", "p2_mean"]
+    one, two = tables.first_available(some, "p1"), tables.first_available(some, "p2")
+    return some.select("label", "npix", one, two, "p1_median").select("label", "npix", r("p1"), r("p2"), r("p1_median"))
+
+
+@query("j15_split_rows", fx.with_sql(C, then="select uid from catalog where uid % 3 = 1 and month in (1, 4)"))
+def j15(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d).withColumns({"split": (F.col("uid") % 3).cast("int"), "t": F.col("month")})
+    return catalog.split_rows(c, "train", c.filter("uid % 3 = 1").select("uid"), c.filter("month in (1, 4)")).select("uid")
+
+
+@query("t09_gathered", fx.with_sql(fx.CUTOUTS, then="select uid, y, x, round(f, 6) as f, case when uid % 5 <> 0 then round(f * 2, 6) end as g from cutouts"))
+def t09(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.cutouts(spark, d)
+    long = c.select("uid", "y", "x", F.explode(F.create_map(F.lit("f"), F.col("f"), F.lit("g"), F.col("f") * 2, F.lit("h"), F.col("f") * 3)).alias("field", "value"))
+    got = catalog.gathered(long.filter("field <> 'g' or uid % 5 <> 0"), ["f", "g"])
+    return got.select("uid", "y", "x", r("f", 6), r("g", 6))
+
+
+@query("t12_training_set", fx.with_sql(C, f"k as (select uid, row_number() over (order by {H}, uid) as k from catalog)", then="""
+select uid, case when k <= 200 then 'train' when k <= 250 then 'valid' else 'test' end as split, case when k <= 200 then 1 when k <= 250 then 0 else 2 end as pp_type,
+  64 as n, round(2 * cast(embedding[64] as double), 6) as last from k join embeddings on vec_id = uid where k <= 300"""))
+def t12(spark: SparkSession, d: str) -> DataFrame:
+    got = catalog.training_set(fx.catalog(spark, d), fx.cutouts(spark, d).withColumn("g", F.col("f") * 2), ["f", "g"], {"train": 200, "valid": 50, "test": 50}, seed=1)
+    return got.select("uid", "split", "pp_type", F.size(got.channels[0]).alias("n"), F.round(got.channels[1][63], 6).alias("last"))
+
+
 # --- histograms ----------------------------------------------------------------------------------------------------------
 
 BIN = "case when {v} >= {lo} and {v} <= {hi} then least(floor(({v} - ({lo})) / ({w}))::int, {n} - 1) end"
@@ -307,9 +341,12 @@ def a09(spark: SparkSession, d: str) -> DataFrame:
     return histograms.joint(fx.grid_orders(spark, d), *JP).withColumn("pdf", F.round("pdf", 9))
 
 
-@query("a10_auto_range", "select round(quantile_cont(o_totalprice, 0.01), 5) as lo, round(quantile_cont(o_totalprice, 0.99), 5) as hi from orders")
+@query("a10_auto_range", fx.with_sql(O, "q as (select quantile_cont(u, 0.01) as lo, quantile_cont(u, 0.99) as hi from grid_orders)", then="""
+select round(greatest(0, lo), 5) as lo, round(hi, 5) as hi, round(-greatest(abs(lo), abs(hi)), 5) as sym_lo from q"""))
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    return fx.read(spark, d, "orders").agg(F.percentile("o_totalprice", F.array(F.lit(0.01), F.lit(0.99))).alias("p")).select(F.round(F.get("p", F.lit(0)), 5).alias("lo"), F.round(F.get("p", F.lit(1)), 5).alias("hi"))
+    u = fx.grid_orders(spark, d)
+    (lo, hi), (sym, _) = histograms.percentile_range(u, "u"), histograms.percentile_range(u, "u", symmetric=True)
+    return spark.createDataFrame([(lo, hi, sym)], "lo double, hi double, sym_lo double").select(r("lo"), r("hi"), r("sym_lo"))
 
 
 @query("a11_conditional_mean", fx.with_sql(O, UVB, then="select bx, \"by\", count(g) as n, case when count(g) >= 60 then round(sum(g) / count(g), 3) end as mean from c group by bx, \"by\""))
@@ -338,7 +375,8 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     return histograms.binned_map(fx.catalog(spark, d), "label", 12, 18, 2).withColumn("mean", F.round("mean", 6))
 
 
-@query("a16_log_joint")
+@query("a16_log_joint", fx.with_sql(O, """b as (select case when v between -50 and 50 then least(floor((v + 50) / 10)::int, 9) end as bx,
+  case when g between 1000 and 600000 then least(floor((log10(g) - 3) / ((log10(600000) - 3) / 12))::int, 11) end as "by" from grid_orders)""", then="select bx, \"by\", count(*) as n from b where bx is not null and \"by\" is not null group by bx, \"by\""))
 def a16(spark: SparkSession, d: str) -> DataFrame:
     return histograms.log_joint(fx.grid_orders(spark, d), "v", "g", 10, 12, (-50, 50), (1000, 600000)).select("bx", "by", "n")
 

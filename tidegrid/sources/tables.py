@@ -69,3 +69,35 @@ def run_metadata(cells: DataFrame, labels: DataFrame, fields: list[str], **param
     )
     b = labels.agg(F.count(F.lit(1)).alias("n_label_cells"), F.count_distinct("grid_id", "label").alias("n_labels"))
     return a.crossJoin(F.broadcast(b)).withColumn("fields", F.array(*[F.lit(f) for f in fields])).withColumns({k: F.lit(v) for k, v in params.items()})
+
+
+def columns_like(df: DataFrame, prefixes: tuple[str, ...] = ("",), suffixes: tuple[str, ...] = ("",), always: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that are always kept and those with one of the prefixes and one of the suffixes, in the table's order."""
+    return df.select([F.col(f"`{c}`") for c in df.columns if c in always or (c.startswith(prefixes) and c.endswith(suffixes))])
+
+
+def first_available(df: DataFrame, name: str, suffixes: tuple[str, ...] = ("_median", "_mean", "")) -> Column:
+    """The first column of the name with one of the suffixes that the table has, under the bare name."""
+    for s in suffixes:
+        if name + s in df.columns:
+            return F.col(f"`{name + s}`").alias(name)
+    raise KeyError(f"no column of {name}")
+
+
+def write_metadata(metadata: DataFrame, path: str) -> None:
+    """The row of a run beside its data, as JSON."""
+    metadata.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def loaded_run(metadata: DataFrame, labels: DataFrame, geometry: DataFrame, colocation: DataFrame, coords: DataFrame, roll: int = 0) -> DataFrame:
+    """A run's results as one table of its labelled cells: label, position, the label's geometry and co-located statistics, rolled
+    along x by `roll` columns of the width that the metadata gives. A label without statistics keeps its cells."""
+    per_label = geometry.join(colocation.drop("npix"), ["grid_id", "label"], "left")
+    cells = labels.join(coords.select("grid_id", "y", "x", "lat", "lon"), ["grid_id", "y", "x"], "left").join(per_label, ["grid_id", "label"], "left")
+    if not roll:
+        return cells
+    return cells.crossJoin(F.broadcast(metadata.select("width").limit(1))).withColumn("x", F.pmod(F.col("x") + roll, F.col("width"))).drop("width")
