@@ -247,7 +247,7 @@ HAV = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians({1} - {0}) / 2), 2) + cos(r
   window w as (partition by grid_id, label order by y, x))""", f"""k as (select grid_id, label,
   atan2({HAV.format('lat', 'ta', 'lon', 'lon')} * case when ta > lat then -1 else 1 end, {HAV.format('lat', 'lat', 'lon', 'na')} * case when na > lon then -1 else 1 end) as a,
   atan2({HAV.format('lat', 'tb', 'lon', 'lon')} * case when tb < lat then -1 else 1 end, {HAV.format('lat', 'lat', 'lon', 'nb')} * case when nb < lon then -1 else 1 end) as b,
-  nullif({HAV.format('ta', 'tb', 'na', 'nb')}, 0) as arc from t)""", "j as (select *, case when b - a > pi() then b - a - 2 * pi() when b - a < -pi() then b - a + 2 * pi() else b - a end / arc as k from k)",
+  case when ta is not null and tb is not null then nullif({HAV.format('ta', 'tb', 'na', 'nb')}, 0) end as arc from t)""", "j as (select *, case when b - a > pi() then b - a - 2 * pi() when b - a < -pi() then b - a + 2 * pi() else b - a end / arc as k from k)",
     then="""select grid_id, label, round(avg(abs(k)), 5) as mean_curvature, round(avg(k), 5) + 0.0 as curvature_direction from j group by grid_id, label"""))
 def g04(spark: SparkSession, d: str) -> DataFrame:
     got = geometry.curvature(components.checkpointed(placed_labels(spark, d)))
