@@ -6,7 +6,7 @@ a row for each byte value, so the response is a sum of table rows; for use, the
 over pairs of bytes. A text is cut into windows from its first byte to its last, and its prediction is the mean over all of them.
 
 Training takes a bounded sample: at most SAMPLE_ROWS labelled texts, chosen by a hash of their id, the languages as even as the
-table allows, and WINDOWS_PER_TEXT windows of each, spread over the text. Only those windows come to the driver.
+table allows (at most SAMPLE_ROWS / 8 languages, the most frequent ones), and WINDOWS_PER_TEXT windows of each, spread over the text. Only those windows come to the driver.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned. Ties go to
 the language that sorts first. Repeated rows each give a row, extra columns are ignored, an empty table gives no rows.

@@ -167,6 +167,9 @@ def reached(placed: DataFrame, rounds: int = 60) -> DataFrame:
         point = written(
             point.join(onward, ["file", "to_split", "to_run"]).select("file", "split", "run", F.col("far").alias("to"), F.col("far_split").alias("to_split"), F.col("far_run").alias("to_run")), "pointers"
         )
+    else:
+        if not point.isEmpty():
+            raise RuntimeError(f"chains of runs were not followed to their ends in {rounds} rounds")
     entry = hit.groupBy("file", "split", "run").agg(F.min("entry").alias("entry"))
     return nodes.join(entry, ["file", "split", "run"]).filter(F.col("off") >= F.col("entry")).select("file", "split", "i", "off")
 
