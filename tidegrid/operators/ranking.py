@@ -33,12 +33,19 @@ def percentiles(df: DataFrame, value: str, pcts: list[float], *by: str, direct:
     a few rows in `accuracy`; values below a bracket are counted, and only those within it are ordered, as distinct values."""
     names = [f"p{k}" for k in range(len(pcts))]
     some = df.select(*by, F.col(value).cast("double").alias("v")).filter("v is not null")
-    whole = some.groupBy(*by).agg(F.percentile("v", F.array(*[F.lit(p / 100) for p in pcts])).alias("p"))
-    plain = lambda d: d.select(*by, *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(names)])
-    sizes = some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) <= direct:
-        return plain(whole)
-    slack = 2.5 / accuracy
+    sizes = checkpointed(some.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.filter(F.col("n") > direct)
+    least = large.agg(F.min("n")).first()[0]
+
+    def whole(rows: DataFrame) -> DataFrame:
+        got = rows.groupBy(*by).agg(F.percentile("v", F.array(*[F.lit(p / 100) for p in pcts])).alias("p"))
+        return got.select(*by, *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(names)])
+
+    if least is None:
+        return whole(some)
+    few = whole(some.join(large.select(*by), list(by), "left_anti")) if by else None
+    some = some.join(large.select(*by), list(by), "left_semi") if by else some
+    slack = 2.5 / accuracy + 3 / least
     ends = [min(1.0, max(0.0, p / 100 + s)) for p in pcts for s in (-slack, slack)]
     sketch = checkpointed(some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, accuracy).alias("e"), F.min("v").alias("least"), F.max("v").alias("most")))
     asked = sketch.select(*by, "n", F.posexplode(F.array(*[
@@ -57,4 +64,5 @@ def percentiles(df: DataFrame, value: str, pcts: list[float], *by: str, direct:
     each = checkpointed(got)
     if not each.filter("x is null").isEmpty():
         raise RuntimeError("a rank lies outside its bracket: raise the accuracy")
-    return each.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(n) for k, n in enumerate(names)])
+    out = each.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(n) for k, n in enumerate(names)])
+    return out if few is None else out.unionByName(few)
