@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +31,21 @@ def rossby(value: Column, lat: Column, lat_min: float = 5.0, f_min: float = 1e-5
     return F.when((F.abs(lat) >= lat_min) & (F.abs(f) >= f_min), value / (F.abs(f) if absolute else f))
 
 
+def normalised(value: Column, lat: Column, absolute: bool = False) -> Column:
+    """value / f, or / |f|; on the equator the value as it is."""
+    return F.coalesce(by_coriolis(value, lat, absolute), value)
+
+
+def is_land(*properties: str) -> Column:
+    """Whether all properties of a cell are missing."""
+    return reduce(and_, [F.col(c).isNull() | F.isnan(c) for c in properties])
+
+
+def is_ocean(*squared: str) -> Column:
+    """Whether all squared gradients of a cell are there and above 0."""
+    return reduce(and_, [F.coalesce((F.col(c) > 0) & ~F.isnan(c), F.lit(False)) for c in squared])
+
+
 def turner_angle(b2: Column, s2: Column, t2: Column, r2: Column) -> Column:
     """Horizontal Turner angle in degrees from squared gradients; null where density has none."""
     return F.when(r2 > 0, F.degrees(F.atan(F.lit(RHO0) * (F.lit(BETA**2) * s2 - F.lit(ALPHA**2) * t2) / (-r2 / RHO0))))

@@ -185,6 +185,22 @@ def _dct(n: int) -> np.ndarray:
     return m
 
 
+#: Least gradients that are real edges, by type of image; chlorophyll is measured in its logarithm.
+EDGES = {"sst": 0.8, "chlorophyll": 0.1}
+
+
+def destriped_as(cells: DataFrame, value: str, height: int, width: int, kind: str = "sst", threshold: float | None = None, key: str = "image_id") -> DataFrame:
+    """destriped with the threshold of the type of image. Chlorophyll images without negative values are taken as log10(x + 1e-6),
+    unless a threshold of one's own is given; an unknown type raises."""
+    if threshold is None and kind not in EDGES:
+        raise ValueError(f"unknown type of image: {kind}")
+    if threshold is None and kind == "chlorophyll":
+        signs = cells.groupBy(key).agg((F.min(value) >= 0).alias("_log"))
+        v = F.col(value)
+        cells = cells.join(signs, key).withColumn(value, F.when(F.col("_log"), F.log10(F.when(F.col("_log"), v + 1e-6))).otherwise(v)).drop("_log")
+    return destriped(cells, value, height, width, EDGES[kind] if threshold is None else threshold, key)
+
+
 def destriped(cells: DataFrame, value: str, height: int, width: int, threshold: float, key: str = "image_id") -> DataFrame:
     """Stripes along x taken out of each image: the smooth part keeps the gradient along x everywhere and that along y only where the
     image has real edges, and solves a Poisson equation (cosine transforms as matrix products); what is left goes through a 1 x 3

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.ocean import normalised
+
 
 #: Values that hash_order takes.
 HASHES = 2147483647
@@ -137,9 +139,30 @@ def covered_fields(catalog: DataFrame, cells: DataFrame, size: int) -> DataFrame
     return blocks.join(of, ["_by", "_bx"]).filter(inside).drop("_by", "_bx", "_dy", "_dx")
 
 
-def gathered(cutouts: DataFrame, fields: list[str], uid: int | None = None, missing: str = "skip", key: str = "uid") -> DataFrame:
+def index_box(cells: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
+    """(grid_id, y0, y1, x0, x1): rows and columns that enclose all cells of a box of positions, ends exclusive."""
+    inside = cells.filter(F.col("lat").between(*lat) & F.col("lon").between(*lon))
+    return inside.groupBy("grid_id").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
+
+
+def cropped_to(cells: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
+    """Cells in the index box of a box of positions, also those whose own position lies off it."""
+    box = index_box(cells, lat, lon)
+    within = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
+    return cells.join(box, "grid_id").filter(within).select(*cells.columns)
+
+
+def gathered(cutouts: DataFrame, fields: list[str], uid: int | None = None, missing: str = "skip", key: str = "uid", catalog: DataFrame | None = None) -> DataFrame:
     """(uid, field, y, x, value) to one column a field, of one cut-out or of all. A cut-out without a field has nulls there; with
-    missing="raise" that is an error."""
+    missing="raise" that is an error. fnorm_ and afnorm_ before a name divide it by f or |f| at the catalogue's (uid, lat); on the
+    equator the value stays."""
+    bare = {f: f.removeprefix("a").removeprefix("fnorm_") if f.startswith(("fnorm_", "afnorm_")) else f for f in fields}
+    if any(k != v for k, v in bare.items()):
+        if catalog is None:
+            raise ValueError("fields divided by f need the catalogue")
+        wide = gathered(cutouts, sorted(set(bare.values())), uid, missing, key).join(catalog.select(key, F.col("lat").alias("_lat")), key, "left")
+        value = lambda f: F.col(bare[f]) if f == bare[f] else normalised(F.col(bare[f]), F.col("_lat"), f.startswith("a"))
+        return wide.select(key, "y", "x", *[value(f).alias(f) for f in fields])
     some = cutouts.filter(F.col("field").isin(fields))
     if uid is not None:
         some = some.filter(F.col(key) == uid)

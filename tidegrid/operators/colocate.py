@@ -34,6 +34,15 @@ def label_statistics(
     return got.withColumns(named).drop(*[f"_{f}" for f in fields])
 
 
+def label_averages(cells: DataFrame, properties: dict[str, str], keys: tuple[str, ...] = ("uid", "label")) -> DataFrame:
+    """Per label of a cut-out npix and averages, {name: field}; a name that does not begin with avg raises. A label with a missing
+    value has no average of that field; cells of label 0 are background."""
+    if wrong := [p for p in properties if not p.startswith("avg")]:
+        raise ValueError(f"only averages are known, not {wrong}")
+    whole = lambda f: F.when(F.count(f) == F.count(F.lit(1)), F.avg(f))
+    return cells.filter(F.col(keys[-1]) > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("npix"), *[whole(f).alias(p) for p, f in properties.items()])
+
+
 def disk(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
 

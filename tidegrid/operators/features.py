@@ -3,18 +3,77 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ocean import coriolis
 from tidegrid.operators.components import min_label_components
+from tidegrid.operators.ranking import percentiles
 
 
-def engineered(df: DataFrame, lat: str, by_f: list[str], by_f2: list[str] = (), logs: list[str] = ()) -> DataFrame:
-    """x / |f| with |f| at least 1e-7, x / f^2, log10 with values at least 1e-30."""
-    f = F.greatest(F.abs(coriolis(F.col(lat))), F.lit(1e-7))
-    return df.withColumns(
-        {f"{c}_over_f": F.col(c) / f for c in by_f} | {f"{c}_over_f2": F.col(c) / (f * f) for c in by_f2} | {f"log_{c}": F.log10(F.greatest(F.col(c), F.lit(1e-30))) for c in logs}
+#: The properties divided by |f| at the median, and the statistics of them that are.
+BY_F = ("strain_mag", "strain_n", "strain_s", "relative_vorticity", "divergence")
+BY_F_STATS = ("_mean", "_median", "_p10", "_p25", "_p75", "_p90")
+
+
+def at_least(value: Column, least: float) -> Column:
+    """The value or the bound below it; a missing value stays missing."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(least)))
+
+
+def engineered(
+    df: DataFrame, lat: str, by_f: list[str] = (), by_f2: list[str] = (), logs: list[str] = (), speed: tuple[str, str] | None = None,
+    grad_ratio: tuple[str, str] | None = None, npix: str | None = None,
+) -> DataFrame:
+    """x / |f| with |f| at least 1e-7, x / f^2, log10 with values at least 1e-30; speed from two components, log_grad_ratio of two
+    squared gradients, log_npix of a count. What is missing stays missing."""
+    f = at_least(F.abs(coriolis(F.col(lat))), 1e-7)
+    log = lambda v, least=1e-30: F.log10(at_least(v, least))
+    new = {f"{c}_over_f": F.col(c) / f for c in by_f} | {f"{c}_over_f2": F.col(c) / (f * f) for c in by_f2} | {f"log_{c}": log(F.col(c)) for c in logs}
+    if speed:
+        new["speed"] = F.hypot(*speed)
+    if grad_ratio:
+        new["log_grad_ratio"] = log(F.col(grad_ratio[0]) / at_least(F.col(grad_ratio[1]), 1e-30))
+    if npix:
+        new["log_npix"] = log(F.col(npix), 1.0)
+    return df.withColumns(new)
+
+
+def over_f(df: DataFrame, f: str = "coriolis_f_median", names: tuple[str, ...] = BY_F, stats: tuple[str, ...] = BY_F_STATS) -> DataFrame:
+    """Adds {name}{stat}_over_f, divided by |f|, for every such column that the table has; null where f is 0. Without f, nothing."""
+    if f not in df.columns:
+        return df
+    size = F.nullif(F.abs(F.col(f)), F.lit(0.0))
+    return df.withColumns({f"{n}{s}_over_f": F.col(n + s) / size for n in names for s in stats if n + s in df.columns})
+
+
+def aligned_temperature(df: DataFrame, value: str) -> DataFrame:
+    """Values in Celsius and kind: kelvin (a median above 200, converted), anomaly (a median within 5 of 0) or celsius, as they are."""
+    both = df.crossJoin(F.broadcast(percentiles(df, value, [50]).select(F.col("p0").alias("_m"))))
+    m = F.col("_m")
+    kind = F.when(m > 200, "kelvin").when(F.abs(m) < 5, "anomaly").otherwise("celsius")
+    return both.withColumns({value: F.when(m > 200, F.col(value) - 273.15).otherwise(F.col(value)), "kind": kind}).drop("_m")
+
+
+def aligned_gradient(df: DataFrame, value: str) -> DataFrame:
+    """Squared gradients per km as log10 per m: log10 - 6, null at 0. If any value is negative, all are anomalies and stay."""
+    both = df.crossJoin(F.broadcast(df.agg(F.min(value).alias("_m"))))
+    return both.withColumn(value, F.when(F.col("_m") < 0, F.col(value)).otherwise(F.when(F.col(value) > 0, F.log10(value) - 6))).drop("_m")
+
+
+def cutout_summary(cells: DataFrame, value: str, key: str = "uid") -> DataFrame:
+    """Per cut-out mu, min, max, p10, p90 and dt, the difference of the last two."""
+    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
+    got = cells.groupBy(key).agg(F.avg(value).alias("mu"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("_q"))
+    return got.withColumns({"p10": F.get("_q", F.lit(0)), "p90": F.get("_q", F.lit(1))}).withColumn("dt", F.col("p90") - F.col("p10")).drop("_q")
+
+
+def counters(cells: DataFrame, value: str, threshold: float, key: str = "uid") -> DataFrame:
+    """Per cut-out the cells above the threshold and below its negative, and the sums of positive and of negative values."""
+    v = F.col(value)
+    total = lambda where: F.coalesce(F.sum(F.when(where, v)), F.lit(0.0))
+    return cells.groupBy(key).agg(
+        F.count_if(v > threshold).alias("n_pos"), F.count_if(v < -threshold).alias("n_neg"), total(v > 0).alias("pos_sum"), total(v < 0).alias("neg_sum"),
     )
 
 

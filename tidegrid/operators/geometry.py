@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.ocean import haversine_km
+from tidegrid.functions.ocean import EARTH_KM, haversine_km
 from tidegrid.operators import components, morphology
 from tidegrid.operators.components import checkpointed
 from tidegrid.operators.morphology import neighbour_codes
@@ -131,9 +131,12 @@ def meshed(lats: DataFrame, lons: DataFrame) -> DataFrame:
 
 
 def approximate_positions(cells: DataFrame, lat0: float, lon0: float, km: float = 2.25) -> DataFrame:
-    """Adds lat and lon to cells by their places from an origin, `km` apart: degrees of latitude of 111 km, of longitude by its cosine."""
-    lat = F.lit(lat0) + F.col("y") * (km / 111.0)
-    return cells.withColumns({"lat": lat, "lon": F.lit(lon0) + F.col("x") * km / (111.0 * F.cos(F.radians(lat)))})
+    """Adds lat and lon to cells by their places from an origin, `km` apart on the sphere; degrees of longitude are as long as at
+    the origin in every row."""
+    degree = 2 * math.pi * EARTH_KM / 360
+    return cells.withColumns({
+        "lat": F.lit(lat0) + F.col("y") * km / degree, "lon": F.lit(lon0) + F.col("x") * km / (degree * math.cos(math.radians(lat0))),
+    })
 
 
 def longitude_shift(cells: DataFrame) -> DataFrame:

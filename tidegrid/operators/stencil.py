@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.ocean import by_coriolis
 from tidegrid.operators.colocate import disk, spread
 from tidegrid.operators.ranking import percentiles
 
@@ -216,6 +217,23 @@ def frontogenesis(cells: DataFrame, b: str, spacing: float = 1.0) -> DataFrame:
     }).drop("_bx", "_by")
 
 
+def geostrophic(cells: DataFrame, height: str, spacing: float = 1.0, lat: str = "lat", gravity: float = 9.81) -> DataFrame:
+    """Adds ug and vg, the flow in balance with the slope of the surface; null on the equator."""
+    d = lambda axis: (shift(F.col(height), 1, axis) - shift(F.col(height), -1, axis)) / (2 * spacing)
+    by_f = lambda v: by_coriolis(v * gravity, F.col(lat))
+    return cells.withColumns({"_hx": d("x"), "_hy": d("y")}).withColumns({"ug": -by_f(F.col("_hy")), "vg": by_f(F.col("_hx"))}).drop("_hx", "_hy")
+
+
+def frontogenesis_parts(cells: DataFrame, b: str, height: str, u: str = "u", v: str = "v", spacing: float = 1.0, **kw) -> DataFrame:
+    """(grid_id, y, x, frontogenesis, frontogenesis_geo, frontogenesis_ageo): the whole tendency, that of the balanced flow and the
+    rest."""
+    keys = ["grid_id", "y", "x"]
+    whole = frontogenesis(kinematics(cells, u, v, spacing), b, spacing).select(*cells.columns, "frontogenesis")
+    flow = geostrophic(whole, height, spacing, **kw)
+    geo = frontogenesis(kinematics(flow.withColumnRenamed("frontogenesis", "_all"), "ug", "vg", spacing), b, spacing)
+    return geo.select(*keys, F.col("_all").alias("frontogenesis"), F.col("frontogenesis").alias("frontogenesis_geo"), (F.col("_all") - F.col("frontogenesis")).alias("frontogenesis_ageo"))
+
+
 def seam(cells: DataFrame) -> DataFrame:
     """Cells off a jump of over 5 degrees of latitude or 90 of longitude between adjacent rows; both rows of a jump go."""
     jump = lambda k: (F.abs(shift(F.col("lat"), k, "y") - F.col("lat")) > 5) | (F.abs(shift(F.col("lon"), k, "y") - F.col("lon")) > 90)

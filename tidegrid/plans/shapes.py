@@ -263,14 +263,14 @@ def g05(spark: SparkSession, d: str) -> DataFrame:
 @query("g06_geometry")
 def g06(spark: SparkSession, d: str) -> DataFrame:
     cells = components.checkpointed(placed_labels(spark, d))
-    return geometry.geometry(cells, morphology.skeletons(cells.select("grid_id", "label", "y", "x")), "2012-11-09T12:00:00").select(
+    return geometry.geometry(cells, morphology.skeletons(cells.select("grid_id", "label", "y", "x")), "2012-11-09T12:00:00", grid=grid_40(spark, d)).select(
         "grid_id", "label", "name", "npix", "num_branches", r("length_km", 4), r("mean_curvature", 5)
     )
 
 
-@query("g11_means_by_cutout_label", fx.with_sql(fx.CUTOUTS, then="select uid, y // 2 as label, round(avg(f), 6) as f from cutouts group by 1, 2"))
+@query("g11_means_by_cutout_label", fx.with_sql(fx.CUTOUTS, then="select uid, y // 2 as label, count(*) as npix, case when count(f) = 16 then round(avg(f), 6) end as avg_f from cutouts where y >= 2 group by 1, 2"))
 def g11(spark: SparkSession, d: str) -> DataFrame:
-    return fx.cutouts(spark, d).groupBy("uid", F.expr("y div 2").alias("label")).agg(F.round(F.avg("f"), 6).alias("f"))
+    return colocate.label_averages(fx.cutouts(spark, d).withColumn("label", F.expr("y div 2")), {"avg_f": "f"}).withColumn("avg_f", F.round("avg_f", 6))
 
 
 @query("g12_longitude_shift", fx.with_sql(E, "s as (select y, x, ((lon + 1.7 * y + 400) % 9) as lon from grid_events)", then="""
@@ -318,7 +318,7 @@ def s08(spark: SparkSession, d: str) -> DataFrame:
     return tables.loaded_run(meta, run["labels"], run["geometry"].select("grid_id", "label", "npix"), stats, grid, 37).select("grid_id", "label", "y", "x", r("lat", 6), "npix", r("g_mean", 4))
 
 
-@query("g09_approximate_positions", fx.with_sql(E, then="select y, x, round(-60 + y * 2.25 / 111, 6) as lat, round(-170 + x * 2.25 / (111 * cos(radians(-60 + y * 2.25 / 111))), 6) as lon from grid_events"))
+@query("g09_approximate_positions", fx.with_sql(E, then="select y, x, round(-60 + y * 2.25 / (2 * pi() * 6371 / 360), 6) as lat, round(-170 + x * 2.25 / (2 * pi() * 6371 / 360 * cos(radians(-60))), 6) as lon from grid_events"))
 def g09(spark: SparkSession, d: str) -> DataFrame:
     return geometry.approximate_positions(fx.grid_events(spark, d).drop("lat", "lon"), -60.0, -170.0).select("y", "x", r("lat", 6), r("lon", 6))
 

@@ -191,6 +191,23 @@ def n20b(spark: SparkSession, d: str) -> DataFrame:
     return stencil.frontogenesis(stencil.kinematics(fx.grid_orders(spark, d)), "g").filter("frontogenesis is not null").select("y", "x", F.round(F.col("grad2") / 1e6, 3).alias("grad2"), F.round(F.col("frontogenesis") / 1e9, 3).alias("frontogenesis"))
 
 
+_AT = "left join {v} n{i} on n{i}.y = a.y + ({dy}) and n{i}.x = a.x + ({dx})"
+_SIDES = lambda v: " ".join(_AT.format(v=v, i=i, dy=dy, dx=dx) for i, (dy, dx) in enumerate(((0, -1), (0, 1), (-1, 0), (1, 0))))
+_F = "(2 * 7.2921e-5 * sin(radians(-40 + 0.1 * a.y)))"
+_TENDENCY = "-(bx * bx * {u}x + b_y * b_y * {v}y + bx * b_y * ({v}x + {u}y)) / 1e9"
+
+
+@query("n20_frontogenesis_parts", fx.with_sql(O, f"""flow as (select a.y, a.x, a.g, a.u, a.v, -9.81 * (n3.v - n2.v) / 2 * 1e-6 / {_F} as p, 9.81 * (n1.v - n0.v) / 2 * 1e-6 / {_F} as q from grid_orders a {_SIDES('grid_orders')})""",
+    "d as (select a.y, a.x, " + ", ".join(f"(n1.{c} - n0.{c}) / 2 as {c}x, (n3.{c} - n2.{c}) / 2 as {c}y" for c in "uvpq") + f", (n1.g - n0.g) / 2 as bx, (n3.g - n2.g) / 2 as b_y from flow a {_SIDES('flow')})", then=f"""
+select y, x, round({_TENDENCY.format(u='u', v='v')}, 3) as whole, round({_TENDENCY.format(u='p', v='q')}, 3) as geo, round({_TENDENCY.format(u='u', v='v')} - {_TENDENCY.format(u='p', v='q')}, 3) as ageo
+from d where ux + uy + vx + vy + px + py + qx + qy + bx + b_y is not null"""))
+def n20c(spark: SparkSession, d: str) -> DataFrame:
+    g = fx.grid_orders(spark, d).withColumns({"lat": -40 + F.col("y") * 0.1, "eta": F.col("v") * 1e-6})
+    got = stencil.frontogenesis_parts(g, "g", "eta").filter("frontogenesis is not null and frontogenesis_geo is not null")
+    part = lambda c: F.round(F.col(c) / 1e9, 3)
+    return got.select("y", "x", part("frontogenesis").alias("whole"), part("frontogenesis_geo").alias("geo"), part("frontogenesis_ageo").alias("ageo"))
+
+
 @query("n21_seam", fx.with_sql(E, "c as (select grid_id, y, x, lat + case when y >= 50 then 20 else 0 end as lat, lon from grid_events)", then="""
 select y, x from c a where not exists (select 1 from c b where b.x = a.x and abs(b.y - a.y) = 1 and (abs(a.lat - b.lat) > 5 or abs(a.lon - b.lon) > 90))"""))
 def n21(spark: SparkSession, d: str) -> DataFrame:

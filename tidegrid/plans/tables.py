@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import ocean
-from tidegrid.operators import archive, catalog, features, histograms, match, ranking
+from tidegrid.operators import archive, catalog, features, histograms, match
 from tidegrid.operators.ranking import numbered_rows
 from tidegrid.plans import fixtures as fx
-from tidegrid.plans.stencils import r, size
+from tidegrid.plans.stencils import UV, r, size
 from tidegrid.sources import tables
 
 QUERIES, ORACLE = {}, {}
@@ -53,6 +53,33 @@ def p17(spark: SparkSession, d: str) -> DataFrame:
     return e.select("uid", F.round(F.col("label_over_f") / 1e4, 4).alias("label_over_f"), r("log_label", 6))
 
 
+@query("p17_feature_families", fx.with_sql(O, then="""
+select y, x, round(sqrt(u * u + v * v), 6) as speed, round(log10(greatest(g / greatest(v, 1e-30), 1e-30)), 6) as log_grad_ratio, round(log10(greatest(v, 1)), 6) as log_npix,
+  round(u / pow(greatest(abs(2 * 7.2921e-5 * sin(radians(y * 0.01))), 1e-7), 2) / 1e9, 3) as u_over_f2 from grid_orders"""))
+def p17b(spark: SparkSession, d: str) -> DataFrame:
+    e = features.engineered(fx.grid_orders(spark, d).withColumn("lat", F.col("y") * 0.01), "lat", by_f2=["u"], speed=("u", "v"), grad_ratio=("g", "v"), npix="v")
+    return e.select("y", "x", r("speed", 6), r("log_grad_ratio", 6), r("log_npix", 6), F.round(F.col("u_over_f2") / 1e9, 3).alias("u_over_f2"))
+
+
+@query("p08_p15_over_f", fx.with_sql(LC, then="""
+select label, p3 as coriolis_f_median, round(p1 / nullif(abs(p3), 0), 6) as strain_mag_median_over_f, round(p2 / nullif(abs(p3), 0), 4) as divergence_p10_over_f from label_cells"""))
+def p15(spark: SparkSession, d: str) -> DataFrame:
+    """Of the properties and those by f, the ones to choose from."""
+    c = fx.label_cells(spark, d).selectExpr("label as flabel", "p1 as strain_mag_median", "p2 as divergence_p10", "p2 as gradeta2_mean", "p3 as coriolis_f_median")
+    all_ = features.over_f(c)
+    some = all_.select("flabel", *tables.selectable(all_))
+    return some.withColumns({"strain_mag_median_over_f": F.round("strain_mag_median_over_f", 6), "divergence_p10_over_f": F.round("divergence_p10_over_f", 4)}).withColumnRenamed("flabel", "label")
+
+
+@query("p13_normalised", fx.with_sql(fx.CUTOUTS, "c as (select vec_id as uid, vec_id % 5 - 2.0 as lat, 2 * 7.2921e-5 * sin(radians(vec_id % 5 - 2.0)) as f0 from embeddings)", then="""
+select uid, y, x, round(f, 6) as f, round(case when lat <> 0 then f / f0 else f end, 2) as fnorm_f, round(case when lat <> 0 then f / abs(f0) else f end, 2) as afnorm_f from cutouts join c using (uid)"""))
+def p13(spark: SparkSession, d: str) -> DataFrame:
+    long = fx.cutouts(spark, d).select("uid", "y", "x", F.lit("f").alias("field"), F.col("f").alias("value"))
+    where = fx.catalog(spark, d).select("uid", (F.col("uid") % 5 - 2.0).alias("lat"))
+    got = catalog.gathered(long, ["f", "fnorm_f", "afnorm_f"], catalog=where)
+    return got.select("uid", "y", "x", r("f", 6), r("fnorm_f", 2), r("afnorm_f", 2))
+
+
 @query("p18_a12_conversion", fx.with_sql(E, "n as (select f, round_even((270 + f / 10 - 268.15) / 0.01, 0) as r from grid_events)", then="""
 select min(r) filter (r > 0 and r <= 600)::int as min, max(r) filter (r > 0 and r <= 600)::int as max, count(*) filter (r <= 0) as n_too_small, count(*) filter (r > 600) as n_too_large,
   count(*) filter (f is null) as n_fill, count(*) filter (r > 0 and r <= 600) as n_valid from n"""))
@@ -67,7 +94,10 @@ def p20(spark: SparkSession, d: str) -> DataFrame:
     return fx.catalog(spark, d).select("uid", F.round(ocean.haversine_km(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0)), 4).alias("km"), F.round(ocean.wrap_longitude(F.col("lon") + 250), 6).alias("lon"))
 
 
-@query("p21_solar_zenith")
+@query("p21_solar_zenith", """with e as (select event_id, event_id % 180 - 90.0::double as lat, event_id % 360 - 180.0::double as lon, hour(ts) * 60 + minute(ts) as m, 2 * pi() * (dayofyear(ts) - 1 + (hour(ts) - 12) / 24) / 365 as t from events),
+s as (select *, 229.18 * (0.000075 + 0.001868 * cos(t) - 0.032077 * sin(t) - 0.014615 * cos(2 * t) - 0.040849 * sin(2 * t)) as eq,
+  0.006918 - 0.399912 * cos(t) + 0.070257 * sin(t) - 0.006758 * cos(2 * t) + 0.000907 * sin(2 * t) as decl from e)
+select event_id, floor(degrees(acos(least(1, greatest(-1, sin(radians(lat)) * sin(decl) + cos(radians(lat)) * cos(decl) * cos(radians((m + eq + 4 * lon) / 4 - 180)))))))::int as zenith from s""")
 def p21(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("ts")
     both = fx.read(spark, d, "events").withColumns({"lat": F.col("event_id") % 180 - 90.0, "lon": F.col("event_id") % 360 - 180.0})
@@ -76,8 +106,29 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p22_aligned_units", fx.with_sql(O, "m as (select median(g) as m from grid_orders)", then="select y, x, round(case when m > 200 then g - 273.15 else g end, 6) as g from grid_orders, m"))
 def p22(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.grid_orders(spark, d)
-    return g.crossJoin(F.broadcast(ranking.percentiles(g, "g", [50]).withColumnRenamed("p0", "m"))).select("y", "x", F.round(F.when(F.col("m") > 200, F.col("g") - 273.15).otherwise(F.col("g")), 6).alias("g"))
+    return features.aligned_temperature(fx.grid_orders(spark, d), "g").select("y", "x", r("g", 6))
+
+
+@query("p22_aligned_gradients", fx.with_sql(E, then="select 'raw' as kind, y, x, round(case when f > 0 then log10(f) - 6 end, 6) as f from grid_events union all select 'anomaly', y, x, round(f - 50, 6) from grid_events"))
+def p22b(spark: SparkSession, d: str) -> DataFrame:
+    """Values of which none is negative, and the same as anomalies, which stay."""
+    g = fx.grid_events(spark, d).select("y", "x", "f")
+    both = [features.aligned_gradient(t, "f").select(F.lit(k).alias("kind"), "y", "x", r("f", 6)) for k, t in (("raw", g), ("anomaly", g.withColumn("f", F.col("f") - 50)))]
+    return both[0].unionByName(both[1])
+
+
+@query("p06_index_box", fx.with_sql(E, "t as (select y, x, lat + 0.03 * x as lat, lon + 0.02 * y as lon from grid_events)", "b as (select min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from t where lat between -58.5 and -56.2 and lon between -168 and -164.4)", then="""
+select y, x, round(lat, 6) as lat from t, b where y between y0 and y1 and x between x0 and x1"""))
+def p06(spark: SparkSession, d: str) -> DataFrame:
+    """A grid at an angle to the axes: its index box holds cells off the box of positions."""
+    t = fx.grid_events(spark, d).withColumns({"lat": F.col("lat") + F.col("x") * 0.03, "lon": F.col("lon") + F.col("y") * 0.02})
+    return catalog.cropped_to(t, (-58.5, -56.2), (-168.0, -164.4)).select("y", "x", r("lat", 6))
+
+
+@query("p10_land_and_ocean", fx.with_sql(LC, then="select label, p1 is null and p2 is null as land, coalesce(p1 > 20 and p3 > 0, false) as ocean from (select label, p1, p2, p3 from label_cells)"))
+def p10(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.label_cells(spark, d).withColumn("q", F.col("p1") - 20)
+    return c.select("label", ocean.is_land("p1", "p2").alias("land"), ocean.is_ocean("q", "p3").alias("ocean"))
 
 
 @query("p05_p06_p10_regions", fx.with_sql(E, then="select y, x from grid_events where lat between -59.51 and -55.01 and lon between -169 and -165.05 and f is not null and f > 0"))
@@ -86,10 +137,12 @@ def p05(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("p25_hover_json", fx.with_sql(LC, then="""
-select label, '{"npix":' || count(*) || ',"p1":"' || coalesce(max(p1)::int::varchar, 'NaN') || '"}' as hover from label_cells group by label"""))
+select label, '{"label":' || label || ',"npix":"' || count(*) || '","p2":"' || coalesce(format('{:.4g}', max(p2)), 'NaN') || '","p3":"' || coalesce(format('{:.4g}', min(p3)), 'NaN') || '"}' as hover
+from label_cells where label % 3 > 0 group by label"""))
 def p25(spark: SparkSession, d: str) -> DataFrame:
-    one = fx.label_cells(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("npix"), F.coalesce(F.max("p1").cast("int").cast("string"), F.lit("NaN")).alias("p1"))
-    return one.select("label", F.to_json(F.struct("npix", "p1")).alias("hover"))
+    c = fx.label_cells(spark, d)
+    one = c.groupBy("label").agg(F.count(F.lit(1)).alias("npix"), F.max("p2").alias("p2"), F.min("p3").alias("p3"))
+    return tables.hover(one, c.filter("label % 3 > 0"), ["npix", "p2", "p3"])
 
 
 @query("p26_s09_names", "select event_id, strftime(ts, '%Y%m%d_%H%M%S') as stamp, strftime(ts, '%Y%m%dT%H_%M_%S') as time, 'v2' as tag from events")
@@ -98,7 +151,8 @@ def p26(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("p", tables.parsed_name(F.col("name"))).select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"), "p.time", "p.tag")
 
 
-@query("p27_flow_curvature")
+@query("p27_flow_curvature", fx.with_sql(O, UV, "k as (select y, x, u, v, (ur - ul) / 2 as ux, (ud - uu) / 2 as uy, (vr - vl) / 2 as vx, (vd - vu) / 2 as vy from su)", then="""
+select y, x, round(case when u * u * vx - v * v * uy + u * v * (vy - ux) <> 0 then pow(u * u + v * v, 1.5) / (u * u * vx - v * v * uy + u * v * (vy - ux)) end, 3) as radius from k where ux + uy + vx + vy is not null"""))
 def p27(spark: SparkSession, d: str) -> DataFrame:
     from tidegrid.operators.stencil import kinematics
 
@@ -221,7 +275,11 @@ def t04(spark: SparkSession, d: str) -> DataFrame:
     return catalog.random_split(fx.catalog(spark, d), {"train": 200, "valid": 50, "test": 50}, seed=1).select("uid", "split")
 
 
-@query("t05_balanced_sample")
+@query("t05_balanced_sample", f"""with recursive o as (select o_orderkey as uid, log10(o_totalprice) as m from orders), lim as (select min(m) as lo, max(m) as hi from o),
+b as (select uid, least(floor((m - lo) / ((hi - lo) / 10))::int, 9) as bin from o, lim), c as (select bin, count(*) as n, row_number() over (order by count(*), bin) as k, count(*) over () as bins from b group by bin),
+q(k, bin, quota, rem) as (select 0::bigint, -1, 0::bigint, 1000::bigint union all select c.k, c.bin, least(c.n, rem // (bins - c.k + 1)), rem - least(c.n, rem // (bins - c.k + 1)) from q join c on c.k = q.k + 1),
+h as (select uid, bin, row_number() over (partition by bin order by {H}, uid) as r from b)
+select uid, h.bin from h join q on q.bin = h.bin where r <= quota""")
 def t05(spark: SparkSession, d: str) -> DataFrame:
     o = fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.log10("o_totalprice").alias("m"))
     return catalog.balanced_sample(o, "m", 10, 1000, seed=1).select("uid", "bin")
@@ -398,13 +456,13 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a06_a07_cutout_summary", fx.with_sql(fx.CUTOUTS, then="""
-select uid, round(avg(f), 6) as mu, round(quantile_cont(f, 0.1), 6) as p10, round(quantile_cont(f, 0.9), 6) as p90, count(*) filter (f > 0.1) as n_high, round(sum(f) filter (f > 0), 6) as pos from cutouts group by uid"""))
+select uid, round(avg(f), 6) as mu, round(min(f), 6) as min, round(max(f), 6) as max, round(quantile_cont(f, 0.1), 6) as p10, round(quantile_cont(f, 0.9), 6) as p90,
+  round(quantile_cont(f, 0.9) - quantile_cont(f, 0.1), 6) as dt, count(*) filter (f > 0.1) as n_pos, count(*) filter (f < -0.1) as n_neg,
+  round(coalesce(sum(f) filter (f > 0), 0), 6) as pos_sum, round(coalesce(sum(f) filter (f < 0), 0), 6) as neg_sum from cutouts group by uid"""))
 def a06(spark: SparkSession, d: str) -> DataFrame:
-    f = F.col("f")
-    return fx.cutouts(spark, d).groupBy("uid").agg(
-        F.round(F.avg("f"), 6).alias("mu"), F.round(F.percentile("f", F.lit(0.1)), 6).alias("p10"), F.round(F.percentile("f", F.lit(0.9)), 6).alias("p90"),
-        F.count_if(f > 0.1).alias("n_high"), F.round(F.sum(F.when(f > 0, f)), 6).alias("pos"),
-    )
+    c = fx.cutouts(spark, d)
+    both = features.cutout_summary(c, "f").join(features.counters(c, "f", 0.1), "uid")
+    return both.select("uid", "n_pos", "n_neg", *[r(k, 6) for k in ("mu", "min", "max", "p10", "p90", "dt", "pos_sum", "neg_sum")])
 
 
 # --- features ------------------------------------------------------------------------------------------------------------
@@ -435,7 +493,12 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return back.agg(*[F.round(F.max(F.abs(F.col(c) - F.col(f"{c}_back"))), 4).alias(c) for c in COLS])
 
 
-@query("a26_healpix_like_map")
+@query("a26_healpix_like_map", fx.with_sql(C, """t as (select label, sin(radians(lat)) as z, ((radians(lon) % (2 * pi()) + 2 * pi()) % (2 * pi())) / (pi() / 2) as t from catalog)""",
+    """p as (select label, z, floor(4 * (0.5 + t) - 4 * z * 0.75)::int as jp, floor(4 * (0.5 + t) + 4 * z * 0.75)::int as jm, t, t - floor(t) as tp, 4 * sqrt(3 * (1 - abs(z))) as w from t)""",
+    """q as (select *, 5 + jp - jm as ir, 1 - (5 + jp - jm) % 2 as kshift, floor(tp * w)::int + floor((1 - tp) * w)::int + 1 as ic from p)""",
+    """n as (select label, case when abs(z) <= 2 / 3 then 2 * 4 * 3 + (ir - 1) * 16 + (((jp + jm - 4 + kshift + 1) // 2) % 16 + 16) % 16
+  when z > 0 then 2 * ic * (ic - 1) + least(floor(t * ic)::int, 4 * ic - 1) else 192 - 2 * ic * (ic + 1) + least(floor(t * ic)::int, 4 * ic - 1) end::bigint as pixel from q)""",
+    then="select pixel, count(*) as n, round(avg(label), 6) as mean from n group by pixel"))
 def a26(spark: SparkSession, d: str) -> DataFrame:
     from tidegrid.operators.maps import ring_pixel
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -76,6 +78,35 @@ def columns_like(df: DataFrame, prefixes: tuple[str, ...] = ("",), suffixes: tup
     return df.select([F.col(f"`{c}`") for c in df.columns if c in always or (c.startswith(prefixes) and c.endswith(suffixes))])
 
 
+#: Prefixes of columns left out of a choice of properties, and of those kept only when divided by f.
+LEFT_OUT = ("gradeta2", "gradrho2", "gradsalt2", "gradtheta2", "rossby_number", "strain_n", "strain_s")
+ONLY_OVER_F = ("strain_mag", "relative_vorticity", "divergence")
+
+
+def selectable(df: DataFrame, key: str = "flabel", left_out: tuple[str, ...] = LEFT_OUT, only_over_f: tuple[str, ...] = ONLY_OVER_F) -> list[str]:
+    """Names of the properties to choose from: not the key, none with a prefix left out, and some only as *_over_f."""
+    return [c for c in df.columns if c != key and not c.startswith(left_out) and (c.endswith("_over_f") or not c.startswith(only_over_f))]
+
+
+def short_text(value: Column, kind: str) -> Column:
+    """A value as text: doubles with four significant digits, NaN where there is none."""
+    text = _four_digits(value) if kind in ("double", "float") else value.cast("string")
+    return F.coalesce(text, F.lit("NaN"))
+
+
+@F.pandas_udf(StringType())
+def _four_digits(value: pd.Series) -> pd.Series:
+    return value.map(lambda v: "NaN" if v != v else f"{v:.4g}")
+
+
+def hover(properties: DataFrame, in_view: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    """(label, hover): a JSON object of the properties of each label in view, numbers as short texts. The label 0 is background."""
+    kinds = dict(properties.dtypes)
+    seen = in_view.filter(F.col(label) > 0).select(label).distinct()
+    some = properties.join(seen, label, "left_semi")
+    return some.select(label, F.to_json(F.struct(label, *[short_text(F.col(c), kinds[c]).alias(c) for c in columns if c in kinds])).alias("hover"))
+
+
 def first_available(df: DataFrame, name: str, suffixes: tuple[str, ...] = ("_median", "_mean", "")) -> Column:
     """The first column of the name with one of the suffixes that the table has, under the bare name."""
     for s in suffixes:
