@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import pytest
 
@@ -53,15 +54,31 @@ def test_small_splits_and_files(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_payload_of_very_many_magic_strings(spark):
+    """In time that grows with the payload, over splits of the file as well."""
+    rows = [(1, "a"), (2, "WARC/1." * 300_000), (3, "x" + FAKE * 20_000), (4, "b")]
+    df = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id long, url string, html string").coalesce(1)
+    path = scratch(spark, "warc-test")
+    warc.write(df, path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        start = time.time()
+        assert got(warc.read(spark, path)) == want(rows, 0)
+        assert time.time() - start < 60
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_archive_is_a_chain_of_records(spark, tmp_path):
     df = spark.createDataFrame([(i, "http://h/", t) for i, t in enumerate(TEXTS)], "page_id long, url string, html string").coalesce(1)
     path = f"file://{tmp_path}/w"
-    warc.write(df, path)
+    warc.write(df, path, date="2001-02-03T04:05:06Z")
     raw = b"".join(p.read_bytes() for p in sorted(tmp_path.glob("w/part-*")))
     at, n = 0, 0
     while at < len(raw):
         head, _, _ = raw[at:].partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: re")
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: re") and b"\r\nWARC-Date: 2001-02-03T04:05:06Z\r\n" in head
         size = int(head.rpartition(b"Content-Length: ")[2])
         at += len(head) + 4 + size
         assert raw[at : at + 4] == b"\r\n\r\n"

@@ -17,6 +17,8 @@ the records before the break.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def with_type(pages: DataFrame, least: int = 0, bound: int = BROADCAST_ROWS) ->
     return both.withColumn("first", F.when((F.octet_length("payload") >= least) & (F.col("first") != F.col("id")), F.col("first")))
 
 
-def records(typed: DataFrame) -> DataFrame:
-    """One string a record, without the two breaks that end it."""
+def records(typed: DataFrame, date: str) -> DataFrame:
+    """One string a record, without the two breaks that end it. The date is that of all records."""
     clean = F.regexp_replace(F.regexp_replace("url", "[\r\n]+", "%0A"), "[\\x00-\\x20\\x7f]", "%20")
     size = F.octet_length("payload")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
@@ -72,6 +74,7 @@ def records(typed: DataFrame) -> DataFrame:
         F.lit(MAGIC + "1\r\n"),
         line("WARC-Type", F.when(F.col("first").isNull(), F.lit("response")).otherwise(F.lit("revisit"))),
         line("WARC-Record-ID", urn(F.col("id"))),
+        line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", clean), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("WARC-Payload-Length", size.cast("string")),
@@ -83,10 +86,12 @@ def records(typed: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0,
-          bound: int = BROADCAST_ROWS, records_per_file: int = 200_000) -> None:
-    """Archives of a record for each row, at path. Payloads of at least `least` bytes that are equal are stored once."""
+          bound: int = BROADCAST_ROWS, records_per_file: int = 200_000, date: str | None = None) -> None:
+    """Archives of a record for each row, at path. Payloads of at least `least` bytes that are equal are stored once. The date, in
+    UTC like 2001-02-03T04:05:06Z, is that of the call if none is given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_of(payload_col).alias("payload")).filter("id is not null")
-    records(with_type(plain, least, bound)).write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).text(path)
+    records(with_type(plain, least, bound), date).write.option("lineSep", BREAK).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -195,19 +200,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _mended(spark: SparkSession, path: str, placed: DataFrame, cut: DataFrame) -> DataFrame:
     """Records whose payload holds magic strings: their pieces, read again, put back together in order. A group is one record."""
-    spans = cut.select("file", F.col("off").alias("owner"), (F.col("off") + F.col("span")).alias("end"))
-    # the owner of a piece is the last cut record that starts at or before it, if that has not ended
-    marks = placed.select("file", "split", "i", "off").join(spans, [placed.file == spans.file, placed.off == spans.owner], "left").drop(spans.file)
-    back = Window.partitionBy("file").orderBy("off")
-    owned = marks.select(
-        "file", "split", "i", "off", F.last("owner", True).over(back).alias("owner"), F.last("end", True).over(back).alias("end")
+    own = F.struct(F.col("off").alias("owner"), (F.col("off") + F.col("span")).alias("end"))
+    spans = cut.select("file", "split", "i", own.alias("own"))
+    # the owner of a piece is the last cut record that starts at or before it, if that has not ended: in its split, or else in the
+    # splits before, of which each is one row here
+    splits = placed.select("file", "split").distinct().join(spans.groupBy("file", "split").agg(F.max("own").alias("own")), ["file", "split"], "left")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("file", "split", F.last("own", True).over(earlier).alias("carried"))
+    back = Window.partitionBy("file", "split").orderBy("off")
+    owned = placed.select("file", "split", "i", "off").join(spans, ["file", "split", "i"], "left").join(carried, ["file", "split"]).select(
+        "file", "split", "i", "off", F.coalesce(F.last("own", True).over(back), F.col("carried")).alias("own")
     )
-    mine = written(owned.filter("owner is not null and off < end"), "owned")
+    mine = written(owned.filter("own is not null and off < own.end").select("file", "split", "i", "off", "own.owner"), "owned")
     pieces = _pieces(spark, path).join(mine, ["file", "split", "i"])
-    joined = pieces.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("off", "b"))).alias("p")).select(
-        "file", F.col("owner").alias("off"),
-        F.aggregate("p", F.lit(b""), lambda acc, x: F.when(F.octet_length(acc) == 0, x["b"]).otherwise(F.concat(acc, F.lit(MAGIC.encode()), x["b"]))).alias("b"),
-    )
+    # one pass over the bytes: a string's bytes stay as they are, whatever they are
+    each = F.sort_array(F.collect_list(F.struct("off", F.col("b").cast("string").alias("b"))))
+    joined = pieces.groupBy("file", "owner").agg(F.array_join(each["b"], MAGIC).cast("binary").alias("b")).withColumnRenamed("owner", "off")
     both = joined.join(cut.drop("held", "held_digest"), ["file", "off"])
     body = F.substring(F.col("b"), F.col("h") + 5, F.col("length").cast("int"))
     return both.withColumn("body", body).select("*", *_payload(F.col("body")))
