@@ -114,25 +114,29 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """(lang, w) windows of at most `rows` of (id, t, lang), all of the same share of a language's rows, the share larger for rare ones."""
+    """(lang, w) windows of some `rows` of (id, t, lang), all of the same share of a language's rows, the share larger for rare ones. No
+    more than WINDOWS_PER_TEXT windows times `rows` are taken, those first by the hash that picks rows."""
     counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 8).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "w": []})
     each = rows / len(counts)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 0.9 * each / n) if n > each else 1.0)])
-    few = labelled.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 30))
+    place = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30))
+    few = labelled.withColumn("h", place).filter(F.col("h") < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 30))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            langs, out = [], []
-            for lang, t in zip(pdf["lang"], pdf["t"], strict=True):
+            places, langs, out = [], [], []
+            for h, lang, t in zip(pdf["h"], pdf["lang"], pdf["t"], strict=True):
                 w = windows(t)
                 for k in sorted({len(w) * i // WINDOWS_PER_TEXT for i in range(WINDOWS_PER_TEXT)}):
+                    places.append(h)
                     langs.append(lang)
                     out.append(w[k].tobytes())
-            yield pd.DataFrame({"lang": langs, "w": out})
+            yield pd.DataFrame({"h": places, "lang": langs, "w": out})
 
-    return few.select("lang", "t").limit(rows).mapInPandas(cut, "lang string, w binary").toPandas()
+    cuts = few.select("h", "lang", "t").mapInPandas(cut, "h long, lang string, w binary")
+    return cuts.orderBy("h", "lang", "w").limit(WINDOWS_PER_TEXT * rows).drop("h").toPandas()
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
