@@ -221,6 +221,25 @@ def test_short_texts_are_pythons(spark):
     assert [r.hover for r in got] == [f'{{"label":{k},"v":"{"NaN" if v is None or v != v else f"{v:.4g}"}"}}' for k, v in enumerate(values, 1)]
 
 
+def test_shares_of_a_heavy_tail_and_clusters_in_many_columns(spark):
+    v = np.exp(np.random.default_rng(4).normal(size=400) * 6).round(6)
+    t = spark.createDataFrame([(float(a), k % 5) for k, a in enumerate(v)] + [(None, 1), (3.0, None)], "v double, w int")
+    got = {r.v: r.share for parts in (None, 13) for r in features.cumulative_share(t, "w", "v", parts).collect()}
+    w = np.arange(400) % 5
+    assert set(got) == set(v) and all(got[a] == pytest.approx(w[v <= a].sum() / w.sum()) for a in v)
+    p = np.random.default_rng(6).integers(0, 4, (60, 5)) * 1.0
+    df = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(p)], "id int, a double, b double, c double, d double, e double")
+    near = ((p[:, None] - p[None]) ** 2).sum(axis=2) <= 2.0
+    core = near.sum(axis=1) >= 3
+    want = np.where(core, np.arange(60), -1)
+    for _ in range(60):
+        want = np.array([min(want[j] for j in range(60) if core[j] and near[k, j]) if core[k] else -1 for k in range(60)])
+    want = [min((want[j] for j in range(60) if core[j] and near[k, j]), default=-1) for k in range(60)]
+    for axes in (1, 3):
+        rows = features.density_clusters(df, "id", list("abcde"), math.sqrt(2.0) + 1e-9, 3, axes).collect()
+        assert [r.cluster for r in sorted(rows)] == want
+
+
 def test_kinds_of_temperature(spark):
     for values, kind, first in (([280.0, 290.0, None], "kelvin", 280.0 - 273.15), ([-1.0, 2.0], "anomaly", -1.0), ([12.0, 18.0], "celsius", 12.0)):
         got = features.aligned_temperature(spark.createDataFrame([(v,) for v in values], "t double"), "t").collect()

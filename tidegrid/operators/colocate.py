@@ -43,6 +43,11 @@ def label_averages(cells: DataFrame, properties: dict[str, str], keys: tuple[str
     return cells.filter(F.col(keys[-1]) > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("npix"), *[whole(f).alias(p) for p, f in properties.items()])
 
 
+def painted(labels: DataFrame, per_label: DataFrame, value: str) -> DataFrame:
+    """A label's value at each of its cells; null for labels that the table lacks."""
+    return labels.select("grid_id", "y", "x", "label").join(per_label.select("grid_id", "label", value), ["grid_id", "label"], "left")
+
+
 def disk(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
 

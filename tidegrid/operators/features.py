@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ocean import coriolis
-from tidegrid.operators.components import min_label_components
-from tidegrid.operators.ranking import percentiles
+from tidegrid.operators.components import checkpointed, min_label_components
+from tidegrid.operators.ranking import RANGE_ROWS, percentiles
 
 
 #: The properties divided by |f| at the median, and the statistics of them that are.
@@ -151,12 +151,14 @@ def cluster_profile(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
     return mid.crossJoin(F.broadcast(total)).withColumns(z | {"share": F.col("n") / F.col("_all")}).drop(*total.columns)
 
 
-def density_clusters(df: DataFrame, key: str, cols: list[str], eps: float, min_points: int) -> DataFrame:
+def density_clusters(df: DataFrame, key: str, cols: list[str], eps: float, min_points: int, most_axes: int = 3) -> DataFrame:
     """Clusters of points that have at least min_points within eps, themselves included; -1 for noise; the least key names a cluster.
 
-    Points meet in square buckets of side eps and their neighbours, so no pair farther apart than two buckets is looked at."""
-    names = [f"_b{i}" for i in range(len(cols))]
-    bucket = {n: F.floor(F.col(c) / eps).cast("long") for n, c in zip(names, cols, strict=True)}
+    Points meet in square buckets of side eps and their neighbours, so no pair farther apart than two buckets is looked at. Buckets
+    are along the first `most_axes` columns only: each point goes to 3 ** axes of them, whatever the number of columns."""
+    axes = cols[:most_axes]
+    names = [f"_b{i}" for i in range(len(axes))]
+    bucket = {n: F.floor(F.col(c) / eps).cast("long") for n, c in zip(names, axes, strict=True)}
     points = finite(df, cols).select(key, *cols).withColumns(bucket)
     shifts = [[]]
     for n in names:
@@ -173,13 +175,14 @@ def density_clusters(df: DataFrame, key: str, cols: list[str], eps: float, min_p
     return df.select(key).join(edge.withColumnRenamed("_k", key), key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("cluster"))
 
 
-def cumulative_share(df: DataFrame, weight: str, by: str, parts: int = 64) -> DataFrame:
-    """Cumulative share of a weight in the order of another column, without a window over all rows: ranges of that column are
-    summed first, then each range's running sum begins at the sum of those before it."""
+def cumulative_share(df: DataFrame, weight: str, by: str, parts: int | None = None) -> DataFrame:
+    """Cumulative share of a weight in the order of another column, without a window over all rows: distinct values are cut into
+    ranges of even size, in number with them, ranges are summed, and each one's running sum begins at the sum of those before it."""
     kept = df.select(F.col(by).alias("v"), F.col(weight).alias("w")).filter("v is not null and w is not null").groupBy("v").agg(F.sum("w").alias("w"))
-    lim = kept.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts), F.lit(parts - 1))).otherwise(0).cast("int")
-    cut = kept.crossJoin(F.broadcast(lim)).select("v", "w", part.alias("part"))
+    if parts is None:
+        kept = checkpointed(kept)
+        parts = max(8, kept.count() // RANGE_ROWS)
+    cut = checkpointed(kept.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
     sums = cut.groupBy("part").agg(F.sum("w").alias("s"))
     before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("all"))
     run = F.sum("w").over(Window.partitionBy("part").orderBy("v"))

@@ -225,6 +225,13 @@ def g01(spark: SparkSession, d: str) -> DataFrame:
     return e.select("grid_id", "label", "npix", *[r(c, 6) for c in e.columns[3:]])
 
 
+@query("j10_painted", rec(E, M, labelled(), "n as (select grid_id, label, count(*) as npix from labels group by grid_id, label)", then="""
+select grid_id, y, x, label, case when npix >= 3 then npix end as npix from labels join n using (grid_id, label)"""))
+def j10(spark: SparkSession, d: str) -> DataFrame:
+    cells = components.checkpointed(components.label(fx.mask_int(spark, d)))
+    return colocate.painted(cells, components.table(cells).filter("npix >= 3"), "npix")
+
+
 @query("g02_length")
 def g02(spark: SparkSession, d: str) -> DataFrame:
     cells = placed_labels(spark, d)

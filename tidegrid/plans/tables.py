@@ -346,10 +346,14 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
     return tables.wide_fields(long, ["g", "u"], 2, 7, 100).select("y", "x", "g", "u")
 
 
-@query("s05_run_metadata", fx.with_sql(E, then="select max(y) + 1 as height, 100 as width, count(*) as n_cells, round(min(lat), 6) as lat_min, round(max(lat), 6) as lat_max from grid_events"))
+@query("s05_run_metadata", fx.with_sql(E, then="""
+select max(y) + 1 as height, 100 as width, count(*) as n_cells, round(min(lat), 6) as lat_min, round(max(lat), 6) as lat_max,
+  count(*) as n_label_cells, count(distinct y) as n_labels, 'f,u' as fields, 'A' as config, '0.5' as threshold from grid_events"""))
 def s05(spark: SparkSession, d: str) -> DataFrame:
     g = fx.grid_events(spark, d)
-    return tables.run_metadata(g, g.select("grid_id", F.col("y").alias("label")), ["f"], config="A").select("height", "width", "n_cells", r("lat_min", 6), r("lat_max", 6))
+    return tables.run_metadata(g, g.select("grid_id", F.col("y").alias("label")), ["f", "u"], config="A", threshold="0.5").select(
+        "height", "width", "n_cells", r("lat_min", 6), r("lat_max", 6), "n_label_cells", "n_labels", F.array_join("fields", ",").alias("fields"), "config", "threshold"
+    )
 
 
 @query("p08_p09_columns", fx.with_sql(LC, then="select label, count(*) as npix, round(median(p1), 5) as p1, round(avg(p2), 5) as p2, round(median(p1), 5) as p1_median from label_cells group by label"))
