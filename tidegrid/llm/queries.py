@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import queries_native, queries_text
+from tidegrid.llm import queries_mining, queries_native, queries_text
 
-QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES}
-ORACLE = {**queries_native.ORACLE}
+QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES, **queries_mining.QUERIES}
+ORACLE = {**queries_native.ORACLE, **queries_mining.ORACLE}
