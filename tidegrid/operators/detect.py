@@ -34,11 +34,14 @@ def features(
     return now
 
 
-def automatic(field: DataFrame, value: str, height: int, width: int, window: int = 32, threshold: float = 90, rounds: int = 1) -> dict[str, DataFrame]:
-    """Smoothed field, Sobel gradient and features: the median filter until it settles, missing cells buffered, Sobel, the local
-    threshold and the thinning chain."""
-    smooth = stencil.iterated_median(field, value).join(field.select("grid_id", "y", "x", "lat"), ["grid_id", "y", "x"])
-    edge = checkpointed(stencil.buffered(stencil.sobel(smooth, value), "sobel"))
+def automatic(field: DataFrame, value: str, height: int, width: int, window: int = 64, threshold: float = 90, rounds: int = 2) -> dict[str, DataFrame]:
+    """Smoothed field, Sobel gradient and features: the median filter until it settles, a buffer around the field's missing cells blanked,
+    Sobel, the local threshold and the thinning chain."""
+    smooth = checkpointed(stencil.iterated_median(field, value).join(field.select("grid_id", "y", "x", "lat"), ["grid_id", "y", "x"]))
+    clear = stencil.buffered(field, value).select("grid_id", "y", "x", F.lit(True).alias("_clear"))
+    # blanked cells stay in the table, so that the grid keeps its edges
+    blanked = smooth.join(clear, ["grid_id", "y", "x"], "left").withColumn(value, F.when(F.col("_clear"), F.col(value))).drop("_clear")
+    edge = checkpointed(stencil.sobel(blanked, value))
     mask = checkpointed(stencil.local_threshold(edge, "sobel", window, threshold).select("grid_id", "y", "x"))
     return {"filtered": smooth, "sobel": edge, "features": morphology.thinning_chain(mask, height, width, rounds)}
 

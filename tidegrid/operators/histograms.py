@@ -97,3 +97,18 @@ def split_by_percentile(df: DataFrame, value: str, pct: float) -> DataFrame:
     """Adds part: weak or strong, by a percentile of another column over all rows."""
     cut = ranking.percentiles(df, value, [pct]).withColumnRenamed("p0", "_c")
     return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(value) >= F.col("_c"), "strong").when(F.col(value).isNotNull(), "weak")).drop("_c")
+
+
+def matched_histogram(left: DataFrame, right: DataFrame, value: str, edges: int = 80, clip: float = 1.0) -> DataFrame:
+    """(bin, lo, hi, n_left, n_right): the finite values of both sides over shared bins between `edges` even edges, from the clip
+    percentile to the 100 - clip one of all of them; values outside are not counted, empty bins are."""
+    each = [df.select(F.col(value).cast("double").alias("v"), F.lit(k).alias("side")) for k, df in enumerate((left, right))]
+    both = each[0].unionByName(each[1]).filter("v is not null and not isnan(v) and abs(v) <> double('infinity')")
+    cut = ranking.percentiles(both, "v", [clip, 100 - clip])
+    n = edges - 1
+    placed = both.crossJoin(F.broadcast(cut)).select("side", bin_of(F.col("v"), F.col("p0"), F.col("p1"), n).alias("bin")).filter("bin is not null")
+    counts = placed.groupBy("bin").agg(F.count_if(F.col("side") == 0).alias("n_left"), F.count_if(F.col("side") == 1).alias("n_right"))
+    bins = cut.filter("p0 is not null").select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    edge = lambda k: F.col("p0") + (F.col("p1") - F.col("p0")) * k / n
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return bins.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), count("n_left"), count("n_right"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.ocean import haversine_km
+from tidegrid.functions.ocean import EARTH_KM, haversine_km
 from tidegrid.operators.components import checkpointed
 from tidegrid.operators.ranking import numbered_rows
 
@@ -19,8 +21,8 @@ def _around(*cols: str) -> list[Column]:
 
 
 def within_degrees(points: DataFrame, others: DataFrame, degrees: float, suffix: str = "_o") -> DataFrame:
-    """Pairs of points whose lat and lon both differ by at most `degrees`: an equi-join on square buckets and their neighbours.
-    Longitudes are not wrapped."""
+    """Pairs of points whose lat and lon both differ by at most `degrees`, in the plane of degrees: an equi-join on square buckets and
+    their neighbours. Longitudes are not wrapped; on the sphere see within_arc."""
     names = {c: c + suffix for c in others.columns}
     cut = {"_by": F.floor(F.col("lat") / degrees).cast("long"), "_bx": F.floor(F.col("lon") / degrees).cast("long")}
     mine = points.withColumns(cut)
@@ -35,20 +37,41 @@ def _best_cell(pairs: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.col("b.grid_id_o").alias("grid_id"), F.col("b.y_o").alias("y"), F.col("b.x_o").alias("x"), F.col("b.d2").alias("d2"))
 
 
-def _far_cell(points: DataFrame, cells: DataFrame, key: str, degrees: float = 2.0) -> DataFrame:
-    """The nearest cell at any distance: of the boxes around the cells of each square (at most 16,200 of the globe) only those are
-    looked into that may hold a nearer cell than the farthest corner of the box where that is nearest."""
+def _pyramid(cells: DataFrame, degrees: float, levels: int) -> list[DataFrame]:
+    """Boxes around the cells of squares of `degrees`, and of twice that, and so on: (up, by, bx, s, n, w, e), up the square above."""
+    size, out = degrees, []
+    squares = cells.groupBy(F.floor(F.col("lat") / size).cast("long").alias("by"), F.floor(F.col("lon") / size).cast("long").alias("bx")).agg(
+        F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")
+    )
+    for k in range(levels):
+        above = F.struct(F.floor(F.col("by") / 2).cast("long").alias("by"), F.floor(F.col("bx") / 2).cast("long").alias("bx"))
+        # all squares of the last level stand below one place
+        out.append(checkpointed(squares.withColumn("up", above if k < levels - 1 else F.struct(F.lit(0).cast("long").alias("by"), F.lit(0).cast("long").alias("bx")))))
+        squares = out[-1].groupBy(F.col("up.by").alias("by"), F.col("up.bx").alias("bx")).agg(F.min("s").alias("s"), F.max("n").alias("n"), F.min("w").alias("w"), F.max("e").alias("e"))
+    return out
+
+
+#: Boxes of one level that may be broadcast: some 50 bytes each.
+BOXES = 100_000
+
+
+def _far_cell(points: DataFrame, cells: DataFrame, key: str, degrees: float = 2.0, levels: int = 8) -> DataFrame:
+    """The nearest cell at any distance, from the top of a pyramid of boxes down: each level is an equi-join of what a point still
+    asks for with the boxes below it, and only those stay that may hold a nearer cell than the farthest corner of the box where that
+    is nearest. The last level's boxes are joined with their cells."""
     cut = {"_by": F.floor(F.col("lat") / degrees).cast("long"), "_bx": F.floor(F.col("lon") / degrees).cast("long")}
-    placed = cells.withColumns(cut)
-    boxes = placed.groupBy("_by", "_bx").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     lat, lon = F.col("lat"), F.col("lon")
     least = F.pow(F.greatest(F.col("s") - lat, lat - F.col("n"), F.lit(0.0)), 2) + F.pow(F.greatest(F.col("w") - lon, lon - F.col("e"), F.lit(0.0)), 2)
     most = F.pow(F.greatest(F.abs(lat - F.col("s")), F.abs(lat - F.col("n"))), 2) + F.pow(F.greatest(F.abs(lon - F.col("w")), F.abs(lon - F.col("e"))), 2)
-    both = points.crossJoin(F.broadcast(boxes)).withColumns({"_least": least, "_most": most})
-    bound = both.groupBy(key).agg(F.min("_most").alias("_bound"))
-    asked = both.select(key, "lat", "lon", "_by", "_bx", "_least").join(bound, key).filter(F.col("_least") <= F.col("_bound"))
+    asked = points.select(key, "lat", "lon", F.struct(F.lit(0).cast("long").alias("by"), F.lit(0).cast("long").alias("bx")).alias("up"))
+    for boxes in reversed(_pyramid(cells, degrees, levels)):
+        small = boxes.limit(BOXES + 1).count() <= BOXES
+        both = asked.join(F.broadcast(boxes) if small else boxes, "up").select(key, "lat", "lon", F.struct("by", "bx").alias("up"), least.alias("_least"), most.alias("_most"))
+        both = checkpointed(both)
+        bound = both.groupBy(key).agg(F.min("_most").alias("_bound"))
+        asked = checkpointed(both.join(bound, key).filter(F.col("_least") <= F.col("_bound")).select(key, "lat", "lon", "up"))
     names = {c: c + "_o" for c in ("grid_id", "y", "x", "lat", "lon")}
-    pairs = asked.join(placed.withColumnsRenamed(names), ["_by", "_bx"])
+    pairs = asked.select(key, "lat", "lon", F.col("up.by").alias("_by"), F.col("up.bx").alias("_bx")).join(cells.withColumns(cut).withColumnsRenamed(names), ["_by", "_bx"])
     return _best_cell(pairs.withColumn("d2", F.pow(lat - F.col("lat_o"), 2) + F.pow(lon - F.col("lon_o"), 2)), key)
 
 
@@ -56,7 +79,7 @@ def nearest_cell(points: DataFrame, cells: DataFrame, key: str, start_degrees: f
     """Per point the cell of least squared distance in degrees, the first in raster order at ties, however far it is.
 
     A cell found within r degrees is the nearest if it is within r; points without one go on with twice the radius, and those left
-    after `rounds` of that look for it box by box."""
+    after `rounds` of that look for it down a pyramid of boxes."""
     cells = cells.select("grid_id", "y", "x", "lat", "lon")
     todo, out = points, None
     r = start_degrees
@@ -82,13 +105,38 @@ def cropped_around(points: DataFrame, cells: DataFrame, key: str, height: int, w
     return placed.join(cells, ["grid_id", "y", "x"])
 
 
+def _reach(c: Column, by: float) -> Column:
+    """The slots of twice the width `by` that a value meets with everything within `by` of it: one or two."""
+    slack = by * 1e-6
+    return F.sequence(F.floor((c - by - slack) / (2 * by)), F.floor((c + by + slack) / (2 * by)))
+
+
+def within_arc(points: DataFrame, others: DataFrame, degrees: float, within: float, time: str = "t", suffix: str = "_o") -> DataFrame:
+    """Pairs of points less than `within` apart in time and at most `degrees` of a great circle apart, with arc, the degrees between them.
+
+    Points are unit vectors in cubes of twice the chord of that arc, and in slots of twice the time: one meets at most two cubes an axis
+    and two slots, an equi-join that knows no edge at the date line and no narrowing towards the poles. Cubes and slots only
+    propose; the haversine decides. Rows without a place or a time meet nothing."""
+    chord = 2 * math.sin(math.radians(min(degrees, 180.0)) / 2) or 1e-12
+    phi, lam = F.radians("lat"), F.radians("lon")
+    vector = {"_x": F.cos(phi) * F.cos(lam), "_y": F.cos(phi) * F.sin(lam), "_z": F.sin(phi), "_t": F.col(time).cast("double")}
+    sizes = {"_x": chord, "_y": chord, "_z": chord, "_t": within}
+    near = points.withColumns(vector)
+    for c, by in sizes.items():
+        near = near.withColumn(c, F.explode(_reach(F.col(c), by)))
+    far = others.withColumns(vector).withColumns({c: F.floor(F.col(c) / (2 * by)) for c, by in sizes.items()}).withColumnsRenamed({c: c + suffix for c in others.columns})
+    pairs = near.join(far, list(sizes)).drop(*sizes).filter(F.abs(F.col(time) - F.col(time + suffix)) < within)
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat" + suffix), F.col("lon" + suffix))
+    return pairs.withColumn("arc", F.degrees(km / EARTH_KM)).filter(F.col("arc") <= degrees)
+
+
 def nearest_in_space_time(left: DataFrame, right: DataFrame, days: float, degrees: float, time: str = "t", key: str = "uid") -> DataFrame:
-    """Per row of left the nearest row of right (by haversine) less than `days` away in time and within `degrees`, and its distance."""
-    pairs = within_degrees(left, right, degrees)
-    near = pairs.filter(F.abs(F.col(time) - F.col(time + "_o")) < days)
-    far = near.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat_o"), F.col("lon_o"))).filter(F.col("km") / 111.0 <= degrees)
-    best = far.groupBy(key).agg(F.min_by(F.struct(f"{key}_o", "km"), F.struct("km", f"{key}_o")).alias("b"))
-    return best.select(key, F.col(f"b.{key}_o").alias(f"{key}_o"), F.col("b.km").alias("km"))
+    """Per row of left the nearest row of right (on the sphere, the least key at ties) less than `days` away in time and within
+    `degrees`: (key, key_o, degrees). Rows of right at one place and time are one candidate, the one of least key."""
+    one = right.groupBy("lat", "lon", time).agg(F.min(key).alias(key))
+    near = within_arc(left.select(key, "lat", "lon", time), one, degrees, days, time)
+    best = near.groupBy(key).agg(F.min_by(F.struct(f"{key}_o", "arc"), F.struct("arc", f"{key}_o")).alias("b"))
+    return best.select(key, F.col(f"b.{key}_o").alias(f"{key}_o"), F.col("b.arc").alias("degrees"))
 
 
 def _beside(targets: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Shapes of masks: thinning, spurs, dilation, ridge sharpening.
 
-Whole-mask steps (neighbour counts, spur removal, dilation, gradient thinning) are joins and windows. Steps that look at a cell's
-3 x 3 in an order of their own run on packs of whole components as grouped maps: no decision reaches past a component, so the result
-is that of the whole grid. Packs are of bounded size, but for a component beyond that; kernels work on sorted cell lists.
+Whole-mask steps (neighbour counts, spur removal, dilation, gradient thinning) are joins and windows. Thinning runs on tiles that
+exchange their edges. Steps that look at a cell's 3 x 3 in an order of their own (sharpening, pruning) run on packs of whole
+components as grouped maps: no decision reaches past a component, so the result is that of the whole grid. Packs are of bounded size,
+but for a component beyond that; kernels work on sorted cell lists.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ PACK_CELLS = 400_000
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
 
-def _crossings(code: int) -> int:
-    """Changes from unset to set around the ring."""
-    return sum(not code >> k & 1 and bool(code >> (k + 1) % 8 & 1) for k in range(8))
+def _spurs() -> list[bool]:
+    """By neighbour code whether a cell goes as a spur: it stands alone, has one neighbour, two sides at a right angle, a side and the
+    corner before it (clockwise), or the three of one side; each at any quarter turn."""
+    quarter = [(), (0,), (1,), (7, 0), (0, 2), (7, 0, 1)]
+    codes = {sum(1 << (k + turn) % 8 for k in some) for some in quarter for turn in (0, 2, 4, 6)}
+    return [c in codes for c in range(256)]
 
 
-#: By neighbour code: a spur's end (at most two neighbours, side by side), and whether removal keeps the neighbourhood in one piece.
-SPUR = [bin(c).count("1") == 1 or (bin(c).count("1") == 2 and _crossings(c) == 1) for c in range(256)]
+SPUR = _spurs()
 
 
 def _simple(code: int) -> bool:
@@ -84,7 +87,7 @@ def neighbour_counts(mask: DataFrame) -> DataFrame:
 
 
 def without_spurs(mask: DataFrame, height: int, width: int, rounds: int | None = 1) -> DataFrame:
-    """Spur ends removed, all of a round at once; places outside the grid count as set. None: until nothing changes."""
+    """Spurs removed, all of a round at once; places outside the grid count as set. None: until nothing changes."""
     lut = F.array(*[F.lit(x) for x in SPUR])
     now, k = mask.select("grid_id", "y", "x"), 0
     while rounds is None or k < rounds:
@@ -157,6 +160,66 @@ def thin_kernel(cells: Cells, rounds: int | None = None) -> np.ndarray:
     return on
 
 
+def _thin_tile(names: np.ndarray, rounds: int, halo: int) -> bool:
+    """Thins a tile in place, at most so many rounds; names has a label a cell, 0 for none. Whether the last round still changed the tile's
+    own cells, those not within the halo."""
+    own = names[halo : names.shape[0] - halo, halo : names.shape[1] - halo]
+    for _ in range(rounds):
+        before, all_before = np.count_nonzero(own), np.count_nonzero(names)
+        for table in THIN:
+            y, x = np.nonzero(names)
+            wide = np.pad(names, 1)
+            code = np.zeros(len(y), dtype=np.int64)
+            for k, (dy, dx) in enumerate(RING):
+                code |= (wide[y + 1 + dy, x + 1 + dx] == names[y, x]).astype(np.int64) << k
+            off = table[code]
+            names[y[off], x[off]] = 0
+        if np.count_nonzero(names) == all_before:
+            return False
+    return np.count_nonzero(own) != before
+
+
+def _of_steps(run: Callable, steps: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    return lambda key, pdf: run(steps, key, pdf)
+
+
+def thinned_in_tiles(labels: DataFrame, tile: int = 512, halo: int = 64, rounds: int | None = None) -> DataFrame:
+    """labels (grid_id, label, y, x) thinned, each label apart, however large it is: the whole grid's thinning tile by tile.
+
+    A half-step looks at a cell's 3 x 3, so what a tile knows beyond its edge goes stale by one cell a half-step: with a halo of 64
+    cells it thins 32 rounds by itself, then tiles exchange their edges. That is repeated until no tile's own cells change in a
+    last round. A task holds a tile and its halo, whatever the component. Tiles name themselves busy in a row without a place."""
+    types = dict(labels.dtypes)
+    fields = f"grid_id {types['grid_id']}, label {types['label']}, y {types['y']}, x {types['x']}"
+    each = halo // 2
+
+    def run(steps: int, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, ty, tx = key
+        names, labels_of = np.zeros((tile + 2 * halo, tile + 2 * halo), dtype=np.int64), pdf["label"].to_numpy()
+        y, x = pdf["y"].to_numpy() - ty * tile + halo, pdf["x"].to_numpy() - tx * tile + halo
+        codes, place = np.unique(labels_of, return_inverse=True)
+        names[y, x] = place + 1
+        busy = _thin_tile(names, steps, halo)
+        own = (names[y, x] > 0) & (y >= halo) & (y < halo + tile) & (x >= halo) & (x < halo + tile)
+        out = pdf.loc[own, ["grid_id", "label", "y", "x"]]
+        return pd.concat([out, pdf[["grid_id", "label"]].head(1).assign(y=None, x=None)]).astype({"y": "Int64", "x": "Int64"}) if busy else out
+
+    def spread_out(now: DataFrame) -> DataFrame:
+        for c in "yx":
+            tiles = F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
+            now = now.withColumn(f"_t{c}", F.explode(tiles))
+        return now
+
+    now, done = labels.select("grid_id", "label", "y", "x"), 0
+    while rounds is None or done < rounds:
+        steps = each if rounds is None else min(each, rounds - done)
+        got = checkpointed(spread_out(now).groupBy("grid_id", "_ty", "_tx").applyInPandas(_of_steps(run, steps), fields))
+        now, done = got.filter("y is not null"), done + steps
+        if got.filter("y is null").isEmpty():
+            break
+    return now
+
+
 def sharpen_kernel(cells: Cells, value: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cells are taken off from the lowest value up, if that leaves topology and ends alone; a cell whose neighbour went is asked again."""
     on = np.ones(len(value), dtype=bool)
@@ -195,14 +258,15 @@ def _by_component(cells: DataFrame, kernel: Callable[[pd.DataFrame, Cells], np.n
 
 
 def thinned(mask: DataFrame, labels: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
-    """Lines one cell wide, by component."""
-    lab = components.label(mask) if labels is None else labels
-    return _by_component(lab, lambda _, c: thin_kernel(c, rounds)).select("grid_id", "y", "x")
+    """Lines one cell wide; with labels, each label by itself. A cell that touches another is thinned together with it, so the mask needs no
+    components."""
+    lab = mask.select("grid_id", F.lit(1).alias("label"), "y", "x") if labels is None else labels
+    return thinned_in_tiles(lab, rounds=rounds).select("grid_id", "y", "x")
 
 
 def skeletons(labels: DataFrame) -> DataFrame:
     """Thinned cells of each label, with the label."""
-    return _by_component(labels, lambda _, c: thin_kernel(c))
+    return thinned_in_tiles(labels)
 
 
 def sharpened(labels: DataFrame, field: DataFrame, value: str, min_size: int = 1) -> DataFrame:
@@ -268,11 +332,12 @@ def gradient_thinned(mask: DataFrame, field: DataFrame, value: str, min_gap: int
 
 
 def thinning_chain(mask: DataFrame, height: int, width: int, rounds: int = 2, min_size: int = 7, dilate: bool = True) -> DataFrame:
-    """Dilation, then rounds of thinning, spur removal, small objects out, holes filled, dilation; a last thinning."""
+    """Dilation, then rounds of thinning, spur removal, small objects out and holes filled, with a dilation between rounds (none after
+    the last one); a last thinning."""
     now = dilated(mask, height=height, width=width) if dilate else mask
-    for _ in range(rounds):
-        thin = checkpointed(thinned(now))
-        now = checkpointed(dilated(cropped(thin, height, width, min_size), height=height, width=width))
+    for k in range(rounds):
+        now = cropped(checkpointed(thinned(now)), height, width, min_size)
+        now = checkpointed(dilated(now, height=height, width=width) if k < rounds - 1 else now)
     return thinned(now)
 
 

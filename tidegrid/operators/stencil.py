@@ -111,14 +111,21 @@ def sobel_of_present(cells: DataFrame, value: str) -> DataFrame:
 
 
 def sobel(cells: DataFrame, value: str, lat: str = "lat", legacy_scale: bool = False) -> DataFrame:
-    """Sobel gradient magnitude by cos(lat), edges mirrored; adds sobel."""
+    """Sobel gradient magnitude by cos(lat); adds sobel. The grid's edges are mirrored; where any of the nine cells within the grid is
+    missing, as a value or as a row, there is no gradient."""
     v = F.col(value)
-    edge = lambda c, k, axis: F.coalesce(shift(c, k, axis), c)
-    a = cells.withColumns({"_sx": edge(v, -1, "x") + 2 * v + edge(v, 1, "x"), "_dx": edge(v, 1, "x") - edge(v, -1, "x")})
+    size = cells.groupBy("grid_id").agg(*[f(c).alias(f"_{n}{c}") for c in "yx" for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def beside(c: Column, k: int, axis: str) -> Column:
+        at_edge = F.col(axis) == F.col(f"_{'lo' if k < 0 else 'hi'}{axis}")
+        return F.when(at_edge, c).otherwise(shift(c, k, axis))
+
+    held = cells.join(size, "grid_id")
+    a = held.withColumns({"_sx": beside(v, -1, "x") + 2 * v + beside(v, 1, "x"), "_dx": beside(v, 1, "x") - beside(v, -1, "x") + 0 * v})
     sx, dx = F.col("_sx"), F.col("_dx")
-    b = a.withColumns({"_gy": edge(sx, 1, "y") - edge(sx, -1, "y"), "_gx": edge(dx, -1, "y") + 2 * dx + edge(dx, 1, "y")})
+    b = a.withColumns({"_gy": beside(sx, 1, "y") - beside(sx, -1, "y") + 0 * sx, "_gx": beside(dx, -1, "y") + 2 * dx + beside(dx, 1, "y")})
     scale = 4.0 if legacy_scale else 1.0
-    return b.withColumn("sobel", F.hypot("_gx", "_gy") * F.cos(F.radians(lat)) * scale).drop("_sx", "_dx", "_gy", "_gx")
+    return b.withColumn("sobel", F.hypot("_gx", "_gy") * F.cos(F.radians(lat)) * scale).drop("_sx", "_dx", "_gy", "_gx", *size.columns[1:])
 
 
 def buffered(cells: DataFrame, value: str, radius: int = 4) -> DataFrame:

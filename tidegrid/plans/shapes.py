@@ -86,9 +86,13 @@ CODES = """codes as (select a.grid_id, a.y, a.x, coalesce(sum(case when b.y = a.
   from mask_int a left join mask_int b on a.grid_id = b.grid_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by a.grid_id, a.y, a.x)"""
 
 
-@query("m06_spurs_removed", fx.with_sql(E, M, CODES, f"""edged as (select grid_id, y, x, code | (case when y = 0 then 1 + 2 + 128 else 0 end) | (case when x = 0 then 32 + 64 + 128 else 0 end)
+#: Neighbour codes (bit 0 above, then clockwise) of cells that go as spurs.
+SPUR_CODES = "0, 1, 2, 4, 5, 6, 8, 14, 16, 20, 24, 32, 56, 64, 65, 80, 96, 128, 129, 131, 224"
+
+
+@query("m06_spurs_removed", fx.with_sql(E, M, CODES, """edged as (select grid_id, y, x, code | (case when y = 0 then 1 + 2 + 128 else 0 end) | (case when x = 0 then 32 + 64 + 128 else 0 end)
     | (case when x = 99 then 2 + 4 + 8 else 0 end) | (case when y = (select max(y) from grid_events) then 8 + 16 + 32 else 0 end) as code from codes)""",
-    then="select grid_id, y, x from edged where code not in (" + ", ".join(str(c) for c in range(256) if morphology.SPUR[c]) + ")"))
+    then="select grid_id, y, x from edged where code not in (" + SPUR_CODES + ")"))
 def m06(spark: SparkSession, d: str) -> DataFrame:
     return morphology.without_spurs(fx.mask_int(spark, d), size(fx.grid_events(spark, d)), 100)
 
@@ -116,7 +120,7 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m11_thinning_chain")
 def m11(spark: SparkSession, d: str) -> DataFrame:
-    return morphology.thinning_chain(fx.mask_int(spark, d), size(fx.grid_events(spark, d)), 100, 1)
+    return morphology.thinning_chain(fx.mask_int(spark, d), size(fx.grid_events(spark, d)), 100)
 
 
 @query("m12_sharpened")
@@ -179,7 +183,8 @@ def m19(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m20_automatic")
 def m20(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.grid_events(spark, d)
+    # gaps far enough apart that buffers around them leave something
+    g = fx.grid_events(spark, d).drop("f").join(fx.read(spark, d, "events").selectExpr("event_id", "case when event_id % 997 = 0 then null else value end as f"), "event_id")
     return detect.automatic(g, "f", size(g), 100, window=8, threshold=75)["features"]
 
 

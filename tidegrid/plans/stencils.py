@@ -85,12 +85,13 @@ def n06(spark: SparkSession, d: str) -> DataFrame:
     return stencil.iterated_median(fx.grid_events(spark, d), "f", target=0.01).select("y", "x", r("f"))
 
 
-@query("n07_sobel", fx.with_sql(E, """b as (select y, x, lat, coalesce(f, 0) as f from grid_events)""", """t as (
-  select a.y, a.x, a.lat, i.k as dy, j.k as dx, b.f from b a, (values (-1), (0), (1)) as i(k), (values (-1), (0), (1)) as j(k), b
-  where b.y = least(greatest(a.y + i.k, 0), (select max(y) from b)) and b.x = least(greatest(a.x + j.k, 0), 99))""",
-    then="""select y, x, round(sqrt(pow(sum(f * dx * (2 - abs(dy))), 2) + pow(sum(f * dy * (2 - abs(dx))), 2)) * cos(radians(max(lat))), 4) as sobel from t group by y, x"""))
+@query("n07_sobel", fx.with_sql(E, """t as (
+  select a.y, a.x, a.lat, i.k as dy, j.k as dx, b.f from grid_events a cross join (values (-1), (0), (1)) as i(k) cross join (values (-1), (0), (1)) as j(k)
+  left join grid_events b on b.y = least(greatest(a.y + i.k, 0), (select max(y) from grid_events)) and b.x = least(greatest(a.x + j.k, 0), 99))""",
+    then="""select y, x, case when count(f) = 9 then round(sqrt(pow(sum(f * dx * (2 - abs(dy))), 2) + pow(sum(f * dy * (2 - abs(dx))), 2)) * cos(radians(max(lat))), 4) end as sobel
+from t group by y, x"""))
 def n07(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.sobel(fx.grid_events(spark, d).fillna({"f": 0.0}), "f").select("y", "x", r("sobel", 4))
+    return stencil.sobel(fx.grid_events(spark, d), "f").select("y", "x", r("sobel", 4))
 
 
 @query("n08_buffered", fx.with_sql(E, then="""

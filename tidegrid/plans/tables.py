@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import ocean
-from tidegrid.operators import archive, catalog, features, histograms, match
+from tidegrid.operators import archive, catalog, density, features, histograms, match
+from tidegrid.operators.components import checkpointed
 from tidegrid.operators.ranking import numbered_rows
 from tidegrid.plans import fixtures as fx
 from tidegrid.plans.stencils import UV, r, size
@@ -205,16 +206,39 @@ def j06(spark: SparkSession, d: str) -> DataFrame:
     return match.nearest_cell(p, fx.grid_events(spark, d), "uid", 0.2).select("uid", "y", "x")
 
 
-KM = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+ARC = "degrees(2 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))))"
+#: A catalogue and another one moved across the date line and the poles: every pair within six days, by the haversine alone.
+MATCHED = (
+    "s as (select uid, lat, lon, month * 30.0 as t from catalog)",
+    "o as (select uid + 1000000 as uid, greatest(-90, least(90, lat + 0.2)) as lat, (lon + 0.1 + 540) % 360 - 180 as lon, month * 30.0 + 3 as t from catalog)",
+    f"k as (select a.uid, b.uid as uid_o, {ARC} as arc from s a join o b on abs(a.t - b.t) < 6)",
+    "j as (select uid, uid_o, arc from (select *, row_number() over (partition by uid order by arc, uid_o) as n from k) where n = 1 and arc <= 3)",
+)
 
 
-@query("j07_nearest_in_space_time", fx.with_sql(C, "s as (select uid, lat, lon, month * 30.0 as t from catalog)", "o as (select uid + 1000000 as uid, lat + 0.2 as lat, lon + 0.1 as lon, month * 30.0 + 3 as t from catalog)", f"""k as (
-  select a.uid, b.uid as uid_o, {KM} as km from s a join o b on abs(a.t - b.t) < 6 and abs(a.lat - b.lat) <= 3 and abs(a.lon - b.lon) <= 3)""", then="""
-select uid, arg_min(uid_o, km) as uid_o, round(min(km), 4) as km from k where km / 111 <= 3 group by uid"""))
-def j07(spark: SparkSession, d: str) -> DataFrame:
+def matched_cutouts(spark: SparkSession, d: str) -> DataFrame:
     c = fx.catalog(spark, d).select("uid", "lat", "lon", (F.col("month") * 30.0).alias("t"))
-    o = c.select((F.col("uid") + 1000000).alias("uid"), (F.col("lat") + 0.2).alias("lat"), (F.col("lon") + 0.1).alias("lon"), (F.col("t") + 3).alias("t"))
-    return match.nearest_in_space_time(c, o, 6, 3).withColumn("km", F.round("km", 4))
+    moved = {"lat": F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col("lat") + 0.2)), "lon": (F.col("lon") + 0.1 + 540) % 360 - 180}
+    o = c.withColumns({"uid": F.col("uid") + 1000000, "t": F.col("t") + 3} | moved)
+    return match.nearest_in_space_time(c, o, 6, 3)
+
+
+@query("j07_nearest_in_space_time", fx.with_sql(C, *MATCHED, then="select uid, uid_o, round(arc, 6) as degrees from j"))
+def j07(spark: SparkSession, d: str) -> DataFrame:
+    return matched_cutouts(spark, d).withColumn("degrees", F.round("degrees", 6))
+
+
+@query("t14_matched_histogram", fx.with_sql(C, fx.CUTOUTS, *MATCHED, "v as (select c.f, 0 as side from cutouts c join j using (uid) union all select c.f + 0.25, 1 from cutouts c join j on c.uid = j.uid_o - 1000000)",
+    "q as (select quantile_cont(f, 0.01) as lo, quantile_cont(f, 0.99) as hi from v)", """n as (
+  select least(floor((f - lo) / ((hi - lo) / 79))::int, 78) as bin, count(*) filter (where side = 0) as n_left, count(*) filter (where side = 1) as n_right
+  from v, q where f between lo and hi group by 1)""", then="""
+select k::int as bin, round(lo + (hi - lo) * k / 79, 6) as lo, round(lo + (hi - lo) * (k + 1) / 79, 6) as hi, coalesce(n_left, 0)::bigint as n_left, coalesce(n_right, 0)::bigint as n_right
+from q, range(0, 79) r(k) left join n on n.bin = k""").replace("from q, range(0, 79) r(k) left join", "from q cross join range(0, 79) r(k) left join"))
+def t14(spark: SparkSession, d: str) -> DataFrame:
+    pairs, cells = checkpointed(matched_cutouts(spark, d)), fx.cutouts(spark, d).select("uid", "f")
+    left = cells.join(pairs.select("uid"), "uid")
+    right = cells.withColumns({"uid": F.col("uid") + 1000000, "f": F.col("f") + 0.25}).join(pairs.select(F.col("uid_o").alias("uid")), "uid")
+    return histograms.matched_histogram(left, right, "f").withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
 
 
 IMT = "t as (select image_id, min(epoch(ts)) as t from images group by 1)"
@@ -523,6 +547,22 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
     return features.density_clusters(c, "uid", ["a", "b"], 1.0, 4)
 
 
+SCANNED = [(0.6, 2), (0.6, 4), (0.8, 2), (0.8, 4), (1.0, 4), (1.0, 6)]
+
+
+@query("a28_parameter_scan", fx.with_sql(C, "p as (select uid, lat / 10 as a, lon / 10 as b from catalog)", "q(eps, m, place) as (values " + ", ".join(f"({e}, {m}, {k})" for k, (e, m) in enumerate(SCANNED)) + ")", """near as (
+  select eps, m, x.uid as u, y.uid as v from p x, p y, q where pow(x.a - y.a, 2) + pow(x.b - y.b, 2) <= eps * eps)""", "core as (select eps, m, u from near group by 1, 2, 3 having count(*) >= m)",
+    "r(eps, m, u, v) as (select eps, m, u, u from core union select r.eps, r.m, r.u, n.v from r join near n on n.u = r.v and n.eps = r.eps and n.m = r.m join core c on c.u = n.v and c.eps = r.eps and c.m = r.m)",
+    "lab as (select eps, m, u, min(v) as l from r group by 1, 2, 3)", "e as (select n.eps, n.m, n.v as uid, min(l) as l from near n join lab using (eps, m, u) group by 1, 2, 3)", """s as (
+  select q.eps, q.m, place, count(distinct l) as n_clusters, avg((l is null)::int) as noise_share from q cross join p left join e on e.uid = p.uid and e.eps = q.eps and e.m = q.m group by 1, 2, 3)""",
+    then="""select eps::double as eps, m::int as min_points, n_clusters, round(noise_share, 9) as noise_share,
+  coalesce(noise_share < 0.7 and n_clusters > 0 and row_number() over (order by noise_share < 0.7 and n_clusters > 0 desc, n_clusters desc, place) = 1, false) as chosen from s""").replace("with ", "with recursive ", 1))
+def a28_scan(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.catalog(spark, d).select("uid", (F.col("lat") / 10).alias("a"), (F.col("lon") / 10).alias("b"))
+    found = density.clusters(c, "uid", ["a", "b"], SCANNED)
+    return density.scan(found, SCANNED, 0.7).withColumn("noise_share", F.round("noise_share", 9))
+
+
 @query("w01_cumulative_share", "select v as o_totalprice, round(sum(w) over (order by v) / sum(w) over (), 6) as share from (select o_totalprice as v, count(*) as w from orders group by 1)")
 def w01(spark: SparkSession, d: str) -> DataFrame:
     o = fx.read(spark, d, "orders").withColumn("w", F.lit(1))
@@ -561,6 +601,29 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
     return _samples(spark, d).select("seg", "m", "offset", "v")
 
 
+#: A closed line, a wave and a zigzag with side branches on the cells of the event grid.
+CURVES = """(y % 34 < 23 and floor(sqrt(pow(y % 34 - 11, 2) + pow(x - 20, 2)))::int = 9) or x = 60 + round(8 * sin(y / 8.0))::int or (x = 80 + abs(y % 12 - 6)) or (y % 12 = 3 and x between 84 and 97)"""
+
+
+@query("a35_line_order", fx.with_sql(E, f"on_ as (select y, x, y * 1000 + x as id from grid_events where {CURVES})", """near as (
+  select a.id as u, b.id as v from on_ a join on_ b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.id <> b.id
+  where a.y = b.y or a.x = b.x or not exists (select 1 from on_ c where (c.y = a.y and c.x = b.x) or (c.y = b.y and c.x = a.x)))""",
+    "plain as (select id from on_ where (select count(*) from near where u = id) <= 2)", "lk as (select u, v from near where u in (select id from plain) and v in (select id from plain))",
+    "r(u, v) as (select id, id from plain union select r.u, lk.v from r join lk on lk.u = r.v)", "root as (select u as id, min(v) as root from r group by u)", """deg as (
+  select id, root, (select count(*) from lk where u = id) as k from root)""", """start as (
+  select root, coalesce(min(id) filter (k < 2), root) as id, coalesce(min(id) filter (k < 2), -1) < 0 as closed from deg group by root)""", """walk(root, m, id, prev) as (
+  select root, 1, id, case when closed then (select max(v) from lk where u = start.id) else -1 end from start
+  union all select w.root, w.m + 1, lk.v, w.id from walk w join lk on lk.u = w.id and lk.v <> w.prev join start s on s.root = w.root and lk.v <> s.id)""", then="""
+select dense_rank() over (order by root) as seg, m::bigint as m, (id // 1000)::int as y, (id % 1000)::int as x from walk""").replace("with ", "with recursive ", 1))
+def a35_order(spark: SparkSession, d: str) -> DataFrame:
+    y, x = F.col("y"), F.col("x")
+    ring = (y % 34 < 23) & (F.floor(F.sqrt(F.pow(y % 34 - 11, 2) + F.pow(x - 20, 2))) == 9)
+    wave = x == 60 + F.round(8 * F.sin(y / 8.0)).cast("int")
+    zigzag = (x == 80 + F.abs(y % 12 - 6)) | ((y % 12 == 3) & x.between(84, 97))
+    lines = archive.line_order(fx.grid_events(spark, d).filter(ring | wave | zigzag))
+    return lines.select("seg", "m", "y", "x")
+
+
 @query("a36_a37_across", fx.with_sql(O, SAMPLES, then="""
 select seg, m, round(avg(v) filter ("offset" < 0), 7) as before, round(avg(v) filter ("offset" > 0), 7) as after, round(avg(v) filter (abs("offset") >= 5), 7) as background,
   max(v) filter (abs("offset") <= 3) as feature from s group by seg, m"""))
