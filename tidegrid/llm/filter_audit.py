@@ -52,10 +52,11 @@ def cells(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = text_of(F.col(text_col).cast("string"))
     bits = sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(conditions(text))), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.sha2(text.cast("binary"), 256).alias("same"), bits.alias("bits"))
-    first = rows.groupBy("same").agg(F.min("id").alias("first"))
+    # joined back by text and id together, so that a text that many documents have is no single key
+    first = rows.filter("id is not null").groupBy("same").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
     said = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max((F.col(c) == 1).cast("int")).alias(k) for c, k in (("quality", "good"), ("toxic", "toxic"))])
-    late = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    known = rows.join(first, "same").select("id", "part", (F.col("bits") + F.when(late, 16).otherwise(0)).alias("mask")).join(said, "id", "left")
+    late = F.col("id").isNotNull() & F.col("first").isNull()
+    known = rows.join(first, ["same", "id"], "left").select("id", "part", (F.col("bits") + F.when(late, 16).otherwise(0)).alias("mask")).join(said, "id", "left")
     count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
     return known.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), count("good"), count("toxic"))
 
