@@ -66,8 +66,9 @@ def to_counts(kelvin: Column, scale: float = 0.01, offset: float = 268.15, most:
     return F.when((n > 0) & (n <= most), n)
 
 
-def from_counts(counts: Column, scale: float = 0.01, offset: float = 268.15, celsius: bool = False) -> Column:
-    return counts * scale + (offset - (273.15 if celsius else 0.0))
+def from_counts(counts: Column, scale: float = 0.01, offset: float = 268.15, celsius: bool = True, fill: int = -32768) -> Column:
+    """Whole counts as Celsius, or as Kelvin; null for the fill."""
+    return F.when(counts != fill, counts * scale + (offset - (273.15 if celsius else 0.0)))
 
 
 def solar_zenith(day: Column, hour: Column, minute: Column, lat: Column, lon: Column) -> Column:
@@ -97,3 +98,15 @@ def flow_curvature(u: Column, v: Column, ux: Column, uy: Column, vx: Column, vy:
 
 def curvature_number(speed: Column, f: Column, radius: Column) -> Column:
     return F.when((f != 0) & (radius != -1), 2 * speed / f / (radius + 1))
+
+
+def flow_measures(u: Column, v: Column, ux: Column, uy: Column, vx: Column, vy: Column, lat: Column, equator: float = 6.0) -> dict[str, Column]:
+    """Of a velocity in m/s and its gradients per metre: radius of curvature (m), curvature per km, curvature number, kinetic energy,
+    beta of the curvature, and vorticity and Rossby number; the number, vorticity and Rossby number are null within `equator` degrees."""
+    speed, f, radius = F.hypot(u, v), coriolis(lat), flow_curvature(u, v, ux, uy, vx, vy)
+    off = lambda c: F.when((lat < -equator) | (lat > equator), c)
+    vorticity = vx - uy
+    return {
+        "radius": radius, "kappa": 1000 / F.nullif(radius, F.lit(0.0)), "curvature_number": off(curvature_number(speed, f, radius)), "kinetic_energy": (u * u + v * v) / 2,
+        "beta_c": speed / F.nullif(radius * radius, F.lit(0.0)), "vorticity": off(vorticity), "rossby": off(vorticity / F.nullif(f, F.lit(0.0))),
+    }

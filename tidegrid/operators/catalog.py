@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ocean import normalised
+from tidegrid.operators.components import checkpointed
+from tidegrid.operators.ranking import numbered_rows
 
 
 #: Values that hash_order takes.
@@ -67,18 +69,18 @@ def index_of(meta: DataFrame, arrays: DataFrame, key: str = "uid") -> DataFrame:
 
 
 def random_split(table: DataFrame, sizes: dict[str, int], key: str = "uid", seed: int = 0) -> DataFrame:
-    """Adds split: the first sizes in hash order, the rest is left out.
-
-    Only the hash's threshold needs an order over all rows: rows beyond it are filtered before any are ranked, so the ranking
-    window holds as many rows as are wanted, not the table."""
-    total = sum(sizes.values())
-    ranked = table.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(total)
-    n = F.row_number().over(Window.orderBy("_h", key))
+    """Adds split: the first sizes in hash order, the rest is left out. Rows beyond a hash that leaves enough are dropped before any are
+    numbered, and numbers come range by range."""
+    total, rows = sum(sizes.values()), table.count()
+    hashed = table.withColumn("_h", hash_order(key, seed))
+    cut = HASHES if total >= rows else math.ceil(HASHES * min(1.0, (total + 6 * math.sqrt(total) + 20) / rows))
+    some = hashed.filter(F.col("_h") < cut)
+    some = some if cut == HASHES or some.count() >= total else hashed
     out, upto = F.lit(None).cast("string"), 0
     for name, size in sizes.items():
-        out = F.when((n > upto) & (n <= upto + size), name).otherwise(out)
+        out = F.when((F.col("_n") > upto) & (F.col("_n") <= upto + size), name).otherwise(out)
         upto += size
-    return ranked.withColumn("split", out).drop("_h")
+    return numbered_rows(some, "_h", key, name="_n").filter(F.col("_n") <= total).withColumn("split", out).drop("_h", "_n")
 
 
 def balanced_sample(table: DataFrame, metric: str, nbins: int, total: int, key: str = "uid", seed: int = 0) -> DataFrame:
@@ -107,11 +109,20 @@ def balanced_sample(table: DataFrame, metric: str, nbins: int, total: int, key:
     return some.withColumn("_r", rank).filter(F.col("_r") <= of(quota)).drop("_r")
 
 
-def generate(points: DataFrame, times: DataFrame) -> DataFrame:
-    """Catalogue of every point (lat, lon, ...) at every time (day): uid is a hash of all of these. Times are broadcast if their number,
-    counted, is small, as it is by nature; points stay where they are."""
+#: Days of a catalogue that are broadcast together.
+DAYS = 100_000
+
+
+def generate(points: DataFrame, times: DataFrame, most: int = DAYS) -> DataFrame:
+    """Catalogue of every point (lat, lon, ...) at every time (day): uid is a hash of all of these. Up to `most` times, counted, are
+    broadcast and points stay where they are; more are numbered and cut into blocks, and points meet them block by block."""
     days = times.withColumnRenamed("day", "datetime")
-    both = points.crossJoin(F.broadcast(days) if days.limit(100_001).count() <= 100_000 else days)
+    if days.limit(most + 1).count() <= most:
+        both = points.crossJoin(F.broadcast(days))
+    else:
+        cut = checkpointed(numbered_rows(days, "datetime").withColumn("_b", F.floor((F.col("k") - 1) / most)).drop("k"))
+        blocks = cut.agg(F.max("_b")).first()[0]
+        both = points.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks)))).join(cut, "_b").drop("_b")
     return both.withColumn("uid", F.xxhash64("lat", "lon", "datetime"))
 
 

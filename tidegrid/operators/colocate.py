@@ -13,23 +13,32 @@ STATS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def register_stat(name: str, column_of: Callable[[Column], Column]) -> None:
-    """A statistic of one's own: an aggregate of a column, built in or a grouped-aggregate pandas UDF."""
+#: Names of statistics that are pandas UDFs, which Spark aggregates apart from built-in ones.
+APART: set[str] = set()
+
+
+def register_stat(name: str, column_of: Callable[[Column], Column], pandas: bool = False) -> None:
+    """A statistic of one's own: an aggregate of a column, built in or, with pandas, a grouped-aggregate pandas UDF, which gets all values
+    of a label at once."""
     STATS[name] = column_of
+    (APART.add if pandas else APART.discard)(name)
 
 
 def label_statistics(
     cells: DataFrame, fields: list[str], stats: tuple[str, ...] = ("mean", "std", "median"), percentiles: tuple[float, ...] = (), min_size: int = 1,
     keys: tuple[str, ...] = ("label",), nan_policy: str = "omit",
 ) -> DataFrame:
-    """Per label npix and {field}_{stat}, {field}_p{pct}, in one shuffle. omit: NaN counts as missing; propagate: NaN sorts last."""
+    """Per label npix and {field}_{stat}, {field}_p{pct}, in one shuffle, and a second one if there are pandas statistics. omit: NaN counts as
+    missing; propagate: NaN sorts last."""
     clean = cells if nan_policy == "propagate" else cells.withColumns({f: F.when(~F.isnan(f), F.col(f)) for f in fields})
     out = [F.count(F.lit(1)).alias("npix")]
     for f in fields:
-        out += [STATS[s](F.col(f)).alias(f"{f}_{s}") for s in stats]
+        out += [STATS[s](F.col(f)).alias(f"{f}_{s}") for s in stats if s not in APART]
         if percentiles:
             out.append(F.percentile(f, F.array(*[F.lit(p / 100) for p in percentiles])).alias(f"_{f}"))
     got = clean.groupBy(*keys).agg(*out).filter(F.col("npix") >= min_size)
+    if apart := [STATS[s](F.col(f)).alias(f"{f}_{s}") for f in fields for s in stats if s in APART]:
+        got = got.join(clean.groupBy(*keys).agg(*apart), list(keys))
     named = {f"{f}_p{p:g}": F.get(f"_{f}", F.lit(k)) for f in fields for k, p in enumerate(percentiles)}
     return got.withColumns(named).drop(*[f"_{f}" for f in fields])
 

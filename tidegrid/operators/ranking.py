@@ -26,6 +26,20 @@ def numbered_rows(df: DataFrame, *order: str, name: str = "k", parts: int | None
     ).drop("_p", "_r", "_before")
 
 
+def running_sum(df: DataFrame, keys: tuple[str, ...], order: str, value: str, name: str, most: int = RANGE_ROWS) -> DataFrame:
+    """Adds name: within the keys, the sum of a value up to each row in the order of a column, nulls first; equal ones are one place. A table
+    of more than `most` rows is cut into ranges of even size, and a range's sums begin after those before it: no window holds a key's
+    rows."""
+    parts = -(-df.count() // most)
+    if parts <= 1:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first())))
+    cut = checkpointed(df.repartitionByRange(parts, *keys, F.col(order).asc_nulls_first()).withColumn("_p", F.spark_partition_id()))
+    sums = cut.groupBy(*keys, "_p").agg(F.sum(value).alias("_s"))
+    before = sums.select(*keys, "_p", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).alias("_before"))
+    run = F.sum(value).over(Window.partitionBy(*keys, "_p").orderBy(F.col(order).asc_nulls_first()))
+    return cut.withColumn("_run", run).join(before, [*keys, "_p"]).withColumn(name, F.col("_run") + F.col("_before")).drop("_p", "_run", "_before")
+
+
 def percentiles(df: DataFrame, value: str, pcts: list[float], *by: str, direct: int = DIRECT_ROWS, accuracy: int = 10_000) -> DataFrame:
     """(by, p0, p1, ...): exact percentiles of the present values of each group, interpolated between ranks; null where there are none.
 
@@ -56,8 +70,7 @@ def percentiles(df: DataFrame, value: str, pcts: list[float], *by: str, direct:
     ])).alias("k", "a")).select(*by, "k", "a.*")
     near = some.join(F.broadcast(asked), list(by)) if by else some.crossJoin(F.broadcast(asked))
     counts = checkpointed(near.filter(F.col("v") <= F.col("hi")).groupBy(*by, "k", "rank", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    upto = F.sum("c").over(Window.partitionBy(*by, "k").orderBy(F.col("v").asc_nulls_first()))
-    placed = counts.withColumn("upto", upto)
+    placed = running_sum(counts, (*by, "k"), "v", "c", "upto")
     at = lambda r: F.min(F.when(F.col("upto") > r, F.struct("upto", "v")))["v"]
     both = placed.groupBy(*by, "k", "rank").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
     got = both.select(*by, "k", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("x"))

@@ -330,6 +330,17 @@ def s08(spark: SparkSession, d: str) -> DataFrame:
     return tables.loaded_run(meta, run["labels"], run["geometry"].select("grid_id", "label", "npix"), stats, grid, 37).select("grid_id", "label", "y", "x", r("lat", 6), "npix", r("g_mean", 4))
 
 
+@query("g08_meshed_extent", rec(E, M, labelled(), then="""
+select label, grid_id, count(*) as npix, round(avg(-20 + 0.25 * y::double), 6) as centroid_lat, round(avg(30 + 0.5 * x::double), 6) as centroid_lon, round(max(30 + 0.5 * x::double) - min(30 + 0.5 * x::double), 6) as lon_range
+from labels group by 1, 2"""))
+def g08(spark: SparkSession, d: str) -> DataFrame:
+    m = fx.mask_int(spark, d)
+    axis = lambda c, lo, step, name: m.select(c).distinct().withColumn(name, lo + step * F.col(c))
+    grid = geometry.meshed(axis("y", -20, 0.25, "lat"), axis("x", 30, 0.5, "lon"))
+    e = geometry.extent(components.label(m).join(grid, ["y", "x"]))
+    return e.select("label", "grid_id", "npix", r("centroid_lat", 6), r("centroid_lon", 6), F.round(F.col("lon_max") - F.col("lon_min"), 6).alias("lon_range"))
+
+
 @query("g09_approximate_positions", fx.with_sql(E, then="select y, x, round(-60 + y * 2.25 / (2 * pi() * 6371 / 360), 6) as lat, round(-170 + x * 2.25 / (2 * pi() * 6371 / 360 * cos(radians(-60))), 6) as lon from grid_events"))
 def g09(spark: SparkSession, d: str) -> DataFrame:
     return geometry.approximate_positions(fx.grid_events(spark, d).drop("lat", "lon"), -60.0, -170.0).select("y", "x", r("lat", 6), r("lon", 6))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import ocean
 from tidegrid.operators import archive, catalog, density, features, histograms, match
-from tidegrid.operators.components import checkpointed
+from tidegrid.operators.components import checkpointed, shared_folder
 from tidegrid.operators.ranking import numbered_rows
 from tidegrid.plans import fixtures as fx
 from tidegrid.plans.stencils import UV, r, size
 from tidegrid.sources import tables
+from tidegrid.sources.npy import NpyDataSource
 
 QUERIES, ORACLE = {}, {}
 C, E, O, LC, IM = fx.CATALOG, fx.GRID_EVENTS, fx.GRID_ORDERS, fx.LABEL_CELLS, fx.IMAGES
@@ -162,6 +165,28 @@ def p27(spark: SparkSession, d: str) -> DataFrame:
     return k.select("y", "x", F.round(radius, 3).alias("radius"))
 
 
+@query("p27_curvature_number", fx.with_sql(O, UV, """k as (
+  select y, x, u, v, (ur - ul) / 2 as ux, (ud - uu) / 2 as uy, (vr - vl) / 2 as vx, (vd - vu) / 2 as vy, (y % 80) * 0.2 - 7.9 as lat from su)""", """m as (
+  select *, 2 * 7.2921e-5 * sin(radians(lat)) as fc, u * u * vx - v * v * uy + u * v * (vy - ux) as bend, abs(lat) <= 6 as near from k where ux + uy + vx + vy is not null)""", """q as (
+  select *, case when bend <> 0 then pow(u * u + v * v, 1.5) / bend end as r from m)""", then="""
+select y, x, round(case when not near and r <> -1 then 2 * sqrt(u * u + v * v) / fc / (r + 1) end, 2) as curvature_number, round((u * u + v * v) / 2, 4) as kinetic_energy,
+  round(sqrt(u * u + v * v) / nullif(r * r, 0), 4) as beta_c, round(case when not near then vx - uy end, 6) as vorticity, round(case when not near then (vx - uy) / fc end, 0) as rossby, round(1000 / nullif(r, 0), 4) as kappa from q"""))
+def p27_number(spark: SparkSession, d: str) -> DataFrame:
+    from tidegrid.operators.stencil import kinematics
+
+    k = kinematics(fx.grid_orders(spark, d)).filter("ux + uy + vx + vy is not null")
+    got = ocean.flow_measures(*[F.col(c) for c in ("u", "v", "ux", "uy", "vx", "vy")], (F.col("y") % 80) * 0.2 - 7.9)
+    digits = {"curvature_number": 2, "kinetic_energy": 4, "beta_c": 4, "vorticity": 6, "rossby": 0, "kappa": 4}
+    return k.select("y", "x", *[F.round(got[c], n).alias(c) for c, n in digits.items()])
+
+
+@query("p19_from_counts", fx.with_sql("n as (select event_id, case when event_id % 11 = 0 then -32768 else (event_id * 37) % 4000 end as n from events)", then="""
+select event_id, round(case when n <> -32768 then n::double * 0.01 + 268.15 end, 6) as kelvin, round(case when n <> -32768 then n::double * 0.01 - 5 end, 6) as celsius from n"""))
+def p19(spark: SparkSession, d: str) -> DataFrame:
+    n = fx.read(spark, d, "events").selectExpr("event_id", "case when event_id % 11 = 0 then -32768 else (event_id * 37) % 4000 end as n")
+    return n.select("event_id", F.round(ocean.from_counts(F.col("n"), celsius=False), 6).alias("kelvin"), F.round(ocean.from_counts(F.col("n")), 6).alias("celsius"))
+
+
 # --- catalogue -----------------------------------------------------------------------------------------------------------
 
 @query("p01_p02_lookup", fx.with_sql(C, then="select uid, lat, lon from catalog where month = 3 and label = 4"))
@@ -206,6 +231,14 @@ def j06(spark: SparkSession, d: str) -> DataFrame:
     return match.nearest_cell(p, fx.grid_events(spark, d), "uid", 0.2).select("uid", "y", "x")
 
 
+@query("p07_cropped_around", fx.with_sql(C, E, "p as (select uid, -60 + (uid * 37 % 1000) / 100.1 as lat, -170 + (uid * 91 % 1000) / 100.1 as lon from catalog)", """k as (
+  select uid, y, x, row_number() over (partition by uid order by pow(p.lat - e.lat, 2) + pow(p.lon - e.lon, 2), y, x) as k from p, grid_events e)""", then="""
+select k.uid, e.y, e.x, (e.y - k.y + 2)::int as "row", (e.x - k.x + 3)::int as col from k join grid_events e on e.y between k.y - 2 and k.y + 2 and e.x between k.x - 3 and k.x + 2 where k.k = 1"""))
+def p07(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.catalog(spark, d).select("uid", (-60 + (F.col("uid") * 37 % 1000) / 100.1).alias("lat"), (-170 + (F.col("uid") * 91 % 1000) / 100.1).alias("lon"))
+    return match.cropped_around(p, fx.grid_events(spark, d), "uid", 5, 6, start_degrees=0.2).select("uid", "y", "x", "row", "col")
+
+
 ARC = "degrees(2 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))))"
 #: A catalogue and another one moved across the date line and the poles: every pair within six days, by the haversine alone.
 MATCHED = (
@@ -349,6 +382,33 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return tables.not_done(req, req.filter("snapshot % 2 = 0 and config < 5"))
 
 
+@query("s10_clobbered", fx.with_sql(C, "k as (select distinct month as snapshot, label as config from catalog)", then="""
+select 2 as version, snapshot, config, case when snapshot % 2 = 0 then 'second' else 'first' end as run from k"""))
+def s10_clobbered(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    req = checkpointed(fx.catalog(spark, d).select(F.lit(2).alias("version"), F.col("month").alias("snapshot"), F.col("label").alias("config")).distinct())
+    run = lambda name: lambda todo: todo.withColumn("run", F.lit(name))
+    tables.process_runs(req.filter("snapshot < 4"), path, run("first"))
+    tables.process_runs(req, path, run("first"))  # what is there already is left alone
+    tables.process_runs(req.filter("snapshot % 2 = 0"), path, run("second"), clobber=True)
+    return spark.read.parquet(path).select("version", "snapshot", "config", "run")
+
+
+@query("s11_missing_inputs", fx.with_sql(C, then="select distinct month as snapshot, 'F' || label as field from catalog where not (month < 3 or label in (1, 4))"))
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    req = fx.catalog(spark, d).select(F.col("month").alias("snapshot"), F.concat(F.lit("F"), F.col("label")).alias("field"))
+    return tables.missing_inputs(req, req.filter("snapshot < 3 or field in ('F1', 'F4')"))
+
+
+@query("s04_npy_round_trip", fx.with_sql(E, then="select y, x, f as value from grid_events"))
+def s04(spark: SparkSession, d: str) -> DataFrame:
+    spark.dataSource.register(NpyDataSource)
+    g = fx.grid_events(spark, d).select("y", "x", F.col("f").alias("value"))
+    at = f"{shared_folder(spark).removeprefix('file://')}/map-{uuid.uuid4().hex}.npy"
+    g.repartition(8).write.format("npy").option("path", at).option("height", size(g)).option("width", 100).mode("append").save()
+    return spark.read.format("npy").option("path", at).option("rows", 64).load()
+
+
 @query("s12_by_subset", "select case when p_size < 20 then 'small' when p_size < 40 then 'large' end as subset, array_to_string(list_sort(list(distinct p_brand)), ',') as properties from part where p_brand <> 'Brand#11' group by 1")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     p = fx.read(spark, d, "part").select(F.col("p_brand").alias("property"), F.expr("case when p_size < 20 then 'small' when p_size < 40 then 'large' end").alias("subset"))
@@ -508,11 +568,31 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
     return features.scaled(features.finite(fx.read(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label")), ["label"]), ["label"]).select("vec_id", r("label", 6))
 
 
+FRONT_COLS = [f"{p}_{s}" for p in ("p1", "p2", "p3") for s in ("mean", "std")]
+
+
 @query("a22_pca_variance")
 def a22(spark: SparkSession, d: str) -> DataFrame:
     return features.PCA(fx.read(spark, d, "lineitem"), COLS, 3).summary(spark, 2).select("pc", r("variance_ratio", 5), r("cumulative", 5), "rank", "column", r("loading", 4))
 
 
+@query("a23_front_pca")
+def a23(spark: SparkSession, d: str) -> DataFrame:
+    from tidegrid.operators.colocate import label_statistics
+
+    fronts = label_statistics(fx.label_cells(spark, d), ["p1", "p2", "p3"], ("mean", "std"), min_size=2)
+    return features.PCA(fronts, FRONT_COLS, 3).summary(spark, 3).select("pc", r("variance_ratio", 5), r("cumulative", 5), "rank", "column", r("loading", 4))
+
+
+@query("u01_custom_statistics", fx.with_sql(LC, then="select label, count(*) as npix, round(max(p2) - min(p2), 4) as p2_range, round(sqrt(avg(p2 * p2)), 4) as p2_rms from label_cells group by label"))
+def u01(spark: SparkSession, d: str) -> DataFrame:
+    from tidegrid.operators.colocate import label_statistics, register_stat
+
+    register_stat("range", lambda c: F.max(c) - F.min(c))
+    register_stat("rms", lambda c: F.sqrt(F.avg(c * c)))
+    return label_statistics(fx.label_cells(spark, d), ["p2"], ("range", "rms")).select("label", "npix", r("p2_range", 4), r("p2_rms", 4))
+
+
 @query("a24_pca_reconstructed")
 def a24(spark: SparkSession, d: str) -> DataFrame:
     df = fx.read(spark, d, "lineitem")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidegrid.operators.components import checkpointed
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """By extension, parquet or csv; other formats raise. The path may be a pattern."""
@@ -43,6 +48,27 @@ def not_done(requested: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("ve
     return requested if clobber else requested.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def done_runs(spark: SparkSession, path: str, keys: tuple[str, ...] = ("version", "snapshot", "config")) -> DataFrame | None:
+    """The runs that have an output under path, a table partitioned by the keys; None if there is no such table yet."""
+    try:
+        return spark.read.parquet(path).select(*keys).distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def process_runs(requested: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ("version", "snapshot", "config"), clobber: bool = False) -> DataFrame:
+    """Makes what is requested and has no output yet, all of it with clobber, and returns what was asked of make. Only the partitions that make
+    gives rows for are replaced, all at once when the job ends: others stay, and so does everything if it fails."""
+    done = None if clobber else done_runs(requested.sparkSession, path, keys)
+    todo = requested if done is None else not_done(requested, done, keys)
+    todo = checkpointed(todo)
+    if not todo.isEmpty():
+        make(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return todo
+
+
 def missing_inputs(requested: DataFrame, available: DataFrame, keys: tuple[str, ...] = ("snapshot", "field")) -> DataFrame:
     """What is requested and not there. Callers raise if it has rows."""
     return requested.select(*keys).distinct().join(available.select(*keys).distinct(), list(keys), "left_anti")
