@@ -115,3 +115,44 @@ def test_documents_without_an_id(spark):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in j.join(df).collect()), key=str)
     assert got == sorted([(None, None, 0)] * 3 + [(1, 1, 1), (2, 1, 1)], key=str)
     assert sorted((r.doc_id for r in j.one_of_each(df).collect()), key=str) == sorted([None, None, None, 1], key=str)
+
+
+def all_pairs(sets, groups, side, threshold):
+    out = []
+    for a, b in combinations(range(len(sets)), 2):
+        x, y = set(sets[a].tolist()), set(sets[b].tolist())
+        if groups[a] == groups[b] and (side is None or side[a] != side[b]) and len(x & y) >= threshold * len(x | y) - 1e-9:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+@pytest.mark.parametrize("seed", range(12))
+def test_pairs_of_a_block(monkeypatch, seed, tile):
+    monkeypatch.setattr(j, "_TILE", tile)
+    rng = np.random.default_rng(seed)
+    common = rng.choice(10**9, 40)
+    sets = []
+    while len(sets) < 60:
+        base = rng.choice(10**9, rng.integers(1, 90))
+        for _ in range(rng.integers(1, 9)):
+            keep = base[rng.random(len(base)) < rng.choice([0.8, 0.9, 0.95, 1.0])]
+            sets.append(np.unique(np.concatenate([keep, base[:1], common[: rng.choice([0, 5, 40])]])))
+    groups = rng.integers(0, 2, len(sets))
+    side = None if seed % 2 else rng.random(len(sets)) < 0.5
+    x, y = j._similar_pairs(sets, groups, side, 0.8)
+    want = all_pairs(sets, groups, side, 0.8)
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == want and (len(want) > 5 or side is not None)
+
+
+def test_texts_that_share_a_passage_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(3)
+    common = rng.choice(10**9, 58)
+    sets = [np.unique(np.concatenate([common, rng.choice(10**12, 58)])) for _ in range(400)]
+    sets += [np.unique(np.concatenate([s[:-4], rng.choice(10**12, 4)])) for s in sets[:5]]
+    compared = []
+    counted = j._counted
+    monkeypatch.setattr(j, "_counted", lambda s, *a: compared.append(len(s)) or counted(s, *a))
+    x, y = j._similar_pairs(sets, np.zeros(len(sets), dtype=int), None, 0.8)
+    assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == [(k, 400 + k) for k in range(5)]
+    assert sum(n * n for n in compared) < 1000

@@ -6,13 +6,14 @@
    the threshold with the target recall. The shuffle is on the band hashes: a bucket is aggregated to its least id, and each
    member is tied to that one, so a bucket of any size gives as many ties as members.
 3. Ties make candidate groups (least-label propagation with pointer jumping). Within a group all pairs are verified on the full
-   n-gram sets, in blocks: a large group is cut into blocks of bounded size, and each pair of blocks is one task's work. Pairs are
-   counted and joined up there; they are never rows.
+   n-gram sets, in blocks: a large group is cut into blocks of bounded size, and each pair of blocks is one task's work. There
+   only texts of like size that share a rare n-gram are compared, which loses no pair at the threshold. Pairs are counted and
+   joined up there; they are never rows.
 4. Verified links make the classes of the result.
 
-So every pair of one candidate group at the threshold counts, even if its own bands all differ. The work on a group of k
-different texts grows with the square of k, in numpy, as does any exact count of its links; rows and bytes moved grow with k
-times its number of blocks.
+So every pair of one candidate group at the threshold counts, even if its own bands all differ. The work on k texts that really are
+alike grows with the square of k, in numpy, as does any exact count of their links; what merely shares a passage costs only
+its reading. Rows and bytes moved grow with k times its number of blocks.
 
 n-grams are compared by 64-bit hashes of their words, sets and classes are named by 128 bits.
 
@@ -39,6 +40,8 @@ from tidegrid.llm.shingling import distinct_sets, mixed, ngram_hashes, word_hash
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: A block of a candidate group: at most so many texts, and so many characters, on average.
 BLOCK_TEXTS, BLOCK_CHARS = 512, 4_000_000
+#: Texts whose pairs are counted at once.
+_TILE = 256
 
 
 @dataclass(frozen=True)
@@ -135,15 +138,71 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components were not done after {rounds} rounds")
 
 
+def _sharing(size: np.ndarray, code: np.ndarray, text: np.ndarray, uses: np.ndarray, threshold: float) -> np.ndarray:
+    """A number a text, the same for all texts that a chain of shared rare n-grams ties together; -1 for a text that shares none.
+
+    Two sets at the threshold share one of the first |x| - ceil(threshold |x|) + 1 n-grams of each, in any order that both keep: here the
+    rarest come first, so what all texts of a group have in common ties nobody."""
+    order = np.lexsort((code, uses[code], text))
+    code, text = code[order], text[order]
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    ahead = place <= size[text] - np.ceil(threshold * size[text] - 1e-6)
+    code, text = code[ahead], text[ahead]
+    held = np.bincount(code, minlength=len(uses)) > 1
+    code, text = code[held[code]], text[held[code]]
+    label = np.full(len(size), -1)
+    label[text] = text
+    by_code, by_text = np.argsort(code, kind="stable"), np.argsort(text, kind="stable")
+    if not len(code):
+        return label
+    code_starts = np.flatnonzero(np.diff(code[by_code], prepend=-1))
+    text_starts = np.flatnonzero(np.diff(text[by_text], prepend=-1))
+    slot = np.empty(len(code), dtype=np.int64)
+    slot[by_code] = np.repeat(np.arange(len(code_starts)), np.diff(code_starts, append=len(code)))
+    while True:
+        least = np.minimum.reduceat(label[text[by_code]], code_starts)
+        new = label.copy()
+        new[text[by_text][text_starts]] = np.minimum.reduceat(least[slot[by_text]], text_starts)
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _similar_pairs(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x < y) of one group at the threshold, only those across sides if sides are given.
+    """Pairs (x < y) of one group at the threshold, only those across sides if sides are given: counted among texts that rare n-grams tie
+    together, a sort by size ahead, and only as far as sizes may reach the threshold."""
+    none = np.zeros(0, dtype=np.int64)
+    if side is not None and (side.all() or not side.any()):
+        # the other block is empty
+        return none, none
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    text = np.repeat(np.arange(len(sets)), size)
+    tied = _sharing(size, code, text, np.bincount(code), threshold)
+    found = [(none, none)]
+    order = np.lexsort((size, tied))
+    order = order[tied[order] >= 0]
+    for members in np.split(order, np.flatnonzero(np.diff(tied[order])) + 1) if len(order) else ():
+        for at in range(0, len(members), _TILE):
+            mine = members[at : at + _TILE]
+            # sizes rise: what is too large for the last of these is too large for all
+            reach = np.searchsorted(threshold * size[members], size[mine[-1]] + 1e-6, side="right")
+            for other in range(at, int(reach), _TILE):
+                theirs = members[other : min(other + _TILE, int(reach))]
+                both = np.concatenate([mine, theirs]) if other > at else mine
+                if len(both) > 1 and (side is None or (side[both].any() and not side[both].all())):
+                    x, y = _counted([sets[k] for k in both], size[both], groups[both], None if side is None else side[both], threshold)
+                    across = (x < len(mine)) & (y >= len(mine)) if other > at else np.ones(len(x), dtype=bool)
+                    found.append((both[x[across]], both[y[across]]))
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _counted(sets: list[np.ndarray], size: np.ndarray, groups: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x < y) at the threshold by counting what each two texts share.
 
     An inverted index over the n-grams: those of few texts give their pairs one by one, those of many texts are multiplied as a matrix."""
     n = len(sets)
-    if side is not None and (side.all() or not side.any()):
-        # the other block is empty
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     text = np.repeat(np.arange(n), size)
     order = np.lexsort((text, code))
