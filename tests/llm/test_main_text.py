@@ -28,6 +28,16 @@ CASES = [
     ("<div><div class='p'><p>left</p></div></div><div><div class='p'><p>also</p></div></div>", "left also"), ("<article></article>", ""), ("<article class=promo>no</article><p>yes</p>", "yes"),
     ("<i><div>" + "<b>" * 50 + "</i>" * 50 + "kept</div>tail", "kept"), ("<p>" + "x" * 2_000_000 + "</p>", "x" * 2_000_000),
     ("<article><p>cut off <a href='x", "cut off"), ("<article><p title=\"a>b\">q</p><!-- c --><p>r</p>", "q r"), ("<article>x<!-- open", "x"),
+    ("<div class=wrap><h1>Headline</h1><p class=lead>The lead.</p><div class=body><p>A long story that goes on and on for a while.</p></div></div>", "Headline The lead. A long story that goes on and on for a while."),
+    ("<div class=w><div class=alpha><p>a longer first part of it</p></div><div class=beta><p>the rest</p></div></div>", "a longer first part of it the rest"),
+    ("<div class=w><div class=alpha><p>all of the story</p></div><div class=more><a>one</a> <a>two</a> <a>three</a></div></div>", "all of the story"),
+    ("<div class=w><div class=alpha><p>all of the story</p></div><div class=x>no paragraph</div></div>", "all of the story"),
+    ("<div><h1>T</h1><div class=in><div class=p><p>left side</p></div><div class=p><p>right side</p></div></div></div>", "T left side right side"),
+    ("<main><div class=t><h1>T</h1></div><div class=p><p>the text of it</p></div></main>", "T the text of it"),
+    ("<article><p><a href=x>all of it a link</a></p></article>", "all of it a link"), ("<nav>menu<article><p>the text</p></article>", "the text"),
+    ("<nav>menu<article>the text<nav>no</nav></article>", "the text"), ("<nav>menu</nav><p></p>", ""),
+    ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, <button>press</button> the <object data=k>thing</object>.</p></article>", "If x=1, press the thing."),
+    ("<article><p>short</p></article><div class=discussion><p>what readers say, at much greater length</p></div>", "short"),
     ("<article><p>a<div>b<span>c</div>d</article>", "a bc d"), ("<p>" * 3000 + "deep", "deep"), ("<div>" * 3000 + "deep", "deep"), ("<article>1 < 2 & 3</article>", "1 < 2 & 3"),
 ]
 
@@ -123,6 +133,19 @@ def test_random_trees_equal_a_walk(seed):
     assert page.text("body>main") == " ".join("".join(map(_walked, kids)).split())
 
 
+def test_a_host_that_keeps_headlines_outside_the_inner_box(spark):
+    page = "<body><div class=top><a>x</a></div><div class=wrap><h1>Headline {0}</h1><p class=lead>Lead {0}.</p><div class=body><p>" + "Story {0} goes on. " * 20 + "</p></div></div></body>"
+    df = spark.createDataFrame([(k, "http://h/" + str(k), page.format(k)) for k in range(6)], "page_id long, url string, html string")
+    for r in m.extract(df).collect():
+        assert r.text == f"Headline {r.page_id} Lead {r.page_id}. " + " ".join([f"Story {r.page_id} goes on."] * 20)
+
+
+def test_many_boxes_side_by_side_take_linear_time():
+    began = time.time()
+    page = m.parsed("<div class=w>" + "<div class=a><p>one two</p></div><div class=b><p>x</p></div>" * 20_000 + "</div>")
+    assert page.main([])[0].startswith("one two x one two x") and time.time() - began < 20
+
+
 def test_ties_repeats_and_null_ids(spark):
     two = "<div class=b><p>same size</p></div><div class=a><p>size same</p></div>"
     df = spark.createDataFrame([(None, None, two), (None, None, two), (3, "http://h/", None)], "page_id long, url string, html string")

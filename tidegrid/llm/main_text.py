@@ -5,7 +5,9 @@
    (digits become one sign), for what a page of this host looks like.
 2. Votes are summed by host and path; up to WINNERS paths of a host win, if enough of its pages voted for them.
 3. Each page is read again: the text is that of all containers at the best of the winning paths that the page has, in page
-   order, or, on a page that has none of them, at the path of its own best container. Menus, headers, footers, sidebars, notices,
+   order, or, on a page that has none of them, at the path of its own best container. The containers about them, up to an article or
+   to what the body holds, add the prose that they hold themselves (a headline or a lead above the inner container) and that of other
+   containers with paragraphs, unless it is mostly links. Menus, headers, footers, sidebars, notices,
    adverts, forms, scripts, styles, mark-up and reader comments are left out, with all that they hold; the header within an article,
    which has its title, stays.
 
@@ -38,10 +40,11 @@ LONGEST = 1000
 # What HTML says about elements, and the words by which sites name what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow ms mtext object q s samp small span strike "
+    "strong sub sup time tt u var wbr".split()
 )
 RAW = frozenset("script style noscript template iframe textarea title xmp".split())
-LEFT_OUT = frozenset("nav footer header aside form script style noscript template iframe textarea title head svg math button select object audio video canvas dialog menu".split())
+LEFT_OUT = frozenset("nav footer header aside form script style noscript template iframe textarea title head svg select audio video canvas dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CONTAINERS = frozenset("article main section div td body".split())
 CLOSES = {
@@ -62,7 +65,7 @@ BESIDE = frozenset(
     "area bar block body bottom box btn button buttons container content desktop first global inner item items large last left links list main mobile module my "
     "outer page panel popular post posts primary region right secondary section side site slot small stories sub sticky the top unit us wrap wrapper articles icons".split()
 )
-COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+COMMENTS = frozenset("comment comments commentlist discussion discussions disqus guestbook respond responses reply replies talkback".split())
 #: Words by which a class says something about comments without holding any.
 STATES = frozenset("no not has with without open opened closed enabled disabled allow allowed".split())
 
@@ -74,8 +77,8 @@ _DIGITS = re.compile(r"\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
 _CREDIT = (1.0, 0.5, 0.25)
-#: What an article or main gets of the text in containers within it, however deep.
-_WITHIN = 0.5
+#: What an article or main gets of the text in containers within it, however deep, and what text in links counts in one.
+_WITHIN, _LINKED = 0.5, 0.1
 
 
 class _Open:
@@ -115,11 +118,13 @@ class Page:
 
     What is left out goes with all that it holds, articles too. By its tag, or a class, id or role that names it, an element is
     left out at once; one with such a word in a longer name only if most of its text is links. Without `names` only tags, roles and
-    comments count: for pages whose whole text stands in an element of such a name."""
+    comments count: for pages whose whole text stands in an element of such a name. With `rescue` an article or main counts
+    wherever it stands: for pages that leave a menu open."""
 
-    def __init__(self, source: str, names: bool = True):
+    def __init__(self, source: str, names: bool = True, rescue: bool = False):
         self.path, self.score, self.parent = ["body"], [0.0], [-1]
-        self.pieces: list[tuple[int, str, int]] = []
+        # container, text, link-dense block, and whether it is in a link and in a paragraph
+        self.pieces: list[tuple[int, str, int, bool, bool]] = []
         self.own, self.factor = [0.0], [0.5]
         # blocks that are left out if they are mostly links: parent, characters, characters in links; the first stands for none
         self.dense: list[list[int]] = [[-1, 0, 0]]
@@ -129,14 +134,14 @@ class Page:
             begin, end = m.span()
             _, box, out, para, link, art, dense = opened.stack[-1]
             if begin > at and not out:
-                self._text(source[at:begin], box, para, link, dense)
+                self._text(source[at:begin], box, para, link, dense, art)
             at = end
             name = m[2]
             if name is None:
                 continue
             name = name.lower()
             if name not in INLINE and not out:
-                self.pieces.append((box, "\n", dense))
+                self.pieces.append((box, "\n", dense, False, False))
             if m[1]:
                 opened.close(name)
             elif name not in VOID:
@@ -158,6 +163,8 @@ class Page:
                 elif verdict == "dense" and name not in INLINE:
                     self.dense.append([dense, 0, 0])
                     dense = len(self.dense) - 1
+                elif rescue and name in ("article", "main"):
+                    out = False
                 art = art or name in ("article", "main")
                 if name in CONTAINERS and not out:
                     above = self.path[box] if len(self.path[box]) < LONGEST else f"{zlib.crc32(self.path[box].encode()):08x}"
@@ -170,20 +177,20 @@ class Page:
                 opened.push(name, box, out, para or name in ("p", "pre", "blockquote"), link or name == "a", art, dense)
             if at >= size:
                 break
-        _, box, out, para, link, _, dense = opened.stack[-1]
+        _, box, out, para, link, art, dense = opened.stack[-1]
         if at < size and not out:
-            self._text(source[at:], box, para, link, dense)
+            self._text(source[at:], box, para, link, dense, art)
         self._settle()
 
-    def _text(self, raw: str, box: int, para: bool, link: bool, dense: int) -> None:
+    def _text(self, raw: str, box: int, para: bool, link: bool, dense: int, art: bool) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
-        self.pieces.append((box, text, dense))
+        self.pieces.append((box, text, dense, link, para))
         if text.isspace():
             return
         if dense:
             self.dense[dense][1] += len(text)
             self.dense[dense][2] += len(text) if link else 0
-        n = 0 if link else len(text) * (1.0 if para or box else 0.5)
+        n = len(text) * (1.0 if para or box else 0.5) * ((_LINKED if art else 0) if link else 1)
         if n:
             self.own[box] += n
             for share in _CREDIT:
@@ -208,7 +215,7 @@ class Page:
             parent, n, links = self.dense[k]
             gone[k] = 2 * links > n or gone[parent]
         if any(gone):
-            self.pieces = [(box, "\n" if gone[d] else t, d) for box, t, d in self.pieces]
+            self.pieces = [(box, "\n" if gone[d] else t, d, link and not gone[d], para and not gone[d]) for box, t, d, link, para in self.pieces]
 
     @staticmethod
     def _named(attrs: str, names: bool) -> tuple[str, str]:
@@ -238,11 +245,30 @@ class Page:
         return [k for k in sorted(range(len(self.score)), key=lambda k: -self.score[k]) if self.score[k] > 0]
 
     def text(self, path: str) -> str:
-        """The text of all containers at the path, in page order."""
+        """The text of all containers at the path, and of what belongs to them in those about them, in page order."""
         inside = [p == path for p in self.path]
-        for k in range(1, len(self.path)):
-            inside[k] = inside[k] or inside[self.parent[k]]
-        return " ".join("".join([t for k, t, _ in self.pieces if inside[k]]).split())
+        about: set[int] = set()
+        for k in [k for k, main in enumerate(inside) if main]:
+            # up to an article, or to what the body holds
+            while self.factor[k] <= 1 and self.parent[k] > 0 and self.parent[k] not in about:
+                k = self.parent[k]
+                about.add(k)
+        own = [(0, 0, False)] * len(self.path)
+        for k, t, _, link, para in self.pieces if about else ():
+            if n := len(t.strip()):
+                plain, linked, paragraphs = own[k]
+                own[k] = (plain, linked + n, paragraphs) if link else (plain + n, linked, paragraphs or para)
+        held = list(own)
+        for k in range(len(held) - 1, 0, -1):
+            up, one = held[self.parent[k]], held[k]
+            held[self.parent[k]] = (up[0] + one[0], up[1] + one[1], up[2] or one[2])
+        prose = lambda plain, linked, _: 0 < plain > 2 * linked
+        kept = list(inside)
+        for k in range(1, len(kept)):
+            beside = self.parent[k] in about and k not in about and prose(*held[k]) and held[k][2]
+            inside[k] = inside[k] or beside or (inside[self.parent[k]] and k not in about)
+            kept[k] = inside[k] or (k in about and prose(*own[k]))
+        return " ".join("".join([t for k, t, *_ in self.pieces if kept[k]]).split())
 
     def main(self, winners: list[str]) -> tuple[str, str]:
         """Text and path of the main containers."""
@@ -255,9 +281,12 @@ class Page:
 
 
 def parsed(source: str) -> Page:
-    """The page; without its names where these leave no container with text."""
-    page = Page(source)
-    return page if any(page.score) else Page(source, names=False)
+    """The page; where that leaves no container with text without its names, and then with articles wherever they stand."""
+    for how in ({}, {"names": False}, {"names": False, "rescue": True}):
+        page = Page(source, **how)
+        if any(page.score):
+            break
+    return page
 
 
 def host(url: Column) -> Column:
