@@ -31,8 +31,25 @@ def test_words_encode_as_the_library_does(most):
     words = p.Words(PATH, most)
     rng = random.Random(4)
     odd = [" ", "\n", "\t", "a", "B", "é", "́", "'s", "'", "1", "Σ", "<|endoftext|>", "<|", " ", "\x1d", "語", ".", "‍", "ǅ", "İ"]
-    for t in TEXTS + ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(800)]:
-        assert np.frombuffer(words.encoded(t), dtype="<u4").tolist() == library(t), t[:80]
+    texts = TEXTS + ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(800)]
+    for k in range(0, len(texts), 7):
+        for t, got in zip(texts[k : k + 7], words.encoded(texts[k : k + 7]), strict=True):
+            assert np.frombuffer(got, dtype="<u4").tolist() == library(t), t[:80]
+
+
+def test_long_texts_and_many_words(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abcÄé')}{rng.randrange(10**6)}" for _ in range(rng.choice([3, 400]))) for _ in range(60)]
+    monkeypatch.setattr(p, "PART_CHARS", 300)
+    words = p.Words(PATH, 20_000)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in words.encoded(texts)] == [library(t) for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    got = p.Words(path).encoded(TEXTS)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
 def test_parts_of_long_texts(monkeypatch):
