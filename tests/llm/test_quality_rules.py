@@ -53,3 +53,10 @@ def test_bits_policies_and_ablation(docs):
 def test_empty_table(spark):
     led = q.ledger(spark.createDataFrame([], "doc_id long, text string"))
     assert led.count() == 0 and q.ablation(led).count() == len(q.RULES) * 0
+
+
+@pytest.mark.parametrize("name", ["t", "w", "p", "s", "b", "lines", "_id"])
+def test_ids_of_any_name(spark, name):
+    df = spark.createDataFrame([(7, "a b c a b c")], "k long, text string").withColumnRenamed("k", name)
+    r = q.ledger(df, name).first()
+    assert r[name] == 7 and r.n_words == 6 and r.n_repeat_words == 6

@@ -42,14 +42,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The windows of three words are 64-bit hashes; the hash's low bits and the window's position share one long, so that equal
     windows become neighbours in a sort of plain longs. Neighbours count as equal only if their words are.
     """
-    cut = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("t")).select(
-        id_col,
+    cut = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("t")).select(
+        "_id",
         F.array_remove(F.split("t", WORD_BREAK), "").alias("w"),
         F.filter(F.split("t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
         F.length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
     counted = cut.select(
-        id_col, "n_symbols", "w",
+        "_id", "n_symbols", "w",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -83,7 +83,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     row = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
     # a generator between: the optimizer would move a later filter on a measure below the split into words, into the lambdas
-    return starts.select(id_col, F.explode_outer(F.array(row)).alias("m")).select(id_col, "m.*")
+    return starts.select("_id", F.explode_outer(F.array(row)).alias("m")).select(F.col("_id").alias(id_col), "m.*")
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
