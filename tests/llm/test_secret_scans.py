@@ -123,3 +123,9 @@ def test_long_texts_with_many_secrets_are_redacted_whole(spark):
     text = "é ".join(f"token=abcdefghijklm{k} and AKIAABCDEFGHIJKLMN{k}" for k in range(30_000))
     r = s.redact(docs(spark, [text])).first()
     assert r.text == "é ".join(["[SECRET] and [SECRET]"] * 30_000)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=abcdefghijkl0 x", "c", 5, "r", "b")], "doc_id long, text string, _cover string, _blob int, row string, blob_id string").withColumn("cover", F.lit(None).cast("string"))
+    r = s.redact(df).first()
+    assert r.text == "[SECRET] x" and (r._cover, r._blob, r.row, r.blob_id, r.cover) == ("c", 5, "r", "b", None) and s.redact(df).columns == df.columns

@@ -174,6 +174,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boun
     some = written(found.filter(F.size("cover") > 0).select("blob_id", "cover").dropDuplicates(["blob_id"]), "secrets")
     # spans take more room than ids: a tenth of the usual bound
     lean = F.broadcast(some) if small_enough(some, bound // 10) else some
-    marked = docs.withColumn("_blob", blob_id(text_of(text_col)))
-    both = marked.join(lean.withColumnsRenamed({"blob_id": "_blob", "cover": "_cover"}), "_blob", "left")
-    return both.withColumn(text_col, redacted(F.col(text_col), F.col("_cover"))).select(*docs.columns)
+    # the row in one column, whatever names it has
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), blob_id(text_of(F.col(f"`{text_col}`"))).alias("blob_id"))
+    both = marked.join(lean.select("blob_id", "cover"), "blob_id", "left")
+    return both.select(*[(redacted(F.col("row")[c], F.col("cover")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
