@@ -6,7 +6,7 @@ a row for each byte value, so the response is a sum of table rows; for use, the
 over pairs of bytes. A text is cut into windows from its first byte to its last, and its prediction is the mean over all of them.
 
 Training takes a bounded sample: at most SAMPLE_ROWS labelled texts, chosen by a hash of their id, the languages as even as the
-table allows (at most SAMPLE_ROWS / 8 languages, the most frequent ones), and WINDOWS_PER_TEXT windows of each, spread over the text. Only those windows come to the driver.
+table allows (more than SAMPLE_ROWS / 8 languages raise), and WINDOWS_PER_TEXT windows of each, spread over the text. Only those windows come to the driver.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned. Ties go to
 the language that sorts first. Repeated rows each give a row, extra columns are ignored, an empty table gives no rows.
@@ -116,7 +116,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
     """(lang, w) windows of some `rows` of (id, t, lang), all of the same share of a language's rows, the share larger for rare ones. No
     more than WINDOWS_PER_TEXT windows times `rows` are taken, those first by the hash that picks rows."""
-    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 8).collect()}
+    counts = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(rows // 8 + 1).collect()}
+    if len(counts) > rows // 8:
+        raise ValueError(f"a sample of {rows} texts is too small for more than {rows // 8} languages")
     if not counts:
         return pd.DataFrame({"lang": [], "w": []})
     each = rows / len(counts)
