@@ -44,6 +44,63 @@ def test_paired_tables_give_the_plain_responses():
     assert b"".join(w[: language_id.WINDOW].tobytes() for w in language_id.windows(text)).rstrip(b"\0") == text.encode()
 
 
+def test_languages_equal_plain_convolutions(spark):
+    rows = [(i, random.Random(i).choice(["ab ba", "xy yx", "qé éq"]) * 20 + str(i)) for i in range(90)]
+    net = language_id.fit(spark.createDataFrame([(i, t, t[0]) for i, t in rows], "id long, t string, lang string"))
+    docs = [(1, "ab xy " * 60), (2, "é"), (3, "qé" * 400), (4, "yx a")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(spark.createDataFrame(docs, "doc_id long, text string"), net).collect()}
+    size = language_id.WINDOW
+    for i, t in docs:
+        data = t.encode()
+        data += bytes(-len(data) % size) + bytes(8)
+        shares = []
+        for at in range(0, len(data) - 8, size):
+            features = []
+            for width, tables in zip(language_id.WIDTHS, net.tables, strict=True):
+                for f in range(language_id.FILTERS):
+                    features.append(max(0.0, max(sum(float(tables[k][data[at + p + k], f]) for k in range(width)) for p in range(size))))
+            z = [sum(x * float(net.out[j, c]) for j, x in enumerate(features)) + float(net.bias[c]) for c in range(len(net.classes))]
+            e = [math.exp(x - max(z)) for x in z]
+            shares.append([x / sum(e) for x in e])
+        mean = [sum(s[c] for s in shares) / len(shares) for c in range(len(net.classes))]
+        assert got[i][0] == net.classes[mean.index(max(mean))] and math.isclose(got[i][1], max(mean), abs_tol=1e-4)
+
+
+def test_too_many_languages_raise(spark):
+    df = spark.range(60).selectExpr("id", "'abc' as t", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="too small"):
+        language_id.sample(df, 400)
+    assert len(language_id.sample(df, 480)["lang"].unique()) == 60
+
+
+def test_toxicity_equals_plain_compressions(spark):
+    rng = random.Random(2)
+    say = lambda n, bad: " ".join(rng.choice(["vilest", "grubbish"]) if bad and rng.random() < 0.1 else f"w{rng.randrange(300)}" for _ in range(n))
+    rows = [(k, say(80, k % 3 == 0), int(k % 3 == 0)) for k in range(400)]
+    model = toxicity.train(toxicity.sample(spark.createDataFrame(rows, "id long, t string, toxic int").repartition(3)))
+    docs = [(k, say(n, bad)) for k, (n, bad) in enumerate([(5, True), (40, False), (300, True), (0, False), (25, True)])] + [(90, None), (91, "vilest"), (92, "noblanks" * 500)]
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for k, t in docs:
+        words = (t or "").lower().split()
+        gaps = []
+        for at in range(0, len(words), toxicity.WORDS):
+            window = " ".join(words[at : at + toxicity.WORDS]).encode()
+            short, long = (c.compress(window) for c in model.compressors())
+            gaps.append(len(long) - len(short))
+        gaps = sorted(gaps) or [0]
+        over = [sum(g >= k for g in gaps) for k in (1, 2, 3, 4, 6)]
+        x = [gaps[-1], sum(gaps[-3:]) / len(gaps[-3:]), sum(gaps) / len(gaps), *(o / len(gaps) for o in over), *(math.log1p(o) for o in over), math.log1p(len(gaps))]
+        z = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.spread, model.weights, strict=False)) + model.weights[-1]
+        want = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert math.isclose(got[k][0], want, abs_tol=1e-5) and got[k][1] == int(got[k][0] >= 0.7)
+
+
+def test_the_sample_of_toxicity_does_not_depend_on_partitions(spark):
+    df = spark.range(3000).selectExpr("id", "concat('text ', id) as t", "cast(id % 2 as int) as toxic")
+    picked = lambda n: sorted(toxicity.sample(df.repartition(n), 100)["id"])
+    assert picked(1) == picked(7) and 100 < len(picked(3)) <= 360
+
+
 def test_toxicity_on_held_out_documents(spark, labels):
     rows = queries_text.op6_toxicity(spark, SF).collect()
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)

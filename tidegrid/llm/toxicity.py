@@ -158,7 +158,9 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
     fits = labelled.filter(F.col("toxic").isin(0, 1) & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
     n = {r.toxic: r["n"] for r in fits.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30))
-    parts = [fits.filter((F.col("toxic") == k) & (pick < int(min(1.0, rows * size / n[k]) * (1 << 30)))).limit(int(rows * size * 1.2)) for k, size in ((0, 2), (1, 1)) if n.get(k)]
+    few = lambda k, size: fits.filter((F.col("toxic") == k) & (pick < int(min(1.0, rows * size / n[k]) * (1 << 30))))
+    # the first by the hash, whatever the order of partitions
+    parts = [few(k, size).orderBy(pick, "id", "t").limit(int(rows * size * 1.2)) for k, size in ((0, 2), (1, 1)) if n.get(k)]
     got = pd.concat([p.toPandas() for p in parts]) if parts else pd.DataFrame({"id": [], "t": [], "toxic": []})
     got["weight"] = got["toxic"].map(n) / got.groupby("toxic")["toxic"].transform("size")
     return got
