@@ -50,7 +50,7 @@ CAPACITY, END_ID = 4096, 1
 #: Blocks that the pieces of one length are dealt into.
 SALTS = 256
 #: Bytes of each of a worker's two tables, and characters of texts, or of words, that are worked on together.
-TABLE_BYTES, PART_CHARS = 192 << 20, 4 << 20
+TABLE_BYTES, PART_CHARS = 128 << 20, 4 << 20
 #: Longer words are not kept.
 MAX_KEPT = 256
 _BREAK = re.compile(r"[\x20\x09-\x0D]")
