@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 from tests.test_brute import flood
 from tests.test_lines_and_spheres import RING, blobs, cells, places, thin_loop
 from tidegrid.functions import ocean
-from tidegrid.operators import catalog, colocate, components, geometry, morphology, ranking
+from tidegrid.operators import archive, catalog, colocate, components, geometry, morphology, ranking
 from tidegrid.plans import fixtures as fx
 from tidegrid.plans.registry import QUERIES
 from tidegrid.sources import tables
@@ -273,3 +273,25 @@ def test_pruning_is_the_loop(spark):
     for longest in (2, 5):
         want = prune_loop(thin_loop(a), longest)
         assert places(morphology.despurred(cells(spark, a), longest)) == want
+
+
+def test_cosine_transforms_are_their_matrices():
+    for n in (1, 2, 5, 8, 37):
+        a = np.random.default_rng(n).normal(size=(3, n))
+        np.testing.assert_allclose(archive._cosines(a), a @ archive._dct(n).T, atol=1e-12)
+        np.testing.assert_allclose(archive._cosines(archive._cosines(a), back=True), a, atol=1e-12)
+
+
+@pytest.mark.parametrize("lines", [64, 3])
+def test_images_destriped_by_lines_equal_those_of_one_task(spark, lines):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(3):
+        a = np.cumsum(rng.normal(size=(13, 18)), axis=1) + np.where(np.arange(13) % 4 == k, 2.0, 0.0)[:, None]
+        a[2, 5] = np.nan
+        rows += [(k, y, x, None if k == 2 else float(v)) for (y, x), v in np.ndenumerate(a) if (k, y, x) != (1, 3, 3)]
+    df = spark.createDataFrame(rows, "image_id int, y int, x int, f double").repartition(3)
+    read = lambda t: {(r.image_id, r.y, r.x): (r.clean, r.stripes) for r in t.collect()}
+    got, want = read(archive.destriped_by_lines(df, "f", 13, 18, 0.8, lines=lines)), read(archive.destriped(df, "f", 13, 18, 0.8))
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    np.testing.assert_allclose([got[k] for k in got], [want[k] for k in got], atol=1e-9)

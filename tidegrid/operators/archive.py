@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -294,3 +296,69 @@ def destriped(cells: DataFrame, value: str, height: int, width: int, threshold:
 
     kind = dict(cells.dtypes)[key]
     return cells.select(key, "y", "x", F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"{key} {kind}, y int, x int, clean double, stripes double")
+
+
+def _cosines(a: np.ndarray, back: bool = False) -> np.ndarray:
+    """The orthonormal cosine transform of each row, or its inverse, by Fourier transforms of the row's length."""
+    n = a.shape[1]
+    turn = 2 * np.exp(-0.5j * np.pi * np.arange(n) / n)
+    scale = np.full(n, np.sqrt(1 / (2 * n)))
+    scale[0] = np.sqrt(1 / (4 * n))
+    if not back:
+        # even places forwards, odd ones backwards
+        folded = np.concatenate([a[:, ::2], a[:, 1::2][:, ::-1]], axis=1)
+        return (np.fft.fft(folded, axis=1) * turn).real * scale
+    x = a / scale
+    mirrored = np.concatenate([np.zeros((len(a), 1)), x[:, :0:-1]], axis=1)
+    folded = np.fft.ifft((x - 1j * mirrored) / turn, axis=1).real
+    out = np.empty_like(folded)
+    half = n - n // 2
+    out[:, ::2], out[:, 1::2] = folded[:, :half], folded[:, half:][:, ::-1]
+    return out
+
+
+def destriped_by_lines(cells: DataFrame, value: str, height: int, width: int, threshold: float, key: str = "image_id", lines: int = 64) -> DataFrame:
+    """destriped for images larger than a task: the Poisson equation is solved by transforms along rows, then along columns with the
+    division between, and back along rows, each a shuffle of the cells into blocks of `lines` whole lines. Gradients and the median are
+    windows along lines."""
+    kind = dict(cells.dtypes)[key]
+    ids = [key, "y", "x"]
+    mean = cells.groupBy(key).agg(F.coalesce(F.avg(F.when(~F.isnan(value), F.col(value))), F.lit(0.0)).alias("_mean"))
+    grid = cells.select(key).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    held = cells.select(*ids, F.when(~F.isnan(value), F.col(value).cast("double")).alias("f"))
+    full = components.checkpointed(grid.join(held, ids, "left").join(mean, key).select(*ids, F.coalesce("f", "_mean").alias("f")))
+    along, down = Window.partitionBy(key, "y").orderBy("x"), Window.partitionBy(key, "x").orderBy("y")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    gx = full.withColumn("gx", zero(F.lead("f").over(along) - F.col("f"))).withColumn("gy", zero(F.lead("f").over(down) - F.col("f")))
+    gx = gx.withColumn("gy", F.when(F.abs("gy") >= threshold, F.col("gy")).otherwise(0.0))
+    rhs = gx.withColumn("v", F.col("gx") - zero(F.lag("gx").over(along))).withColumn("v", F.col("v") + F.col("gy") - zero(F.lag("gy").over(down))).select(*ids, "v")
+
+    def by_lines(df: DataFrame, line: str, at: str, n: int, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        """Each line's values, along `at`, changed by work(rows of values, numbers of the lines)."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            numbers, place = np.unique(pdf[line].to_numpy(), return_inverse=True)
+            a = np.zeros((len(numbers), n))
+            a[place, pdf[at].to_numpy()] = pdf["v"].to_numpy()
+            out = pdf[ids].copy()
+            out["v"] = work(a, numbers)[place, pdf[at].to_numpy()]
+            return out
+
+        cut = df.withColumn("_block", F.floor(F.col(line) / lines))
+        return components.checkpointed(cut.groupBy(key, "_block").applyInPandas(run, f"{key} {kind}, y int, x int, v double"))
+
+    def divided(a: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        hat = _cosines(a)
+        lam = (2 * np.cos(np.pi * columns / width) - 2)[:, None] + (2 * np.cos(np.pi * np.arange(height) / height) - 2)[None, :]
+        first = lam == 0
+        return _cosines(np.where(first, 0.0, hat / np.where(first, 1.0, lam)), back=True)
+
+    rows = by_lines(rhs, "y", "x", width, lambda a, _: _cosines(a))
+    solved = by_lines(rows, "x", "y", height, divided)
+    smooth = by_lines(solved, "y", "x", width, lambda a, _: _cosines(a, back=True))
+    rest = components.checkpointed(full.join(smooth, ids).withColumn("r", F.col("f") - F.col("v")))
+    off = rest.groupBy(key).agg(F.avg("r").alias("_off"))
+    level = rest.join(off, key).withColumn("r", F.col("r") - F.col("_off"))
+    three = F.array(F.coalesce(F.lag("r").over(along), F.col("r")), F.col("r"), F.coalesce(F.lead("r").over(along), F.col("r")))
+    got = level.withColumn("stripes", F.get(F.array_sort(three), F.lit(1)))
+    return got.join(cells.select(*ids), ids, "left_semi").select(*ids, (F.col("f") - F.col("stripes")).alias("clean"), "stripes")

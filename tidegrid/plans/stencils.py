@@ -51,6 +51,18 @@ def n02(spark: SparkSession, d: str) -> DataFrame:
     return stencil.global_threshold(fx.grid_events(spark, d), "f", 90).select("grid_id", "y", "x")
 
 
+@query("n01_window_64", fx.with_sql(E, """w as (
+  select a.y, a.x, a.f, quantile_cont(b.f, 0.9) as p from grid_events a join grid_events b on b.y between a.y - 32 and a.y + 31 and b.x between a.x - 32 and a.x + 31
+  group by a.y, a.x, a.f)""", then="select 0::int as grid_id, y, x from w where f > p"))
+def n01_64(spark: SparkSession, d: str) -> DataFrame:
+    return stencil.local_threshold(fx.grid_events(spark, d), "f", 64, 90).select("grid_id", "y", "x")
+
+
+@query("n24_destriped_by_lines")
+def n24_lines(spark: SparkSession, d: str) -> DataFrame:
+    return archive.destriped_by_lines(fx.images(spark, d), "f", 20, 20, 3.0)
+
+
 @query("n01_local_threshold", fx.with_sql(E, """w as (
   select a.y, a.x, a.f, quantile_cont(b.f, 0.9) as p from grid_events a join grid_events b on b.y between a.y - 4 and a.y + 3 and b.x between a.x - 4 and a.x + 3
   group by a.y, a.x, a.f)""", then="select 0::int as grid_id, y, x from w where f > p"))
