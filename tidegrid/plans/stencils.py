@@ -186,6 +186,25 @@ def n19(spark: SparkSession, d: str) -> DataFrame:
     return stencil.geographic_gradient(fx.grid_events(spark, d), "f").filter("g_east is not null").select("y", "x", r("g_east"), r("g_north"))
 
 
+#: Bands of 40 rows whose axes are skewed each in its way: both, the second from north, the first from east.
+SKEW = {0: (0.04, -0.03), 1: (0.0, 0.05), 2: (0.05, 0.0)}
+SKEWED = "skewed as (select cast(y // 40 as int) as grid_id, y, x, f, " + ", ".join(
+    f"{a}::double + 0.1::double * {b} + case (y // 40) % 3 " + " ".join(f"when {k} then {s[j]}::double" for k, s in SKEW.items()) + f" end * {c} as {n}" for a, b, c, j, n in ((-40, "y", "x", 0, "lat"), (-170, "x", "y", 1, "lon"))
+) + " from grid_events)"
+
+
+@query("n19_skewed_gradient", fx.with_sql(E, SKEWED, """t as (
+  select grid_id, y, x, (lead(f) over h - lag(f) over h) / 2 as ga, (lead(f) over v - lag(f) over v) / 2 as gb, (lead(lon) over h - lag(lon) over h) / 2 * 111 * cos(radians(lat)) as ae,
+    (lead(lat) over h - lag(lat) over h) / 2 * 111 as an, (lead(lon) over v - lag(lon) over v) / 2 * 111 * cos(radians(lat)) as be, (lead(lat) over v - lag(lat) over v) / 2 * 111 as bn
+  from skewed window h as (partition by grid_id, y order by x), v as (partition by grid_id, x order by y))""", then="""
+select grid_id, y, x, round((ga * bn - gb * an) / (ae * bn - an * be), 5) as g_east, round((ae * gb - be * ga) / (ae * bn - an * be), 5) as g_north from t where ga + gb is not null"""))
+def n19_skewed(spark: SparkSession, d: str) -> DataFrame:
+    band = F.expr("cast(y div 40 as int)")
+    skew = lambda j: F.element_at(F.array(*[F.lit(SKEW[k][j]) for k in SKEW]), band % 3 + 1)
+    g = fx.grid_events(spark, d).withColumns({"grid_id": band, "lat": F.lit(-40.0) + 0.1 * F.col("y") + skew(0) * F.col("x"), "lon": F.lit(-170.0) + 0.1 * F.col("x") + skew(1) * F.col("y")})
+    return stencil.geographic_gradient(g, "f").filter("g_east is not null").select("grid_id", "y", "x", r("g_east"), r("g_north"))
+
+
 UV = shifted("grid_orders", "u", "su").replace("n0.u as l", "n0.u as ul, n0.v as vl").replace("n1.u as r", "n1.u as ur, n1.v as vr").replace("n2.u as u", "n2.u as uu, n2.v as vu").replace("n3.u as d", "n3.u as ud, n3.v as vd")
 
 

@@ -685,7 +685,8 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
 CURVES = """(y % 34 < 23 and floor(sqrt(pow(y % 34 - 11, 2) + pow(x - 20, 2)))::int = 9) or x = 60 + round(8 * sin(y / 8.0))::int or (x = 80 + abs(y % 12 - 6)) or (y % 12 = 3 and x between 84 and 97)"""
 
 
-@query("a35_line_order", fx.with_sql(E, f"on_ as (select y, x, y * 1000 + x as id from grid_events where {CURVES})", """near as (
+LINES = (
+    f"on_ as (select y, x, y * 1000 + x as id from grid_events where {CURVES})", """near as (
   select a.id as u, b.id as v from on_ a join on_ b on abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 and a.id <> b.id
   where a.y = b.y or a.x = b.x or not exists (select 1 from on_ c where (c.y = a.y and c.x = b.x) or (c.y = b.y and c.x = a.x)))""",
     "plain as (select id from on_ where (select count(*) from near where u = id) <= 2)", "lk as (select u, v from near where u in (select id from plain) and v in (select id from plain))",
@@ -693,9 +694,16 @@ CURVES = """(y % 34 < 23 and floor(sqrt(pow(y % 34 - 11, 2) + pow(x - 20, 2)))::
   select id, root, (select count(*) from lk where u = id) as k from root)""", """start as (
   select root, coalesce(min(id) filter (k < 2), root) as id, coalesce(min(id) filter (k < 2), -1) < 0 as closed from deg group by root)""", """walk(root, m, id, prev) as (
   select root, 1, id, case when closed then (select max(v) from lk where u = start.id) else -1 end from start
-  union all select w.root, w.m + 1, lk.v, w.id from walk w join lk on lk.u = w.id and lk.v <> w.prev join start s on s.root = w.root and lk.v <> s.id)""", then="""
-select dense_rank() over (order by root) as seg, m::bigint as m, (id // 1000)::int as y, (id % 1000)::int as x from walk""").replace("with ", "with recursive ", 1))
+  union all select w.root, w.m + 1, lk.v, w.id from walk w join lk on lk.u = w.id and lk.v <> w.prev join start s on s.root = w.root and lk.v <> s.id)""", "line as (select dense_rank() over (order by root) as seg, m::bigint as m, (id // 1000)::int as y, (id % 1000)::int as x from walk)",
+)
+
+
+@query("a35_line_order", fx.with_sql(E, *LINES, then="select seg, m, y, x from line").replace("with ", "with recursive ", 1))
 def a35_order(spark: SparkSession, d: str) -> DataFrame:
+    return curved_lines(spark, d)
+
+
+def curved_lines(spark: SparkSession, d: str) -> DataFrame:
     y, x = F.col("y"), F.col("x")
     ring = (y % 34 < 23) & (F.floor(F.sqrt(F.pow(y % 34 - 11, 2) + F.pow(x - 20, 2))) == 9)
     wave = x == 60 + F.round(8 * F.sin(y / 8.0)).cast("int")
@@ -704,6 +712,40 @@ def a35_order(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("seg", "m", "y", "x")
 
 
+#: Directions by two points on both sides, at the ends by the first or last five points, of short lines by the whole; samples along the normal.
+ACROSS = (
+    "n as (select *, count(*) over (partition by seg) as n from line)",
+    """e as (select *, case when n < 5 or m <= 2 then 1 when m > n - 2 then n - 4 else m - 2 end as lo, case when n < 5 then n when m <= 2 then 5 when m > n - 2 then n else m + 2 end as hi from n)""",
+    """v as (select e.seg, e.m, e.y, e.x, (q.y - p.y)::double as dy, (q.x - p.x)::double as dx, sqrt(pow(q.y - p.y, 2) + pow(q.x - p.x, 2)) as len
+  from e join line p on p.seg = e.seg and p.m = e.lo join line q on q.seg = e.seg and q.m = e.hi)""",
+    """o as (select seg, m, k as "offset", greatest(0, least((select max(y) from grid_events), round_even(y + k * dx / len, 0)::int)) as y, greatest(0, least(99, round_even(x + k * -dy / len, 0)::int)) as x
+  from v cross join range(-6, 7) r(k) where len > 0)""",
+    """s as (select seg, m, "offset", g.f as v from o join grid_events g using (y, x))""",
+)
+
+
+def curved_samples(spark: SparkSession, d: str) -> DataFrame:
+    g = fx.grid_events(spark, d)
+    return archive.profiles(checkpointed(curved_lines(spark, d)), g, "f", size(g), 100, 6)
+
+
+@query("a35_curved_profiles", fx.with_sql(E, *LINES, *ACROSS, then='select seg, m, "offset"::int as "offset", v from s').replace("with ", "with recursive ", 1))
+def a35_curved(spark: SparkSession, d: str) -> DataFrame:
+    return curved_samples(spark, d)
+
+
+@query("a36_a38_curved_across", fx.with_sql(E, *LINES, *ACROSS, """g as (select seg, m, avg(v) filter ("offset" < 0) as before, avg(v) filter ("offset" > 0) as after, avg(v) filter (abs("offset") >= 5) as background,
+  arg_max(v, abs(v) * 1000 - "offset" * 1e-6) filter (abs("offset") <= 3) as feature from s group by seg, m)""", """t as (
+  select seg, m, "offset" as o, avg(v) over w as a, count(v) over w as c from s window w as (partition by seg, m order by "offset" rows between 1 preceding and 1 following))""", """b as (
+  select seg, m, o from t where c = 3 qualify row_number() over (partition by seg, m order by a desc, case when o < 0 then o + 1000 else -o end desc) = 1)""", then="""
+select seg, m, round(before, 6) as before, round(after, 6) as after, round((after - before) * 10, 5) as contrast, round(background, 6) as background, feature, o::int as steepest
+from g left join b using (seg, m)""").replace("with ", "with recursive ", 1))
+def a36_curved(spark: SparkSession, d: str) -> DataFrame:
+    s = checkpointed(curved_samples(spark, d))
+    both = archive.across(s).join(archive.steepest_offset(s).withColumnRenamed("offset", "steepest"), ["seg", "m"], "left")
+    return both.select("seg", "m", r("before", 6), r("after", 6), r("contrast", 5), r("background", 6), "feature", "steepest")
+
+
 @query("a36_a37_across", fx.with_sql(O, SAMPLES, then="""
 select seg, m, round(avg(v) filter ("offset" < 0), 7) as before, round(avg(v) filter ("offset" > 0), 7) as after, round(avg(v) filter (abs("offset") >= 5), 7) as background,
   max(v) filter (abs("offset") <= 3) as feature from s group by seg, m"""))
