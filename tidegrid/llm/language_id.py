@@ -8,7 +8,8 @@ over pairs of bytes. A text is cut into windows from its first byte to its last,
 Training takes a bounded sample: at most SAMPLE_ROWS labelled texts, chosen by a hash of their id, the languages as even as the
 table allows (more than SAMPLE_ROWS / 8 languages raise), and WINDOWS_PER_TEXT windows of each, spread over the text. Only those windows come to the driver.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned. Ties go to
+Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned. A very long
+text is read window by window, all of it. Ties go to
 the language that sorts first. Repeated rows each give a row, extra columns are ignored, an empty table gives no rows.
 """
 

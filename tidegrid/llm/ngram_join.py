@@ -19,7 +19,7 @@ n-grams are compared by 64-bit hashes of their words, sets and classes are named
 
 Defined cases: null and empty texts have no n-grams and no links; each is a class of its own. So is a document without an id, whose
 class has no name either. Repeated ids are one document per row for links, and give one result row each. Extra columns are ignored.
-Empty tables give no rows.
+Ids are whole numbers: an id that does not read as one raises. A very long text is a block by itself. Empty tables give no rows.
 """
 
 from __future__ import annotations

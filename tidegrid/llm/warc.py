@@ -10,8 +10,9 @@ another without a gap form a run; pointer jumping over the runs, from the start
 A magic string inside a payload is never reached, and its piece is put back into the record that holds it.
 
 Defined cases: a null payload is an empty one. A null id has no place in an archive and its row is left out. A null url leaves
-out the header. Characters of a url that could end a header line are percent-encoded. Rows with equal ids are separate records;
-an empty table gives an empty archive and no rows. Archives are read whole or not at all: a file whose chain breaks off yields
+out the header. Characters of a url that could end a header line are percent-encoded. Rows with equal ids are separate records; if
+several rows share the largest id of a payload, each of them is a response, and the payload's other records refer to that id. A payload of
+any length is one record, read by as many tasks as it has magic strings. Extra columns are ignored. An empty table gives an empty archive and no rows. Archives are read whole or not at all: a file whose chain breaks off yields
 the records before the break.
 """
 
