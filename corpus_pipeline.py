@@ -9,7 +9,9 @@ next stage's docs. All but the last return the columns of documents. Each stage
 4. secret scans: secrets are replaced by a mark, and n_chars is counted again; no document goes;
 5. SentencePiece: each document's ids, with digests of them and of the decoded text.
 
-Defined cases: a null text counts as empty, which the quality rules reject. An empty table passes through as an empty table.
+Defined cases: a null text counts as empty, which the quality rules reject. An empty table passes through as an empty table. Extra
+columns are left out by the first stage. Rows that repeat an id each pass by their own text; of a class of near duplicates all rows
+stay that have its least id, and a row of the same id with another text goes or stays with them. Texts of any length pass whole.
 """
 
 from __future__ import annotations
