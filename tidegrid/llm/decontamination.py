@@ -19,8 +19,8 @@ the least similar pairs, and none of the exact ones.
 
 Defined cases: null texts and texts of fewer than five words have no shingles, so such documents are clean and such items match
 nothing. A null id is an id like any other. A document shorter than an item is one window by itself. Repeated ids, texts and items count each on their own; of one
-document and item the best window is reported, the first at ties. A very long text is one document with many hits, of the size of
-its windows each. Extra columns are ignored. Empty tables give no rows.
+document and item the best window is reported, the first at ties. A very long text is read whole, and its shingles go along
+with each of its hits. Extra columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ text and of whether they are wanted: equal ones score equally.
 
 Defined cases: a text without words has n_tokens 0 and null losses. Without target documents the target's counts are all zero, and
 its losses those of a uniform distribution. Null ids are never target. Repeated rows count and are scored each. A very long text is
-cut into parts that are scored apart and summed up. Extra columns are ignored. An empty table gives no rows.
+a batch by itself. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
