@@ -25,6 +25,8 @@ from tidegrid.operators.components import checkpointed
 RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 #: Cells of whole components that a task works on together.
 PACK_CELLS = 400_000
+#: Fixed value: rounding of a difference, as a share of the values that it is taken of.
+ROUNDING = 2.0**-50
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
 
@@ -314,18 +316,22 @@ def despurred(mask: DataFrame, longest: float) -> DataFrame:
 
 def gradient_thinned(mask: DataFrame, field: DataFrame, value: str, min_gap: int = 2, valid_from: float | None = None, min_gradient: float = 0.0) -> DataFrame:
     """Of each stretch of mask cells along a row, and along a column, the cell with the steepest central difference across it, the
-    first at ties; both passes together. Cells at most min_gap + 1 apart are one stretch. The two cells across must be valid, above
+    first at ties; both passes together. Differences are equal where they agree to the rounding of the values that
+    they are taken of. Cells at most min_gap + 1 apart are one stretch. The two cells across must be valid, above
     valid_from if that is given; the cell itself need not be."""
     v = F.when(~F.isnan(value) if valid_from is None else (F.col(value) > valid_from) & ~F.isnan(value), F.col(value))
     clean = field.select("grid_id", "y", "x", v.alias("v"))
 
     def one(line: str, along: str) -> DataFrame:
         w = Window.partitionBy("grid_id", line).orderBy(along)
-        g = clean.withColumn("g", F.abs(F.max("v").over(w.rangeBetween(1, 1)) - F.max("v").over(w.rangeBetween(-1, -1))))
+        ahead, back = F.max("v").over(w.rangeBetween(1, 1)), F.max("v").over(w.rangeBetween(-1, -1))
+        g = clean.withColumns({"g": F.abs(ahead - back), "size": F.abs(ahead) + F.abs(back)})
         ok = mask.select("grid_id", "y", "x").join(g.filter(F.col("g") > min_gradient), ["grid_id", "y", "x"])
         all_ = mask.select("grid_id", "y", "x").withColumn("new", F.coalesce(F.col(along) - F.lag(along).over(w) > min_gap + 1, F.lit(True)).cast("int"))
         stretch = all_.withColumn("s", F.sum("new").over(w)).drop("new")
-        best = stretch.join(ok, ["grid_id", "y", "x"]).groupBy("grid_id", line, "s").agg(F.max_by(along, F.struct("g", -F.col(along))).alias(along))
+        whole = Window.partitionBy("grid_id", line, "s")
+        steep = stretch.join(ok, ["grid_id", "y", "x"]).withColumns({"top": F.max("g").over(whole), "most": F.max("size").over(whole)})
+        best = steep.filter(F.col("g") >= F.col("top") - F.col("most") * ROUNDING).groupBy("grid_id", line, "s").agg(F.min(along).alias(along))
         return best.select("grid_id", "y", "x")
 
     return one("y", "x").union(one("x", "y")).distinct()
