@@ -19,10 +19,11 @@ def coriolis(lat: Column) -> Column:
     return F.lit(2 * OMEGA) * F.sin(F.radians(lat))
 
 
-def by_coriolis(value: Column, lat: Column, absolute: bool = False) -> Column:
-    """value / f, or / |f|; null on the equator."""
+def by_coriolis(value: Column, lat: Column, absolute: bool = False, null_on_equator: bool = True) -> Column:
+    """value / f, or / |f|; on the equator null, or infinite (NaN for no value of any size)."""
     f = coriolis(lat)
-    return F.when(f != 0, value / (F.abs(f) if absolute else f))
+    got = F.when(f != 0, value / (F.abs(f) if absolute else f))
+    return got if null_on_equator else got.otherwise(value * F.lit(float("inf")))
 
 
 def rossby(value: Column, lat: Column, lat_min: float = 5.0, f_min: float = 1e-5, absolute: bool = False) -> Column:
