@@ -669,7 +669,7 @@ def a34(spark: SparkSession, d: str) -> DataFrame:
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     o = fx.grid_orders(spark, d)
     seg = o.select(F.col("y").alias("seg"), F.col("x").alias("m"), "y", "x")
-    return archive.profiles(seg, o, "g", size(o), 100, 8)
+    return archive.profile_arrays(seg, o, "g", size(o), 100, 8)
 
 
 SAMPLES = """p as (select y as seg, x as m, y, x from grid_orders),
@@ -678,7 +678,7 @@ s as (select p.seg, p.m, k as "offset", g as v from p cross join range(-8, 9) r(
 
 @query("a35_profiles", fx.with_sql(O, SAMPLES, then='select seg, m, "offset"::int as "offset", v from s'))
 def a35(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(spark, d).select("seg", "m", "offset", "v")
+    return _samples(spark, d).select("seg", "m", F.explode("s").alias("s")).select("seg", "m", "s.offset", "s.v")
 
 
 #: A closed line, a wave and a zigzag with side branches on the cells of the event grid.
@@ -726,12 +726,12 @@ ACROSS = (
 
 def curved_samples(spark: SparkSession, d: str) -> DataFrame:
     g = fx.grid_events(spark, d)
-    return archive.profiles(checkpointed(curved_lines(spark, d)), g, "f", size(g), 100, 6)
+    return archive.profile_arrays(checkpointed(curved_lines(spark, d)), g, "f", size(g), 100, 6)
 
 
 @query("a35_curved_profiles", fx.with_sql(E, *LINES, *ACROSS, then='select seg, m, "offset"::int as "offset", v from s').replace("with ", "with recursive ", 1))
 def a35_curved(spark: SparkSession, d: str) -> DataFrame:
-    return curved_samples(spark, d)
+    return curved_samples(spark, d).select("seg", "m", F.explode("s").alias("s")).select("seg", "m", "s.offset", "s.v")
 
 
 @query("a36_a38_curved_across", fx.with_sql(E, *LINES, *ACROSS, """g as (select seg, m, avg(v) filter ("offset" < 0) as before, avg(v) filter ("offset" > 0) as after, avg(v) filter (abs("offset") >= 5) as background,
