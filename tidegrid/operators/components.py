@@ -31,6 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df as one side of a join of tables that both grow with the input: it is shuffled, not sent whole through the driver, however small the
+    file that it is read from (ids compress well, and a loop joins many times)."""
+    return df.hint("merge")
+
+
 def _joined_up(pdf: pd.DataFrame, key: list[str]) -> pd.DataFrame:
     """Each end of the edges with the least id of its component, by union-find."""
     root: dict = {}
@@ -70,33 +76,33 @@ def min_label_components(edges: DataFrame, by: tuple[str, ...] = (), rounds: int
             found = graph.filter("a < b").withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda pdf: _joined_up(pdf, key), fields)
             break
         drawn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("p"))  # noqa: B023, E731
-        first = graph.groupBy(*key, "a").agg(F.min(drawn("b")).alias("m")).withColumn("m", F.least("m", drawn("a")))
-        hooks = checkpointed(first.select(*key, "a", F.col("m.p").alias("p")))
+        first = graph.groupBy(*key, "a").agg(F.min(drawn("b")).alias("_m")).withColumn("_m", F.least("_m", drawn("a")))
+        hooks = checkpointed(first.select(*key, "a", F.col("_m.p").alias("p")))
         far = hooks
         for _ in range(2):
             step = far.select(*key, F.col("a").alias("p"), F.col("p").alias("q"))
-            far = far.join(step, [*key, "p"]).select(*key, "a", F.col("q").alias("p"))
+            far = far.join(by_shuffle(step), [*key, "p"]).select(*key, "a", F.col("q").alias("p"))
         far = checkpointed(far)
         hooked.append(far)
         to = lambda c: far.select(*key, F.col("a").alias(c), F.col("p").alias("to"))  # noqa: B023, E731
-        one = graph.join(to("a"), [*key, "a"]).select(*key, F.col("to").alias("a"), "b")
-        two = one.join(to("b"), [*key, "b"]).select(*key, "a", F.col("to").alias("b"))
+        one = graph.join(by_shuffle(to("a")), [*key, "a"]).select(*key, F.col("to").alias("a"), "b")
+        two = one.join(by_shuffle(to("b")), [*key, "b"]).select(*key, "a", F.col("to").alias("b"))
         # chains longer than the leaps stay linked by the hooks of where they stopped
-        stopped = far.select(*key, F.col("p").alias("a")).distinct().join(hooks.filter("a <> p"), [*key, "a"]).select(*key, "a", F.col("p").alias("b"))
+        stopped = far.select(*key, F.col("p").alias("a")).distinct().join(by_shuffle(hooks.filter("a <> p")), [*key, "a"]).select(*key, "a", F.col("p").alias("b"))
         rest = stopped.unionByName(stopped.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
         graph = checkpointed(two.filter("a <> b").unionByName(rest).distinct())
     else:
         raise RuntimeError(f"components were not done after {rounds} rounds")
     for far in reversed(hooked):
         onward = found.select(*key, F.col("a").alias("p"), F.col("p").alias("to"))
-        found = checkpointed(far.join(onward, [*key, "p"], "left").select(*key, "a", F.coalesce("to", "p").alias("p")))
+        found = checkpointed(far.join(by_shuffle(onward), [*key, "p"], "left").select(*key, "a", F.coalesce("to", "p").alias("p")))
     ids = ends.select(*key, F.col("a").alias("id")).distinct()
-    named = ids.join(found.withColumnRenamed("a", "id"), [*key, "id"], "left").select(*key, "id", F.coalesce("p", "id").alias("p"))
+    named = ids.join(by_shuffle(found.withColumnRenamed("a", "id")), [*key, "id"], "left").select(*key, "id", F.coalesce("p", "id").alias("p"))
     if not hooked:
         return checkpointed(named.withColumnRenamed("p", "label"))
     named = checkpointed(named)
     least = named.groupBy(*key, "p").agg(F.min("id").alias("label"))
-    return checkpointed(named.join(least, [*key, "p"]).select(*key, "id", "label"))
+    return checkpointed(named.join(by_shuffle(least), [*key, "p"]).select(*key, "id", "label"))
 
 
 def runs(mask: DataFrame, grid: tuple[str, ...] = ("grid_id",)) -> DataFrame:
@@ -116,7 +122,7 @@ def label(mask: DataFrame, connectivity: int = 2, small: int = 200_000) -> DataF
     named = checkpointed(runs(mask).withColumn("id", F.col("y").cast("long") * (1 << 32) + F.col("x0")))
     below = named.select("grid_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("uid"))
     touch = (F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)
-    joined = named.join(below, ["grid_id", "y"]).filter(touch)
+    joined = named.join(by_shuffle(below), ["grid_id", "y"]).filter(touch)
     alone = named.select("grid_id", F.col("id").alias("a"), F.col("id").alias("b"))
     roots = min_label_components(joined.select("grid_id", F.col("id").alias("a"), F.col("uid").alias("b")).union(alone), ("grid_id",), small=small).withColumnRenamed("label", "root")
     return numbered(named, roots).select("grid_id", "y", "label", F.explode(F.sequence("x0", "x1")).alias("x")).select("grid_id", "y", "x", "label")
@@ -129,8 +135,8 @@ def numbered(named: DataFrame, roots: DataFrame) -> DataFrame:
     in_row = F.row_number().over(Window.partitionBy("grid_id", "ry").orderBy("root"))
     per_row = first.groupBy("grid_id", "ry").agg(F.count(F.lit(1)).alias("n"))
     before = per_row.select("grid_id", "ry", (F.sum("n").over(Window.partitionBy("grid_id").orderBy("ry")) - F.col("n")).alias("before"))
-    ranks = first.withColumn("k", in_row).join(before, ["grid_id", "ry"]).select("grid_id", "root", (F.col("k") + F.col("before")).cast("long").alias("label"))
-    return named.join(roots, ["grid_id", "id"]).join(ranks, ["grid_id", "root"])
+    ranks = first.withColumn("k", in_row).join(by_shuffle(before), ["grid_id", "ry"]).select("grid_id", "root", (F.col("k") + F.col("before")).cast("long").alias("label"))
+    return named.join(by_shuffle(roots), ["grid_id", "id"]).join(by_shuffle(ranks), ["grid_id", "root"])
 
 
 def table(labels: DataFrame) -> DataFrame:
@@ -145,7 +151,7 @@ def without_small(mask: DataFrame, min_size: int, connectivity: int = 2, labels:
     """The mask without components of fewer than min_size cells."""
     lab = label(mask, connectivity) if labels is None else labels
     big = lab.groupBy("grid_id", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size)
-    return lab.join(big.select("grid_id", "label"), ["grid_id", "label"], "left_semi").select("grid_id", "y", "x")
+    return lab.join(by_shuffle(big.select("grid_id", "label")), ["grid_id", "label"], "left_semi").select("grid_id", "y", "x")
 
 
 def holes_filled(mask: DataFrame, height: int, width: int, most: int = 64) -> DataFrame:
@@ -168,7 +174,7 @@ def holes_filled(mask: DataFrame, height: int, width: int, most: int = 64) -> Da
     cells = small.select("grid_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
     lab = checkpointed(label(cells, 1))
     beside = long.select("grid_id", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), F.col("x0").alias("l0"), F.col("x1").alias("l1"))
-    open_ = lab.join(beside, ["grid_id", "y"]).filter((F.col("x") >= F.col("l0")) & (F.col("x") <= F.col("l1"))).select("grid_id", "label").distinct()
+    open_ = lab.join(by_shuffle(beside), ["grid_id", "y"]).filter((F.col("x") >= F.col("l0")) & (F.col("x") <= F.col("l1"))).select("grid_id", "label").distinct()
     few = lab.groupBy("grid_id", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < most).select("grid_id", "label")
-    holes = lab.join(few, ["grid_id", "label"], "left_semi").join(open_, ["grid_id", "label"], "left_anti")
+    holes = lab.join(by_shuffle(few), ["grid_id", "label"], "left_semi").join(by_shuffle(open_), ["grid_id", "label"], "left_anti")
     return busy.unionByName(holes.select("grid_id", "y", "x"))

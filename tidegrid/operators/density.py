@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.components import checkpointed, min_label_components
+from tidegrid.operators.components import by_shuffle, checkpointed, min_label_components
 from tidegrid.operators.features import finite
 
 
@@ -26,7 +26,7 @@ def neighbours(df: DataFrame, key: str, cols: list[str], radius: float, most_axe
         mine = mine.withColumn(n, F.explode(F.sequence(c - 1, c + 1)))
     other = points.withColumns(dict(zip(names, at, strict=True))).withColumnsRenamed({"a": "b"} | {f"_v{i}": f"_w{i}" for i in range(len(cols))})
     d2 = sum(((F.col(f"_v{i}") - F.col(f"_w{i}")) ** 2 for i in range(len(cols))), F.lit(0.0))
-    return mine.join(other, names).select("a", "b", d2.alias("d2")).filter(F.col("d2") <= radius * radius).select("a", "b", F.sqrt("d2").alias("d"))
+    return mine.join(by_shuffle(other), names).select("a", "b", d2.alias("d2")).filter(F.col("d2") <= radius * radius).select("a", "b", F.sqrt("d2").alias("d"))
 
 
 def core_distances(near: DataFrame, counts: list[int]) -> DataFrame:
@@ -39,8 +39,8 @@ def core_distances(near: DataFrame, counts: list[int]) -> DataFrame:
 def reaches(near: DataFrame, cores: DataFrame) -> DataFrame:
     """(m, a, b, w) of the pairs a < b whose points both have a core distance."""
     known = cores.filter("c is not null")
-    one = near.filter("a < b").join(known.select(F.col("id").alias("a"), "m", F.col("c").alias("ca")), "a")
-    two = one.join(known.select(F.col("id").alias("b"), "m", F.col("c").alias("cb")), ["b", "m"])
+    one = near.filter("a < b").join(by_shuffle(known.select(F.col("id").alias("a"), "m", F.col("c").alias("ca"))), "a")
+    two = one.join(by_shuffle(known.select(F.col("id").alias("b"), "m", F.col("c").alias("cb"))), ["b", "m"])
     return two.select("m", "a", "b", F.greatest("d", "ca", "cb").alias("w"))
 
 
@@ -86,7 +86,7 @@ def spanning_forest(edges: DataFrame, by: tuple[str, ...] = (), small: int = 200
         out.append(chosen.select(*key, "e.a", "e.b", "e.w"))
         labels = min_label_components(chosen.select(*key, F.col("ca").alias("a"), F.col("cb").alias("b")), by, small=small)
         for c in ("ca", "cb"):
-            graph = graph.join(labels.select(*key, F.col("id").alias(c), F.col("label").alias(f"_{c}")), [*key, c])
+            graph = graph.join(by_shuffle(labels.select(*key, F.col("id").alias(c), F.col("label").alias(f"_{c}"))), [*key, c])
         left = graph.filter("_ca <> _cb").select(*key, F.least("_ca", "_cb").alias("ca"), F.greatest("_ca", "_cb").alias("cb"), "e")
         graph = checkpointed(left.groupBy(*key, "ca", "cb").agg(F.min("e").alias("e")))
     raise RuntimeError(f"the forest was not done after {rounds} rounds")
