@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ocean import coriolis
-from tidegrid.operators.components import checkpointed, min_label_components
+from tidegrid.operators.components import by_shuffle, checkpointed, min_label_components
 from tidegrid.operators.ranking import RANGE_ROWS, percentiles
 
 
@@ -151,28 +153,108 @@ def cluster_profile(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
     return mid.crossJoin(F.broadcast(total)).withColumns(z | {"share": F.col("n") / F.col("_all")}).drop(*total.columns)
 
 
-def density_clusters(df: DataFrame, key: str, cols: list[str], eps: float, min_points: int, most_axes: int = 3) -> DataFrame:
-    """Clusters of points that have at least min_points within eps, themselves included; -1 for noise; the least key names a cluster.
+def _box(names: list[str]) -> list:
+    return [f(v).alias(v + s) for v in names for f, s in ((F.min, "lo"), (F.max, "hi"))]
+
+
+def _least_d2(names: list[str], a: str, b: str) -> Column:
+    """Squared distance that no pair of points of two boxes falls below, in floating point too: differences, squares and sums grow with what they
+    are taken of."""
+    gap = lambda v: F.greatest(F.lit(0.0), F.col(f"{b}.{v}lo") - F.col(f"{a}.{v}hi"), F.col(f"{a}.{v}lo") - F.col(f"{b}.{v}hi"))
+    return sum((gap(v) ** 2 for v in names), F.lit(0.0))
+
 
-    Points meet in square buckets of side eps and their neighbours, so no pair farther apart than two buckets is looked at. Buckets
-    are along the first `most_axes` columns only: each point goes to 3 ** axes of them, whatever the number of columns."""
-    axes = cols[:most_axes]
-    names = [f"_b{i}" for i in range(len(axes))]
-    bucket = {n: F.floor(F.col(c) / eps).cast("long") for n, c in zip(names, axes, strict=True)}
-    points = finite(df, cols).select(key, *cols).withColumns(bucket)
-    shifts = [[]]
+def _most_d2(names: list[str], a: str, b: str) -> Column:
+    """Squared distance that no pair of points of two boxes exceeds."""
+    far = lambda v: F.greatest(F.col(f"{b}.{v}hi") - F.col(f"{a}.{v}lo"), F.col(f"{a}.{v}hi") - F.col(f"{b}.{v}lo"))
+    return sum((far(v) ** 2 for v in names), F.lit(0.0))
+
+
+def _met(left: DataFrame, right: DataFrame, at: list[str], side: float) -> DataFrame:
+    """(l, r): rows of two tables as structs, those in one cube of the side along the columns `at` or in cubes beside each other."""
+    # a little wider, so that rounding moves nothing past the next cube
+    cube = lambda v: F.floor(F.col(v) / (side * (1 + 1e-6))).cast("long")
+    names = [f"_c{i}" for i in range(len(at))]
+    mine = left.select(F.struct(*left.columns).alias("l"), *[cube(v).alias(n) for n, v in zip(names, at, strict=True)])
     for n in names:
-        shifts = [[*s, (F.col(n) + k).alias(n)] for s in shifts for k in (-1, 0, 1)]
-    mine = points.select(key, *cols, F.explode(F.array(*[F.struct(*s) for s in shifts])).alias("_s")).select(key, *cols, "_s.*")
-    other = points.withColumnsRenamed({key: "_k"} | {c: f"_o_{c}" for c in cols})
-    d2 = sum(((F.col(c) - F.col(f"_o_{c}")) ** 2 for c in cols), F.lit(0.0))
-    near = mine.join(other, names).filter(d2 <= eps * eps).select(key, "_k")
-    core = near.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_points).select(key)
-    links = near.join(core, key, "left_semi")
-    inner = links.join(core.select(F.col(key).alias("_k")), "_k", "left_semi")
-    labels = min_label_components(inner.select(F.col(key).alias("a"), F.col("_k").alias("b")))
-    edge = links.join(labels.withColumnRenamed("id", key), key).groupBy("_k").agg(F.min("label").alias("label"))
-    return df.select(key).join(edge.withColumnRenamed("_k", key), key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("cluster"))
+        mine = mine.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
+    other = right.select(F.struct(*right.columns).alias("r"), *[cube(v).alias(n) for n, v in zip(names, at, strict=True)])
+    return mine.join(by_shuffle(other), names).select("l", "r")
+
+
+def places(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(k, v0, v1, ..., n): the places of the points that have all columns; k is the least key of the n points of a place."""
+    return finite(df, cols).groupBy(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]).agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n"))
+
+
+def _linked_cells(core: DataFrame, vs: list[str], eps: float, side: float, most_axes: int, most_pairs: int) -> DataFrame:
+    """(a, b): pairs of cells a < b that have points within eps of each other; core has (k, v0, ..., cell).
+
+    Boxes about the cells' points decide first: far apart, or all of one within eps of all of the other. What they leave open is asked again
+    of the halves of cells along each column, and so on, until few pairs of points are left to be looked at one by one. Of boxes
+    that hold a point each, one or the other is true."""
+    path = lambda k: F.array(*[F.floor(F.col(v) / side * float(1 << k)).cast("long") for v in vs])
+    nodes = lambda k: core.withColumn("path", path(k)).groupBy("cell", "path").agg(*_box(vs), F.count(F.lit(1)).alias("n"))
+
+    def judged(met: DataFrame) -> DataFrame:
+        one = met.filter(_least_d2(vs, "l", "r") <= eps * eps).withColumn("sure", _most_d2(vs, "l", "r") <= eps * eps)
+        return checkpointed(one.select(F.col("l.cell").alias("a"), F.col("r.cell").alias("b"), F.col("l.path").alias("pa"), F.col("r.path").alias("pb"), (F.col("l.n") * F.col("r.n")).alias("pairs"), "sure"))
+
+    first = checkpointed(nodes(0))
+    # two cells with points within eps begin less than two eps apart
+    got, out, k = judged(_met(first, first, [f"{v}lo" for v in vs[:most_axes]], 2 * eps).filter("l.cell < r.cell")), [], 0
+    while True:
+        sure = checkpointed(got.filter("sure").select("a", "b").distinct())
+        out.append(sure)
+        left = checkpointed(got.filter("not sure").join(by_shuffle(sure), ["a", "b"], "left_anti").select("a", "b", "pa", "pb", "pairs"))
+        todo = left.agg(F.sum("pairs")).first()[0]
+        if todo is None:
+            break
+        mine = lambda t, k, c, p, s: t.select(F.col("cell").alias(c), (F.col("path") if k is None else F.transform("path", lambda i: F.shiftright(i, 1))).alias(p), F.struct(*t.columns).alias(s))
+        if todo <= most_pairs or k == 20:
+            each = core.withColumn("path", path(k))
+            both = left.join(by_shuffle(mine(each, None, "a", "pa", "l")), ["a", "pa"]).join(by_shuffle(mine(each, None, "b", "pb", "r")), ["b", "pb"])
+            d2 = sum(((F.col(f"l.{v}") - F.col(f"r.{v}")) ** 2 for v in vs), F.lit(0.0))
+            out.append(both.filter(d2 <= eps * eps).select("a", "b").distinct())
+            break
+        k += 1
+        half = checkpointed(nodes(k))
+        got = judged(left.join(by_shuffle(mine(half, k, "a", "pa", "l")), ["a", "pa"]).join(by_shuffle(mine(half, k, "b", "pb", "r")), ["b", "pb"]).select("l", "r"))
+    links = out[0]
+    for more in out[1:]:
+        links = links.unionByName(more)
+    return links
+
+
+def density_clusters(df: DataFrame, key: str, cols: list[str], eps: float, min_points: int, most_axes: int = 3, most_pairs: int = 5_000_000) -> DataFrame:
+    """Clusters of points that have at least min_points within eps, themselves included; -1 for noise; the least key names a cluster.
+
+    Points of one place count as one with their number. Places are put in cells so small that all of a cell are within eps of each other (cells
+    whose box rounding makes larger are taken apart): a cell of min_points or more is dense without a pair looked at. Only the few
+    places of other cells are held against their surroundings, and cells are linked by their boxes, so that pairs grow with the
+    places. Places meet in cubes along the first `most_axes` columns; beyond these, pairs of sparse cells may be more."""
+    vs, side = [f"v{i}" for i in range(len(cols))], 0.999 * eps / math.sqrt(len(cols))
+    near = sum(((F.col(f"l.{v}") - F.col(f"r.{v}")) ** 2 for v in vs), F.lit(0.0)) <= eps * eps
+    # lists are equal where all of their numbers are
+    placed = checkpointed(places(df, key, cols).withColumn("at", F.array(*[F.floor(F.col(v) / side).cast("long") for v in vs])))
+    whole = placed.groupBy("at").agg(F.min("k").alias("cell"), F.sum("n").alias("all"), *_box(vs))
+    tight = sum(((F.col(f"{v}hi") - F.col(f"{v}lo")) ** 2 for v in vs), F.lit(0.0)) <= eps * eps
+    dense = F.when(tight, F.col("all")).otherwise(F.col("n")) >= min_points
+    one = checkpointed(placed.join(by_shuffle(whole), "at").select("k", *vs, "n", F.when(tight, F.col("cell")).otherwise(F.col("k")).alias("cell"), dense.alias("dense")))
+    axes = vs[:most_axes]
+    counted = _met(one.filter("not dense").select("k", *vs), one.select("n", *vs), axes, eps).filter(near).groupBy(F.col("l.k").alias("k")).agg(F.sum("r.n").alias("about"))
+    state = checkpointed(one.join(by_shuffle(counted), "k", "left").select("k", *vs, "cell", (F.col("dense") | (F.col("about") >= min_points)).alias("core")))
+    core = state.filter("core").select("k", *vs, "cell")
+    links = _linked_cells(core, vs, eps, side, most_axes, most_pairs)
+    cells = core.groupBy("cell").agg(F.min("k").alias("k"))
+    roots = min_label_components(links.unionByName(cells.select(F.col("cell").alias("a"), F.col("cell").alias("b"))))
+    rooted = cells.join(by_shuffle(roots.withColumnsRenamed({"id": "cell", "label": "root"})), "cell")
+    named = rooted.join(by_shuffle(rooted.groupBy("root").agg(F.min("k").alias("label"))), "root").select("cell", "label")
+    inner = checkpointed(core.join(by_shuffle(named), "cell").select(*vs, "label"))
+    edge = _met(state.filter("not core").select(*vs), inner, axes, eps).filter(near).groupBy(*[F.col(f"l.{v}").alias(v) for v in vs]).agg(F.min("r.label").alias("label"))
+    found = inner.unionByName(edge).withColumnsRenamed({v: f"_{v}" for v in vs} | {"label": "_label"})
+    at = [F.col(c) == F.col(f"_{v}") for c, v in zip(cols, vs, strict=True)]
+    return df.select(key, *cols).join(by_shuffle(found), at, "left").select(key, F.coalesce("_label", F.lit(-1)).alias("cluster"))
 
 
 def cumulative_share(df: DataFrame, weight: str, by: str, parts: int | None = None) -> DataFrame:
