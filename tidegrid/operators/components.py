@@ -112,11 +112,25 @@ def runs(mask: DataFrame, grid: tuple[str, ...] = ("grid_id",)) -> DataFrame:
     return start.groupBy(*grid, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def label(mask: DataFrame, connectivity: int = 2, small: int = 200_000) -> DataFrame:
+def _joined_in_blocks(edges: DataFrame, small: int, block: tuple[int, int]) -> DataFrame:
+    """(grid_id, id, root) of runs joined by edges (grid_id, a, b), which have each run with itself too. Runs that begin in a block of rows
+    and columns are joined by one task; only the edges between blocks go through rounds, as edges of what the blocks have joined."""
+    at = lambda c: F.struct(F.floor(F.col(c) / (block[0] << 32)).alias("y"), F.floor(F.pmod(F.col(c), F.lit(1 << 32)) / block[1]).alias("x"))
+    fields = f"grid_id {dict(edges.dtypes)['grid_id']}, a bigint, p bigint"
+    within = edges.filter(at("a") == at("b")).groupBy("grid_id", at("a"))
+    local = checkpointed(within.applyInPandas(lambda key, pdf: _joined_up(pdf, []).assign(grid_id=key[0]), fields))
+    to = lambda c: local.select("grid_id", F.col("a").alias(c), F.col("p").alias(f"_{c}"))
+    across = edges.filter(at("a") != at("b")).join(by_shuffle(to("a")), ["grid_id", "a"]).join(by_shuffle(to("b")), ["grid_id", "b"])
+    roots = min_label_components(across.select("grid_id", F.col("_a").alias("a"), F.col("_b").alias("b")), ("grid_id",), small=small)
+    both = local.withColumnRenamed("a", "id").join(by_shuffle(roots.withColumnsRenamed({"id": "p", "label": "root"})), ["grid_id", "p"], "left")
+    return checkpointed(both.select("grid_id", "id", F.coalesce("root", "p").alias("root")))
+
+
+def label(mask: DataFrame, connectivity: int = 2, small: int = 200_000, block: tuple[int, int] = (64, 4096)) -> DataFrame:
     """Adds label to mask (grid_id, y, x): components numbered from 1 in the raster order of their first cells.
 
     connectivity 2 joins cells that touch at corners, 1 only those that share a side. Runs of adjacent rows are joined on the row
-    shifted by one, an equi-join; overlap is a residual condition."""
+    shifted by one, an equi-join; overlap is a residual condition. Runs are joined within blocks of rows and columns first."""
     reach = 1 if connectivity == 2 else 0
     # a run is named by the raster order of its first cell
     named = checkpointed(runs(mask).withColumn("id", F.col("y").cast("long") * (1 << 32) + F.col("x0")))
@@ -124,7 +138,8 @@ def label(mask: DataFrame, connectivity: int = 2, small: int = 200_000) -> DataF
     touch = (F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)
     joined = named.join(by_shuffle(below), ["grid_id", "y"]).filter(touch)
     alone = named.select("grid_id", F.col("id").alias("a"), F.col("id").alias("b"))
-    roots = min_label_components(joined.select("grid_id", F.col("id").alias("a"), F.col("uid").alias("b")).union(alone), ("grid_id",), small=small).withColumnRenamed("label", "root")
+    edges = checkpointed(joined.select("grid_id", F.col("id").alias("a"), F.col("uid").alias("b")).union(alone))
+    roots = _joined_in_blocks(edges, small, block)
     return numbered(named, roots).select("grid_id", "y", "label", F.explode(F.sequence("x0", "x1")).alias("x")).select("grid_id", "y", "x", "label")
 
 

@@ -162,10 +162,10 @@ def thin_kernel(cells: Cells, rounds: int | None = None) -> np.ndarray:
     return on
 
 
-def _thin_tile(names: np.ndarray, rounds: int, halo: int) -> bool:
+def _thin_tile(names: np.ndarray, rounds: int, own: tuple[slice, slice]) -> bool:
     """Thins a tile in place, at most so many rounds; names has a label a cell, 0 for none. Whether the last round still changed the tile's
     own cells, those not within the halo."""
-    own = names[halo : names.shape[0] - halo, halo : names.shape[1] - halo]
+    own = names[own]
     for _ in range(rounds):
         before, all_before = np.count_nonzero(own), np.count_nonzero(names)
         for table in THIN:
@@ -197,12 +197,16 @@ def thinned_in_tiles(labels: DataFrame, tile: int = 512, halo: int = 64, rounds:
 
     def run(steps: int, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, ty, tx = key
-        names, labels_of = np.zeros((tile + 2 * halo, tile + 2 * halo), dtype=np.int64), pdf["label"].to_numpy()
-        y, x = pdf["y"].to_numpy() - ty * tile + halo, pdf["x"].to_numpy() - tx * tile + halo
-        codes, place = np.unique(labels_of, return_inverse=True)
-        names[y, x] = place + 1
-        busy = _thin_tile(names, steps, halo)
-        own = (names[y, x] > 0) & (y >= halo) & (y < halo + tile) & (x >= halo) & (x < halo + tile)
+        y, x = pdf["y"].to_numpy() - ty * tile, pdf["x"].to_numpy() - tx * tile
+        inner = (y >= 0) & (y < tile) & (x >= 0) & (x < tile)
+        if not inner.any():
+            return pdf.loc[inner, ["grid_id", "label", "y", "x"]]
+        # the tile as far as it has cells
+        y0, x0 = y.min(), x.min()
+        names = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), dtype=np.int64)
+        names[y - y0, x - x0] = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1] + 1
+        busy = _thin_tile(names, steps, tuple(slice(max(0, -a), max(0, tile - a)) for a in (y0, x0)))
+        own = (names[y - y0, x - x0] > 0) & inner
         out = pdf.loc[own, ["grid_id", "label", "y", "x"]]
         return pd.concat([out, pdf[["grid_id", "label"]].head(1).assign(y=None, x=None)]).astype({"y": "Int64", "x": "Int64"}) if busy else out
 
