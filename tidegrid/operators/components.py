@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -105,53 +107,113 @@ def min_label_components(edges: DataFrame, by: tuple[str, ...] = (), rounds: int
     return checkpointed(named.join(by_shuffle(least), [*key, "p"]).select(*key, "id", "label"))
 
 
-def runs(mask: DataFrame, grid: tuple[str, ...] = ("grid_id",)) -> DataFrame:
-    """Runs of side by side cells of a row: (grid, y, x0, x1), both ends in the run."""
-    w = Window.partitionBy(*grid, "y").orderBy("x")
-    start = mask.select(*grid, "y", "x").withColumn("island", F.col("x") - F.row_number().over(w))
-    return start.groupBy(*grid, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
-
-
-def _joined_in_blocks(edges: DataFrame, small: int, block: tuple[int, int]) -> DataFrame:
-    """(grid_id, id, root) of runs joined by edges (grid_id, a, b), which have each run with itself too. Runs that begin in a block of rows
-    and columns are joined by one task; only the edges between blocks go through rounds, as edges of what the blocks have joined."""
-    at = lambda c: F.struct(F.floor(F.col(c) / (block[0] << 32)).alias("y"), F.floor(F.pmod(F.col(c), F.lit(1 << 32)) / block[1]).alias("x"))
-    fields = f"grid_id {dict(edges.dtypes)['grid_id']}, a bigint, p bigint"
-    within = edges.filter(at("a") == at("b")).groupBy("grid_id", at("a"))
-    local = checkpointed(within.applyInPandas(lambda key, pdf: _joined_up(pdf, []).assign(grid_id=key[0]), fields))
-    to = lambda c: local.select("grid_id", F.col("a").alias(c), F.col("p").alias(f"_{c}"))
-    across = edges.filter(at("a") != at("b")).join(by_shuffle(to("a")), ["grid_id", "a"]).join(by_shuffle(to("b")), ["grid_id", "b"])
-    roots = min_label_components(across.select("grid_id", F.col("_a").alias("a"), F.col("_b").alias("b")), ("grid_id",), small=small)
-    both = local.withColumnRenamed("a", "id").join(by_shuffle(roots.withColumnsRenamed({"id": "p", "label": "root"})), ["grid_id", "p"], "left")
-    return checkpointed(both.select("grid_id", "id", F.coalesce("root", "p").alias("root")))
+def _least_of_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of its component for each of 0 to n - 1, joined by pairs a, b: larger roots hook onto smaller ones until no
+    pair lies apart; what is left halves in two rounds."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root
+
+
+def by_group(df: DataFrame, keys: dict[str, Column], run: Callable[[pd.DataFrame], pd.DataFrame], fields: str) -> DataFrame:
+    """What run gives for the rows of df, some whole groups of equal keys a call: such groups are small and many, and a call for each would cost
+    more than its work. A call has the groups that end in a batch, or one group that is larger. run gets the keys as columns, too."""
+    names = list(keys)
+
+    def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = [], None
+        for pdf in batches:
+            key = pdf[names].to_numpy()
+            if len(key) == 0:
+                continue
+            begin = len(key) - int((key == key[-1]).all(axis=1).sum())
+            if held and (begin or (key[-1] != last).any()):
+                yield run(pd.concat([*held, pdf[:begin]], ignore_index=True))
+                held = []
+            elif begin:
+                yield run(pdf[:begin])
+            held, last = [*held, pdf[begin:]], key[-1]
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return df.withColumns(keys).repartition(*names).sortWithinPartitions(*names).mapInPandas(calls, fields)
+
+
+def group_numbers(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
+    """0, 1, ... by group of rows that are sorted by the named columns."""
+    new = np.zeros(len(pdf), dtype=np.int64)
+    for c in names:
+        v = pdf[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def _runs_of_blocks(pdf: pd.DataFrame, reach: int, block: tuple[int, int]) -> pd.DataFrame:
+    """Runs of side by side cells (grid_id, y, x0, x1, both ends in the run) of some blocks, with p, the id of the first run of their
+    component in the block, and whether they are that run."""
+    of, y, x = group_numbers(pdf, ["grid_id", "_y", "_x"]), pdf["y"].to_numpy().astype(np.int64), pdf["x"].to_numpy().astype(np.int64)
+    order = np.lexsort((x, y, of))
+    of, y, x = of[order], y[order], x[order]
+    start = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(y) != 0) | (np.diff(x) != 1)))
+    of, y, x0, x1 = of[start], y[start], x[start], x[np.append(start[1:], len(x)) - 1]
+    # rows of all blocks laid end to end, with room between them and an empty row after a block
+    row, left = of * (block[0] + 1) + y % block[0], x0 // block[1] * block[1] - 2
+    at = lambda row_, x_: row_ * (block[1] + 4) + x_ - left
+    lo = np.searchsorted(at(row, x1), at(row + 1, x0 - reach))
+    met = np.searchsorted(at(row, x0), at(row + 1, x1 + reach), "right") - lo
+    a = np.repeat(np.arange(len(y)), met)
+    b = np.arange(len(a)) + np.repeat(lo - np.cumsum(met) + met, met)
+    # cells that the mask has twice begin runs over others of their row
+    twice = np.flatnonzero((row[1:] == row[:-1]) & (x0[1:] <= x1[:-1]))
+    root = _least_of_joined(len(y), np.append(a, twice), np.append(b, twice + 1))
+    return pd.DataFrame({"grid_id": pdf["grid_id"].to_numpy()[order[start]], "y": y, "x0": x0, "x1": x1, "p": ((y << 32) + x0)[root], "top": root == np.arange(len(y))})
+
+
+def _across_blocks(local: DataFrame, reach: int, block: tuple[int, int]) -> DataFrame:
+    """Edges (grid_id, a, b) of what the blocks have joined, where runs of two blocks touch: the first row of a block and the row above it,
+    the first column and the one before it."""
+    on = lambda c, n: F.pmod(c, F.lit(n)) == 0
+    above = local.filter(on(F.col("y") + 1, block[0])).select("grid_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("p").alias("b"))
+    touch = (F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)
+    down = local.filter(on(F.col("y"), block[0])).join(by_shuffle(above), ["grid_id", "y"]).filter(touch).select("grid_id", F.col("p").alias("a"), "b")
+    rows = F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach))
+    before = local.filter(on(F.col("x1") + 1, block[1])).select("grid_id", rows.alias("y"), (F.col("x1") + 1).alias("x0"), F.col("p").alias("b"))
+    side = local.filter(on(F.col("x0"), block[1])).join(by_shuffle(before), ["grid_id", "y", "x0"])
+    return down.union(side.select("grid_id", F.col("p").alias("a"), "b"))
 
 
-def label(mask: DataFrame, connectivity: int = 2, small: int = 200_000, block: tuple[int, int] = (64, 4096)) -> DataFrame:
+def label(mask: DataFrame, connectivity: int = 2, small: int = 200_000, block: tuple[int, int] = (256, 4096)) -> DataFrame:
     """Adds label to mask (grid_id, y, x): components numbered from 1 in the raster order of their first cells.
 
-    connectivity 2 joins cells that touch at corners, 1 only those that share a side. Runs of adjacent rows are joined on the row
-    shifted by one, an equi-join; overlap is a residual condition. Runs are joined within blocks of rows and columns first."""
-    reach = 1 if connectivity == 2 else 0
-    # a run is named by the raster order of its first cell
-    named = checkpointed(runs(mask).withColumn("id", F.col("y").cast("long") * (1 << 32) + F.col("x0")))
-    below = named.select("grid_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("uid"))
-    touch = (F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)
-    joined = named.join(by_shuffle(below), ["grid_id", "y"]).filter(touch)
-    alone = named.select("grid_id", F.col("id").alias("a"), F.col("id").alias("b"))
-    edges = checkpointed(joined.select("grid_id", F.col("id").alias("a"), F.col("uid").alias("b")).union(alone))
-    roots = _joined_in_blocks(edges, small, block)
-    return numbered(named, roots).select("grid_id", "y", "label", F.explode(F.sequence("x0", "x1")).alias("x")).select("grid_id", "y", "x", "label")
-
-
-def numbered(named: DataFrame, roots: DataFrame) -> DataFrame:
-    """Roots to labels 1, 2, ... per grid. Ranks come from two steps: components are counted by row, then the rows' counts are
-    summed up, so that no window holds all components of a grid."""
-    first = roots.select("grid_id", "root").distinct().withColumn("ry", F.shiftright("root", 32))
+    connectivity 2 joins cells that touch at corners, 1 only those that share a side. Cells become runs of adjacent cells and runs are joined
+    within blocks of rows and columns, a block a task; only where blocks meet do edges go through rounds. A run is named by the raster
+    order of its first cell."""
+    reach, types = 1 if connectivity == 2 else 0, dict(mask.dtypes)
+    fields = f"grid_id {types['grid_id']}, y {types['y']}, x0 {types['x']}, x1 {types['x']}, p bigint, top boolean"
+    blocks = {f"_{c}": F.floor(F.col(c) / n) for c, n in zip("yx", block, strict=True)}
+    cells = mask.select("grid_id", "y", "x").dropna()
+    local = checkpointed(by_group(cells, {"grid_id": F.col("grid_id"), **blocks}, lambda pdf: _runs_of_blocks(pdf, reach, block), fields))
+    roots = min_label_components(_across_blocks(local, reach, block), ("grid_id",), small=small).withColumnsRenamed({"id": "p", "label": "root"})
+    tops = local.filter("top").select("grid_id", "p").join(by_shuffle(roots), ["grid_id", "p"], "left")
+    named = numbered(checkpointed(tops.select("grid_id", "p", F.coalesce("root", "p").alias("root"))))
+    return local.join(by_shuffle(named), ["grid_id", "p"]).select("grid_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
+
+
+def numbered(tops: DataFrame) -> DataFrame:
+    """(grid_id, p, label) of what blocks have joined (grid_id, p, root): roots to labels 1, 2, ... per grid. Ranks come from two steps:
+    components are counted by row, then the rows' counts are summed up, so that no window holds all components of a grid."""
+    first = tops.filter("root = p").select("grid_id", "root", F.shiftright("root", 32).alias("ry"))
     in_row = F.row_number().over(Window.partitionBy("grid_id", "ry").orderBy("root"))
     per_row = first.groupBy("grid_id", "ry").agg(F.count(F.lit(1)).alias("n"))
     before = per_row.select("grid_id", "ry", (F.sum("n").over(Window.partitionBy("grid_id").orderBy("ry")) - F.col("n")).alias("before"))
     ranks = first.withColumn("k", in_row).join(by_shuffle(before), ["grid_id", "ry"]).select("grid_id", "root", (F.col("k") + F.col("before")).cast("long").alias("label"))
-    return named.join(by_shuffle(roots), ["grid_id", "id"]).join(by_shuffle(ranks), ["grid_id", "root"])
+    return tops.join(by_shuffle(ranks), ["grid_id", "root"]).select("grid_id", "p", "label")
 
 
 def table(labels: DataFrame) -> DataFrame:

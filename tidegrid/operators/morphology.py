@@ -25,6 +25,8 @@ from tidegrid.operators.components import checkpointed
 RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 #: Cells of whole components that a task works on together.
 PACK_CELLS = 400_000
+#: Cells of the arrays in which small tiles are thinned together.
+STACK_CELLS = 4_000_000
 #: Fixed value: rounding of a difference, as a share of the values that it is taken of.
 ROUNDING = 2.0**-50
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -162,12 +164,11 @@ def thin_kernel(cells: Cells, rounds: int | None = None) -> np.ndarray:
     return on
 
 
-def _thin_tile(names: np.ndarray, rounds: int, own: tuple[slice, slice]) -> bool:
-    """Thins a tile in place, at most so many rounds; names has a label a cell, 0 for none. Whether the last round still changed the tile's
-    own cells, those not within the halo."""
-    own = names[own]
+def _thin_tiles(names: np.ndarray, rounds: int, own: np.ndarray) -> bool:
+    """Thins tiles in place, at most so many rounds; names has a label a cell, 0 for none. Whether the last round still changed the tiles'
+    own cells, those not within a halo."""
     for _ in range(rounds):
-        before, all_before = np.count_nonzero(own), np.count_nonzero(names)
+        before, all_before = np.count_nonzero(names[own]), np.count_nonzero(names)
         for table in THIN:
             y, x = np.nonzero(names)
             wide = np.pad(names, 1)
@@ -178,11 +179,11 @@ def _thin_tile(names: np.ndarray, rounds: int, own: tuple[slice, slice]) -> bool
             names[y[off], x[off]] = 0
         if np.count_nonzero(names) == all_before:
             return False
-    return np.count_nonzero(own) != before
+    return np.count_nonzero(names[own]) != before
 
 
-def _of_steps(run: Callable, steps: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    return lambda key, pdf: run(steps, key, pdf)
+def _of_steps(run: Callable, steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: run(steps, pdf)
 
 
 def thinned_in_tiles(labels: DataFrame, tile: int = 512, halo: int = 64, rounds: int | None = None) -> DataFrame:
@@ -190,36 +191,50 @@ def thinned_in_tiles(labels: DataFrame, tile: int = 512, halo: int = 64, rounds:
 
     A half-step looks at a cell's 3 x 3, so what a tile knows beyond its edge goes stale by one cell a half-step: with a halo of 64
     cells it thins 32 rounds by itself, then tiles exchange their edges. That is repeated until no tile's own cells change in a
-    last round. A task holds a tile and its halo, whatever the component. Tiles name themselves busy in a row without a place."""
+    last round. A task holds some tiles and their halos at a time, whatever the component. Tiles name themselves busy in a row without a
+    place. They are laid out from a halo before the origin: a grid that begins there needs no tiles before it."""
     types = dict(labels.dtypes)
     fields = f"grid_id {types['grid_id']}, label {types['label']}, y {types['y']}, x {types['x']}"
-    each = halo // 2
+    each, keys = halo // 2, ["grid_id", "_ty", "_tx"]
 
-    def run(steps: int, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, ty, tx = key
-        y, x = pdf["y"].to_numpy() - ty * tile, pdf["x"].to_numpy() - tx * tile
+    def run(steps: int, pdf: pd.DataFrame) -> pd.DataFrame:
+        place = lambda c: pdf[c].to_numpy() + halo - pdf[f"_t{c}"].to_numpy() * tile
+        y, x = place("y"), place("x")
         inner = (y >= 0) & (y < tile) & (x >= 0) & (x < tile)
-        if not inner.any():
-            return pdf.loc[inner, ["grid_id", "label", "y", "x"]]
-        # the tile as far as it has cells
-        y0, x0 = y.min(), x.min()
-        names = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), dtype=np.int64)
-        names[y - y0, x - x0] = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1] + 1
-        busy = _thin_tile(names, steps, tuple(slice(max(0, -a), max(0, tile - a)) for a in (y0, x0)))
-        own = (names[y - y0, x - x0] > 0) & inner
-        out = pdf.loc[own, ["grid_id", "label", "y", "x"]]
+        of = components.group_numbers(pdf, keys)
+        owning = (np.bincount(of, inner) > 0)[of]
+        pdf, y, x, inner = pdf[owning], y[owning], x[owning], inner[owning]
+        if pdf.empty:
+            return pdf[["grid_id", "label", "y", "x"]]
+        of = components.group_numbers(pdf, keys)
+        # tiles as far as they have cells, below one another with an empty row between them, up to a size at a time
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        low = np.minimum.reduceat(y, first)
+        high = np.maximum.reduceat(y, first) - low + 2
+        row, stack = y + (np.cumsum(high) - high - low)[of], (np.cumsum(high) * (tile + 2 * halo) // STACK_CELLS)[of]
+        left, busy = np.zeros(len(pdf), dtype=bool), False
+        for k in np.unique(stack):
+            part = stack == k
+            at = row[part] - row[part].min(), x[part] - x[part].min()
+            names = np.zeros((at[0].max() + 1, at[1].max() + 1), dtype=np.int64)
+            own = np.zeros(names.shape, dtype=bool)
+            names[at] = np.unique(pdf["label"].to_numpy()[part], return_inverse=True)[1] + 1
+            own[at] = inner[part]
+            busy |= _thin_tiles(names, steps, own)
+            left[part] = names[at] > 0
+        out = pdf.loc[left & inner, ["grid_id", "label", "y", "x"]]
         return pd.concat([out, pdf[["grid_id", "label"]].head(1).assign(y=None, x=None)]).astype({"y": "Int64", "x": "Int64"}) if busy else out
 
     def spread_out(now: DataFrame) -> DataFrame:
         for c in "yx":
-            tiles = F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
+            tiles = F.sequence(F.floor(F.col(c) / tile), F.floor((F.col(c) + 2 * halo) / tile))
             now = now.withColumn(f"_t{c}", F.explode(tiles))
         return now
 
     now, done = labels.select("grid_id", "label", "y", "x"), 0
     while rounds is None or done < rounds:
         steps = each if rounds is None else min(each, rounds - done)
-        got = checkpointed(spread_out(now).groupBy("grid_id", "_ty", "_tx").applyInPandas(_of_steps(run, steps), fields))
+        got = checkpointed(components.by_group(spread_out(now), {k: F.col(k) for k in keys}, _of_steps(run, steps), fields))
         now, done = got.filter("y is not null"), done + steps
         if got.filter("y is null").isEmpty():
             break

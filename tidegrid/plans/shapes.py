@@ -327,7 +327,7 @@ def s08(spark: SparkSession, d: str) -> DataFrame:
     field = fx.grid_orders(spark, d).withColumn("grid_id", F.expr("cast(y div 40 as int)")).select("grid_id", "y", "x", "g")
     stats = colocate.colocate(run["labels"], field, ["g"], stats=("mean",))
     meta = run["metadata"].withColumn("width", F.lit(100))
-    return tables.loaded_run(meta, run["labels"], run["geometry"].select("grid_id", "label", "npix"), stats, grid, 37).select("grid_id", "label", "y", "x", r("lat", 6), "npix", r("g_mean", 4))
+    return tables.loaded_run(meta, run["placed"], run["geometry"].select("grid_id", "label", "npix"), stats, roll=37).select("grid_id", "label", "y", "x", r("lat", 6), "npix", r("g_mean", 4))
 
 
 @query("g08_meshed_extent", rec(E, M, labelled(), then="""

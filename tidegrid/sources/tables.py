@@ -150,11 +150,13 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
-def loaded_run(metadata: DataFrame, labels: DataFrame, geometry: DataFrame, colocation: DataFrame, coords: DataFrame, roll: int = 0) -> DataFrame:
+def loaded_run(metadata: DataFrame, labels: DataFrame, geometry: DataFrame, colocation: DataFrame, coords: DataFrame | None = None, roll: int = 0) -> DataFrame:
     """A run's results as one table of its labelled cells: label, position, the label's geometry and co-located statistics, rolled
-    along x by `roll` columns of the width that the metadata gives. A label without statistics keeps its cells."""
+    along x by `roll` columns of the width that the metadata gives. A label without statistics keeps its cells. Positions are those of
+    coords; without it the labels have lat and lon themselves, and no grid is joined."""
     per_label = geometry.join(colocation.drop("npix"), ["grid_id", "label"], "left")
-    cells = labels.join(coords.select("grid_id", "y", "x", "lat", "lon"), ["grid_id", "y", "x"], "left").join(per_label, ["grid_id", "label"], "left")
+    placed = labels if coords is None else labels.join(coords.select("grid_id", "y", "x", "lat", "lon"), ["grid_id", "y", "x"], "left")
+    cells = placed.join(per_label, ["grid_id", "label"], "left")
     if not roll:
         return cells
     return cells.crossJoin(F.broadcast(metadata.select("width").limit(1))).withColumn("x", F.pmod(F.col("x") + roll, F.col("width"))).drop("width")
