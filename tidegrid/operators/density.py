@@ -1,6 +1,6 @@
 """Density clusters of feature vectors for many parameters from one graph of neighbours.
 
-Pairs within the largest radius are found once. For each number of points m, a point's core distance is that to its m-th nearest
+Points of one place count as one with their number, and pairs of places within the largest radius are found once. For each number of points m, a point's core distance is that to its m-th nearest
 point, itself included, and a pair's reach is the largest of its distance and both core distances. The points that a radius connects are those
 that the minimum spanning forest of the reaches connects once it is cut there, so each m needs one forest, whatever the radii.
 """
@@ -12,27 +12,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.components import by_shuffle, checkpointed, min_label_components
-from tidegrid.operators.features import finite
+from tidegrid.operators.features import finite, places
 
+#: Places whose names are sent to all tasks at most.
+BROADCAST_PLACES = 200_000
 
-def neighbours(df: DataFrame, key: str, cols: list[str], radius: float, most_axes: int = 3) -> DataFrame:
-    """(a, b, d): all ordered pairs of points within the radius, each point with itself too. Points meet in cubes of side `radius` along the
+
+def neighbours(df: DataFrame, key: str, cols: list[str], radius: float, most_axes: int = 3, number: str | None = None) -> DataFrame:
+    """(a, b, d, n): all ordered pairs of points within the radius, each point with itself too; b stands for n points, its `number`. Points meet in cubes of side `radius` along the
     first `most_axes` columns and in the cubes beside them; a cube that holds many points is split by the join's skew handling."""
     names = [f"_c{i}" for i in range(min(most_axes, len(cols)))]
     at = [F.floor(F.col(f"_v{i}") / radius).cast("long") for i in range(len(names))]
-    points = finite(df, cols).select(F.col(key).alias("a"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    points = finite(df, cols).select(F.col(key).alias("a"), (F.col(number) if number else F.lit(1)).cast("long").alias("n"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
     mine = points
     for n, c in zip(names, at, strict=True):
         mine = mine.withColumn(n, F.explode(F.sequence(c - 1, c + 1)))
+    mine = mine.drop("n")
     other = points.withColumns(dict(zip(names, at, strict=True))).withColumnsRenamed({"a": "b"} | {f"_v{i}": f"_w{i}" for i in range(len(cols))})
     d2 = sum(((F.col(f"_v{i}") - F.col(f"_w{i}")) ** 2 for i in range(len(cols))), F.lit(0.0))
-    return mine.join(by_shuffle(other), names).select("a", "b", d2.alias("d2")).filter(F.col("d2") <= radius * radius).select("a", "b", F.sqrt("d2").alias("d"))
+    return mine.join(by_shuffle(other), names).select("a", "b", "n", d2.alias("d2")).filter(F.col("d2") <= radius * radius).select("a", "b", F.sqrt("d2").alias("d"), "n")
 
 
 def core_distances(near: DataFrame, counts: list[int]) -> DataFrame:
     """(id, m, c) for each point and each m of counts; null where fewer points than m are near."""
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("k") <= max(counts))
-    found = ranked.groupBy(F.col("a").alias("id")).agg(*[F.max(F.when(F.col("k") == m, F.col("d"))).alias(f"c{m}") for m in counts])
+    order = Window.partitionBy("a").orderBy("d", "b")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = near.withColumns({"k": F.row_number().over(order), "upto": upto}).filter(F.col("k") <= max(counts))
+    found = ranked.groupBy(F.col("a").alias("id")).agg(*[F.min(F.when(F.col("upto") >= m, F.col("d"))).alias(f"c{m}") for m in counts])
     return found.select("id", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"c{m}").alias("c")) for m in counts])).alias("x")).select("id", "x.*")
 
 
@@ -96,8 +102,9 @@ def clusters(df: DataFrame, key: str, cols: list[str], params: list[tuple[float,
     """(eps, min_points, key, cluster) for every row of df and each pair of parameters. A point with at least min_points within eps, itself
     included, is in a cluster with all such points within eps; another point within eps of one joins its cluster, that of the
     least name if there are several; the rest are noise, -1. The least key of its core points names a cluster."""
-    counts = sorted({m for _, m in params})
-    near = checkpointed(neighbours(df, key, cols, max(eps for eps, _ in params), most_axes))
+    counts, vs = sorted({m for _, m in params}), [f"v{i}" for i in range(len(cols))]
+    placed = checkpointed(places(df, key, cols))
+    near = checkpointed(neighbours(placed, "k", vs, max(eps for eps, _ in params), most_axes, "n"))
     cores = checkpointed(core_distances(near, counts))
     forest = spanning_forest(reaches(near, cores), ("m",), small=small)
     each = F.explode(F.array(*[F.struct(F.lit(float(eps)).alias("eps"), F.lit(m).alias("min_points")) for eps, m in params])).alias("p")
@@ -108,11 +115,18 @@ def clusters(df: DataFrame, key: str, cols: list[str], params: list[tuple[float,
     alone = state.filter("dense").select(*by, F.col("id").alias("a"), F.col("id").alias("b"))
     inner = asked(forest, "a", "b", "w").filter("w <= eps").select(*by, "a", "b")
     labels = min_label_components(inner.unionByName(alone), by, small=small)
-    # what is not dense itself looks for the dense points about it
-    edge = state.filter("not dense").select(*by, F.col("id").alias("a")).join(near, "a").filter("d <= eps").join(labels.withColumnRenamed("id", "b"), [*by, "b"])
-    named = labels.select(*by, F.col("id").alias(key), "label").unionByName(edge.groupBy(*by, F.col("a").alias(key)).agg(F.min("label").alias("label")))
-    rows = df.select(key, each).select(key, "p.*")
-    return rows.join(named, [*by, key], "left").select(*by, key, F.coalesce("label", F.lit(-1)).alias("cluster"))
+    # what is not dense itself looks for the dense places about it
+    edge = state.filter("not dense").select(*by, F.col("id").alias("a")).join(by_shuffle(near), "a").filter("d <= eps").join(by_shuffle(labels.withColumnRenamed("id", "b")), [*by, "b"])
+    named = labels.select(*by, F.col("id").alias("k"), "label").unionByName(edge.groupBy(*by, F.col("a").alias("k")).agg(F.min("label").alias("label")))
+    # a place's names under all parameters are one row, so that a row of df moves once, or not at all
+    own = lambda eps, m: F.max(F.when((F.col("eps") == float(eps)) & (F.col("min_points") == m), F.col("label")))
+    wide = named.groupBy("k").agg(*[own(eps, m).alias(f"_l{i}") for i, (eps, m) in enumerate(params)])
+    found = checkpointed(placed.join(by_shuffle(wide), "k").select(*[F.col(v).alias(f"_{v}") for v in vs], *[f"_l{i}" for i in range(len(params))]))
+    found = F.broadcast(found) if found.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES else by_shuffle(found)
+    at = [F.col(c) == F.col(f"_{v}") for c, v in zip(cols, vs, strict=True)]
+    name = lambda i, eps, m: F.struct(F.lit(float(eps)).alias("eps"), F.lit(m).alias("min_points"), F.coalesce(F.col(f"_l{i}"), F.lit(-1)).alias("cluster"))
+    rows = df.select(key, *cols).join(found, at, "left").select(key, F.explode(F.array(*[name(i, *p) for i, p in enumerate(params)])).alias("p"))
+    return rows.select("p.eps", "p.min_points", key, "p.cluster")
 
 
 def scan(found: DataFrame, params: list[tuple[float, int]], most_noise: float = 0.2) -> DataFrame:
