@@ -234,10 +234,11 @@ _TENDENCY = "-(bx * bx * {u}x + b_y * b_y * {v}y + bx * b_y * ({v}x + {u}y)) / 1
 select y, x, round({_TENDENCY.format(u='u', v='v')}, 3) as whole, round({_TENDENCY.format(u='p', v='q')}, 3) as geo, round({_TENDENCY.format(u='u', v='v')} - {_TENDENCY.format(u='p', v='q')}, 3) as ageo
 from d where ux + uy + vx + vy + px + py + qx + qy + bx + b_y is not null"""))
 def n20c(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.grid_orders(spark, d).withColumns({"lat": F.expr("cast(-40 + 0.1 * y as double)"), "eta": F.col("v") * 1e-6})
+    g = fx.grid_orders(spark, d).withColumns({"lat": F.expr("cast(-40 + 0.1 * y as double)"), "eta": F.col("v")})
     # beside the equator the balanced part is infinite or none; the whole is there all the same
-    got = stencil.frontogenesis_parts(g, "g", "eta", null_on_equator=False).filter("frontogenesis is not null and frontogenesis_geo is not null")
-    part = lambda c: F.round(F.col(c) / 1e9, 3)
+    got = stencil.frontogenesis_parts(g, "g", "eta", null_on_equator=False, metres=1e-6, per=1e9).filter("frontogenesis is not null and frontogenesis_geo is not null")
+    # rounded as a whole number of thousandths, as in SQL: beyond 1e12 the two ways differ by a last bit
+    part = lambda c: F.round(F.col(c) * 1000) / 1000
     return got.select("y", "x", part("frontogenesis").alias("whole"), part("frontogenesis_geo").alias("geo"), part("frontogenesis_ageo").alias("ageo"))
 
 
